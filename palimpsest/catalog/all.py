@@ -1,3 +1,3 @@
 """Import every catalog module so that its queries register."""
 
-from palimpsest.catalog import log  # noqa: F401
+from palimpsest.catalog import chunks, log, retrieval, text  # noqa: F401

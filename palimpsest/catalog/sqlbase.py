@@ -74,11 +74,11 @@ def chunks(size: int = 200, overlap: int = 50) -> str:
         + SENTS
         + f""", ends AS (
   SELECT a.session_id, a.n AS i, greatest(max(b.n) FILTER (WHERE b.upto - a.upto + a.len <= {size}), a.n)+1 AS j, max(b.n)+1 AS cnt
-  FROM numbered a JOIN numbered b ON a.session_id=b.session_id AND b.n>=a.n GROUP BY ALL),
+  FROM numbered a JOIN numbered b ON a.session_id=b.session_id AND b.n>=a.n GROUP BY a.session_id, a.n),
 steps AS (
   SELECT e.session_id, e.i, e.j, e.cnt, greatest(e.i+1, coalesce(max(m.n) FILTER (WHERE p.upto - m.upto + m.len >= {overlap}), 0)) AS nxt
   FROM ends e JOIN numbered p ON p.session_id=e.session_id AND p.n=e.j-1
-  JOIN numbered m ON m.session_id=e.session_id AND m.n<=e.j-1 GROUP BY ALL),
+  JOIN numbered m ON m.session_id=e.session_id AND m.n<=e.j-1 GROUP BY e.session_id, e.i, e.j, e.cnt),
 chain AS (
   SELECT session_id, 0::BIGINT AS chunk_ord, i, j, nxt, cnt FROM steps WHERE i=0
   UNION ALL SELECT s.session_id, c.chunk_ord+1, s.i, s.j, s.nxt, s.cnt FROM chain c JOIN steps s ON s.session_id=c.session_id AND s.i=c.nxt WHERE c.j < c.cnt),

@@ -224,7 +224,9 @@ def json_lenient(col) -> Column:
     """The text if it is a JSON object or array, else the repaired text if that is one, else null."""
     c = _c(col)
     fixed = F.trim(F.regexp_replace(F.regexp_replace(c, "[“”‘’]", '"'), r",\s*([}\]])", "$1"))
-    shaped = lambda t: F.regexp_like(t, F.lit(r"^\s*[\[{]")) & F.try_parse_json(t).isNotNull()
+    # wrapped in a list, a lone value has length 1; trailing text breaks the list
+    lone = lambda t: F.coalesce(F.json_array_length(F.concat(F.lit("["), t, F.lit("]"))) == 1, F.lit(False))
+    shaped = lambda t: F.regexp_like(t, F.lit(r"^\s*(\{[\s\S]*\}|\[[\s\S]*\])\s*$")) & lone(t)
     return F.when(shaped(c), c).when(shaped(fixed), fixed)
 
 
@@ -248,7 +250,7 @@ def hours_between(later, earlier) -> Column:
 def recency_weight(ts, now, half_life_h: float = 168.0) -> Column:
     """Halves every ``half_life_h`` hours; unknown times get 0.5 and future ones 1."""
     age = F.greatest(hours_between(now, ts), F.lit(0.0))
-    return F.coalesce(F.pow(F.lit(0.5), age / F.lit(max(half_life_h, 1e-6))), F.lit(0.5))
+    return F.when(_c(ts).isNull(), 0.5).otherwise(F.pow(F.lit(0.5), age / F.lit(max(half_life_h, 1e-6))))
 
 
 def day_from_ts(ts, tz: str = "America/New_York") -> Column:

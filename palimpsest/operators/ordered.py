@@ -89,8 +89,15 @@ def _is_double(df: DataFrame, expr: Column) -> bool:
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence, n: int, rank: str | None = None) -> DataFrame:
-    """First ``n`` rows per key. Spark cuts each task's rows to n per key before the shuffle."""
+    """First ``n`` rows per key. Each task's rows are cut to n per key before the shuffle.
+
+    Spark does that cut by itself up to n = 1000; beyond, rows are first ranked within 64 salts per key.
+    """
     name = rank or "_rn"
+    if n > 1000:
+        salted = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        df = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(64)))
+        df = df.withColumn("_rs", F.row_number().over(salted)).where(F.col("_rs") <= n).drop("_rs", "_salt")
     out = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= n)
     return out if rank else out.drop(name)
 

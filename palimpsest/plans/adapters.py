@@ -9,7 +9,9 @@ MICROS_2024 = 1704067200000000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; times without a zone are read as instants in the session zone."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.select(*[F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in df.dtypes])
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
