@@ -1,3 +1,3 @@
 """Import every catalog module so that its queries register."""
 
-from palimpsest.catalog import chunks, graph, log, retrieval, text  # noqa: F401
+from palimpsest.catalog import chunks, detect, graph, kg, log, retrieval, text  # noqa: F401

@@ -69,8 +69,7 @@ def alias_best(spark, sf):
 ct AS (SELECT term, node_id FROM kt JOIN aliases ON contains(alias_key,k) WHERE length(term)>=3 AND term NOT IN (SELECT term FROM ex) QUALIFY row_number() OVER (PARTITION BY term ORDER BY length(alias) DESC, id)=1)
 SELECT term, node_id FROM ex UNION ALL SELECT * FROM ct""")
 def seeds_readonly(spark, sf):
-    al = A.aliases(spark, sf).withColumn("created_ts", F.timestamp_seconds(F.length("alias")))
-    return G.seeds_readonly(terms(spark, sf), al)
+    return G.seeds_readonly(terms(spark, sf), A.aliases(spark, sf))
 
 
 QTEXT = "qt AS (SELECT s_suppkey AS query_id, concat('about the ', s_name, ' and ', p_name, ' in NATION_', s_nationkey) AS text FROM supplier JOIN part ON p_partkey=s_suppkey)"

@@ -120,6 +120,7 @@ def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
         whole.union(words)
         .withColumn("id", F.expr("concat('a_', substr(md5(concat_ws('|', node_id, alias, source)), 1, 26))"))
         .withColumn("alias_key", alias_key("alias"))
+        .withColumn("created_ts", F.timestamp_seconds(F.length("alias")))
     )
 
 
@@ -211,3 +212,17 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
             "\"slots\":{', CASE WHEN o_orderkey % 2 = 0 THEN concat('\"deadline\":\"', date_format(o_orderdate, 'yyyy-MM-dd'), '\",') ELSE '' END, '\"mood\":\"ok\",\"priority\":\"high\"}}') AS det_json",
         )
     )
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders told as short notes with dates, amounts, names, quotes and wishes."""
+    iso = "concat(year(o_orderdate) + 30, date_format(o_orderdate, '-MM-dd'))"
+    text = (
+        f"CASE o_orderkey % 6 WHEN 0 THEN concat('Please finish \"Order ', o_orderkey % 97, '\" by ', {iso}, ' or 3/14.') "
+        "WHEN 1 THEN concat('need ', o_orderkey % 50, 'GB and ', o_orderkey % 7, '.5 kg in ', o_orderkey % 9, ' hours; not today') "
+        "WHEN 2 THEN concat('Meet John Smith on monday at ', o_orderkey % 12, 'pm, who knows') "
+        "WHEN 3 THEN concat('I prefer ', lower(substr(o_orderpriority, 3))) "
+        "WHEN 4 THEN 'schedule a call next week with Mary Ann Jones' "
+        "ELSE \"finsh 'Pici' tmr, don't wait\" END"
+    )
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "cast(o_custkey AS string) AS session_id", f"{text} AS text")
