@@ -188,14 +188,14 @@ def detect(spark, sf):
     return d.select("id", F.col("det.intent.label").alias("label"), F.size("det.entities").alias("n_entities"), F.col("det.slots")["preference"].alias("preference"), F.col("det.detector_version").alias("version"))
 
 
-DETS = """dets AS (SELECT o_orderkey AS msg_id, o_custkey::VARCHAR AS session_id, o_orderkey, o_orderdate, c_name, c_mktsegment, ('0.' || (100 + o_orderkey%900))::DOUBLE AS iscore, ('0.' || (30 + o_orderkey%60))::DOUBLE AS tscore,
+DETS = """dets AS (SELECT o_orderkey AS msg_id, o_custkey::VARCHAR AS session_id, o_orderkey, o_orderdate, c_name, c_mktsegment, ('0.' || (100 + o_orderkey%900))::DECIMAL(8,4) AS iscore, ('0.' || (30 + o_orderkey%60))::DOUBLE AS tscore,
  strftime(o_orderdate,'%Y-%m-%d') AS d FROM orders JOIN customer ON c_custkey=o_custkey),
 ents AS (SELECT msg_id, session_id, 0 AS pos, 'Task' AS type, 'Order ' || o_orderkey%97 AS norm, [0, 6 + o_orderkey%3] AS span, tscore AS score FROM dets WHERE tscore >= 0.4
  UNION ALL SELECT msg_id, session_id, (tscore>=0.4)::INT, 'Project', c_mktsegment, [8,12], 0.8 FROM dets UNION ALL SELECT msg_id, session_id, (tscore>=0.4)::INT+1, 'Person', c_name, [13,0], 0.9 FROM dets
  UNION ALL SELECT msg_id, session_id, (tscore>=0.4)::INT+2, 'Time', d, [20,24], 0.8 FROM dets)"""
 
 
-@query("det_coerce", f"""WITH {DETS} SELECT msg_id, CASE WHEN o_orderkey%5=0 THEN 'other' ELSE 'plan' END AS label, round(iscore,2) AS score, 3 + (tscore>=0.4)::BIGINT AS n_entities,
+@query("det_coerce", f"""WITH {DETS} SELECT msg_id, CASE WHEN o_orderkey%5=0 THEN 'other' ELSE 'plan' END AS label, round(iscore,2)::DOUBLE AS score, 3 + (tscore>=0.4)::BIGINT AS n_entities,
  CASE WHEN tscore>=0.4 THEN 'status_hint' ELSE '' END AS task_attrs, CASE WHEN o_orderkey%2=0 THEN 'deadline,priority' ELSE 'priority' END AS slots FROM dets""")
 def det_coerce(spark, sf):
     det = R.det_coerce(R.parse_detection("det_json"))

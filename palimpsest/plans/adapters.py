@@ -77,7 +77,7 @@ def tool_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads.unionByName(answers)
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nodes(spark: SparkSession, sf_dir: str, with_age: bool = True) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     c = t("customer").selectExpr(
         "concat('n_c', c_custkey) AS id", "'Person' AS type", "c_name AS title", "CASE WHEN c_acctbal > 0 THEN 0.8D ELSE 0.3D END AS confidence"
@@ -85,8 +85,10 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = t("supplier").selectExpr("concat('n_s', s_suppkey) AS id", "'Company' AS type", "s_name AS title", "0.7D AS confidence")
     p = t("part").selectExpr("concat('n_p', p_partkey) AS id", "'Product' AS type", "p_name AS title", "0.6D AS confidence")
     n = t("nation").selectExpr("concat('n_n', n_nationkey) AS id", "'Location' AS type", "n_name AS title", "0.9D AS confidence")
-    last = t("orders").groupBy(F.expr("concat('n_c', o_custkey)").alias("id")).agg(F.max("o_orderdate").alias("updated_ts"))
-    out = c.union(s).union(p).union(n).join(last, "id", "left")
+    out = c.union(s).union(p).union(n)
+    if with_age:
+        last = t("orders").groupBy(F.expr("concat('n_c', o_custkey)").alias("id")).agg(F.max("o_orderdate").alias("updated_ts"))
+        out = out.join(last, "id", "left")
     return out.withColumn("status", F.expr("CASE WHEN confidence >= 0.8 THEN 'promoted' ELSE 'provisional' END"))
 
 
@@ -109,7 +111,7 @@ def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every title, and each word of a part name."""
     from palimpsest.functions.text import alias_key
 
-    ns = nodes(spark, sf_dir)
+    ns = nodes(spark, sf_dir, with_age=False)
     whole = ns.select(F.col("id").alias("node_id"), F.col("title").alias("alias"), F.lit("seed").alias("source"), F.lit(1.0).alias("weight"))
     words = (
         ns.where("type = 'Product'")
