@@ -217,7 +217,7 @@ def rrule_next(rrule: Column, anchor: Column, since: Column, tz: Column, mode: s
 
 
 _REMOTE = ("struct<id:string,title:string,status:int,completedTime:string,dueDate:string,dueDateTime:string,startDate:string,startDateTime:string,"
-           "timeZone:string,timezone:string,repeatFlag:string,repeat:string,allDay:boolean>")
+           "timeZone:string,repeatFlag:string,repeat:string,allDay:boolean>")
 
 
 def remote_tasks(projects: DataFrame, today: Column, col: str = "payload", owner: str = "owner", seq: str = "seq", local_tz: str = LOCAL_ZONE) -> DataFrame:
@@ -225,10 +225,12 @@ def remote_tasks(projects: DataFrame, today: Column, col: str = "payload", owner
 
     A payload is ``{"name":…, "tasks":[…]}``; tasks are exploded first, so a large project is many rows.
     """
+    # one spelling of the zone key: field names are compared without case
+    listed = F.regexp_replace(F.get_json_object(col, "$.tasks"), r'"timezone"\s*:', '"timeZone":')
     t = projects.select(F.col(owner).alias("owner"), F.col(seq).alias("seq"), F.get_json_object(col, "$.name").alias("project"),
-                        F.posexplode(F.from_json(F.get_json_object(col, "$.tasks"), f"array<{_REMOTE}>")).alias("pos", "t"))
+                        F.posexplode(F.from_json(listed, f"array<{_REMOTE}>")).alias("pos", "t"))
     t = t.where((F.coalesce(F.nullif("t.completedTime", F.lit("")), F.lit("")) == "") & (F.coalesce("t.status", F.lit(0)) == 0))
-    tz = F.coalesce("t.timeZone", "t.timezone", F.lit(local_tz))
+    tz = F.coalesce("t.timeZone", F.lit(local_tz))
     due_raw, start_raw = F.coalesce("t.dueDate", "t.dueDateTime"), F.coalesce("t.startDate", "t.startDateTime")
     rule = F.nullif(F.coalesce("t.repeatFlag", "t.repeat"), F.lit(""))
     today0 = F.to_utc_timestamp(today.cast("timestamp"), local_tz)
