@@ -199,9 +199,12 @@ def reply_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One detection JSON per order: a task, a project, a time and a person, with slots."""
+    return detections_of(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
+
+
+def detections_of(orders: DataFrame, customers: DataFrame) -> DataFrame:
     return (
-        table(spark, sf_dir, "orders")
-        .join(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), F.expr("c_custkey = o_custkey"))
+        orders.join(customers.select("c_custkey", "c_name", "c_mktsegment"), F.expr("c_custkey = o_custkey"))
         .selectExpr(
             "o_orderkey AS msg_id",
             "cast(o_custkey AS string) AS session_id",
