@@ -10,6 +10,7 @@ from palimpsest.functions import hashing as H
 from palimpsest.operators import chunks as C
 from palimpsest.operators import neardup as N
 from palimpsest.plans import adapters as A
+from palimpsest.session import spread
 from palimpsest.plans.chunk_run import chunk_inventory, chunk_run, dry_run_report
 from palimpsest.sources import sinks
 
@@ -71,7 +72,7 @@ greedy AS (SELECT 0::BIGINT AS k, []::UBIGINT[] AS kept UNION ALL
  SELECT g.k+1, CASE WHEN len(list_filter(kept, lambda s: bit_count(xor(s, r.sim)) <= 3)) > 0 THEN kept ELSE list_append(kept, r.sim) END FROM greedy g JOIN ranked r ON r.k=g.k+1)
 SELECT first_at AS doc_id, {HEX64.format('sim')} AS simhash64 FROM firsts WHERE list_contains((SELECT kept FROM greedy WHERE k=(SELECT max(k) FROM greedy)), sim)""")
 def dedupe_near(spark, sf):
-    docs = A.table(spark, sf, "documents").select("doc_id", H.simhash64("text", "md5").alias("sim"))
+    docs = spread(A.table(spark, sf, "documents")).select("doc_id", H.simhash64("text", "md5").alias("sim"))
     return N.dedupe_near(docs, ["doc_id"]).select("doc_id", H.hex64("sim").alias("simhash64"))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -26,34 +25,50 @@ def message_hash(content, calls, call_id) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
+class _BitTable:
+    """Bit votes (+1/-1) of the bigrams seen so far, looked up by code point pair."""
+
+    def __init__(self, digest):
+        self.digest = digest
+        self.codes = np.empty(0, dtype=np.uint64)
+        self.votes = np.empty((0, 64), dtype=np.float64)
+
+    def rows(self, codes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.codes, codes)
+        known = at < len(self.codes)
+        known[known] = self.codes[at[known]] == codes[known]
+        if not known.all():
+            new = codes[~known]
+            pairs = [chr(int(c) >> 32) + chr(int(c) & 0xFFFFFFFF) for c in new]
+            raw = np.frombuffer(b"".join(self.digest(p.encode("utf-8", "surrogatepass")) for p in pairs), dtype=np.uint8).reshape(-1, 8)
+            votes = np.unpackbits(raw, axis=1)[:, ::-1].astype(np.float64) * 2 - 1
+            if len(self.codes) > 500_000:  # bigrams of every script together stay small; this is a guard
+                self.codes, self.votes = self.codes[:0], self.votes[:0]
+                return self.rows(codes)
+            order = np.argsort(np.concatenate([self.codes, new]), kind="stable")
+            self.codes = np.concatenate([self.codes, new])[order]
+            self.votes = np.concatenate([self.votes, votes])[order]
+            at = np.searchsorted(self.codes, codes)
+        return self.votes[at]
+
+
+_TABLES: dict[str, _BitTable] = {}
+
+
 def _simhash_batch(texts: pd.Series, digest) -> pd.Series:
-    """64-bit similarity hashes of a batch: each distinct bigram is hashed once and votes with its count."""
+    """64-bit similarity hashes of a batch: each distinct bigram of a text votes with its count."""
+    table = _TABLES.setdefault(digest.__name__, _BitTable(digest))
     weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
     out = np.zeros(len(texts), dtype=np.uint64)
     for i, text in enumerate(texts.fillna("").to_numpy()):
-        counts = Counter(map("".join, zip(text, text[1:])))
-        if counts:
-            bits = np.stack([_bits(b, digest) for b in counts])
-            votes = np.fromiter(counts.values(), dtype=np.int64, count=len(counts)) @ bits
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        if len(points) > 1:
+            codes, counts = np.unique((points[:-1] << np.uint64(32)) | points[1:], return_counts=True)
+            votes = counts.astype(np.float64) @ table.rows(codes)
             out[i] = np.bitwise_or.reduce(np.where(votes > 0, weights, np.uint64(0)))
     return pd.Series(out.view(np.int64))
 
 
-_BITS: dict[tuple, np.ndarray] = {}
-
-
-def _bits(bigram: str, digest) -> np.ndarray:
-    key = (digest.__name__, bigram)
-    hit = _BITS.get(key)
-    if hit is None:
-        h = digest(bigram.encode())
-        hit = np.unpackbits(np.frombuffer(h, dtype=np.uint8))[::-1].astype(np.int64) * 2 - 1
-        if len(_BITS) > 200_000:
-            _BITS.clear()
-        _BITS[key] = hit
-    return hit
-
-
 def blake64(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=8).digest()
 

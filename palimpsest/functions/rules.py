@@ -80,9 +80,15 @@ NOT_NAMES = ["january", "february", "march", "april", "may", "june", "july", "au
              "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "task", "project", "thing", "work"]
 # -----------------------------------------------------------------------------------------------------------
 
+_SPANS = "array<struct<text:string,start:int,end:int>>"
 ENTITY = "struct<type:string,text:string,norm:string,start:int,end:int,score:double>"
 
 
+def bound(col, fn) -> Column:
+    """``fn`` of a column that is computed once per row, however often ``fn`` reads it (a lambda variable)."""
+    return F.get(F.transform(F.array(_c(col)), fn), 0)
+
+
 def _like(col: Column, pattern: str, flags: str = "(?U)") -> Column:
     return F.regexp_like(col, F.lit(flags + pattern))
 
@@ -134,10 +140,17 @@ def intent_scores(col) -> dict[str, Column]:
 
 def intent_label(col) -> Column:
     """Best intent; ties go to the earlier one; a time cue turns a tie with plan into schedule."""
-    s = intent_scores(col)
-    best = F.array_max(F.array(*[F.struct(v.alias("s"), F.lit(-i).alias("p"), F.lit(k).alias("k")) for i, (k, v) in enumerate(s.items())]))
-    none = F.when(is_question(col), "query").otherwise("other")
-    return F.when(best["s"] <= 0, none).when((s["schedule"] >= s["plan"]) & has_time_cue(col), "schedule").otherwise(best["k"])
+    names = list(LEXICON)
+
+    def facts(text):
+        return F.struct(*[v.alias(k) for k, v in intent_scores(text).items()], has_time_cue(text).alias("cue"), is_question(text).alias("question"))
+
+    def label(s):
+        best = F.array_max(F.array(*[F.struct(s[k].alias("s"), F.lit(-i).alias("p"), F.lit(k).alias("k")) for i, k in enumerate(names)]))
+        none = F.when(s["question"], "query").otherwise("other")
+        return F.when(best["s"] <= 0, none).when((s["schedule"] >= s["plan"]) & s["cue"], "schedule").otherwise(best["k"])
+
+    return bound(bound(col, facts), label)
 
 
 def intent_rules_v0(col) -> Column:
@@ -154,17 +167,22 @@ def find_all(col, pattern: str, template: str = "\u0001$1\u0002") -> Column:
 
     Matches are marked, the text is cut at the marks, and byte lengths are summed along the pieces.
     """
-    pieces = F.split(F.regexp_replace(F.translate(_c(col), "\u0001\u0002", "  "), pattern, template), "\u0001")
+    c = _c(col)
 
     def step(a, piece):
         inside = F.substring_index(piece, "\u0002", 1)
-        rest = F.substr(piece, F.length(inside) + 2)
         end = a["at"] + F.octet_length(inside)
-        found = F.struct(inside.alias("text"), a["at"].alias("start"), end.alias("end"))
-        return F.struct((end + F.octet_length(rest)).alias("at"), F.concat(a["out"], F.array(found)).alias("out"))
+        # what follows the span: the piece less the span and its one-byte mark
+        after = end + F.octet_length(piece) - F.octet_length(inside) - 1
+        return F.struct(after.alias("at"), F.concat(a["out"], F.array(F.struct(inside.alias("text"), a["at"].alias("start"), end.alias("end")))).alias("out"))
+
+    def spans(pieces):
+        begin = F.struct(F.octet_length(F.get(pieces, 0)).alias("at"), F.array().cast(_SPANS).alias("out"))
+        return F.aggregate(F.slice(pieces, 2, 1 << 30), begin, step, lambda a: a["out"])
 
-    begin = F.struct(F.octet_length(F.get(pieces, 0)).alias("at"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out"))
-    return F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), begin, step, lambda a: a["out"])
+    # texts without a match skip all of it
+    marked = F.split(F.regexp_replace(F.translate(c, "\u0001\u0002", "  "), pattern, template), "\u0001")
+    return F.when(F.regexp_like(c, F.lit(pattern)), bound(marked, spans)).otherwise(F.array().cast(_SPANS))
 
 
 def find_spans(col, needle: str, word: bool = False) -> Column:
@@ -315,23 +333,25 @@ def inject_names(text, entities: Column, catalog: list[dict]) -> Column:
 
 def detect(text, response=None, catalog: list[dict] | None = None, suffix: str = "") -> Column:
     """Detection of one text: version, intent, entities, slots. ``suffix='-'`` gives the historical norm."""
-    norm = X.detector_norm(text, suffix)
-    twice = X.detector_norm(norm, suffix)
-    found = mention_entities(norm, response) if response is not None else F.array().cast(f"array<{ENTITY}>")
-    wish = F.transform(extract_preference(norm), lambda p: _entity("Preference", p["text"], p["text"], p["start"], p["end"], 0.8))
-    entities = F.concat(found, wish)
-    if catalog:
-        entities = inject_names(norm, entities, catalog)
-    pairs = F.array(
-        F.struct(F.lit("deadline").alias("k"), slot_deadline(norm, found).alias("v")),
-        F.struct(F.lit("preference").alias("k"), preference_slot(norm).alias("v")),
-    )
-    return F.struct(
-        F.lit("v1").alias("detector_version"),
-        F.struct(intent_label(twice).alias("label"), F.lit(0.7).alias("score")).alias("intent"),
-        entities.alias("entities"),
-        F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull())).alias("slots"),
-    )
+
+    def body(norm):
+        found = mention_entities(norm, response) if response is not None else F.array().cast(f"array<{ENTITY}>")
+        wish = F.transform(extract_preference(norm), lambda p: _entity("Preference", p["text"], p["text"], p["start"], p["end"], 0.8))
+        entities = F.concat(found, wish)
+        if catalog:
+            entities = inject_names(norm, entities, catalog)
+        pairs = F.array(
+            F.struct(F.lit("deadline").alias("k"), slot_deadline(norm, found).alias("v")),
+            F.struct(F.lit("preference").alias("k"), preference_slot(norm).alias("v")),
+        )
+        return F.struct(
+            F.lit("v1").alias("detector_version"),
+            F.struct(intent_label(X.detector_norm(norm, suffix)).alias("label"), F.lit(0.7).alias("score")).alias("intent"),
+            entities.alias("entities"),
+            F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull())).alias("slots"),
+        )
+
+    return bound(X.detector_norm(text, suffix), body)
 
 
 DET_JSON = (
@@ -371,3 +391,8 @@ def det_coerce(det: Column, min_score: float = MIN_ENTITY_SCORE) -> Column:
     good = F.filter(F.coalesce(det["entities"], F.array()), lambda e: e["type"].isin(ENTITY_TYPES) & (F.coalesce(e["score"], F.lit(0.0)) >= min_score))
     slots = F.map_filter(det["slots"], lambda k, v: k.isin(SLOT_KEYS))
     return F.struct(F.lit("det-v2").alias("detector_version"), F.struct(label.alias("label"), score.alias("score")).alias("intent"), F.transform(good, clean).alias("entities"), slots.alias("slots"))
+
+
+def clean_detection(col) -> Column:
+    """Parse, check and coerce a detection JSON; null when it is not valid."""
+    return bound(parse_detection(col), lambda d: F.when(det_valid(d), det_coerce(d)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import hashing as H
 from palimpsest.functions import text as X
 from palimpsest.operators.ordered import cell_scan, hour_cell
-from palimpsest.session import checkpointed
+from palimpsest.session import checkpointed, spread
 
 CHUNK_SIZE, OVERLAP, GAP_MINUTES = 200, 50, 5
 BLOCK_SENTENCES = 200_000  # sentences of one session handled by one task
@@ -20,7 +20,7 @@ def timed_sentences(messages: DataFrame, roles: dict[str, str] | None = None, us
     """Sanitised, role-prefixed sentences with the time of their message; numbered per session."""
     rows = messages.where(F.col("role").isin("user", "assistant")) if user_only else messages
     parts = X.split_sentences(X.pre_sanitize(X.trim_ws("content")))
-    sents = rows.select("session_id", "id", "ts", X.role_display("role", roles).alias("role"), F.posexplode(parts).alias("pos", "sentence"))
+    sents = spread(rows).select("session_id", "id", "ts", X.role_display("role", roles).alias("role"), F.posexplode(parts).alias("pos", "sentence"))
     return sents.select(
         "session_id", "id", "ts", "pos", "role", F.concat_ws(": ", "role", "sentence").alias("text")
     ).withColumn("len", F.length("text"))
@@ -128,9 +128,9 @@ def slide_chunks(
     maps every possible entry sentence to the sentence where its chain of chunks leaves the block; composing
     the maps gives every block its entry, and all blocks are then chunked in parallel.
     """
-    numbered = number_sentences(sents)
+    numbered = checkpointed(number_sentences(sents))  # read by every step below
     blocks = _blocked(numbered, size, block)
-    hot = sents.groupBy("session_id").count().where(F.col("count") > block).select("session_id")
+    hot = numbered.where(F.col("n") == block).select("session_id")  # sessions with more than ``block`` sentences
     out_schema = "session_id string, chunk_ord long, start_ts timestamp, first long, last long, chars long, raw_text string"
     if not hot.head(1):
         pieces = blocks.withColumn("at", F.lit(0).cast("long")).withColumn("before", F.lit(0).cast("long"))

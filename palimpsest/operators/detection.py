@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import rules as R
+from palimpsest.session import spread
 
 
 def detect_texts(df: DataFrame, text: str = "content", response: str | None = None, catalog: list[dict] | None = None, suffix: str = "") -> DataFrame:
-    """Add a ``det`` column: nothing is shuffled."""
-    return df.withColumn("det", R.detect(text, F.col(response) if response else None, catalog, suffix))
+    """Add a ``det`` column; a large input is not shuffled."""
+    return spread(df).withColumn("det", R.detect(text, F.col(response) if response else None, catalog, suffix))
 
 
 def entity_rows(df: DataFrame, entities, keep: list[str]) -> DataFrame:

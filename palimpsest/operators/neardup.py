@@ -133,22 +133,19 @@ def greedy_keep(firsts: DataFrame, pairs: DataFrame) -> DataFrame:
     Every round settles at least the earliest open hash, so the loop ends.
     """
     pairs = checkpointed(pairs)
-    settled_free = firsts.select("sim").join(pairs.select("sim").distinct(), "sim", "left_anti")
-    kept = [settled_free]
-    open_pairs = pairs
-    newly = settled_free
-    while True:
+    newly = firsts.select("sim").join(pairs.select("sim").distinct(), "sim", "left_anti")
+    kept, live = [newly], pairs
+    while live.head(1):
         # neighbours just kept drop their later partners
-        dropped = open_pairs.join(newly.select(F.col("sim").alias("earlier")), "earlier", "left_semi").select("sim").distinct()
-        left = open_pairs.join(dropped, "sim", "left_anti")
-        undecided = left.select("sim").distinct()
+        dropped = live.join(newly.select(F.col("sim").alias("earlier")), "earlier", "left_semi").select("sim").distinct()
+        left = live.join(dropped, "sim", "left_anti")
         # links to dropped hashes no longer hold anything back
-        live = checkpointed(left.join(dropped.select(F.col("sim").alias("earlier")), "earlier", "left_anti").select("sim", "earlier"))
-        newly = checkpointed(undecided.join(live.select("sim").distinct(), "sim", "left_anti"))
+        held = left.join(dropped.select(F.col("sim").alias("earlier")), "earlier", "left_anti").select("sim", "earlier")
+        freed = left.select("sim").distinct().join(held.select("sim").distinct(), "sim", "left_anti")
+        # both outcomes of the round in one write: links still open, and hashes just kept
+        state = checkpointed(held.unionByName(freed.withColumn("earlier", F.lit(None).cast("long"))))
+        live, newly = state.where("earlier IS NOT NULL"), state.where("earlier IS NULL").select("sim")
         kept.append(newly)
-        open_pairs = live
-        if not live.head(1):
-            break
     out = kept[0]
     for k in kept[1:]:
         out = out.unionByName(k)

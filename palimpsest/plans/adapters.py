@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.session import spread
+
 MICROS_2024 = 1704067200000000
 
 
@@ -199,7 +201,7 @@ def reply_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One detection JSON per order: a task, a project, a time and a person, with slots."""
-    return detections_of(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
+    return detections_of(spread(table(spark, sf_dir, "orders")), table(spark, sf_dir, "customer"))
 
 
 def detections_of(orders: DataFrame, customers: DataFrame) -> DataFrame:
