@@ -86,8 +86,11 @@ def unpack_transcript(spark, sf):
     return R.unpack_transcript(_log_text(spark, sf), "session_id", "t").select("session_id", "msg_no", "role", F.md5("content").alias("h"))
 
 
+SQUEEZED = r"regexp_replace(line,'\s+',' ','g')"
+
+
 @query("dedupe_lines", rf"""WITH docs AS (SELECT lang, doc_id, unnest(l) AS line, generate_subscripts(l,1) AS i FROM (SELECT lang, doc_id, string_split(text,chr(10)) AS l FROM documents)),
-n AS (SELECT *, {TRIMMED.format("regexp_replace(line,'\s+',' ','g')")} AS norm FROM docs), f AS (SELECT * FROM n WHERE norm<>'' QUALIFY row_number() OVER (PARTITION BY lang, norm ORDER BY doc_id, i)=1)
+n AS (SELECT *, {TRIMMED.format(SQUEEZED)} AS norm FROM docs), f AS (SELECT * FROM n WHERE norm<>'' QUALIFY row_number() OVER (PARTITION BY lang, norm ORDER BY doc_id, i)=1)
 SELECT lang, doc_id AS msg_no, count(*) AS lines, md5(string_agg(line, chr(10) ORDER BY i)) AS h FROM f GROUP BY 1,2""")
 def dedupe_lines(spark, sf):
     rows = A.table(spark, sf, "documents").select("lang", F.col("doc_id").alias("msg_no"), F.lit("user").alias("role"), F.col("text").alias("content"))
