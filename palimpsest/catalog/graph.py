@@ -39,7 +39,7 @@ def embeddings_info(spark, sf):
     from palimpsest.sources import embeddings as E
 
     blobs = E.encode_vectors(A.vectors(spark, sf).withColumn("node_id", F.expr("concat('n_p', id)")), "vector")
-    return E.embeddings_info(blobs, A.nodes(spark, sf))
+    return E.embeddings_info(blobs, A.stored(A.nodes(spark, sf)))
 
 
 @query("scan_embeddings", "SELECT vec_id AS id, len(embedding) AS dim, round(list_sum(CAST(embedding AS DOUBLE[])),5) AS total FROM embeddings")
@@ -52,24 +52,24 @@ def scan_embeddings(spark, sf):
 
 @query("alias_exact", f"WITH {ALIASES}, {TERMS}, {KEYED}, {EXACT} SELECT term, node_id, alias, weight FROM ex")
 def alias_exact(spark, sf):
-    return G.alias_exact(terms(spark, sf), A.aliases(spark, sf)).select("term", "node_id", "alias", "weight")
+    return G.alias_exact(terms(spark, sf), A.stored(A.aliases(spark, sf))).select("term", "node_id", "alias", "weight")
 
 
 @query("alias_search", f"WITH {ALIASES}, {TERMS}, {KEYED}, {search(5)} SELECT term, rank, node_id, alias, weight FROM se")
 def alias_search(spark, sf):
-    return G.alias_search(terms(spark, sf), A.aliases(spark, sf), 5).select("term", "rank", "node_id", "alias", "weight")
+    return G.alias_search(terms(spark, sf), A.stored(A.aliases(spark, sf)), 5).select("term", "rank", "node_id", "alias", "weight")
 
 
 @query("alias_best", f"WITH {ALIASES}, {TERMS}, {KEYED}, {EXACT}, {search(1)} SELECT term, node_id, 'exact' AS how FROM ex UNION ALL SELECT term, node_id, 'search' FROM se WHERE term NOT IN (SELECT term FROM ex)")
 def alias_best(spark, sf):
-    return G.alias_best(terms(spark, sf), A.aliases(spark, sf)).select("term", "node_id", "how")
+    return G.alias_best(terms(spark, sf), A.stored(A.aliases(spark, sf))).select("term", "node_id", "how")
 
 
 @query("seeds_readonly", f"""WITH {ALIASES}, {TERMS}, {KEYED}, {EXACT},
 ct AS (SELECT term, node_id FROM kt JOIN aliases ON contains(alias_key,k) WHERE length(term)>=3 AND term NOT IN (SELECT term FROM ex) QUALIFY row_number() OVER (PARTITION BY term ORDER BY length(alias) DESC, id)=1)
 SELECT term, node_id FROM ex UNION ALL SELECT * FROM ct""")
 def seeds_readonly(spark, sf):
-    return G.seeds_readonly(terms(spark, sf), A.aliases(spark, sf))
+    return G.seeds_readonly(terms(spark, sf), A.stored(A.aliases(spark, sf)))
 
 
 QTEXT = "qt AS (SELECT s_suppkey AS query_id, concat('about the ', s_name, ' and ', p_name, ' in NATION_', s_nationkey) AS text FROM supplier JOIN part ON p_partkey=s_suppkey)"
@@ -91,20 +91,20 @@ tseeds AS (SELECT DISTINCT query_id, node_id FROM qtok JOIN (SELECT term, node_i
 
 @query("seeds_from_text", f"WITH {ALIASES}, {text_seeds()} SELECT query_id, node_id FROM tseeds")
 def seeds_from_text(spark, sf):
-    return G.seeds_from_text(query_texts(spark, sf), A.aliases(spark, sf))
+    return G.seeds_from_text(query_texts(spark, sf), A.stored(A.aliases(spark, sf)))
 
 
 @query("nodes_by_ids", f"WITH {NODES} SELECT id, type, title FROM nodes WHERE id IN (SELECT concat('n_p',l_partkey) FROM lineitem WHERE l_quantity > 45)")
 def nodes_by_ids(spark, sf):
     ids = A.table(spark, sf, "lineitem").where("l_quantity > 45").selectExpr("concat('n_p', l_partkey) AS id")
-    return G.nodes_by_ids(A.nodes(spark, sf), ids).select("id", "type", "title")
+    return G.nodes_by_ids(A.stored(A.nodes(spark, sf)), ids).select("id", "type", "title")
 
 
 @query("edges_touching", f"WITH {EDGES} SELECT id, src_id, dst_id FROM edges WHERE src_id IN (SELECT concat('n_c',c_custkey) FROM customer WHERE c_acctbal<0) OR dst_id IN (SELECT concat('n_n',n_nationkey) FROM nation WHERE n_regionkey=1)")
 def edges_touching(spark, sf):
     ids = A.table(spark, sf, "customer").where("c_acctbal < 0").selectExpr("concat('n_c', c_custkey) AS id").union(
         A.table(spark, sf, "nation").where("n_regionkey = 1").selectExpr("concat('n_n', n_nationkey) AS id"))
-    return G.edges_touching(A.edges(spark, sf), ids).select("id", "src_id", "dst_id")
+    return G.edges_touching(A.stored(A.edges(spark, sf)), ids).select("id", "src_id", "dst_id")
 
 
 @query("edge_dedupe", "SELECT concat('n_c',o_custkey) AS src_id, arg_max(o_orderstatus, o_orderkey) AS type, max(o_orderkey) AS ord FROM orders GROUP BY o_custkey")
@@ -130,7 +130,7 @@ def level(n, prev, visited, cap):
 @query("khop_expand", f"""WITH {EDGES}, {ADJ}, {SEEDS}, {level(1, 'seeds', 'seeds', 30)}, v1 AS (SELECT query_id, node_id FROM seeds UNION ALL SELECT query_id, node_id FROM l1), {level(2, 'l1', 'v1', 30)}
 SELECT query_id, node_id, 0::BIGINT AS depth FROM seeds UNION ALL SELECT query_id, node_id, 1 FROM l1 UNION ALL SELECT query_id, node_id, 2 FROM l2""")
 def khop_expand(spark, sf):
-    return G.khop_expand(seeds(spark, sf), A.edges(spark, sf), 2, 30)
+    return G.khop_expand(seeds(spark, sf), A.stored(A.edges(spark, sf)), 2, 30)
 
 
 BRIDGES = """adj0 AS (SELECT DISTINCT a, b FROM adj), r1 AS (SELECT DISTINCT query_id, node_id AS seed, b AS node_id FROM seeds JOIN adj0 ON a=node_id),
@@ -141,14 +141,14 @@ br AS (SELECT query_id, node_id, count(*) AS n_seeds FROM ra GROUP BY 1,2 HAVING
 
 @query("bridge_nodes", f"WITH {EDGES}, {ADJ}, {SEEDS}, {BRIDGES} SELECT query_id, node_id, n_seeds FROM br")
 def bridge_nodes(spark, sf):
-    return G.bridge_nodes(seeds(spark, sf), A.edges(spark, sf))
+    return G.bridge_nodes(seeds(spark, sf), A.stored(A.edges(spark, sf)))
 
 
 @query("rank_score", f"WITH {NODES} SELECT id, round(1.0*confidence + 0.6/(1.0+coalesce(date_diff('hour', updated_ts, TIMESTAMP '2002-01-01 00:00:00'),999)/24.0), 6) AS score FROM nodes")
 def rank_score(spark, sf):
     hours = F.expr("(unix_timestamp(timestamp'2002-01-01 00:00:00') - unix_timestamp(updated_ts)) / 3600")
     none = F.lit(None).cast("double")
-    return A.nodes(spark, sf).select("id", F.round(G.rank_score(F.col("confidence"), hours, none, none), 6).alias("score"))
+    return A.stored(A.nodes(spark, sf)).select("id", F.round(G.rank_score(F.col("confidence"), hours, none, none), 6).alias("score"))
 
 
 def sub(seed_cte):
@@ -171,7 +171,7 @@ def _now():
 
 
 def sub_of(spark, sf, s):
-    return G.subgraph(s, A.nodes(spark, sf), A.edges(spark, sf), _now())
+    return G.subgraph(s, A.stored(A.nodes(spark, sf)), A.stored(A.edges(spark, sf)), _now())
 
 
 @query("subgraph", f"WITH {NODES}, {EDGES}, {sub(SEEDS)} SELECT query_id, node_id, rank, round(score,6) AS score FROM kept")
@@ -217,7 +217,7 @@ def edge_upsert(spark, sf):
     c = A.table(spark, sf, "customer")
     a = c.where("c_acctbal > 0").selectExpr("concat('n_c', c_custkey) AS src_id", "concat('n_n', c_nationkey) AS dst_id", "'member_of' AS type", "0.9D AS weight")
     b = c.selectExpr("concat('n_c', c_custkey) AS src_id", "concat('n_n', c_nationkey) AS dst_id", "'owns' AS type", "cast(null AS double) AS weight")
-    out = sinks.merge_edges(A.edges(spark, sf), a.union(b))
+    out = sinks.merge_edges(A.stored(A.edges(spark, sf)), a.union(b))
     stored = F.expr("concat('e_', substr(md5(concat_ws('|', src_id, type, dst_id)), 1, 26))")
     return out.select("src_id", "dst_id", "type", "weight", "action", (F.col("id") == stored).alias("had_id"))
 
@@ -225,19 +225,19 @@ def edge_upsert(spark, sf):
 @query("sink_graph", f"WITH {NODES} SELECT id, type, title FROM nodes UNION ALL SELECT DISTINCT concat('n_b',p_brand), 'Other', p_brand FROM part")
 def sink_graph(spark, sf):
     new = A.table(spark, sf, "part").selectExpr("concat('n_b', p_brand) AS id", "'Other' AS type", "p_brand AS title")
-    stored = A.nodes(spark, sf).select("id", "type", "title")
+    stored = A.stored(A.nodes(spark, sf)).select("id", "type", "title")
     return sinks.append_rows(stored, new.union(stored))
 
 
 @query("promote_nodes", f"WITH {NODES}, u AS (SELECT concat('n_c',o_custkey) AS id, max(o_totalprice)/500000.0 AS c FROM orders GROUP BY 1) SELECT id, round(coalesce(c,confidence),6) AS confidence, CASE WHEN c>=0.8 THEN 'promoted' ELSE status END AS status FROM nodes LEFT JOIN u USING (id)")
 def promote_nodes(spark, sf):
     u = A.table(spark, sf, "orders").selectExpr("concat('n_c', o_custkey) AS id", "o_totalprice / 500000.0D AS confidence")
-    return G.promote_nodes(A.nodes(spark, sf), u).select("id", F.round("confidence", 6).alias("confidence"), "status")
+    return G.promote_nodes(A.stored(A.nodes(spark, sf)), u).select("id", F.round("confidence", 6).alias("confidence"), "status")
 
 
 @query("repeat_evidence", f"WITH {NODES}, {EVIDENCE} SELECT id, count(DISTINCT msg_id) AS n, 0.8::DOUBLE AS confidence FROM nodes JOIN (SELECT subject_id, msg_id FROM evidence) ON subject_id=id WHERE status='provisional' GROUP BY 1 HAVING n>=3")
 def repeat_evidence(spark, sf):
-    return G.repeat_evidence(A.nodes(spark, sf), A.evidence(spark, sf))
+    return G.repeat_evidence(A.stored(A.nodes(spark, sf)), A.evidence(spark, sf))
 
 
 @query("evidence_add", f"WITH {EVIDENCE} SELECT id, subject_id, msg_id FROM evidence UNION ALL SELECT DISTINCT concat('x_',l_orderkey,'_',l_partkey), concat('n_p',l_partkey), l_orderkey FROM lineitem")
@@ -254,20 +254,20 @@ def evidence_for_message(spark, sf):
 
 @query("nodes_by_alias", f"WITH {ALIASES}, {TERMS}, {KEYED} SELECT DISTINCT term, n.id, n.title FROM kt JOIN aliases ON alias_key=k JOIN nodes n ON n.id=node_id")
 def nodes_by_alias(spark, sf):
-    return G.nodes_by_alias(A.nodes(spark, sf), A.aliases(spark, sf), terms(spark, sf)).select("term", "id", "title")
+    return G.nodes_by_alias(A.stored(A.nodes(spark, sf)), A.stored(A.aliases(spark, sf)), terms(spark, sf)).select("term", "id", "title")
 
 
 @query("assigned_tasks", f"WITH {NODES}, {EDGES} SELECT src_id, n.id, n.title FROM edges e JOIN nodes n ON n.id=e.dst_id WHERE e.type='related_to' AND src_id IN (SELECT id FROM nodes WHERE type='Person')")
 def assigned_tasks(spark, sf):
-    n = A.nodes(spark, sf)
-    return G.assigned_tasks(n, A.edges(spark, sf), n.where("type = 'Person'"), "related_to").select("src_id", "id", "title")
+    n = A.stored(A.nodes(spark, sf))
+    return G.assigned_tasks(n, A.stored(A.edges(spark, sf)), n.where("type = 'Person'"), "related_to").select("src_id", "id", "title")
 
 
 @query("schema_validate", f"""WITH {NODES}, {EDGES} SELECT 'node' AS kind, id, 'type ' || type AS problem FROM nodes WHERE type<>'Person' UNION ALL SELECT 'edge', id, 'type ' || type FROM edges WHERE type NOT IN ('member_of','related_to')
  UNION ALL SELECT 'node', id, 'attr ' || unnest(CASE type WHEN 'Person' THEN ['shoe'] ELSE ['email','shoe'] END) FROM nodes""")
 def schema_validate(spark, sf):
-    n = A.nodes(spark, sf).withColumn("attrs", F.expr("map('email', 'x', 'shoe', '42')"))
-    return G.schema_validate(n, A.edges(spark, sf), "attrs")
+    n = A.stored(A.nodes(spark, sf)).withColumn("attrs", F.expr("map('email', 'x', 'shoe', '42')"))
+    return G.schema_validate(n, A.stored(A.edges(spark, sf)), "attrs")
 
 
 @query("graph_integrity", f"""WITH {NODES}, {EDGES}, {EVIDENCE}, good AS (SELECT id FROM nodes WHERE confidence > 0.5), al AS (SELECT concat('a',id) AS id, id AS node_id FROM nodes)
@@ -275,12 +275,12 @@ SELECT 'edge_src' AS problem, id FROM edges WHERE src_id NOT IN (SELECT id FROM
 UNION ALL SELECT 'alias_node', id FROM al WHERE node_id NOT IN (SELECT id FROM good) UNION ALL SELECT 'evidence_node', id FROM evidence WHERE subject_id NOT IN (SELECT id FROM good)
 UNION ALL SELECT 'edge_repeated', max(id) FROM edges GROUP BY src_id, dst_id, type HAVING count(*)>1""")
 def graph_integrity(spark, sf):
-    n = A.nodes(spark, sf)
+    n = A.stored(A.nodes(spark, sf))
     al = n.select(F.concat(F.lit("a"), "id").alias("id"), F.col("id").alias("node_id"))
-    return G.graph_integrity(n.where("confidence > 0.5"), A.edges(spark, sf), al, A.evidence(spark, sf))
+    return G.graph_integrity(n.where("confidence > 0.5"), A.stored(A.edges(spark, sf)), al, A.evidence(spark, sf))
 
 
 @query("ttl_prune", f"WITH {NODES} SELECT id FROM nodes WHERE NOT (status='provisional' AND coalesce(date_diff('second', updated_ts, TIMESTAMP '2001-09-01 00:00:00')//86400 > 90, false))")
 def ttl_prune(spark, sf):
-    e = A.edges(spark, sf).withColumn("updated_ts", F.lit(None).cast("timestamp"))
-    return G.ttl_prune(A.nodes(spark, sf), e, F.lit("2001-09-01").cast("timestamp"))[0].select("id")
+    e = A.stored(A.edges(spark, sf)).withColumn("updated_ts", F.lit(None).cast("timestamp"))
+    return G.ttl_prune(A.stored(A.nodes(spark, sf)), e, F.lit("2001-09-01").cast("timestamp"))[0].select("id")

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
-from palimpsest.functions.text import _c
+from palimpsest.functions.text import _c, bound
 
 # --- fixed values: word lists, typo table, patterns, scores -------------------------------------------------
 LEXICON = {
@@ -84,11 +84,6 @@ _SPANS = "array<struct<text:string,start:int,end:int>>"
 ENTITY = "struct<type:string,text:string,norm:string,start:int,end:int,score:double>"
 
 
-def bound(col, fn) -> Column:
-    """``fn`` of a column that is computed once per row, however often ``fn`` reads it (a lambda variable)."""
-    return F.get(F.transform(F.array(_c(col)), fn), 0)
-
-
 def _like(col: Column, pattern: str, flags: str = "(?U)") -> Column:
     return F.regexp_like(col, F.lit(flags + pattern))
 

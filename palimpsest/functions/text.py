@@ -32,6 +32,11 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bound(col, fn) -> Column:
+    """``fn`` of a column that is computed once per row, however often ``fn`` reads it (a lambda variable)."""
+    return F.get(F.transform(F.array(_c(col)), fn), 0)
+
+
 def trim_ws(col) -> Column:
     """Trim every kind of ASCII white space, not only blanks."""
     return F.regexp_replace(_c(col), r"^[ \t\n\r\x00\x0B]+|[ \t\n\r\x00\x0B]+$", "")
@@ -222,12 +227,17 @@ def rough_tokens(col) -> Column:
 
 def json_lenient(col) -> Column:
     """The text if it is a JSON object or array, else the repaired text if that is one, else null."""
-    c = _c(col)
-    fixed = F.trim(F.regexp_replace(F.regexp_replace(c, "[“”‘’]", '"'), r",\s*([}\]])", "$1"))
-    # wrapped in a list, a lone value has length 1; trailing text breaks the list
-    lone = lambda t: F.coalesce(F.json_array_length(F.concat(F.lit("["), t, F.lit("]"))) == 1, F.lit(False))
-    shaped = lambda t: F.regexp_like(t, F.lit(r"^\s*(\{[\s\S]*\}|\[[\s\S]*\])\s*$")) & lone(t)
-    return F.when(shaped(c), c).when(shaped(fixed), fixed)
+
+    def shaped(t):
+        # wrapped in a list, a lone value has length 1; trailing text breaks the list
+        lone = F.coalesce(F.json_array_length(F.concat(F.lit("["), t, F.lit("]"))) == 1, F.lit(False))
+        return F.regexp_like(t, F.lit(r"^\s*(\{[\s\S]*\}|\[[\s\S]*\])\s*$")) & lone
+
+    def repaired(t):
+        fixed = F.trim(F.regexp_replace(F.regexp_replace(t, "[“”‘’]", '"'), r",\s*([}\]])", "$1"))
+        return bound(fixed, lambda f: F.when(shaped(f), f))
+
+    return bound(col, lambda t: F.when(shaped(t), t).otherwise(repaired(t)))
 
 
 def stamp_short(ts) -> Column:

@@ -22,8 +22,8 @@ def fence_extract(texts: DataFrame, key: str = "id", text: str = "text", keep: l
     """One row per ``~~~tag {json}~~~`` block: (key, pos, tag, payload, ok)."""
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(FENCE), F.lit(1)).alias("t"), F.regexp_extract_all(text, F.lit(FENCE), F.lit(2)).alias("p"))
     rows = texts.where(F.col(text).contains("~~~")).select(key, *(keep or []), F.posexplode(pairs).alias("pos", "b"))
-    payload = X.json_lenient(F.col("b.p"))
-    return rows.select(key, *(keep or []), "pos", F.lower("b.t").alias("tag"), payload.alias("payload"), payload.isNotNull().alias("ok"))
+    rows = rows.select(key, *(keep or []), "pos", F.lower("b.t").alias("tag"), X.json_lenient(F.col("b.p")).alias("payload"))
+    return rows.withColumn("ok", F.col("payload").isNotNull())
 
 
 def tool_calls_extract(rows: DataFrame, key: str = "id", calls: str = "tool_calls_json") -> DataFrame:

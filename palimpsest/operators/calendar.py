@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
+from palimpsest.functions.text import bound
 from palimpsest.operators.tasks import extract_tid, task_upsert
+from palimpsest.session import checkpointed, spread
 
 # --- fixed values -----------------------------------------------------------------------------------------
 WINDOWS_ZONES = {
@@ -73,6 +75,10 @@ def ics_params(head: Column) -> Column:
 
 def ics_datetime(value: Column, params: Column, default_tz: str = "UTC") -> Column:
     """struct<ts, all_day, tz>: instant, whether it is a date, and the zone its local form is shown in."""
+    return bound(F.struct(value.alias("v"), params.alias("p")), lambda s: _ics_datetime(s["v"], s["p"], default_tz))
+
+
+def _ics_datetime(value: Column, params: Column, default_tz: str) -> Column:
     date_only = (F.upper(F.try_element_at(params, F.lit("VALUE"))) == "DATE") | F.regexp_like(value, F.lit(r"^\d{8}$"))
     date_only = F.coalesce(date_only, F.lit(False))
     named = F.try_element_at(params, F.lit("TZID"))
@@ -92,32 +98,39 @@ def ics_events(texts: DataFrame, now: Column | None, until: Column | None, key:
     """
     joined = F.regexp_replace(col, r"(\r\n|\r|\n)[ \t]", "")
     blocks = F.regexp_extract_all(joined, F.lit(r"(?i)BEGIN:VEVENT([\s\S]*?)END:VEVENT"), F.lit(1))
-    ev = texts.select(key, F.posexplode(blocks).alias("pos", "block")).withColumn("lines", F.split("block", r"\r\n|\r|\n"))
-
-    def value(line):
-        return F.nullif(F.trim(F.substr(line, F.position(F.lit(":"), line) + 1)), F.lit(""))
-
-    ev = ev.withColumn("_s", last_or_null("SUMMARY")).withColumn("_a", last_or_null("DTSTART")).withColumn("_b", last_or_null("DTEND"))
-    ev = ev.withColumn("a", ics_datetime(value(F.col("_a")), ics_params(F.substring_index("_a", ":", 1)), default_tz))
-    ev = ev.withColumn("b", F.when(value(F.col("_b")).isNotNull(), ics_datetime(value(F.col("_b")), ics_params(F.substring_index("_b", ":", 1)), default_tz)))
-    start = F.col("a.ts")
-    length = F.when(F.col("a.all_day"), F.expr("INTERVAL '24' HOUR")).otherwise(F.expr("INTERVAL '1' HOUR"))
-    # a day later on the local clock, which may be 23 or 25 hours
-    next_day = F.to_utc_timestamp(F.from_utc_timestamp(start, F.col("a.tz")) + F.expr("INTERVAL '1' DAY"), F.col("a.tz"))
-    end = F.when(F.col("b").isNotNull(), F.col("b.ts")).when(F.col("a.all_day"), next_day).otherwise(start + length)
-    out = ev.where(value(F.col("_a")).isNotNull()).select(
-        key, "pos", F.coalesce(value(F.col("_s")), F.lit("Untitled")).alias("summary"), start.alias("start"), end.alias("end"), F.col("a.all_day").alias("all_day"),
-        F.col("a.tz").alias("tz"), F.coalesce("b.tz", "a.tz").alias("end_tz"),
-    ).where("start IS NOT NULL AND end IS NOT NULL")
+    ev = spread(texts).select(key, F.posexplode(blocks).alias("pos", "block"))
+    out = ev.select(key, "pos", bound(F.split("block", r"\r\n|\r|\n"), lambda lines: _event(lines, default_tz)).alias("e")).select(key, "pos", "e.*")
+    out = out.where("start IS NOT NULL AND end IS NOT NULL")
     if until is not None:
         out = out.where(F.col("start") < until)
     return out.where(F.col("end") > now) if now is not None else out
 
 
-def last_or_null(name: str) -> Column:
-    """Last logical line of the block that starts with the property name and has a value."""
-    hits = F.filter("lines", lambda x: x.startswith(name) & x.contains(":"))
-    return F.when(F.size(hits) > 0, F.element_at(hits, -1))
+def _property(lines: Column, name: str) -> Column:
+    """struct<head, value> of the last line that starts with the property name; value is null when there is none."""
+    hit = F.get(F.reverse(F.filter(lines, lambda x: x.startswith(name) & x.contains(":"))), 0)
+    return bound(hit, lambda x: F.struct(
+        F.substring_index(x, ":", 1).alias("head"), F.nullif(F.trim(F.substr(x, F.position(F.lit(":"), x) + 1)), F.lit("")).alias("value")))
+
+
+def _event(lines: Column, default_tz: str) -> Column:
+    """struct<summary, start, end, all_day, tz, end_tz> of one block; start is null when the block has none."""
+
+    def at(p):
+        return F.when(p["value"].isNotNull(), ics_datetime(p["value"], ics_params(p["head"]), default_tz))
+
+    def build(p):
+        a, b = p["a"], p["b"]
+        # a day later on the local clock, which may be 23 or 25 hours
+        next_day = F.to_utc_timestamp(F.from_utc_timestamp(a["ts"], a["tz"]) + F.expr("INTERVAL '1' DAY"), a["tz"])
+        end = F.when(b.isNotNull(), b["ts"]).when(a["all_day"], next_day).otherwise(a["ts"] + F.expr("INTERVAL '1' HOUR"))
+        return F.struct(
+            F.coalesce(p["s"]["value"], F.lit("Untitled")).alias("summary"), a["ts"].alias("start"), end.alias("end"), a["all_day"].alias("all_day"),
+            a["tz"].alias("tz"), F.coalesce(b["tz"], a["tz"]).alias("end_tz"),
+        )
+
+    parts = F.struct(_property(lines, "SUMMARY").alias("s"), bound(_property(lines, "DTSTART"), at).alias("a"), bound(_property(lines, "DTEND"), at).alias("b"))
+    return bound(parts, build)
 
 
 def feed_tags(tag: Column, tags: Column) -> Column:
@@ -140,7 +153,7 @@ def event_tasks(events: DataFrame, owner: str, seq: Column, tags: Column) -> Dat
 
 def events_to_tasks(tasks: DataFrame, events: DataFrame, owner: str, seq: Column, tags: Column) -> DataFrame:
     """Tasks after an upsert of the events; ``action`` gives the insert and update counts."""
-    return task_upsert(tasks, event_tasks(events, owner, seq, tags))
+    return task_upsert(tasks, checkpointed(event_tasks(events, owner, seq, tags)))
 
 
 _WHEN = "struct<dateTime:string,date:string,timeZone:string>"
@@ -171,12 +184,15 @@ def calendar_select(calendars: DataFrame, targets: list[str]) -> DataFrame:
 def parse_local_ts(s: Column, tz: Column, fallback: str = LOCAL_ZONE) -> Column:
     """Instant of a date or ISO time: its own offset if it has one, else the task's zone; null when it does not parse."""
     zone = F.coalesce(_zone(F.nullif(tz, F.lit(""))), F.lit(fallback))
-    text = F.regexp_replace(F.regexp_replace(s, "T", " "), r"([+-]\d{2})(\d{2})$", "$1:$2")
-    own = F.regexp_like(text, F.lit(r"(Z|[+-]\d{2}:\d{2})$"))
-    return F.when(own, F.try_to_timestamp(text)).otherwise(F.to_utc_timestamp(F.try_to_timestamp(text), zone))
+
+    def parse(text):
+        own = F.regexp_like(text, F.lit(r"(Z|[+-]\d{2}:\d{2})$"))
+        return F.when(own, F.try_to_timestamp(text)).otherwise(F.to_utc_timestamp(F.try_to_timestamp(text), zone))
+
+    return bound(F.regexp_replace(F.regexp_replace(s, "T", " "), r"([+-]\d{2})(\d{2})$", "$1:$2"), parse)
 
 
-def _php_month(d: Column) -> Column:
+def _month_later(d: Column) -> Column:
     """A month later by the calendar; a day the month lacks runs over into the next."""
     first = F.add_months(F.trunc(d, "month"), 1)
     return F.date_add(first, F.dayofmonth(d) - 1)
@@ -189,31 +205,38 @@ def rrule_next(rrule: Column, anchor: Column, since: Column, tz: Column, mode: s
     week (``mode='rfc'`` visits every listed day). Months are stepped, as an overlong month shifts the day for good.
     """
     rule = F.regexp_replace(F.upper(rrule), "RRULE:", "")
-    freq = F.regexp_extract(rule, r"(?:^|;)FREQ=([A-Z]+)", 1)
-    by = F.regexp_extract(rule, r"(?:^|;)BYDAY=([A-Z,]+)", 1)
     zone = F.coalesce(_zone(tz), F.lit(LOCAL_ZONE))
-    a, f = F.from_utc_timestamp(anchor, zone), F.from_utc_timestamp(since, zone)
-    clock = F.unix_micros(a) - F.unix_micros(F.date_trunc("day", a))
-    day0, late = F.to_date(a), F.unix_micros(f) - F.unix_micros(F.date_trunc("day", f)) > clock
-    # first local day on which this clock time is not before ``since``
-    want = F.date_add(F.to_date(f), F.when(late, 1).otherwise(0))
-    gap = F.datediff(want, day0)
-    days = lambda n: F.date_add(day0, n.cast("int"))
-    daily = days(F.least(F.greatest(gap, F.lit(0)), F.lit(MAX_STEPS)))
-    w0 = F.weekday(day0)
-    listed = F.array_sort(F.filter(F.transform(F.split(by, ","), lambda d: F.array_position(F.array(*[F.lit(x) for x in WEEKDAYS]), d) - 1), lambda n: n >= 0))
-    ahead = F.get(F.filter(listed, lambda n: n >= w0), 0)
-    shift = F.when(by != "", F.coalesce(ahead - w0, F.lit(0))).otherwise(0)
-    steps = F.least(F.greatest(F.ceil((gap - shift) / 7), F.lit(1)), F.lit(MAX_STEPS))
-    weekly = days(steps * 7 + shift)
-    if mode == "rfc":
-        nearest = F.array_min(F.transform(listed, lambda n: F.date_add(want, F.pmod(n - F.weekday(want), F.lit(7)).cast("int"))))
-        weekly = F.when((by != "") & (F.size(listed) > 0), nearest).otherwise(weekly)
-    months = F.least(F.greatest(F.ceil(F.months_between(want, day0)).cast("int") + 2, F.lit(1)), F.lit(MAX_STEPS))
-    monthly = F.aggregate(F.sequence(F.lit(1), months), day0, lambda d, _: F.when(d < want, _php_month(d)).otherwise(d))
-    day = F.when(freq == "DAILY", daily).when(freq == "WEEKLY", weekly).when(freq == "MONTHLY", monthly).otherwise(day0)
-    moved = F.to_utc_timestamp(F.timestamp_micros(F.unix_micros(day.cast("timestamp")) + clock), zone)
-    return F.when(freq == "", F.lit(None).cast("timestamp")).when(anchor >= since, anchor).otherwise(moved)
+    given = F.struct(
+        F.regexp_extract(rule, r"(?:^|;)FREQ=([A-Z]+)", 1).alias("freq"), F.regexp_extract(rule, r"(?:^|;)BYDAY=([A-Z,]+)", 1).alias("by"), zone.alias("zone"),
+        F.from_utc_timestamp(anchor, zone).alias("a"), F.from_utc_timestamp(since, zone).alias("f"), anchor.alias("anchor"), since.alias("since"),
+    )
+
+    def local_days(g):
+        clock = F.unix_micros(g["a"]) - F.unix_micros(F.date_trunc("day", g["a"]))
+        late = F.unix_micros(g["f"]) - F.unix_micros(F.date_trunc("day", g["f"])) > clock
+        # ``want``: first local day on which this clock time is not before ``since``
+        want = F.date_add(F.to_date(g["f"]), F.when(late, 1).otherwise(0))
+        numbers = F.array(*[F.lit(x) for x in WEEKDAYS])
+        listed = F.array_sort(F.filter(F.transform(F.split(g["by"], ","), lambda d: F.array_position(numbers, d) - 1), lambda n: n >= 0))
+        return F.struct(g.alias("g"), clock.alias("clock"), F.to_date(g["a"]).alias("day0"), want.alias("want"), listed.alias("listed"))
+
+    def pick(x):
+        g, day0, want, listed = x["g"], x["day0"], x["want"], x["listed"]
+        gap, w0 = F.datediff(want, day0), F.weekday(day0)
+        days = lambda n: F.date_add(day0, n.cast("int"))
+        daily = days(F.least(F.greatest(gap, F.lit(0)), F.lit(MAX_STEPS)))
+        shift = F.when(g["by"] != "", F.coalesce(F.get(F.filter(listed, lambda n: n >= w0), 0) - w0, F.lit(0))).otherwise(0)
+        weekly = bound(shift, lambda s: days(F.least(F.greatest(F.ceil((gap - s) / 7), F.lit(1)), F.lit(MAX_STEPS)) * 7 + s))
+        if mode == "rfc":
+            nearest = F.array_min(F.transform(listed, lambda n: F.date_add(want, F.pmod(n - F.weekday(want), F.lit(7)).cast("int"))))
+            weekly = F.when((g["by"] != "") & (F.size(listed) > 0), nearest).otherwise(weekly)
+        months = F.least(F.greatest(F.ceil(F.months_between(want, day0)).cast("int") + 2, F.lit(1)), F.lit(MAX_STEPS))
+        monthly = F.aggregate(F.sequence(F.lit(1), months), day0, lambda d, _: F.when(d < want, _month_later(d)).otherwise(d))
+        day = F.when(g["freq"] == "DAILY", daily).when(g["freq"] == "WEEKLY", weekly).when(g["freq"] == "MONTHLY", monthly).otherwise(day0)
+        moved = F.to_utc_timestamp(F.timestamp_micros(F.unix_micros(day.cast("timestamp")) + x["clock"]), g["zone"])
+        return F.when(g["freq"] == "", F.lit(None).cast("timestamp")).when(g["anchor"] >= g["since"], g["anchor"]).otherwise(moved)
+
+    return bound(bound(given, local_days), pick)
 
 
 _REMOTE = ("struct<id:string,title:string,status:int,completedTime:string,dueDate:string,dueDateTime:string,startDate:string,startDateTime:string,"
@@ -227,7 +250,7 @@ def remote_tasks(projects: DataFrame, today: Column, col: str = "payload", owner
     """
     # one spelling of the zone key: field names are compared without case
     listed = F.regexp_replace(F.get_json_object(col, "$.tasks"), r'"timezone"\s*:', '"timeZone":')
-    t = projects.select(F.col(owner).alias("owner"), F.col(seq).alias("seq"), F.get_json_object(col, "$.name").alias("project"),
+    t = spread(projects).select(F.col(owner).alias("owner"), F.col(seq).alias("seq"), F.get_json_object(col, "$.name").alias("project"),
                         F.posexplode(F.from_json(listed, f"array<{_REMOTE}>")).alias("pos", "t"))
     t = t.where((F.coalesce(F.nullif("t.completedTime", F.lit("")), F.lit("")) == "") & (F.coalesce("t.status", F.lit(0)) == 0))
     tz = F.coalesce("t.timeZone", F.lit(local_tz))
@@ -252,6 +275,7 @@ def remote_tasks(projects: DataFrame, today: Column, col: str = "payload", owner
 def remote_reconcile(tasks: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(tasks, archived): incoming rows with a known TID take the local name and time and unite updates, then upsert;
     local rows whose TID is not in the payload are finished."""
+    incoming = checkpointed(incoming)  # parsed and projected once, read by the merge several times
     loc = tasks.withColumn("tid", extract_tid("updates"))
     mine = loc.where("tid IS NOT NULL").groupBy("owner", "tid").agg(F.max_by(F.struct("name", "date", "start", "end", "updates"), "seq").alias("l"))
     inc = incoming.withColumn("tid", extract_tid("updates")).join(mine, ["owner", "tid"], "left")

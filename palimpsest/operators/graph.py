@@ -174,7 +174,9 @@ def khop_expand(seeds: DataFrame, edges: DataFrame, hop: int = HOP, cap: int = D
     both = adjacency(edges)
     for d in range(1, hop + 1):
         most = visited.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
-        near = top_per_key(both.groupBy("a", "b").agg(F.max("weight").alias("weight")), ["a"], [F.desc("weight"), "b"], cap + most)
+        asked = frontier.select(F.col("node_id").alias("a")).distinct()
+        near = both.join(asked, "a", "left_semi").groupBy("a", "b").agg(F.max("weight").alias("weight"))
+        near = top_per_key(near, ["a"], [F.desc("weight"), "b"], cap + most)
         reached = frontier.select("query_id", F.col("node_id").alias("a")).join(near, "a").groupBy("query_id", F.col("b").alias("node_id")).agg(F.max("weight").alias("w"))
         fresh = reached.join(visited.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
         frontier = top_per_key(fresh, ["query_id"], [F.desc("w"), "node_id"], cap).select("query_id", "node_id", F.lit(d).alias("depth"))
@@ -189,7 +191,7 @@ def bridge_nodes(seeds: DataFrame, edges: DataFrame, k: int = BRIDGE_DEPTH, cap:
     base = seeds.select("query_id", "node_id").distinct()
     several = base.groupBy("query_id").count().where("count >= 2").select("query_id")
     reach = base.join(several, "query_id", "left_semi").select("query_id", F.col("node_id").alias("seed"), "node_id")
-    both = adjacency(edges).select("a", "b").distinct()
+    both = adjacency(edges).select("a", "b")
     frontier = reach
     for d in range(k):
         step = frontier.select("query_id", "seed", F.col("node_id").alias("a")).join(both, "a").select("query_id", "seed", F.col("b").alias("node_id")).distinct()
@@ -240,9 +242,15 @@ def subgraph(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, now: Column,
 
 
 def _edges_inside(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges with both ends among the members of a query, found from their low-degree end."""
+    """Edges with both ends among the members of a query.
+
+    The edge table is first cut to edges between members of any query; those are found from their low-degree end.
+    """
     ids = members.select("query_id", "node_id")
-    found = ids.withColumnRenamed("node_id", "low").join(oriented(edges), "low")
+    some = ids.select("node_id").distinct()
+    near = edges.join(some.withColumnRenamed("node_id", "src_id"), "src_id", "left_semi").join(some.withColumnRenamed("node_id", "dst_id"), "dst_id", "left_semi")
+    near = oriented(checkpointed(near.select(*edges.columns)))
+    found = ids.withColumnRenamed("node_id", "low").join(near, "low")
     return found.join(ids.withColumnRenamed("node_id", "high"), ["query_id", "high"], "left_semi").select("query_id", *edges.columns).distinct()
 
 

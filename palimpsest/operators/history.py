@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as X
 from palimpsest.operators.messages import CALLS
 from palimpsest.operators.ordered import cell_scan, id_cell, top_per_key
+from palimpsest.session import checkpointed
 
 PLACEHOLDER = "PLACEHOLDERx"
 ROLLING_ROWS, MAX_CONTEXT, RESERVE = 100, 8192, 1024
@@ -65,10 +66,12 @@ def reconcile_tools(msgs: DataFrame) -> DataFrame:
     """
     calls = F.filter(F.transform(F.from_json("tool_calls_json", CALLS), lambda c: c["id"]), lambda i: i.isNotNull() & (i != ""))
     rows = cell_scan(msgs, ["session_id"], ["id"], id_cell("id"), sums={"stretch": F.when(F.col("role") != "tool", 1).otherwise(0)})
-    heads = rows.where("role <> 'tool'").withColumn("_calls", F.when(F.col("role") == "assistant", F.coalesce(calls, F.array())))
+    # numbered and parsed once, read by every step below
+    rows = checkpointed(rows.withColumn("_calls", F.when(F.col("role") == "assistant", F.coalesce(calls, F.array()))))
+    heads = rows.where("role <> 'tool'")
     asked = heads.where(F.size("_calls") > 0).select("session_id", "stretch", "_calls")
     given = F.nullif("tool_call_id", F.lit(""))
-    answers = rows.where("role = 'tool'").withColumn("_given", given).join(asked, ["session_id", "stretch"])
+    answers = rows.where("role = 'tool'").drop("_calls").withColumn("_given", given).join(asked, ["session_id", "stretch"])
     most = asked.agg(F.max(F.size("_calls"))).first()[0] or 0
     unnamed = top_per_key(answers.where("_given IS NULL"), ["session_id", "stretch"], ["id"], max(most, 1))
     named = answers.where(F.array_contains("_calls", F.col("_given")))

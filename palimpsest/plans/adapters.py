@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.session import spread
+from palimpsest.session import checkpointed, spread
 
 MICROS_2024 = 1704067200000000
 
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.select(*[F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in df.dtypes])
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A derived table as a stored one, as a graph's tables are: written once, then only scanned."""
+    return checkpointed(df)
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conversations`` as a message log; gaps inside a session grow by a minute per turn."""
     return table(spark, sf_dir, "conversations").select(
