@@ -67,7 +67,7 @@ def ics_unfold(col) -> Column:
 
 def ics_params(head: Column) -> Column:
     """``NAME;K=V;K2=V2`` to a map; a repeated key keeps its last value."""
-    bits = F.filter(F.slice(F.split(head, ";"), 2, 1000), lambda b: b.contains("="))
+    bits = F.filter(F.slice(F.split(head, ";"), 2, 1 << 30), lambda b: b.contains("="))
     pairs = F.transform(bits, lambda b: F.struct(F.substring_index(b, "=", 1).alias("k"), F.substr(b, F.position(F.lit("="), b) + 1).alias("v")))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
     return F.map_from_entries(last)

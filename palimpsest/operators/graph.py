@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
-from palimpsest.operators.ordered import first_per_key, join_ordered, top_per_key
+from palimpsest.operators.ordered import cell_scan, first_per_key, join_ordered, top_per_key
 from palimpsest.session import checkpointed
 
 # --- fixed values -----------------------------------------------------------------------------------------
@@ -309,7 +309,8 @@ def repeat_evidence(nodes: DataFrame, evidence: DataFrame, times: int = 3, confi
 def evidence_for_message(evidence: DataFrame, messages: DataFrame) -> DataFrame:
     """Subjects of the given messages, with their place by recency."""
     rows = evidence.join(messages.select("msg_id"), "msg_id", "left_semi")
-    return top_per_key(rows, ["msg_id"], [F.desc("created_ts"), "id"], 1000, rank="place")
+    rows = rows.withColumn("_neg", -F.unix_micros("created_ts"))
+    return cell_scan(rows, ["msg_id"], ["_neg", "id"], F.floor(F.col("_neg") / 86_400_000_000), rank="place").drop("_neg")
 
 
 def nodes_by_alias(nodes: DataFrame, aliases: DataFrame, terms: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def reconcile_tools(msgs: DataFrame) -> DataFrame:
         return F.when(
             hit,
             F.struct(
-                F.slice(acc["todo"], 2, 100_000).alias("todo"),
+                F.slice(acc["todo"], 2, 1 << 30).alias("todo"),
                 F.concat(acc["got"], F.array(F.struct(a["id"].alias("id"), head.alias("call")))).alias("got"),
             ),
         ).otherwise(acc)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
 from palimpsest.operators.ordered import join_ordered, top_per_key
+from palimpsest.session import checkpointed
 
 TOP_K, QUERY_BLOCK = 12, 1024
 
@@ -33,6 +34,8 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, block: i
     for b in range(blocks):
         scored = _score_block(numbered.where(F.col("b") == b), vectors, k)
         if scored is not None:
+            if blocks > 1:  # write this block's best, so that the driver holds one block at a time
+                scored = checkpointed(top_per_key(scored, ["query_id"], [F.desc("score"), "id"], k))
             parts = scored if parts is None else parts.unionByName(scored)
     if parts is None:
         parts = queries.select("query_id", F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("score")).limit(0)

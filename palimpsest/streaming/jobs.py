@@ -137,7 +137,7 @@ def near_dup_writer(store: str, sim: str = "sim", order: tuple[str, ...] = ("id"
         spark = batch.sparkSession
         kept = batch
         if epoch > 0:
-            stored = spark.read.schema(batch.schema).parquet(*[f"{store}/epoch={e}" for e in range(epoch)])
+            stored = spark.read.parquet(store).where(F.col("epoch") < epoch)  # folders of later or retried epochs are pruned
             kept = N.drop_known(kept, stored.withColumnRenamed(sim, "sim"), sim)
         N.dedupe_near(kept, list(order), sim).write.mode("overwrite").parquet(f"{store}/epoch={epoch}")
 
@@ -159,7 +159,8 @@ def kg_writer(aliases_of: Callable[[SparkSession], DataFrame], store: str):
         spark = batch.sparkSession
         known = aliases_of(spark).select("id", "node_id", "alias", "source", "weight", "alias_key")
         if epoch > 0:
-            known = known.unionByName(spark.read.schema(known.schema).parquet(*[f"{store}/aliases/epoch={e}" for e in range(epoch)]))
+            made = spark.read.parquet(f"{store}/aliases").where(F.col("epoch") < epoch)
+            known = known.unionByName(made.select(*known.columns))
         out = kg_build(batch, known)
         for name in ("nodes", "aliases", "evidence", "edges"):
             out[name].write.mode("overwrite").parquet(f"{store}/{name}/epoch={epoch}")
