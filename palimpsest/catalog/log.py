@@ -181,7 +181,20 @@ def group_stamps(spark, sf):
     return H.group_stamps(A.messages(spark, sf)).select("id", "stamped", F.md5("content").alias("h"))
 
 
-@query("reconcile_tools")
+# the calls of an order are answered in line order: ``done`` counts the calls met so far
+REPAIR = """li AS (SELECT l_orderkey AS o, l_linenumber AS l, max(l_partkey) AS p FROM lineitem JOIN orders ON o_orderkey=l_orderkey GROUP BY 1,2),
+calls AS (SELECT o, list('c'||o||'_'||l ORDER BY l) AS c FROM li GROUP BY o),
+ans AS (SELECT o, l, p, CASE WHEN (o+l)%5=0 THEN NULL WHEN (o+l)%11=0 THEN 'stray' ELSE 'c'||o||'_'||l END AS given, row_number() OVER (PARTITION BY o ORDER BY l) AS i FROM li WHERE (o+l)%7<>0),
+walk AS (SELECT o, 0::BIGINT AS i, 0::BIGINT AS done, NULL::BIGINT AS l, NULL::BIGINT AS p, NULL::VARCHAR AS cid FROM calls
+ UNION ALL SELECT w.o, a.i, w.done + (w.done < len(c) AND (given IS NULL OR given = c[w.done+1]))::BIGINT, a.l::BIGINT, a.p, CASE WHEN w.done < len(c) AND (given IS NULL OR given = c[w.done+1]) THEN c[w.done+1] END
+ FROM walk w JOIN ans a ON a.o=w.o AND a.i=w.i+1 JOIN calls k ON k.o=w.o),
+ends AS (SELECT o, max(done) AS done FROM walk GROUP BY 1)"""
+
+
+@query("reconcile_tools", f"""WITH RECURSIVE {REPAIR}
+SELECT o_custkey::VARCHAR AS session_id, o_orderkey*16 AS id, 'assistant' AS role, 'order ' || o_orderkey AS content, NULL::VARCHAR AS tool_call_id, 0::BIGINT AS part, o_orderkey*16 AS "at" FROM orders
+UNION ALL SELECT o_custkey::VARCHAR, o*16+l, 'tool', 'part ' || p, cid, 1, o*16+l FROM walk JOIN orders ON o_orderkey=o WHERE cid IS NOT NULL
+UNION ALL SELECT o_custkey::VARCHAR, NULL, 'tool', 'PLACEHOLDERx', u, 2, n FROM (SELECT o, unnest(c[done+1:]) AS u, generate_subscripts(c[done+1:],1)-1 AS n FROM calls JOIN ends USING (o)) JOIN orders ON o_orderkey=o""")
 def reconcile_tools(spark, sf):
     out = H.reconcile_tools(A.tool_log(spark, sf))
     return out.select("session_id", "id", "role", "content", "tool_call_id", F.col("ord.part").alias("part"), F.col("ord.at").alias("at"))
