@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
 from palimpsest.operators.messages import CALLS
+from palimpsest.session import spread
 
 # --- fixed values -----------------------------------------------------------------------------------------
 FENCE = r"~~~(\w+)\s*(\{[\s\S]*?\})\s*~~~"
@@ -21,7 +22,7 @@ TASK_INTENTS = ["fetch_task", "create_task", "update_task", "delete_task", "fini
 def fence_extract(texts: DataFrame, key: str = "id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row per ``~~~tag {json}~~~`` block: (key, pos, tag, payload, ok)."""
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(FENCE), F.lit(1)).alias("t"), F.regexp_extract_all(text, F.lit(FENCE), F.lit(2)).alias("p"))
-    rows = texts.where(F.col(text).contains("~~~")).select(key, *(keep or []), F.posexplode(pairs).alias("pos", "b"))
+    rows = spread(texts).where(F.col(text).contains("~~~")).select(key, *(keep or []), F.posexplode(pairs).alias("pos", "b"))
     rows = rows.select(key, *(keep or []), "pos", F.lower("b.t").alias("tag"), X.json_lenient(F.col("b.p")).alias("payload"))
     return rows.withColumn("ok", F.col("payload").isNotNull())
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
 from palimpsest.operators.ordered import join_ordered
+from palimpsest.session import checkpointed
 
 DEFAULT_KEY = "General"
 NO_FACTS = "memories: none"
@@ -68,6 +69,7 @@ def facts_apply(store: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]
         "owner", "at", F.lower(F.coalesce("op", F.lit(""))).alias("op"), X.trim_ws(F.coalesce("fact", F.lit(""))).alias("fact"),
         F.coalesce(F.nullif(X.trim_ws(F.coalesce("key", F.lit(DEFAULT_KEY))), F.lit("")), F.lit(DEFAULT_KEY)).alias("key"),
     )
+    o = checkpointed(o)  # parsed once, read by writes, deletes and results
     good = o.where("fact <> '' AND op IN ('upsert', 'delete')")
     status = F.when((F.col("fact") == "") | ~F.col("op").isin("upsert", "delete"), "bad_request").when(F.col("op") == "upsert", "remembered").otherwise("forgot")
     results = o.withColumn("status", status)
