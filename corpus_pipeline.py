@@ -3,9 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate
+from palimpsest.llm import decontaminate, linededup, neardedup, packing, quality
 from palimpsest.llm.shared import table, written
+from palimpsest.session import ship
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go. It learns from labelled rows of the documents given."""
+    out = quality.scored(docs, table(spark, sf_dir, "labels"))
+    return out.where("predicted = 1").select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go, and documents that lose every word; n_chars follows the text."""
+    ship(spark)
+    out = linededup.dedupe_lines(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    ship(spark)
+    return neardedup.drop_near_duplicates(docs)
 
 
 def clean_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,9 +34,21 @@ def clean_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("benchmark decontamination", clean_benchmark)]
+def into_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every token of what is left, packed into training sequences."""
+    ship(spark)
+    return packing.pack(docs, packing.tokenizer_file())
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("line dedup", drop_lines),
+    ("MinHash near-dedup", one_of_each),
+    ("benchmark decontamination", clean_benchmark),
+    ("packing", into_windows),
+]
 
-#: Training, near-duplicates and packing are not statable in SQL; tests hold the stages against brute force.
+#: Training, edit distances and packing are not statable in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

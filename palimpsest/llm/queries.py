@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, fingerprints, linededup, neardedup, packing, quality, sharding
+from palimpsest.llm import decontaminate, fingerprints, langid, linededup, neardedup, packing, perspectives, quality, secrets, sharding
 from palimpsest.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,16 @@ WORDS_SQL = (
 )
 
 
+@query("op1_language")
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+@query("op2_secrets")
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents").withColumnRenamed("source", "path"))
+
+
 @query(
     "op3_decontaminate",
     f"""
@@ -51,6 +61,28 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@query(
+    "op4_perspectives",
+    """
+WITH t AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS conv_id, turn, coalesce(role, 'unknown') AS who, coalesce(text, '') AS text, CAST(floor(turn / 64) AS BIGINT) AS part
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+p AS (SELECT DISTINCT conv_id, who AS speaker FROM t WHERE who <> 'system'),
+s AS (SELECT conv_id, speaker, part, turn, who, text,
+    '<|im_start|>' || CASE WHEN who = 'system' THEN who WHEN who = speaker THEN 'assistant' ELSE 'user name=' || who END || chr(10) AS head,
+    text || '<|im_end|>' || chr(10) AS body FROM t JOIN p USING (conv_id)),
+o AS (SELECT *, CAST(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn, who, text) AS BIGINT) AS till FROM s)
+SELECT conv_id, speaker, part, count(*) AS n_turns, max(till) AS n_chars,
+  CAST(coalesce(sum(length(body)) FILTER (WHERE who = speaker), 0) AS BIGINT) AS n_masked,
+  sha256(string_agg(head || body, '' ORDER BY turn, who, text)) AS text_sha256,
+  coalesce(string_agg((till - length(body)) || '-' || till, ',' ORDER BY turn, who, text) FILTER (WHERE who = speaker), '') AS spans
+FROM o GROUP BY conv_id, speaker, part""",
+)
+def op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = perspectives.rotate(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return out.select("conv_id", "speaker", "part", "n_turns", "n_chars", "n_masked", F.sha2("text", 256).alias("text_sha256"), spans.alias("spans"))
+
+
 @query("op5_fingerprints")
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
