@@ -10,7 +10,6 @@ from palimpsest.functions import hashing as H
 from palimpsest.operators import chunks as C
 from palimpsest.operators import neardup as N
 from palimpsest.plans import adapters as A
-from palimpsest.session import spread
 from palimpsest.plans.chunk_run import chunk_inventory, chunk_run, dry_run_report
 from palimpsest.sources import sinks
 
@@ -18,7 +17,7 @@ RECORDS = (
     chunks()
     + ", kc AS (SELECT *, session_id || '/' || chunk_ord AS ck FROM raw_chunks), "
     + concat_roles("kc", "ck", r"regexp_replace(raw_text,'\n{2,}',chr(10),'g')", "posted")
-    + """, recs AS (SELECT strftime(start_ts,'chat_%Y%m%d_%H%M%S_') || lpad(CAST(chunk_ord AS VARCHAR),4,'0') AS id, session_id, chunk_ord, start_ts,
+    + """, recs AS (SELECT strftime(start_ts,'chat_%Y%m%d_%H%M%S_') || lpad(CAST(chunk_ord AS VARCHAR),4,'0') || '_' || substr(md5(session_id),1,16) AS id, session_id, chunk_ord, start_ts,
  strftime(start_ts,'%Y-%m-%dT%H:%M:%S') AS start_iso, t AS chunk_text, sha256(t) AS hash, length(t) AS len, ck FROM kc JOIN posted USING (ck)), """
     + simhash("recs", "ck", "chunk_text", "rsim")
     + """, firsts AS (SELECT sim, min((start_ts, session_id, chunk_ord)) AS first_at FROM (SELECT * FROM recs JOIN rsim USING (ck)) GROUP BY sim),
@@ -44,6 +43,13 @@ def slide_chunks(spark, sf):
     return C.slide_chunks(_sents(spark, sf)).select("session_id", "chunk_ord", "first", "last", "chars", "start_ts", F.md5("raw_text").alias("h"))
 
 
+# short chunks and blocks, so that chunks of one session come from several blocks
+@query("slide_chunks_blocks", f"WITH {chunks(20, 8)} SELECT session_id, chunk_ord, first, last, chars, start_ts::VARCHAR AS start_ts, md5(raw_text) AS h FROM raw_chunks")
+def slide_chunks_blocks(spark, sf):
+    out = C.slide_chunks(_sents(spark, sf), 20, 8, block=22)
+    return out.select("session_id", "chunk_ord", "first", "last", "chars", "start_ts", F.md5("raw_text").alias("h"))
+
+
 @query("chunk_stamps", f"WITH {chunks()} SELECT session_id, chunk_ord, n, stamped FROM members")
 def chunk_stamps(spark, sf):
     s = _sents(spark, sf)
@@ -72,7 +78,7 @@ greedy AS (SELECT 0::BIGINT AS k, []::UBIGINT[] AS kept UNION ALL
  SELECT g.k+1, CASE WHEN len(list_filter(kept, lambda s: bit_count(xor(s, r.sim)) <= 3)) > 0 THEN kept ELSE list_append(kept, r.sim) END FROM greedy g JOIN ranked r ON r.k=g.k+1)
 SELECT first_at AS doc_id, {HEX64.format('sim')} AS simhash64 FROM firsts WHERE list_contains((SELECT kept FROM greedy WHERE k=(SELECT max(k) FROM greedy)), sim)""")
 def dedupe_near(spark, sf):
-    docs = spread(A.table(spark, sf, "documents")).select("doc_id", H.simhash64("text", "md5").alias("sim"))
+    docs = A.spread(A.table(spark, sf, "documents")).select("doc_id", H.simhash64("text", "md5").alias("sim"))
     return N.dedupe_near(docs, ["doc_id"]).select("doc_id", H.hex64("sim").alias("simhash64"))
 
 
@@ -95,4 +101,4 @@ def chunk_dry_run(spark, sf):
 def sink_chunks(spark, sf):
     stored = A.table(spark, sf, "documents").selectExpr("concat('d', doc_id) AS id", "n_chars AS len")
     batch = A.table(spark, sf, "labels").selectExpr("concat('d', doc_id) AS id", "cast(quality * 1000 + toxic AS long) AS len")
-    return sinks.merge_chunks(stored, batch)
+    return sinks.merge_chunks(stored, batch, ["len"])

@@ -10,7 +10,6 @@ from palimpsest.functions import rules as R
 from palimpsest.functions import text as X
 from palimpsest.operators import detection as D
 from palimpsest.plans import adapters as A
-from palimpsest.session import spread
 
 TODAY = "2024-03-13"  # a Wednesday
 
@@ -52,7 +51,7 @@ labelled AS (SELECT *, CASE WHEN mx<=0 THEN CASE WHEN qst THEN 'query' ELSE 'oth
 
 def texts(spark, sf):
     n = A.notes(spark, sf).select("id", "text", F.lit("n").alias("src"))
-    return spread(n.unionByName(A.messages(spark, sf).select("id", F.col("content").alias("text"), F.lit("m").alias("src"))))
+    return A.spread(n.unionByName(A.messages(spark, sf).select("id", F.col("content").alias("text"), F.lit("m").alias("src"))))
 
 
 @query("intent_scores", f"WITH {TEXTS}, {SCORES} SELECT id, src, plan, preference, assign, schedule, query FROM scores")
@@ -90,7 +89,7 @@ _V0 = " ".join(f"WHEN regexp_matches(text,'(?i){p}') THEN '{k}'" for k, p in R.R
 
 @query("intent_rules_v0", f"WITH {NOTES} SELECT id, CASE {_V0} ELSE 'other' END AS label FROM notes")
 def intent_rules_v0(spark, sf):
-    return spread(A.notes(spark, sf)).select("id", R.intent_rules_v0("text").alias("label"))
+    return A.spread(A.notes(spark, sf)).select("id", R.intent_rules_v0("text").alias("label"))
 
 
 _NEXT = "CASE lower(left(raw,3)) WHEN 'thu' THEN '2024-03-14' WHEN 'fri' THEN '2024-03-15' WHEN 'sat' THEN '2024-03-16' WHEN 'sun' THEN '2024-03-17' WHEN 'mon' THEN '2024-03-18' WHEN 'tue' THEN '2024-03-19' ELSE '2024-03-20' END"
@@ -111,33 +110,33 @@ _AT = "strpos(text,{0})-1"
 @query("extract_dates", f"WITH {NOTES}, {DATES} SELECT id, raw, iso, strpos(text, raw)-1 AS start FROM dates JOIN notes USING (id)")
 def extract_dates(spark, sf):
     d = F.explode(R.extract_dates("text", F.lit(TODAY))).alias("d")
-    return spread(A.notes(spark, sf)).select("id", d).select("id", "d.raw", "d.iso", "d.start")
+    return A.spread(A.notes(spark, sf)).select("id", d).select("id", "d.raw", "d.iso", "d.start")
 
 
 @query("extract_quantities", f"WITH {NOTES}, {QTY} SELECT id, raw, value, unit, strpos(text, raw)-1 AS start FROM qty JOIN notes USING (id)")
 def extract_quantities(spark, sf):
-    return spread(A.notes(spark, sf)).select("id", F.explode(R.extract_quantities("text")).alias("q")).select("id", "q.raw", "q.value", "q.unit", "q.start")
+    return A.spread(A.notes(spark, sf)).select("id", F.explode(R.extract_quantities("text")).alias("q")).select("id", "q.raw", "q.value", "q.unit", "q.start")
 
 
 @query("extract_quoted_titlecase", f"WITH {NOTES}, {QUOT} SELECT id, t AS text, strpos(text, t)-1 AS start FROM quot JOIN notes USING (id)")
 def extract_quoted_titlecase(spark, sf):
-    return spread(A.notes(spark, sf)).select("id", F.explode(R.extract_quoted_titlecase("text")).alias("m")).select("id", "m.text", "m.start")
+    return A.spread(A.notes(spark, sf)).select("id", F.explode(R.extract_quoted_titlecase("text")).alias("m")).select("id", "m.text", "m.start")
 
 
 @query("extract_preference", f"WITH {NOTES}, {PREF} SELECT id, p AS preference, strpos(text, p)-1 AS start FROM pref JOIN notes USING (id)")
 def extract_preference(spark, sf):
-    return spread(A.notes(spark, sf)).select("id", F.explode(R.extract_preference("text")).alias("p")).select("id", F.col("p.text").alias("preference"), "p.start")
+    return A.spread(A.notes(spark, sf)).select("id", F.explode(R.extract_preference("text")).alias("p")).select("id", F.col("p.text").alias("preference"), "p.start")
 
 
 @query("entities_v0", f"""WITH {NOTES}, {DATES}, {QTY}, {QUOT}, {PREF} SELECT id, 'Time' AS type, raw AS text, iso AS norm, 0.8::DOUBLE AS score FROM dates
  UNION ALL SELECT id, 'Quantity', raw, regexp_replace(value::VARCHAR,'\\.0$','') || ' ' || unit, 0.75 FROM qty UNION ALL SELECT id, 'Preference', p, p, 0.8 FROM pref UNION ALL SELECT id, 'Task', t, t, 0.7 FROM quot""")
 def entities_v0(spark, sf):
-    return D.entity_rows(spread(A.notes(spark, sf)).select("id", F.col("text").alias("t0")), R.entities_v0("t0", F.lit(TODAY)), ["id"]).select("id", "type", "text", "norm", "score")
+    return D.entity_rows(A.spread(A.notes(spark, sf)).select("id", F.col("text").alias("t0")), R.entities_v0("t0", F.lit(TODAY)), ["id"]).select("id", "type", "text", "norm", "score")
 
 
 @query("slot_deadline", rf"WITH {NOTES}, {DATES} SELECT n.id, arg_min(iso, k) AS deadline FROM notes n JOIN dates USING (id) WHERE regexp_matches(text,'(?i)\bby\b') GROUP BY 1")
 def slot_deadline(spark, sf):
-    n = spread(A.notes(spark, sf)).withColumn("deadline", R.slot_deadline("text", R.entities_v0("text", F.lit(TODAY))))
+    n = A.spread(A.notes(spark, sf)).withColumn("deadline", R.slot_deadline("text", R.entities_v0("text", F.lit(TODAY))))
     return n.where("deadline IS NOT NULL").select("id", "deadline")
 
 
@@ -151,7 +150,7 @@ def map_entity_type(spark, sf):
 
 def with_response(spark, sf):
     resp = """concat('{"entities":[{"type":"PERSON","name":"John Smith","salience":0.6,"mentions":[{"text":{"content":"john smith"}},{"text":{"content":"JOHN"}}]},{"type":"DATE","name":"monday","mentions":[{"text":{"content":"monday"}}]},{"type":"ODD","name":"o', id % 3, '","mentions":[{"text":{}}]}]}')"""
-    return spread(A.notes(spark, sf)).withColumn("resp", F.expr(resp))
+    return A.spread(A.notes(spark, sf)).withColumn("resp", F.expr(resp))
 
 
 @query("mention_entities", f"""WITH {NOTES}, m AS (SELECT id, lower(text) AS t, type, c, norm, score FROM notes, (VALUES ('Person','john smith','John Smith',0.6),('Person','JOHN','John Smith',0.6),('Time','monday','monday',0.5)) v(type,c,norm,score)
@@ -178,7 +177,7 @@ CATALOG = [
  UNION ALL SELECT id, 'Mary', 'Mary Ann Jones', strpos(text,'Mary Ann Jones')-1 FROM notes WHERE contains(text,'Mary Ann Jones')""")
 def inject_names(spark, sf):
     none = F.array().cast(f"array<{R.ENTITY}>")
-    rows = spread(A.notes(spark, sf)).select("id", F.col("text").alias("t0"))
+    rows = A.spread(A.notes(spark, sf)).select("id", F.col("text").alias("t0"))
     return D.entity_rows(rows, R.inject_names("t0", none, CATALOG), ["id"]).select("id", "norm", "text", "start")
 
 

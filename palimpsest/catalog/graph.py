@@ -72,12 +72,13 @@ def seeds_readonly(spark, sf):
     return G.seeds_readonly(terms(spark, sf), A.stored(A.aliases(spark, sf)))
 
 
-QTEXT = "qt AS (SELECT s_suppkey AS query_id, concat('about the ', s_name, ' and ', p_name, ' in NATION_', s_nationkey) AS text FROM supplier JOIN part ON p_partkey=s_suppkey)"
+QTEXT = "qt AS (SELECT p_partkey AS query_id, concat('about the ', s_name, ' and ', p_name, ' in NATION_', s_nationkey) AS text FROM part JOIN (SELECT l_partkey, min(l_suppkey) AS sk FROM lineitem GROUP BY 1) ON l_partkey=p_partkey JOIN supplier ON s_suppkey=sk)"
 
 
 def query_texts(spark, sf):
     s, p = A.table(spark, sf, "supplier"), A.table(spark, sf, "part")
-    return s.join(p, F.expr("p_partkey = s_suppkey")).selectExpr("s_suppkey AS query_id", "concat('about the ', s_name, ' and ', p_name, ' in NATION_', s_nationkey) AS text")
+    sold = A.table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.min("l_suppkey").alias("sk"))
+    return p.join(sold, F.expr("l_partkey = p_partkey")).join(s, F.expr("s_suppkey = sk")).selectExpr("p_partkey AS query_id", "concat('about the ', s_name, ' and ', p_name, ' in NATION_', s_nationkey) AS text")
 
 
 _STOPS = "['the','a','an','and','or','to','of','in','is','are','was','were','on','for','with','at','by','it','this','that']"
@@ -217,7 +218,7 @@ def edge_upsert(spark, sf):
     c = A.table(spark, sf, "customer")
     a = c.where("c_acctbal > 0").selectExpr("concat('n_c', c_custkey) AS src_id", "concat('n_n', c_nationkey) AS dst_id", "'member_of' AS type", "0.9D AS weight")
     b = c.selectExpr("concat('n_c', c_custkey) AS src_id", "concat('n_n', c_nationkey) AS dst_id", "'owns' AS type", "cast(null AS double) AS weight")
-    out = sinks.merge_edges(A.stored(A.edges(spark, sf)), a.union(b))
+    out = sinks.merge_edges(A.stored(A.edges(spark, sf)), a.union(b), ["weight"])
     stored = F.expr("concat('e_', substr(md5(concat_ws('|', src_id, type, dst_id)), 1, 26))")
     return out.select("src_id", "dst_id", "type", "weight", "action", (F.col("id") == stored).alias("had_id"))
 

@@ -68,13 +68,14 @@ def scan_graph_json(spark, sf):
 def node_lines(spark, sf):
     return A.table(spark, sf, "part").selectExpr(
         "CASE p_partkey % 5 WHEN 4 THEN '' ELSE to_json(named_struct('nid', concat('4:x:', p_partkey), 'labels', array('__Entity__', CASE WHEN p_partkey % 3 = 0 THEN 'Product' ELSE p_type END), "
-        "'title', CASE WHEN p_partkey % 5 = 1 THEN null ELSE p_name END, 'props', named_struct('id', p_brand, 'aliases', array(upper(p_name), p_name, ' '), 'aka', array(p_type)))) END AS line")
+        "'title', CASE WHEN p_partkey % 5 = 1 THEN null ELSE p_name END, 'props', named_struct('id', p_brand, 'aliases', array(upper(p_name), p_name, ' '), 'aka', array(p_type)))) END AS line", "p_partkey AS line_no")
 
 
 def edge_lines(spark, sf):
     return A.table(spark, sf, "lineitem").selectExpr(
         "CASE WHEN l_linenumber = 7 THEN '{broken' ELSE to_json(named_struct('rid', concat('5:', l_orderkey, ':', l_linenumber), 'type', CASE WHEN l_linenumber = 1 THEN '' ELSE l_returnflag END, "
-        "'src', concat('4:x:', l_partkey), 'dst', concat('4:y:', l_suppkey), 'weight', CASE WHEN l_linenumber = 2 THEN l_discount END, 'attrs', map())) END AS line")
+        "'src', concat('4:x:', l_partkey), 'dst', concat('4:y:', l_suppkey), 'weight', CASE WHEN l_linenumber = 2 THEN l_discount END, 'attrs', map())) END AS line",
+        "l_orderkey * 16 + l_linenumber AS line_no")
 
 
 PART_LINES = "pl AS (SELECT *, '4:x:' || p_partkey AS nid, CASE WHEN p_partkey%5=1 THEN p_brand ELSE p_name END AS title FROM part WHERE p_partkey%5<>4)"
@@ -182,10 +183,10 @@ def _imported(spark, sf):
     return L.import_nodes(D.scan_graph_ndjson(node_lines(spark, sf), "nodes"))
 
 
-@query("import_nodes", f"""WITH {PART_LINES}, s AS (SELECT DISTINCT {IMP.format("('4:x:' || l_partkey)", 'n_')} AS id FROM lineitem WHERE l_quantity > 49), i AS (SELECT {IMP.format('nid', 'n_')} AS id, CASE WHEN p_partkey%3=0 THEN 'Product' ELSE 'Other' END AS type, title FROM pl)
+@query("import_nodes", f"""WITH {PART_LINES}, s AS (SELECT DISTINCT {IMP.format("('4:x:' || l_partkey)", 'n_')} AS id FROM lineitem), i AS (SELECT {IMP.format('nid', 'n_')} AS id, CASE WHEN p_partkey%3=0 THEN 'Product' ELSE 'Other' END AS type, title FROM pl)
 SELECT coalesce(s.id,i.id) AS id, CASE WHEN s.id IS NOT NULL THEN 'Artifact' ELSE type END AS type, coalesce(title,'old') AS title, CASE WHEN s.id IS NULL THEN 'inserted' WHEN i.id IS NULL THEN 'kept' ELSE 'updated' END AS action FROM s FULL JOIN i ON s.id=i.id""")
 def import_nodes(spark, sf):
-    stored = A.table(spark, sf, "lineitem").where("l_quantity > 49").select(H.import_id("n_", F.concat(F.lit("4:x:"), "l_partkey")).alias("id")).distinct().select(
+    stored = A.table(spark, sf, "lineitem").select(H.import_id("n_", F.concat(F.lit("4:x:"), "l_partkey")).alias("id")).distinct().select(
         "id", F.lit("Artifact").alias("type"), F.lit("old").alias("title"), F.lit(0.1).alias("confidence"), F.lit("provisional").alias("status"))
     return L.import_nodes_merge(stored, _imported(spark, sf)).select("id", "type", "title", "action")
 
@@ -204,6 +205,24 @@ def import_edges(spark, sf):
     return L.import_edges(D.scan_graph_ndjson(edge_lines(spark, sf), "relations")).select("rid", "id", "src_id", "dst_id", "type", "weight")
 
 
+EDGE_ID = IMP.format("(src_id || '|' || type || '|' || dst_id)", "e_")
+
+
+# the table already holds every third part's relation to its first supplier, under an id of its own
+@query("import_edges_merge", f"""WITH {EDGE_LINES}, l AS (SELECT *, CAST(split_part(rid,':',2) AS BIGINT)*16 + CAST(split_part(rid,':',3) AS BIGINT) AS line_no FROM el),
+n AS (SELECT src_id, dst_id, type, arg_max(weight, (line_no, {EDGE_ID}, weight)) AS weight FROM l GROUP BY 1,2,3),
+s AS (SELECT 'old' || l_partkey AS id, {IMP.format("('4:x:' || l_partkey)", 'n_')} AS src_id, {IMP.format("('4:y:' || min(l_suppkey))", 'n_')} AS dst_id, 'related_to' AS type, 0.1::DOUBLE AS weight FROM lineitem WHERE l_partkey%3=0 GROUP BY l_partkey)
+SELECT coalesce(s.id, 'new') AS id, coalesce(n.src_id,s.src_id) AS src_id, coalesce(n.dst_id,s.dst_id) AS dst_id, coalesce(n.type,s.type) AS type, CASE WHEN n.src_id IS NULL THEN s.weight ELSE n.weight END AS weight,
+ CASE WHEN s.id IS NULL THEN 'inserted' WHEN n.src_id IS NULL THEN 'kept' ELSE 'updated' END AS action FROM n FULL JOIN s ON n.src_id=s.src_id AND n.dst_id=s.dst_id AND n.type=s.type""")
+def import_edges_merge(spark, sf):
+    first = A.table(spark, sf, "lineitem").where("l_partkey % 3 = 0").groupBy("l_partkey").agg(F.min("l_suppkey").alias("s"))
+    stored = first.select(
+        F.concat(F.lit("old"), "l_partkey").alias("id"), H.import_id("n_", F.concat(F.lit("4:x:"), "l_partkey")).alias("src_id"), H.import_id("n_", F.concat(F.lit("4:y:"), "s")).alias("dst_id"),
+        F.lit("related_to").alias("type"), F.lit(0.1).alias("weight"), F.lit("{}").alias("attrs_json"))
+    out = L.import_edges_merge(stored, L.import_edges(D.scan_graph_ndjson(edge_lines(spark, sf), "relations")))
+    return out.select(F.when(F.col("id").startswith("old"), F.col("id")).otherwise("new").alias("id"), "src_id", "dst_id", "type", "weight", "action")
+
+
 @query("import_orphans", f"WITH {EDGE_LINES} SELECT DISTINCT {IMP.format(chr(40) + 'src_id || ' + chr(39) + '|' + chr(39) + ' || type || ' + chr(39) + '|' + chr(39) + ' || dst_id' + chr(41), 'e_')} AS id FROM el")
 def import_orphans(spark, sf):
     return L.import_orphans(L.import_edges(D.scan_graph_ndjson(edge_lines(spark, sf), "relations")), _imported(spark, sf))
@@ -337,8 +356,8 @@ def parse_local_ts(spark, sf):
 RRULES = "CASE o_orderkey % 6 WHEN 0 THEN 'RRULE:FREQ=DAILY' WHEN 1 THEN 'RRULE:FREQ=WEEKLY' WHEN 2 THEN 'FREQ=WEEKLY;BYDAY=MO,WE' WHEN 3 THEN 'RRULE:FREQ=MONTHLY' WHEN 4 THEN 'FREQ=YEARLY' ELSE 'COUNT=3' END"
 SINCE = "DATE '1998-06-15'"
 NEXT = f"""a AS (SELECT o_orderkey AS k, o_orderkey%6 AS r, o_orderdate::DATE AS d FROM orders),
-months AS (SELECT k, d, 0 AS i FROM a WHERE r=3 UNION ALL SELECT k, ((date_trunc('month', d) + INTERVAL 1 MONTH)::DATE + (day(d)-1)::INT)::DATE, i+1 FROM months WHERE d < {SINCE} AND i < 512),
-nxt AS (SELECT a.k, CASE WHEN r=5 THEN NULL WHEN d >= {SINCE} THEN d WHEN r=0 THEN d + least(({SINCE} - d),512)::INT
+months AS (SELECT k, d, 0 AS i FROM a WHERE r=3 UNION ALL SELECT k, ((date_trunc('month', d) + INTERVAL 1 MONTH)::DATE + (day(d)-1)::INT)::DATE, i+1 FROM months WHERE d < {SINCE}),
+nxt AS (SELECT a.k, CASE WHEN r=5 THEN NULL WHEN d >= {SINCE} THEN d WHEN r=0 THEN d + ({SINCE} - d)::INT
  WHEN r=1 THEN d + 7*greatest(ceil(({SINCE} - d)/7.0),1)::INT
  WHEN r=2 THEN d + (7*greatest(ceil((({SINCE} - d) - sh)/7.0),1) + sh)::INT WHEN r=3 THEN m ELSE d END AS n
  FROM (SELECT *, CASE isodow(d) WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 0 ELSE 0 END AS sh FROM a) a LEFT JOIN (SELECT k, max(d) AS m FROM months GROUP BY 1) mm ON mm.k=a.k)"""
@@ -361,7 +380,7 @@ def payloads(spark, sf):
 
 
 REMOTE = """rem AS (SELECT o_custkey AS owner, o_orderkey AS k, 'Order ' || o_orderkey%97 AS name, 'remote,remote:my_list' || CASE WHEN o_orderkey%6=0 THEN ',recurring' ELSE '' END AS tags,
- strftime(CASE WHEN o_orderkey%6=0 AND o_orderdate < TIMESTAMP '1998-06-15' THEN least(TIMESTAMP '1998-06-15', o_orderdate + INTERVAL 512 DAY) ELSE o_orderdate END, '%Y-%m-%d') AS date, o_orderkey%3=1 AS timed, 'TID=' || lower(to_hex(o_orderkey)) AS updates, o_orderdate,
+ strftime(CASE WHEN o_orderkey%6=0 AND o_orderdate < TIMESTAMP '1998-06-15' THEN TIMESTAMP '1998-06-15' ELSE o_orderdate END, '%Y-%m-%d') AS date, o_orderkey%3=1 AS timed, 'TID=' || lower(to_hex(o_orderkey)) AS updates, o_orderdate,
  lower(to_hex(o_orderkey)) AS tid FROM orders WHERE o_orderkey%5<>0), remk AS (SELECT * FROM rem WHERE date >= '1998-06-15')"""
 
 

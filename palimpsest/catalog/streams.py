@@ -59,7 +59,7 @@ def stream_turn_trigger(spark, sf):
 SELECT session_id, chunk_ord, chars, start_ts::VARCHAR AS start_ts, md5(raw_text) AS h FROM raw_chunks JOIN lastm USING (session_id) WHERE l + INTERVAL 5 MINUTE < (SELECT max(ts) FROM messages)""")
 def stream_chunks(spark, sf):
     out = spark.read.parquet(J.run_available(J.stream_chunks(streamed_messages(spark, sf)), J.work_dir(spark, "chunks")))
-    return out.select("session_id", "chunk_ord", "chars", "start_ts", F.md5("raw_text").alias("h"))
+    return J.latest_chunks(out).select("session_id", "chunk_ord", "chars", "start_ts", F.md5("raw_text").alias("h"))
 
 
 @query("stream_near_dup", f"""WITH RECURSIVE {simhash('documents', 'doc_id', 'text')},

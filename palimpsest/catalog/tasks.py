@@ -17,12 +17,12 @@ KEY = "lower(trim(name)) || '|' || coalesce(date,'') || '|' || coalesce(start,''
 
 # requests: one per customer, by name; even customers also give a date
 REQ = """req AS (SELECT c_custkey AS req_id, c_custkey AS owner, ' ORDER ' || (c_custkey%97) AS name, CASE WHEN c_custkey%2=0 THEN '1998-0' || (1 + c_custkey%9) || '-15' END AS date FROM customer
- UNION ALL SELECT 1000000000 + o_orderkey, o_custkey, 'order ' || o_orderkey%97, CASE WHEN o_orderkey%2=0 THEN strftime(o_orderdate,'%Y-%m-%d') END FROM orders WHERE o_orderpriority='1-URGENT')"""
+ UNION ALL SELECT 1000000000 + o_orderkey, o_custkey, 'order ' || o_orderkey%97, CASE WHEN o_orderkey%2=0 THEN strftime(o_orderdate,'%Y-%m-%d') END FROM orders)"""
 
 
 def requests(spark, sf):
     c = A.table(spark, sf, "customer").selectExpr("c_custkey AS req_id", "c_custkey AS owner", "concat(' ORDER ', c_custkey % 97) AS name", "CASE WHEN c_custkey % 2 = 0 THEN concat('1998-0', 1 + c_custkey % 9, '-15') END AS date")
-    o = A.table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").selectExpr("1000000000 + o_orderkey AS req_id", "o_custkey AS owner", "concat('order ', o_orderkey % 97) AS name", "CASE WHEN o_orderkey % 2 = 0 THEN date_format(o_orderdate, 'yyyy-MM-dd') END AS date")
+    o = A.table(spark, sf, "orders").selectExpr("1000000000 + o_orderkey AS req_id", "o_custkey AS owner", "concat('order ', o_orderkey % 97) AS name", "CASE WHEN o_orderkey % 2 = 0 THEN date_format(o_orderdate, 'yyyy-MM-dd') END AS date")
     return c.union(o).withColumn("start", F.lit(None).cast("string")).withColumn("end", F.lit(None).cast("string")).withColumn("note", F.concat(F.lit("note "), (F.col("req_id") % 3).cast("string")))
 
 

@@ -80,9 +80,9 @@ def normalize_nfc(spark, sf):
     return _docs(spark, sf).select("doc_id", _h(X.normalize_nfc(F.replace("text", F.lit("é"), F.lit("é")))))
 
 
-@query("sanitize_punct", f"SELECT doc_id, md5({PUNCT_SQL.format('text')}) AS h FROM documents WHERE text NOT LIKE '%~~~%'")
+@query("sanitize_punct", f"SELECT doc_id, md5({PUNCT_SQL.format('text')}) AS h FROM documents")
 def sanitize_punct(spark, sf):
-    return _docs(spark, sf).where("text NOT LIKE '%~~~%'").select("doc_id", _h(X.sanitize_punct("text")))
+    return _docs(spark, sf).select("doc_id", _h(X.sanitize_punct("text")))
 
 
 @query("strip_fences", rf"WITH {REPLIES_SQL} SELECT id, trim(regexp_replace(text,'~~~\w+\s*\{{[\s\S]*?\}}\s*~~~','','g')) AS t FROM replies")

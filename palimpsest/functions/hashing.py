@@ -26,7 +26,7 @@ def message_hash(content, calls, call_id) -> Column:
 
 
 class _BitTable:
-    """Bit votes (+1/-1) of the bigrams seen so far, looked up by code point pair."""
+    """Bit votes (+1/-1) of the bigrams of a batch, looked up by code point pair."""
 
     def __init__(self, digest):
         self.digest = digest
@@ -42,9 +42,6 @@ class _BitTable:
             pairs = [chr(int(c) >> 32) + chr(int(c) & 0xFFFFFFFF) for c in new]
             raw = np.frombuffer(b"".join(self.digest(p.encode("utf-8", "surrogatepass")) for p in pairs), dtype=np.uint8).reshape(-1, 8)
             votes = np.unpackbits(raw, axis=1)[:, ::-1].astype(np.float64) * 2 - 1
-            if len(self.codes) > 500_000:  # bigrams of every script together stay small; this is a guard
-                self.codes, self.votes = self.codes[:0], self.votes[:0]
-                return self.rows(codes)
             order = np.argsort(np.concatenate([self.codes, new]), kind="stable")
             self.codes = np.concatenate([self.codes, new])[order]
             self.votes = np.concatenate([self.votes, votes])[order]
@@ -52,12 +49,9 @@ class _BitTable:
         return self.votes[at]
 
 
-_TABLES: dict[str, _BitTable] = {}
-
-
 def _simhash_batch(texts: pd.Series, digest) -> pd.Series:
     """64-bit similarity hashes of a batch: each distinct bigram of a text votes with its count."""
-    table = _TABLES.setdefault(digest.__name__, _BitTable(digest))
+    table = _BitTable(digest)  # as large as the distinct bigrams of the batch
     weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
     out = np.zeros(len(texts), dtype=np.uint64)
     for i, text in enumerate(texts.fillna("").to_numpy()):

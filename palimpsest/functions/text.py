@@ -42,43 +42,33 @@ def trim_ws(col) -> Column:
     return F.regexp_replace(_c(col), r"^[ \t\n\r\x00\x0B]+|[ \t\n\r\x00\x0B]+$", "")
 
 
-def _braces(depth: int) -> str:
-    pat = r"\{[^{}]*+\}"
-    for _ in range(depth - 1):
-        pat = r"\{(?:[^{}]++|" + pat + r")*+\}"
-    return pat
-
-
 @F.pandas_udf(T.StringType())
-def _mask_results_deep(texts: pd.Series) -> pd.Series:
-    """Any nesting depth: walk the braces after each marker."""
-    head = re.compile(r"function\s+result:\s*(?=\{)")
+def _mask_results(texts: pd.Series) -> pd.Series:
+    """Braces nest to any depth: each is matched once, then markers are read from left to right."""
+    head, brace = re.compile(r"function\sresult:\s*(?=\{)"), re.compile(r"[{}]")
 
     def mask(text):
+        ends, stack = {}, []
+        for m in brace.finditer(text):
+            if m.group() == "{":
+                stack.append(m.start())
+            elif stack:
+                ends[stack.pop()] = m.end()
         out, at = [], 0
         for m in head.finditer(text):
-            if m.start() < at:
-                continue
-            depth, i = 0, m.end()
-            while i < len(text):
-                depth += (text[i] == "{") - (text[i] == "}")
-                i += 1
-                if depth == 0:
-                    break
-            if depth == 0:
+            if m.start() >= at and m.end() in ends:
                 out += [text[at : m.start()], RESULT_MARK]
-                at = i
+                at = ends[m.end()]
         return "".join(out) + text[at:]
 
     return texts.map(lambda t: t if t is None else mask(t))
 
 
 def filter_function_result(col) -> Column:
-    """Replace ``function result: {...}`` with a short mark; braces may nest."""
+    """Replace ``function result: {...}`` with a short mark; braces may nest. Texts without the words stay out of Python."""
     c = _c(col)
-    shallow = F.regexp_replace(c, r"function\sresult:\s*" + _braces(6), RESULT_MARK)
-    deep = F.regexp_like(c, F.lit(r"(?s)function\sresult:.*(?:\{[^{}]*){7}"))
-    return F.when(~c.contains("result:"), c).when(deep, _mask_results_deep(F.when(deep, c))).otherwise(shallow)
+    marked = c.contains("result:")
+    return F.when(~marked, c).otherwise(_mask_results(F.when(marked, c)))
 
 
 def mask_fences(col, tags=None) -> Column:
@@ -198,18 +188,30 @@ def alias_norm(col) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
-# accents of the Latin letters in use, folded one to one for comparison keys
-_MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_BARE = "".join(unicodedata.normalize("NFD", ch)[0] for ch in _MARKED)
+# letters that compare as others without being composed of them (fixed values)
+_PLAIN_LETTERS = {"ł": "l", "ø": "o", "đ": "d", "ħ": "h", "ŧ": "t", "æ": "ae", "œ": "oe", "ı": "i"}
+
+
+@F.pandas_udf(T.StringType())
+def _fold_marks(texts: pd.Series) -> pd.Series:
+    plain = str.maketrans(_PLAIN_LETTERS)
+
+    def fold(text):
+        bare = "".join(ch for ch in unicodedata.normalize("NFD", text.casefold()) if not unicodedata.combining(ch))
+        return unicodedata.normalize("NFC", bare).translate(plain)
+
+    return texts.map(lambda t: t if t is None else fold(t))
 
 
 def alias_key(col) -> Column:
-    """Case-, accent- and trailing-blank-insensitive comparison key."""
-    return F.translate(F.lower(F.trim(_c(col))), _MARKED, _BARE)
+    """Case-, accent- and trailing-blank-insensitive comparison key; leading blanks count. Only texts beyond ASCII go through Python."""
+    c = F.rtrim(_c(col))
+    plain = F.regexp_like(c, F.lit(r"^\p{ASCII}*$"))
+    return F.when(plain, F.lower(c)).otherwise(_fold_marks(F.when(~plain, c)))
 
 
-def normalize_title(col) -> Column:
-    return F.substring(trim_ws(F.regexp_replace(_c(col), r"\s+", " ")), 1, 255)
+def normalize_title(col, length: int = 255) -> Column:
+    return F.substring(trim_ws(F.regexp_replace(_c(col), r"\s+", " ")), 1, length)
 
 
 def tokenize_cjk(col) -> Column:

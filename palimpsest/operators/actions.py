@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
 from palimpsest.operators.messages import CALLS
-from palimpsest.session import spread
 
 # --- fixed values -----------------------------------------------------------------------------------------
 FENCE = r"~~~(\w+)\s*(\{[\s\S]*?\})\s*~~~"
@@ -22,7 +21,7 @@ TASK_INTENTS = ["fetch_task", "create_task", "update_task", "delete_task", "fini
 def fence_extract(texts: DataFrame, key: str = "id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row per ``~~~tag {json}~~~`` block: (key, pos, tag, payload, ok)."""
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(FENCE), F.lit(1)).alias("t"), F.regexp_extract_all(text, F.lit(FENCE), F.lit(2)).alias("p"))
-    rows = spread(texts).where(F.col(text).contains("~~~")).select(key, *(keep or []), F.posexplode(pairs).alias("pos", "b"))
+    rows = texts.where(F.col(text).contains("~~~")).select(key, *(keep or []), F.posexplode(pairs).alias("pos", "b"))
     rows = rows.select(key, *(keep or []), "pos", F.lower("b.t").alias("tag"), X.json_lenient(F.col("b.p")).alias("payload"))
     return rows.withColumn("ok", F.col("payload").isNotNull())
 
@@ -102,6 +101,12 @@ def _lines(v) -> list[str]:
     return list(dict.fromkeys(s for s in (str(x).strip() for x in items) if s))
 
 
+def _strings(v) -> list[str]:
+    """A list of strings; anything else is a list of itself."""
+    items = [] if v is None else v if isinstance(v, list) else list(v.values()) if isinstance(v, dict) else [v]
+    return ["" if x is None else str(x) for x in items]
+
+
 def _text(v) -> str | None:
     return None if v is None else str(v)
 
@@ -140,7 +145,7 @@ class _Shelf:
         if intent == "create_task":
             time = args["time"] if isinstance(args.get("time"), dict) else args
             task = {
-                "seq": at, "name": name, "importance": _text(args.get("importance")), "tags": [str(x) for x in args["tags"]] if isinstance(args.get("tags"), list) else None,
+                "seq": at, "name": name, "importance": _text(args.get("importance")), "tags": _strings(args["tags"]) if args.get("tags") is not None else None,
                 "date": str(time.get("date") or ""), "start": _text(time.get("start")) or None, "end": _text(time.get("end")) or None, "updates": _lines(args.get("updates")),
             }
             return self.put(task), task
@@ -152,7 +157,7 @@ class _Shelf:
             if "importance" in args:
                 new["importance"] = str(args["importance"] or "")
             if "tags" in args:
-                new["tags"] = [str(x) for x in args["tags"]] if isinstance(args["tags"], list) else []
+                new["tags"] = _strings(args["tags"])
             for src in ([args["time"]] if isinstance(args.get("time"), dict) else []) + [args]:
                 for k in ("date", "start", "end"):
                     if k in src:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as X
 from palimpsest.functions.text import bound
 from palimpsest.operators.tasks import extract_tid, task_upsert
-from palimpsest.session import checkpointed, spread
+from palimpsest.session import checkpointed
 
 # --- fixed values -----------------------------------------------------------------------------------------
 WINDOWS_ZONES = {
@@ -40,7 +40,6 @@ LOCAL_ZONE = "America/New_York"
 HORIZON_DAYS = 31
 DEFAULT_IMPORTANCE = "low"
 PRIORITY = {"high": 5, "medium": 3, "low": 1}
-MAX_STEPS = 512
 ALL_DAY_HOUR = "09:00:00"
 WEEKDAYS = ["MO", "TU", "WE", "TH", "FR", "SA", "SU"]
 # -----------------------------------------------------------------------------------------------------------
@@ -98,7 +97,7 @@ def ics_events(texts: DataFrame, now: Column | None, until: Column | None, key:
     """
     joined = F.regexp_replace(col, r"(\r\n|\r|\n)[ \t]", "")
     blocks = F.regexp_extract_all(joined, F.lit(r"(?i)BEGIN:VEVENT([\s\S]*?)END:VEVENT"), F.lit(1))
-    ev = spread(texts).select(key, F.posexplode(blocks).alias("pos", "block"))
+    ev = texts.select(key, F.posexplode(blocks).alias("pos", "block"))
     out = ev.select(key, "pos", bound(F.split("block", r"\r\n|\r|\n"), lambda lines: _event(lines, default_tz)).alias("e")).select(key, "pos", "e.*")
     out = out.where("start IS NOT NULL AND end IS NOT NULL")
     if until is not None:
@@ -198,12 +197,14 @@ def _month_later(d: Column) -> Column:
     return F.date_add(first, F.dayofmonth(d) - 1)
 
 
-def rrule_next(rrule: Column, anchor: Column, since: Column, tz: Column, mode: str = "reference") -> Column:
+def rrule_next(rrule: Column, anchor: Column, since: Column, tz: Column, mode: str = "reference", max_steps: int | None = None) -> Column:
     """Next occurrence at or after ``since`` for DAILY, WEEKLY (BYDAY) and MONTHLY rules.
 
     Days and weeks are closed forms on the local clock. After a weekly step BYDAY only moves forward inside the
     week (``mode='rfc'`` visits every listed day). Months are stepped, as an overlong month shifts the day for good.
+    ``max_steps`` ends the search after so many periods, possibly before ``since``; the original stops after 512.
     """
+    upto = lambda n: n if max_steps is None else F.least(n, F.lit(max_steps))
     rule = F.regexp_replace(F.upper(rrule), "RRULE:", "")
     zone = F.coalesce(_zone(tz), F.lit(LOCAL_ZONE))
     given = F.struct(
@@ -224,13 +225,13 @@ def rrule_next(rrule: Column, anchor: Column, since: Column, tz: Column, mode: s
         g, day0, want, listed = x["g"], x["day0"], x["want"], x["listed"]
         gap, w0 = F.datediff(want, day0), F.weekday(day0)
         days = lambda n: F.date_add(day0, n.cast("int"))
-        daily = days(F.least(F.greatest(gap, F.lit(0)), F.lit(MAX_STEPS)))
+        daily = days(upto(F.greatest(gap, F.lit(0))))
         shift = F.when(g["by"] != "", F.coalesce(F.get(F.filter(listed, lambda n: n >= w0), 0) - w0, F.lit(0))).otherwise(0)
-        weekly = bound(shift, lambda s: days(F.least(F.greatest(F.ceil((gap - s) / 7), F.lit(1)), F.lit(MAX_STEPS)) * 7 + s))
+        weekly = bound(shift, lambda s: days(upto(F.greatest(F.ceil((gap - s) / 7), F.lit(1))) * 7 + s))
         if mode == "rfc":
             nearest = F.array_min(F.transform(listed, lambda n: F.date_add(want, F.pmod(n - F.weekday(want), F.lit(7)).cast("int"))))
             weekly = F.when((g["by"] != "") & (F.size(listed) > 0), nearest).otherwise(weekly)
-        months = F.least(F.greatest(F.ceil(F.months_between(want, day0)).cast("int") + 2, F.lit(1)), F.lit(MAX_STEPS))
+        months = upto(F.greatest(F.ceil(F.months_between(want, day0)).cast("int") + 2, F.lit(1)))
         monthly = F.aggregate(F.sequence(F.lit(1), months), day0, lambda d, _: F.when(d < want, _month_later(d)).otherwise(d))
         day = F.when(g["freq"] == "DAILY", daily).when(g["freq"] == "WEEKLY", weekly).when(g["freq"] == "MONTHLY", monthly).otherwise(day0)
         moved = F.to_utc_timestamp(F.timestamp_micros(F.unix_micros(day.cast("timestamp")) + x["clock"]), g["zone"])
@@ -250,7 +251,7 @@ def remote_tasks(projects: DataFrame, today: Column, col: str = "payload", owner
     """
     # one spelling of the zone key: field names are compared without case
     listed = F.regexp_replace(F.get_json_object(col, "$.tasks"), r'"timezone"\s*:', '"timeZone":')
-    t = spread(projects).select(F.col(owner).alias("owner"), F.col(seq).alias("seq"), F.get_json_object(col, "$.name").alias("project"),
+    t = projects.select(F.col(owner).alias("owner"), F.col(seq).alias("seq"), F.get_json_object(col, "$.name").alias("project"),
                         F.posexplode(F.from_json(listed, f"array<{_REMOTE}>")).alias("pos", "t"))
     t = t.where((F.coalesce(F.nullif("t.completedTime", F.lit("")), F.lit("")) == "") & (F.coalesce("t.status", F.lit(0)) == 0))
     tz = F.coalesce("t.timeZone", F.lit(local_tz))

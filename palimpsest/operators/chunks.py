@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 from palimpsest.functions import hashing as H
 from palimpsest.functions import text as X
 from palimpsest.operators.ordered import cell_scan, hour_cell
-from palimpsest.session import checkpointed, spread
+from palimpsest.session import checkpointed
 
 CHUNK_SIZE, OVERLAP, GAP_MINUTES = 200, 50, 5
-BLOCK_SENTENCES = 200_000  # sentences of one session handled by one task
+BLOCK_SENTENCES = 20_000  # sentences of one session handled by one task
 
 
 def timed_sentences(messages: DataFrame, roles: dict[str, str] | None = None, user_only: bool = True) -> DataFrame:
     """Sanitised, role-prefixed sentences with the time of their message; numbered per session."""
     rows = messages.where(F.col("role").isin("user", "assistant")) if user_only else messages
     parts = X.split_sentences(X.pre_sanitize(X.trim_ws("content")))
-    sents = spread(rows).select("session_id", "id", "ts", X.role_display("role", roles).alias("role"), F.posexplode(parts).alias("pos", "sentence"))
+    sents = rows.select("session_id", "id", "ts", X.role_display("role", roles).alias("role"), F.posexplode(parts).alias("pos", "sentence"))
     return sents.select(
         "session_id", "id", "ts", "pos", "role", F.concat_ws(": ", "role", "sentence").alias("text")
     ).withColumn("len", F.length("text"))
@@ -124,23 +124,19 @@ def slide_chunks(
 ) -> DataFrame:
     """Pack sentences greedily to ``size`` characters, then step back at least ``overlap`` characters.
 
-    Per session, in order (ts, id, pos). A session longer than ``block`` sentences is split: each block first
+    Per session, in order (ts, id, pos). A session is cut into blocks of ``block`` sentences: each block first
     maps every possible entry sentence to the sentence where its chain of chunks leaves the block; composing
     the maps gives every block its entry, and all blocks are then chunked in parallel.
     """
     numbered = checkpointed(number_sentences(sents))  # read by every step below
     blocks = _blocked(numbered, size, block)
-    hot = numbered.where(F.col("n") == block).select("session_id")  # sessions with more than ``block`` sentences
     out_schema = "session_id string, chunk_ord long, start_ts timestamp, first long, last long, chars long, raw_text string"
-    if not hot.head(1):
-        pieces = blocks.withColumn("at", F.lit(0).cast("long")).withColumn("before", F.lit(0).cast("long"))
-    else:
-        lens = blocks.join(hot, "session_id", "left_semi").select("session_id", "block", "n", "len")
-        maps = lens.groupBy("session_id", "block").applyInPandas(
-            _block_maps(size, overlap, block), "session_id string, block long, entry long, exit long, chunks long"
-        )
-        pieces = blocks.join(_block_entries(maps), ["session_id", "block"], "left")
-        pieces = pieces.where("at IS NOT NULL OR block = 0").fillna(0, ["at", "before"])
+    lens = blocks.select("session_id", "block", "n", "len")
+    # read twice: to see how many blocks there are, and to compose them
+    maps = checkpointed(
+        lens.groupBy("session_id", "block").applyInPandas(_block_maps(size, overlap, block), "session_id string, block long, entry long, exit long, chunks long")
+    )
+    pieces = blocks.join(_block_entries(maps), ["session_id", "block"])
     stamped = pieces.select("session_id", "block", "at", "before", "n", "ts", "len", "text", X.stamp_long("ts").alias("stamp"))
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -179,7 +175,8 @@ def chunk_records(chunks: DataFrame, hash: str = "blake2b", source: str = "chat"
     c = chunks.withColumn("chunk_text", X.chunk_post("raw_text", roles))
     c = c.withColumn("sim", H.simhash64("chunk_text", hash))
     return c.select(
-        F.format_string("%s_%s_%04d", F.lit(source), F.date_format("start_ts", "yyyyMMdd_HHmmss"), F.col("chunk_ord")).alias("id"),
+        # sessions may start in the same second
+        F.format_string("%s_%s_%04d_%s", F.lit(source), F.date_format("start_ts", "yyyyMMdd_HHmmss"), F.col("chunk_ord"), F.substring(F.md5("session_id"), 1, 16)).alias("id"),
         "session_id",
         "chunk_ord",
         F.date_format("start_ts", "yyyy-MM-dd'T'HH:mm:ss").alias("start_iso"),

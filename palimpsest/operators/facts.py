@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
+from palimpsest.functions.text import bound
 from palimpsest.operators.ordered import join_ordered
 from palimpsest.session import checkpointed
 
@@ -14,10 +15,10 @@ NO_FACTS = "memories: none"
 
 
 def natural_key(col) -> Column:
-    """Sort key: case-insensitive, digit runs compared as numbers."""
+    """Sort key: case-insensitive, digit runs of any length compared as numbers: by how many digits, then by the digits."""
     c = F.lower(F.col(col) if isinstance(col, str) else col)
     parts = F.regexp_extract_all(c, F.lit(r"\d+|\D+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(F.regexp_like(p, F.lit(r"^\d")), F.lpad(p, 20, "0")).otherwise(p)), "")
+    return F.array_join(F.transform(parts, lambda p: F.when(F.regexp_like(p, F.lit(r"^\d")), bound(F.regexp_replace(p, r"^0+(?=\d)", ""), lambda n: F.concat(F.lpad(F.length(n).cast("string"), 10, "0"), n))).otherwise(p)), "")
 
 
 def facts_list(facts: DataFrame) -> DataFrame:

@@ -259,25 +259,25 @@ def weight_text(w: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.format_string("%.2f", w.cast("double")), r"0+$", ""), r"\.$", "")
 
 
-def render_pack(queries: DataFrame, nodes: DataFrame, edges: DataFrame, seeds: DataFrame, days: int = WINDOW_DAYS, hop: int = HOP) -> DataFrame:
+def render_pack(queries: DataFrame, nodes: DataFrame, edges: DataFrame, seeds: DataFrame, days: int = WINDOW_DAYS, hop: int = HOP, max_facts: int = MAX_FACTS, max_relations: int = MAX_RELATIONS) -> DataFrame:
     """One text block per query: seeds, facts, relations by type, footer; repeated lines are dropped.
 
-    ``nodes`` carries ``rank``; ``edges`` holds only edges between these nodes. Ellipses follow the 60th fact and the 30th relation.
+    ``nodes`` carries ``rank``; ``edges`` holds only edges between these nodes. Ellipses follow the last fact and relation shown.
     """
     n = nodes.select("query_id", "node_id", "rank", "type", "title", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
     is_seed = n.join(seeds.select("query_id", "node_id").distinct(), ["query_id", "node_id"], "left_semi")
     seed_line = is_seed.groupBy("query_id").agg(join_ordered("title", ["rank"], "; ").alias("t"))
     fact = F.format_string("- %s %s (conf=%.2f)", "type", "title", "confidence")
-    facts = n.where(F.col("rank") <= MAX_FACTS).withColumn("line", fact).select("query_id", F.lit(2).alias("s"), F.col("rank").cast("long").alias("i"), F.lit(1).alias("j"), "line")
-    dots = n.where(F.col("rank") == MAX_FACTS).select("query_id", F.lit(2).alias("s"), F.lit(MAX_FACTS + 1).cast("long").alias("i"), F.lit(1).alias("j"), F.lit("...").alias("line"))
+    facts = n.where(F.col("rank") <= max_facts).withColumn("line", fact).select("query_id", F.lit(2).alias("s"), F.col("rank").cast("long").alias("i"), F.lit(1).alias("j"), "line")
+    dots = n.where(F.col("rank") == max_facts).select("query_id", F.lit(2).alias("s"), F.lit(max_facts + 1).cast("long").alias("i"), F.lit(1).alias("j"), F.lit("...").alias("line"))
     titles = n.select("query_id", "node_id", "title")
     named = edges.join(titles.select("query_id", F.col("node_id").alias("src_id"), F.col("title").alias("st")), ["query_id", "src_id"]).join(
         titles.select("query_id", F.col("node_id").alias("dst_id"), F.col("title").alias("dt")), ["query_id", "dst_id"])
-    rel = top_per_key(named, ["query_id"], ["type", F.desc("weight"), "st", "dt", "id"], MAX_RELATIONS, rank="r")
+    rel = top_per_key(named, ["query_id"], ["type", F.desc("weight"), "st", "dt", "id"], max_relations, rank="r")
     rel_line = F.format_string("  • %s → %s (w=%s)", "st", "dt", weight_text(F.col("weight")))
     rels = rel.select("query_id", F.lit(4).alias("s"), F.col("r").cast("long").alias("i"), F.lit(1).alias("j"), rel_line.alias("line"))
     heads = rel.groupBy("query_id", "type").agg(F.min("r").cast("long").alias("i")).select("query_id", F.lit(4).alias("s"), "i", F.lit(0).alias("j"), F.format_string("- %s:", "type").alias("line"))
-    rdots = rel.where(F.col("r") == MAX_RELATIONS).select("query_id", F.lit(5).alias("s"), F.lit(0).cast("long").alias("i"), F.lit(0).alias("j"), F.lit("...").alias("line"))
+    rdots = rel.where(F.col("r") == max_relations).select("query_id", F.lit(5).alias("s"), F.lit(0).cast("long").alias("i"), F.lit(0).alias("j"), F.lit("...").alias("line"))
     q = queries.select("query_id").distinct()
     fixed = lambda s, line: q.select("query_id", F.lit(s).alias("s"), F.lit(0).cast("long").alias("i"), F.lit(0).alias("j"), F.lit(line).alias("line"))
     seeds_l = q.join(seed_line, "query_id", "left").select("query_id", F.lit(0).alias("s"), F.lit(1).cast("long").alias("i"), F.lit(0).alias("j"), F.concat(F.lit("Seeds: "), F.coalesce("t", F.lit("(none)"))).alias("line"))

@@ -86,7 +86,7 @@ def import_type(labels) -> Column:
 
 
 def import_nodes(lines: DataFrame) -> DataFrame:
-    """Node lines as node rows, with their candidate aliases; the last line per id wins."""
+    """Node lines as node rows, with their candidate aliases and ``line_no``, the order in which they stand."""
     z = lambda c: F.nullif(F.col(c), F.lit(""))
     tail = F.concat(F.coalesce(F.get("labels", 0), F.lit("Entity")), F.lit("#"), F.right("nid", F.lit(6)))
     title = F.coalesce(z("title"), z("props.name"), z("props.id"), tail)
@@ -95,19 +95,23 @@ def import_nodes(lines: DataFrame) -> DataFrame:
                       F.when(F.col("props.id").isNotNull(), F.array("props.id")).otherwise(none), F.array(title))
     return lines.select(
         H.import_id("n_", "nid").alias("id"), import_type(F.coalesce("labels", none)).alias("type"), F.substring(title, 1, 255).alias("title"),
-        F.lit(IMPORT_CONFIDENCE).alias("confidence"), F.lit(IMPORT_STATUS).alias("status"), listed.alias("aliases"),
+        F.lit(IMPORT_CONFIDENCE).alias("confidence"), F.lit(IMPORT_STATUS).alias("status"), listed.alias("aliases"), "line_no",
     )
 
 
 def import_nodes_merge(stored: DataFrame, imported: DataFrame) -> DataFrame:
-    """Upsert of imported nodes; the type of a stored node stays."""
-    return upsert(stored.select("id", "type", "title", "confidence", "status"), imported.select("id", "type", "title", "confidence", "status").dropDuplicates(["id"]), ["id"], keep=["type"])
+    """Upsert of imported nodes: the last line of a node wins; the type of a stored node stays."""
+    return upsert(stored.select("id", "type", "title", "confidence", "status"), imported.select("id", "type", "title", "confidence", "status", "line_no"), ["id"], ["line_no"], keep=["type"])
 
 
 def import_aliases(imported: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """Aliases of imported nodes, unique by case: the last spelling at the first position; known ids are skipped."""
-    rows = imported.select(F.col("id").alias("node_id"), F.posexplode("aliases").alias("pos", "a")).withColumn("a", X.trim_ws("a")).where("a <> ''")
-    rows = rows.groupBy("node_id", F.lower("a").alias("_k")).agg(F.max_by("a", "pos").alias("alias"), F.min("pos").alias("pos"))
+    """Aliases of imported nodes, unique by case: the last spelling at the first position; known ids are skipped.
+
+    Several lines of a node count in the order of the lines.
+    """
+    rows = imported.select(F.col("id").alias("node_id"), "line_no", F.posexplode("aliases").alias("pos", "a")).withColumn("a", X.trim_ws("a")).where("a <> ''")
+    place = F.struct("line_no", "pos")
+    rows = rows.groupBy("node_id", F.lower("a").alias("_k")).agg(F.max_by("a", place).alias("alias"), F.min(place)["pos"].alias("pos"))
     out = rows.select(
         H.import_id("a_", F.concat_ws("|", "node_id", F.lower("alias"))).alias("id"), "node_id", F.substring("alias", 1, 255).alias("alias"), F.lit("import").alias("source"),
         F.lit(1.0).alias("weight"), "pos",
@@ -121,10 +125,16 @@ def import_edges(lines: DataFrame) -> DataFrame:
     kind = F.coalesce(F.nullif("type", F.lit("")), F.lit(IMPORT_RELATION))
     return lines.select(
         H.import_id("e_", F.concat_ws("|", src, kind, dst)).alias("id"), src.alias("src_id"), dst.alias("dst_id"), kind.alias("type"),
-        F.coalesce("weight", F.lit(IMPORT_WEIGHT)).alias("weight"), F.to_json("attrs").alias("attrs_json"), F.col("rid"),
+        F.coalesce("weight", F.lit(IMPORT_WEIGHT)).alias("weight"), F.to_json("attrs").alias("attrs_json"), F.col("rid"), F.col("line_no"),
     )
 
 
+def import_edges_merge(stored: DataFrame, imported: DataFrame) -> DataFrame:
+    """Upsert of imported edges on (src_id, dst_id, type): the last line wins, a stored edge keeps its id."""
+    cols = ["id", "src_id", "dst_id", "type", "weight", "attrs_json"]
+    return upsert(stored.select(*cols), imported.select(*cols, "line_no"), ["src_id", "dst_id", "type"], ["line_no"], keep=["id"])
+
+
 def import_orphans(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Imported edges with an end that is no node."""
     ids = nodes.select("id")
@@ -137,7 +147,7 @@ def relation_profile(edges: DataFrame) -> DataFrame:
     return edges.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count("weight").alias("weighted"))
 
 
-def alias_candidates(nodes: DataFrame, aliases: DataFrame, limit: int | None = 500, only_missing: bool = True, source: str = "assistant") -> DataFrame:
+def alias_candidates(nodes: DataFrame, aliases: DataFrame, limit: int | None = None, only_missing: bool = True, source: str = "assistant") -> DataFrame:
     """Nodes to name: not tasks, without aliases of the source, oldest first."""
     rows = nodes.where("type <> 'Task'")
     if only_missing:

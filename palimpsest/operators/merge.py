@@ -8,15 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """Insert or overwrite by key; the last row per key of the batch wins; ``keep`` columns stay as stored."""
+def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Insert or overwrite by key; the row of the batch that is last in ``order`` wins; ``keep`` columns stay as stored.
+
+    Rows that tie in ``order`` are settled by their values, so the outcome does not depend on how the batch is read.
+    """
     cols = [c for c in target.columns if c not in keys]
-    last = batch
-    if order:
-        packed = F.max_by(F.struct(*[F.col(c) for c in cols]), F.struct(*order)).alias("_v")
-        last = batch.groupBy(*keys).agg(packed)
-    else:
-        last = batch.select(*keys, F.struct(*cols).alias("_v"))
+    value = F.struct(*[F.col(c) for c in cols])
+    last = batch.groupBy(*keys).agg(F.max_by(value, F.struct(*order, *[c for c in cols if c not in order])).alias("_v"))
     old = target.select(*keys, F.struct(*cols).alias("_o"))
     both = old.join(last, list(keys), "full_outer")
 

@@ -140,9 +140,9 @@ def task_bucket(today, date="date") -> Column:
     return F.when(d < t, "past").when(d <= F.date_add(t, PRESENT_DAYS), "present").otherwise("future")
 
 
-def task_digest(tasks: DataFrame, today, style: str = "v2") -> DataFrame:
+def task_digest(tasks: DataFrame, today, style: str = "v2", caps: dict[str, int] | None = None) -> DataFrame:
     """One text per owner: past and future by name, present in full; capped per section."""
-    caps = CAPS if style == "v2" else CAPS_V1
+    caps = caps or (CAPS if style == "v2" else CAPS_V1)
     d, s = F.nullif("date", F.lit("")), F.nullif("start", F.lit(""))
     order = [F.when(d.isNull(), "~").otherwise(d), F.when(d.isNull(), "").otherwise(F.coalesce("start", F.lit("00:00"))), "seq"]
     rows = tasks.withColumn("bucket", task_bucket(today))

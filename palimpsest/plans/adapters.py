@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.session import checkpointed, spread
+from palimpsest.session import checkpointed
 
 MICROS_2024 = 1704067200000000
 
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.select(*[F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in df.dtypes])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly. The given tables come as single files, which a scan reads in one task; operators never do this."""
+    return df if df.isStreaming else df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """A derived table as a stored one, as a graph's tables are: written once, then only scanned."""
     return checkpointed(df)
@@ -23,7 +28,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conversations`` as a message log; gaps inside a session grow by a minute per turn."""
-    return table(spark, sf_dir, "conversations").select(
+    return spread(table(spark, sf_dir, "conversations")).select(
         F.expr("conv_id * 1000 + turn + 1").alias("id"),
         F.expr("lpad(cast(conv_id AS string), 26, '0')").alias("session_id"),
         F.expr(f"timestamp_micros({MICROS_2024} + conv_id * 3600000000 + (turn * (turn + 1) div 2) * 60000000)").alias("ts"),

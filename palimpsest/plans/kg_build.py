@@ -9,12 +9,12 @@ from palimpsest.functions import rules as R
 from palimpsest.functions import text as X
 from palimpsest.operators import detection as D
 from palimpsest.operators import linking as L
-from palimpsest.session import checkpointed, spread
+from palimpsest.session import checkpointed
 
 
 def detection_rows(detections: DataFrame, col: str = "det_json") -> tuple[DataFrame, DataFrame]:
     """(entity rows, slot rows) of the valid detections, clamped to the allow-lists."""
-    rows = spread(detections).select("session_id", "msg_id", R.clean_detection(col).alias("det"))
+    rows = detections.select("session_id", "msg_id", R.clean_detection(col).alias("det"))
     rows = checkpointed(rows).where("det IS NOT NULL")  # parsed once, read by linking and by edge creation
     ents = D.entity_rows(rows, F.col("det.entities"), ["session_id", "msg_id"])
     return ents, rows.select("msg_id", F.col("det.slots")["deadline"].alias("deadline"))

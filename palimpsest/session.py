@@ -50,20 +50,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-SMALL_BYTES = 256 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a small input out to all cores before heavy per-row work.
-
-    Small means an estimate below 256 MB, which a scan may read as one or two partitions; a large input is left alone.
-    """
-    if df.isStreaming:
-        return df
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, which need not share the driver's folder or path."""
     sc = spark.sparkContext

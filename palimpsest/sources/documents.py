@@ -21,7 +21,10 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.col("value").alias("line"))
+    """One row per line with ``line_no``, which rises along each file, and from file to file by path."""
+    rows = spark.read.text(path)
+    # ids rise along a split; splits follow each other by file and start
+    return rows.select(F.col("value").alias("line"), F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at")).alias("line_no"))
 
 
 def _clean(col: str):
@@ -59,9 +62,10 @@ def scan_graph_json(docs: DataFrame, kind: str, col: str = "text") -> DataFrame:
 
 
 def scan_graph_ndjson(lines: DataFrame, kind: str, col: str = "line") -> DataFrame:
-    """Node or relation lines; blank, broken and key-less lines are skipped."""
+    """Node or relation lines; blank, broken and key-less lines are skipped. The order of lines, ``line_no``, is kept if given."""
     schema = {"nodes": NODE_LINE, "relations": EDGE_LINE}[kind]
-    rows = lines.where(X.trim_ws(col) != "").select(F.from_json(col, schema).alias("r")).select("r.*")
+    kept = [c for c in lines.columns if c == "line_no"]
+    rows = lines.where(X.trim_ws(col) != "").select(F.from_json(col, schema).alias("r"), *kept).select("r.*", *kept)
     has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     return rows.where(has("nid")) if kind == "nodes" else rows.where(has("rid") & has("src") & has("dst"))
 

@@ -9,8 +9,11 @@ from palimpsest.functions.hashing import message_hash
 from palimpsest.operators.ordered import first_per_key
 
 
-def read_messages_jdbc(spark: SparkSession, url: str, table: str = "messages", key: str = "id", lower: int = 0, upper: int = 1 << 40, parts: int = 64, **options) -> DataFrame:
-    """A live database table, read in parallel id ranges."""
+def read_messages_jdbc(spark: SparkSession, url: str, *, lower: int, upper: int, table: str = "messages", key: str = "id", parts: int = 64, **options) -> DataFrame:
+    """A live database table, read in parallel id ranges between the least and the greatest id, which the caller states.
+
+    Rows outside the bounds are read too, by the first and the last task.
+    """
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=str(lower), upperBound=str(upper), numPartitions=str(parts))
     return reader.options(**options).load()
 

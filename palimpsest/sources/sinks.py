@@ -9,7 +9,7 @@ from palimpsest.functions.hashing import det_id
 from palimpsest.operators.merge import upsert
 
 
-def merge_chunks(stored: DataFrame, batch: DataFrame, order: list[str] | None = None) -> DataFrame:
+def merge_chunks(stored: DataFrame, batch: DataFrame, order: list[str]) -> DataFrame:
     """Chunk records after an upsert by id."""
     return upsert(stored, batch, ["id"], order)
 
@@ -23,12 +23,12 @@ def chunk_sink(path_of_batch, path_of_store: str | None = None):
     return write
 
 
-def merge_edges(stored: DataFrame, batch: DataFrame, order: list[str] | None = None, default_weight: float = 0.7) -> DataFrame:
+def merge_edges(stored: DataFrame, batch: DataFrame, order: list[str], default_weight: float = 0.7) -> DataFrame:
     """Edges after insert-or-update on (src, dst, type); a stored edge keeps its id."""
     new = batch.withColumn("weight", F.coalesce("weight", F.lit(default_weight)))
     if "id" not in new.columns:
         new = new.withColumn("id", det_id("e_", "src_id", "dst_id", "type"))
-    return upsert(stored, new.select(*stored.columns, *(order or [])), ["src_id", "dst_id", "type"], order, keep=["id"])
+    return upsert(stored, new.select(*stored.columns, *[c for c in order if c not in stored.columns]), ["src_id", "dst_id", "type"], order, keep=["id"])
 
 
 def append_rows(stored: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:

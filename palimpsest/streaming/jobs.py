@@ -54,9 +54,10 @@ def stream_messages(log: DataFrame, delay: str = "1 hour") -> DataFrame:
     return log.where(F.col("role").isin("user", "assistant") & ~F.col("is_summary")).withWatermark("ts", delay)
 
 
-def stream_dedupe(log: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drop repeats of (session, role, hash) that arrive within the watermark."""
-    return with_hash(log).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["session_id", "role", "content_hash"])
+def stream_dedupe(log: DataFrame, delay: str | None = None) -> DataFrame:
+    """Drop repeats of (session, role, hash). With ``delay`` only those that arrive within the watermark, for less state."""
+    key = ["session_id", "role", "content_hash"]
+    return with_hash(log).withWatermark("ts", delay).dropDuplicatesWithinWatermark(key) if delay else with_hash(log).dropDuplicates(key)
 
 
 def stream_groups(log: DataFrame, gap_minutes: int = 5, delay: str = "0 seconds") -> DataFrame:
@@ -88,7 +89,8 @@ _CHUNK = "session_id string, chunk_ord long, start_ts timestamp, chars long, raw
 
 def stream_chunks(log: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP, gap_minutes: int = GAP_MINUTES, delay: str = "0 seconds", idle_minutes: int = 5) -> DataFrame:
     """Sliding chunks with carry-over. Sentences wait until the watermark has passed them (so late rows still
-    fall into place); chunks that cannot grow are emitted; a session idle for ``idle_minutes`` closes its tail."""
+    fall into place); chunks that cannot grow are emitted. A session idle for ``idle_minutes`` shows its tail, which stays in
+    the state: if the session goes on, the chunk comes again under its number. ``latest_chunks`` keeps the last of each."""
     sents = timed_sentences(log.withWatermark("ts", delay)).withColumn("stamp", X.stamp_long("ts"))
 
     def step(key, pdfs, state):
@@ -111,14 +113,14 @@ def stream_chunks(log: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP
                 late = [k == 0 or part[k][0] - part[k - 1][0] >= gap_minutes * 60_000_000 for k in range(len(part))]
                 text = "\n".join(f"{r[4]} {r[3]}" if up else r[3] for r, up in zip(part, late))
                 out.append((key[0], number, pd.Timestamp(part[0][0], unit="us"), sum(len(r[3]) for r in part), text))
+                if j >= ready:
+                    break  # the open tail
                 number += 1
-                i = ready if j >= ready else int(nexts[i])
+                i = int(nexts[i])
         rows = rows[i:]
-        if closing and not rows:
-            state.remove()
-        else:
-            mark = max([mark, *[r[0] for r in rows]])
-            state.update((number, json.dumps(rows), mark))
+        mark = max([mark, *[r[0] for r in rows]])
+        state.update((number, json.dumps(rows), mark))
+        if not closing:
             state.setTimeoutTimestamp(max(mark // 1000 + idle_minutes * 60_000, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=["session_id", "chunk_ord", "start_ts", "chars", "raw_text"])
@@ -127,6 +129,13 @@ def stream_chunks(log: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP
     return cols.groupBy("session_id").applyInPandasWithState(step, _CHUNK, "number long, rows string, mark long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def latest_chunks(chunks: DataFrame) -> DataFrame:
+    """Of the chunks shown under one number the longest: a tail only grows."""
+    rest = [c for c in chunks.columns if c not in ("session_id", "chunk_ord")]
+    grown = chunks.groupBy("session_id", "chunk_ord").agg(F.max_by(F.struct(*rest), "chars").alias("v"))
+    return grown.select("session_id", "chunk_ord", "v.*").select(*chunks.columns)
+
+
 def near_dup_writer(store: str, sim: str = "sim", order: tuple[str, ...] = ("id",)):
     """foreachBatch writer: drop records near a stored one or an earlier one of the batch, store the rest.
 

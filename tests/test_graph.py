@@ -71,15 +71,15 @@ def test_promotion_never_goes_back(spark):
 def test_edge_merge_keeps_id_and_is_idempotent(spark):
     old = spark.createDataFrame([("e1", "a", "b", "t", 0.2)], "id string, src_id string, dst_id string, type string, weight double")
     new = spark.createDataFrame([("a", "b", "t", 0.9), ("a", "c", "t", None)], "src_id string, dst_id string, type string, weight double")
-    once = sinks.merge_edges(old, new)
+    once = sinks.merge_edges(old, new, ["weight"])
     assert sorted((r.dst_id, r.weight, r.action) for r in once.collect()) == [("b", 0.9, "updated"), ("c", 0.7, "inserted")]
     assert once.where("dst_id = 'b'").first().id == "e1"
-    twice = sinks.merge_edges(once.select(*old.columns), new)
+    twice = sinks.merge_edges(once.select(*old.columns), new, ["weight"])
     assert sorted(map(str, twice.drop("action").collect())) == sorted(map(str, once.drop("action").collect()))
 
 
 def test_import_alias_spelling_and_place(spark):
-    imp = spark.createDataFrame([("n1", ["Bob", " ann", "BOB", ""])], "id string, aliases array<string>")
+    imp = spark.createDataFrame([("n1", ["Bob", " ann", "BOB", ""], 1)], "id string, aliases array<string>, line_no long")
     assert [(r.alias, r.pos) for r in GL.import_aliases(imp).orderBy("pos").collect()] == [("BOB", 0), ("ann", 1)]
 
 

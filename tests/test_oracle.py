@@ -21,19 +21,21 @@ def duck():
 
 
 CORE = (
-    "scan_messages sink_messages persist_plan client_delta last_k_turns group_stamps budget_pack split_sentences concat_roles simhash64 slide_chunks chunk_run "
+    "scan_messages sink_messages persist_plan client_delta last_k_turns group_stamps budget_pack split_sentences concat_roles simhash64 slide_chunks slide_chunks_blocks chunk_run "
     "dedupe_near vector_topk select_hits unpack_transcript alias_search khop_expand bridge_nodes render_pack intent_label entities_v0 det_coerce link_entities kg_build "
-    "memory_pack_batch sync_nodes sync_edges import_aliases alias_backfill task_upsert task_finish task_digest facts_apply fence_extract interest_extract ics_events "
+    "memory_pack_batch sync_nodes sync_edges import_nodes import_aliases import_edges_merge alias_backfill task_upsert task_finish task_digest facts_apply fence_extract interest_extract ics_events "
     "events_to_tasks rrule_next remote_reconcile stream_chunks stream_kg"
 ).split()
-NAMES = sorted(QUERIES) if os.environ.get("PALIMPSEST_ALL") else CORE
+WITHOUT = {"actions_apply"}
+NAMES = sorted(set(QUERIES) - WITHOUT) if os.environ.get("PALIMPSEST_ALL") else CORE
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, duck, name):
-    ok, info = compare(spark, duck, name, SF)
-    assert ok or info.startswith("empty"), info
+    assert name in ORACLES, "held against replayed cases in test_tasks.py and test_limits.py only"
+    ok, info = compare(spark, duck, name, SF)  # an empty oracle is a failure
+    assert ok, info
 
 
 def test_oracles_belong_to_queries():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) - set(ORACLES) == WITHOUT and set(ORACLES) <= set(QUERIES)

@@ -30,11 +30,36 @@ def test_chunks(spark, parts):
     schema = spark.read.parquet(parts).schema
     log = J.stream_table(spark, parts, schema, per_trigger=1)
     out = J.run_available(J.stream_chunks(log), J.work_dir(spark, "t"))
-    got = spark.read.parquet(out).where("session_id <> 'end'").select("session_id", "chunk_ord", "chars", "raw_text")
+    got = J.latest_chunks(spark.read.parquet(out)).where("session_id <> 'end'").select("session_id", "chunk_ord", "chars", "raw_text")
     want = C.slide_chunks(C.timed_sentences(A.messages(spark, SF))).select(got.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_chunks_after_a_pause(spark, tmp_path):
+    """A session rests longer than the idle time, twice; its chunks are those of the whole log."""
+    rows = [(i, "s", f"2024-01-01 0{h}:0{m}:00", "user", f"Sentence {i} of part {h}. And one more {'x' * (i * 7 % 40)}.", False) for i, (h, m) in enumerate((h, m) for h in (1, 4, 8) for m in range(4))]
+    # another session's rows move the watermark while this one rests
+    rows += [(100 + h, "clock", f"2024-01-01 0{h}:30:00", "user", "tick.", False) for h in (2, 3, 5, 6)] + [(999, "clock", "2030-01-01 00:00:00", "user", "end.", False)]
+    log = spark.createDataFrame(rows, "id long, session_id string, ts string, role string, content string, is_summary boolean").withColumn("ts", F.col("ts").cast("timestamp"))
+    src = str(tmp_path / "in")
+    for hour in (1, 2, 3, 4, 5, 6, 8, 0):
+        log.where(F.hour("ts") == hour).coalesce(1).write.mode("append").parquet(src)
+    shown = spark.read.parquet(J.run_available(J.stream_chunks(J.stream_table(spark, src, log.schema, per_trigger=1), 120, 30), J.work_dir(spark, "t"))).where("session_id = 's'")
+    got = J.latest_chunks(shown)
+    want = C.slide_chunks(C.timed_sentences(log.where("session_id = 's'")), 120, 30).select(got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert shown.count() > got.count()  # an open tail was shown before it grew
+
+
+def test_repeats_long_after_the_watermark(spark, tmp_path):
+    rows = A.messages(spark, SF).limit(20)
+    src = str(tmp_path / "in")
+    rows.coalesce(1).write.parquet(src)
+    rows.withColumn("ts", F.col("ts") + F.expr("INTERVAL 9 HOURS")).coalesce(1).write.mode("append").parquet(src)
+    out = J.run_available(J.stream_dedupe(J.stream_table(spark, src, rows.schema, per_trigger=1)), J.work_dir(spark, "t"))
+    assert spark.read.parquet(out).count() == rows.select("session_id", "role", "content").distinct().count()
+
+
 def test_turns_and_groups(spark, parts):
     schema = spark.read.parquet(parts).schema
     read = lambda: J.stream_table(spark, parts, schema, per_trigger=1)
