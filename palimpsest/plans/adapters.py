@@ -200,7 +200,7 @@ def reply_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ELSE 'no block here' END"
     )
     return (
-        table(spark, sf_dir, "orders")
+        spread(table(spark, sf_dir, "orders"))
         .selectExpr(
             "o_orderkey", "o_custkey AS owner", "concat('Order ', o_orderkey % 97) AS name", "date_format(o_orderdate, 'yyyy-MM-dd') AS d",
             "lower(substr(o_orderpriority, 3)) AS imp",
