@@ -59,7 +59,7 @@ def text_model(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np
                     counts[name] = counts.get(name, 0) + np.bincount(key[of == name], minlength=1 << BITS)
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c.astype("<i8").tobytes() for c in counts.values()], pa.binary())], names=["lang", "counts"])
 
-    rows = sorted((r["lang"], np.frombuffer(r["counts"], "<i8")) for r in texts.coalesce(1).mapInArrow(run, "lang string, counts binary").collect())
+    rows = sorted((r["lang"], np.frombuffer(r["counts"], "<i8")) for r in texts.repartition(1).mapInArrow(run, "lang string, counts binary").collect())
     counts = np.array([c for _, c in rows], float).reshape(len(rows), 1 << BITS) + 0.5
     return [name for name, _ in rows], np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 

@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[flo
         bias, model = fit(texts, data["quality"].to_numpy() if table else np.empty(0))
         yield pa.RecordBatch.from_arrays([pa.array([bias]), pa.array([model.tobytes()], pa.binary())], names=["bias", "model"])
 
-    got = rows.coalesce(1).mapInArrow(run, "bias double, model binary").first()
+    got = rows.repartition(1).mapInArrow(run, "bias double, model binary").first()
     if got is None:  # no labelled row, no task
         return 0.0, np.zeros((WIDTH, RANK + 1), np.float32)
     return got["bias"], np.frombuffer(got["model"], np.float32).reshape(WIDTH, -1)
