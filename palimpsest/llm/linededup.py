@@ -158,6 +158,22 @@ def _banded(pairs: list[tuple[bytes, bytes]], m: np.ndarray, n: np.ndarray, t: i
     return distance <= t
 
 
+def similar_lines(left: list[bytes], right: list[bytes] | None, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs of two lists of lines, or within one, that ``within`` finds near.
+
+    An edit changes at most two counts of bytes by one each; pairs whose counts differ by more are not compared.
+    """
+    lines = left + (right or [])
+    counts = np.array([np.bincount(np.frombuffer(x, np.uint8) & 0x3F, minlength=64) for x in lines], np.int32)
+    a = counts[: len(left)]
+    b = counts if right is None else counts[len(left) :]
+    i, j = np.nonzero(np.stack([np.abs(row - b).sum(axis=1) <= 2 * threshold for row in a]))
+    if right is None:
+        i, j = i[i < j], j[i < j]
+    near = within([left[k] for k in i.tolist()], [(left if right is None else right)[k] for k in j.tolist()], threshold)
+    return i[near], j[near]
+
+
 def _near(pairs: DataFrame, threshold: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +214,7 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, least_words: int
         left, right = (texts.select(F.col("node").alias(x), F.col("bytes").alias(f"bytes_{x}")) for x in "ab")
         return _near(pairs.join(left, "a").join(right, "b"), threshold)
 
-    roots, _ = stars.linked(members, verify)
+    roots, _ = stars.linked(members, verify, texts.withColumnRenamed("bytes", "payload"), lambda x, y: similar_lines(x, y, threshold))
     roots = roots.withColumnRenamed("node", "line")
     classed = lines.join(roots, "line", "left").select("doc_id", "text_key", "number", F.coalesce("root", "line").alias("class"))
     first = classed.groupBy("class").agg(F.min(F.struct("doc_id", "text_key", "number")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")

@@ -122,6 +122,32 @@ def _similar(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+COLUMNS = 8192
+
+
+def similar_sets(left: list[bytes], right: list[bytes] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all similar pairs of two lists of sets, or within one: intersections as a product of 0/1 matrices."""
+    whole = right is None
+    sets = [np.frombuffer(s, np.uint64) for s in (left if whole else left + right)]
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = count[column] > 1  # the others add nothing to any intersection
+    owner, column = owner[common], np.unique(column[common], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    n = len(left)
+    both = np.zeros((n, len(sets) - (0 if whole else n)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[owner[a:b], column[a:b] - at] = 1
+        both += part[:n] @ (part if whole else part[n:]).T
+    union = sizes[:n, None] + (sizes if whole else sizes[n:])[None, :] - both
+    found = 100 * both >= percent * union
+    return np.nonzero(np.triu(found, 1) if whole else found)
+
+
 def _sets(texts: DataFrame, size: int) -> DataFrame:
     """(node, set): the sorted distinct shingles of each text as bytes."""
 
@@ -161,7 +187,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, ro
         near = _agreeing(_with_both(pairs, nodes, "signature"), least).distinct()
         return _similar(_with_both(written(near, "near"), sets, "set"), percent).distinct()
 
-    roots, _ = stars.linked(members, verify)
+    roots, _ = stars.linked(members, verify, sets.withColumnRenamed("set", "payload"), lambda x, y: similar_sets(x, y, percent))
     out = signed.join(groups, ["low", "high", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
     out = out.join(roots, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "node", "doc_id"))

@@ -124,24 +124,50 @@ def test_components(spark):
     assert stars.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_hubs_lose_no_component(spark):
+@pytest.mark.parametrize("block", [2, 7, 1000])
+def test_hubs_and_blocks_lose_no_component(spark, block):
     """Large buckets whose links form chains, pairs and nothing: far from a star around the first node."""
-    members = [(1, n) for n in range(40)] + [(2, n) for n in range(30, 60)] + [(3, n) for n in range(60, 63)]
-    truth = {(n, n + 7) for n in range(0, 33, 2)} | {(n, n + 1) for n in range(40, 55)} | {(60, 62)}
-    seen = []
+    members = [(1, n) for n in range(40)] + [(2, n) for n in range(30, 60)] + [(3, n) for n in range(60, 63)] + [(4, n) for n in range(200, 260)]
+    truth = {(n, n + 7) for n in range(0, 33, 2)} | {(n, n + 1) for n in range(40, 55)} | {(60, 62), (61, 62)}
+    truth |= {(200, n) for n in range(201, 240)} | {(230, 250), (251, 252)}
 
     def verify(pairs):
-        found = [(r.a, r.b) for r in pairs.collect()]
-        seen.extend(found)
-        return spark.createDataFrame([p for p in found if p in truth], "a long, b long")
+        return spark.createDataFrame([(r.a, r.b) for r in pairs.collect() if (r.a, r.b) in truth], "a long, b long")
 
-    roots, _ = stars.linked(spark.createDataFrame(members, "bucket long, node long"), verify)
+    def similar(left, right):
+        pairs = [(i, j) for i, x in enumerate(left) for j, y in enumerate(right or left) if (min(x, y), max(x, y)) in truth and (right or i < j)]
+        return tuple(np.array([p[k] for p in pairs], int) for k in (0, 1))
+
+    payload = spark.createDataFrame([(n, n) for n in range(300)], "node long, payload long")
+    roots, _ = stars.linked(spark.createDataFrame(members, "bucket long, node long"), verify, payload, similar, block=block)
     got = {r.node: r.root for r in roots.collect()}
     want = Union()
     for a, b in truth:
-        if any({a, b} <= {n for k, n in members if k == bucket} for bucket in (1, 2, 3)):
+        if any({a, b} <= {n for k, n in members if k == bucket} for bucket in range(1, 5)):
             want.join(a, b)
-    assert got == {n: want.find(n) for n in want} and len(set(seen)) < 30 * 60
+    assert got == {n: want.find(n) for n in want}
+
+
+def test_similar_sets_and_lines():
+    rnd = random.Random(20)
+    base = [rnd.getrandbits(62) for _ in range(60)]
+    sets_ = [np.unique(np.array(base[: rnd.randint(45, 60)] + [rnd.getrandbits(62) for _ in range(rnd.randint(0, 6))], np.uint64)) for _ in range(40)]
+    data = [s.tobytes() for s in sets_]
+
+    def ok(x, y):
+        both = len(np.intersect1d(x, y))
+        return 100 * both >= 80 * (len(x) + len(y) - both)
+
+    i, j = neardedup.similar_sets(data, None, 80)
+    assert set(zip(i.tolist(), j.tolist())) == {(a, b) for a in range(40) for b in range(a + 1, 40) if ok(sets_[a], sets_[b])}
+    i, j = neardedup.similar_sets(data[:15], data[15:], 80)
+    assert set(zip(i.tolist(), j.tolist())) == {(a, b - 15) for a in range(15) for b in range(15, 40) if ok(sets_[a], sets_[b])}
+    line = prose(rnd, 12).encode()
+    lines = [changed(rnd, line, rnd.randint(0, 3)) for _ in range(40)]
+    i, j = linededup.similar_lines(lines, None, 2)
+    assert set(zip(i.tolist(), j.tolist())) == {(a, b) for a in range(40) for b in range(a + 1, 40) if edits(lines[a], lines[b]) <= 2}
+    i, j = linededup.similar_lines(lines[:9], lines[9:], 2)
+    assert set(zip(i.tolist(), j.tolist())) == {(a, b - 9) for a in range(9) for b in range(9, 40) if edits(lines[a], lines[b]) <= 2}
 
 
 def test_near_duplicates_against_brute_force(spark):
