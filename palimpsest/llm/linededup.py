@@ -45,19 +45,19 @@ def segments(length: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray
     return np.cumsum(size, axis=1) - size, size
 
 
-def _keys(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, threshold: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
-    """(is an index key, line, key) for every segment and every substring that a shorter line's segment may match."""
+def _keys(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, threshold: int, index: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(line, key) of every segment, or of every substring that the segment of a line no longer may match, its own included."""
     length = ends - starts
-    for less in range(threshold + 1):
+    for less in range(1 if index else threshold + 1):
         at, size = segments(length - less, threshold)
         for i in range(threshold + 1):
             rest = threshold - i
             salt = rolling.mix((length - less).astype(np.uint64) * np.uint64(threshold + 1) + np.uint64(i + 1))
-            for shift in range(max(-i, less - rest), min(i, less + rest) + 1):
+            for shift in range(1) if index else range(max(-i, less - rest), min(i, less + rest) + 1):
                 p, n = at[:, i] + shift, size[:, i]
                 ok = np.flatnonzero((p >= 0) & (p + n <= length) & (n > 0))
                 found = rolling.hashes(sums, starts[ok] + p[ok], starts[ok] + p[ok] + n[ok])
-                yield less == 0 and shift == 0, ok, rolling.mix(found ^ salt[ok])
+                yield ok, rolling.mix(found ^ salt[ok])
 
 
 def line_table(docs: DataFrame, least_words: int) -> DataFrame:
@@ -82,8 +82,9 @@ def line_table(docs: DataFrame, least_words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, text_key long, number int, line long, bytes long")
 
 
-def segment_keys(docs: DataFrame, threshold: int, least_words: int, least_bytes: int) -> DataFrame:
-    """(bucket, node, indexed) of all lines long enough for near matches; equal lines of a run of texts once."""
+def segment_keys(docs: DataFrame, threshold: int, least_words: int, least_bytes: int, index: bool) -> DataFrame:
+    """(bucket, node) under which lines long enough for near matches are indexed, or all that they probe; equal lines of a run
+    of texts come once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,12 +92,10 @@ def segment_keys(docs: DataFrame, threshold: int, least_words: int, least_bytes:
                 keep = (words >= least_words) & (ends - starts >= least_bytes)
                 node, first = np.unique(rolling.hashes(sums, starts[keep], ends[keep]), return_index=True)
                 starts, ends = starts[keep][first], ends[keep][first]
-                for indexed, at, key in _keys(sums, starts, ends, threshold):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), pa.array(node[at].view(np.int64)), pa.array(np.full(len(at), indexed))], names=["bucket", "node", "indexed"]
-                    )
+                for at, key in _keys(sums, starts, ends, threshold, index):
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[at].view(np.int64))], names=["bucket", "node"])
 
-    return docs.select("text").mapInArrow(run, "bucket long, node long, indexed boolean")
+    return docs.select("text").mapInArrow(run, "bucket long, node long")
 
 
 def within(a: list[bytes], b: list[bytes], threshold: int) -> np.ndarray:
@@ -194,8 +193,9 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, least_words: int
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_key", F.xxhash64("text"))
     lines = written(line_table(docs, least_words), "lines")
-    keys = written(segment_keys(docs, threshold, least_words, least_bytes), "segments")
-    members = stars.shared(keys.where("indexed").select("bucket", "node"), keys.select("bucket", "node"))
+    # made twice rather than written: there are a dozen for each line
+    index, probe = (segment_keys(docs, threshold, least_words, least_bytes, which) for which in (True, False))
+    members = stars.shared(index, probe)
 
     # the lines that share a key: read from the place where each occurs first
     place = (
