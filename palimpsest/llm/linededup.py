@@ -21,13 +21,16 @@ from palimpsest.llm.shared import ascii_lower, let, written
 THRESHOLD = 2
 LEAST_WORDS = 5
 LEAST_BYTES = 40
+#: The whole job, for queries and stages: every line that is not blank counts as the copy of an equal one, and near matches
+#: need five words or 20 characters, as scripts without spaces have one word a line.
+WHOLE = {"least_words": 1, "near_words": 5, "near_chars": 20}
 
 _BREAK = np.zeros(256, bool)
 _BREAK[0x0A] = True
 
 
-def _lines(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For runs of texts: first row, bytes' prefix sums, starts, ends, rows, numbers and word counts of lines that are not empty."""
+def _lines(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of texts: first row, bytes' prefix sums, starts, ends, rows, numbers, word and character counts of lines that are not empty."""
     for row, data, offsets in rolling.pieces(texts):
         low = rolling.LOWER[data]
         starts, ends, rows = rolling.spans(low, offsets, _BREAK)
@@ -35,7 +38,8 @@ def _lines(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nd
         number = breaks[starts] - breaks[offsets[rows]]
         word_starts, _, _ = rolling.spans(low, offsets)
         words = np.searchsorted(word_starts, ends) - np.searchsorted(word_starts, starts)
-        yield row, rolling.prefix(low), starts, ends, rows, number, words
+        points = np.concatenate([[0], np.cumsum((low & 0xC0) != 0x80)])
+        yield row, rolling.prefix(low), starts, ends, rows, number, words, points[ends] - points[starts]
 
 
 def segments(length: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,11 +65,11 @@ def _keys(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, threshold: int
 
 
 def line_table(docs: DataFrame, least_words: int) -> DataFrame:
-    """(doc_id, text_key, number, line, bytes) of all lines with enough words; ``line`` is the hash of its folded bytes."""
+    """(doc_id, text_key, number, line) of all lines with enough words; ``line`` is the hash of its folded bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, sums, starts, ends, rows, number, words in _lines(batch.column("text")):
+            for row, sums, starts, ends, rows, number, words, _ in _lines(batch.column("text")):
                 keep = words >= least_words
                 starts, ends, at = starts[keep], ends[keep], pa.array(rows[keep] + row)
                 yield pa.RecordBatch.from_arrays(
@@ -74,22 +78,24 @@ def line_table(docs: DataFrame, least_words: int) -> DataFrame:
                         batch.column("text_key").take(at),
                         pa.array(number[keep].astype(np.int32)),
                         pa.array(rolling.hashes(sums, starts, ends).view(np.int64)),
-                        pa.array(ends - starts),
                     ],
-                    names=["doc_id", "text_key", "number", "line", "bytes"],
+                    names=["doc_id", "text_key", "number", "line"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, number int, line long, bytes long")
+    return docs.mapInArrow(run, "doc_id long, text_key long, number int, line long")
 
 
-def segment_keys(docs: DataFrame, threshold: int, least_words: int, least_bytes: int, index: bool) -> DataFrame:
+def segment_keys(docs: DataFrame, threshold: int, near_words: int, near_chars: int | None, least_bytes: int, index: bool) -> DataFrame:
     """(bucket, node) under which lines long enough for near matches are indexed, or all that they probe; equal lines of a run
     of texts come once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, sums, starts, ends, _, _, words in _lines(batch.column("text")):
-                keep = (words >= least_words) & (ends - starts >= least_bytes)
+            for _, sums, starts, ends, _, _, words, chars in _lines(batch.column("text")):
+                enough = words >= near_words
+                if near_chars is not None:
+                    enough |= (words > 0) & (chars >= near_chars)
+                keep = enough & (ends - starts >= least_bytes)
                 node, first = np.unique(rolling.hashes(sums, starts[keep], ends[keep]), return_index=True)
                 starts, ends = starts[keep][first], ends[keep][first]
                 for at, key in _keys(sums, starts, ends, threshold, index):
@@ -186,15 +192,18 @@ def _folded(lines: Column) -> Column:
     return ascii_lower(lines).cast("binary")
 
 
-def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, least_words: int = LEAST_WORDS, least_bytes: int = LEAST_BYTES) -> tuple[DataFrame, DataFrame]:
+def repeated_lines(
+    docs: DataFrame, threshold: int = THRESHOLD, least_words: int = LEAST_WORDS, least_bytes: int = LEAST_BYTES, near_words: int | None = None, near_chars: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_key, n_lines, numbers): the lines to drop of each document that has some; and (line, root) of near classes.
 
     Of each class of equal or near lines the first stays, in the order of doc_id (null first), text_key and number.
     """
+    near_words = least_words if near_words is None else near_words
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_key", F.xxhash64("text"))
     lines = written(line_table(docs, least_words), "lines")
     # made twice rather than written: there are a dozen for each line
-    index, probe = (segment_keys(docs, threshold, least_words, least_bytes, which) for which in (True, False))
+    index, probe = (segment_keys(docs, threshold, near_words, near_chars, least_bytes, which) for which in (True, False))
     members = stars.shared(index, probe)
 
     # the lines that share a key: read from the place where each occurs first
@@ -231,7 +240,9 @@ def line_report(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, n_lines, n_dropped, dropped (numbers from 0, comma-joined).
 
     Lines end at line feeds; a null text has none, an empty one has one empty line. A line of fewer than ``least_words`` words
-    is never dropped; one shorter than ``least_bytes`` only as the copy of an equal line. A-Z and a-z are the same. Rows equal in
+    (runs between ASCII white space) is never dropped; one shorter than ``least_bytes``, or with fewer than ``near_words`` words
+    (by default ``least_words``) and, if given, fewer than ``near_chars`` characters, only as the copy of an equal line. ``WHOLE``
+    has the options under which every line that is not blank takes part. A-Z and a-z are the same. Rows equal in
     id and text count as one document: all keep the first occurrence. Rows with a null id come first. ``docs`` needs
     doc_id and text; other columns are ignored. Every row gives a row; no rows give none.
     """

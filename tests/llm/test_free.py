@@ -11,7 +11,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import fingerprints, langid, linededup, neardedup, packing, quality, rolling, sharding, stars
+import corpus_pipeline
+from palimpsest.llm import fingerprints, langid, linededup, neardedup, packing, quality, queries, rolling, sharding, stars
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -269,6 +270,16 @@ def test_lines_against_brute_force(spark):
     assert linededup.line_report(frame(spark, [])).count() == 0
 
 
+def test_short_and_unspaced_lines_are_deduped(spark, tmp_path):
+    han = "".join(chr(0x4E00 + i * 7) for i in range(60))
+    rows = [(1, f"all rights\n{han}\n \n1."), (2, f"All Rights\n{han}\n \n2."), (3, han[:30] + han[31:])]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.dropped for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert (got[1], got[2]) == ("", "0,1")
+    left = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, frame(spark, rows[:2]), "").collect()}
+    assert left == {1: rows[0][1], 2: " \n2."}
+
+
 def test_differencing_is_even_and_rises_with_need():
     rnd = random.Random(9)
     sizes = [rnd.randint(1, 256) for _ in range(300)]
