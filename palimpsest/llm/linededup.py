@@ -3,7 +3,8 @@
 Two lines within ``threshold`` edits share one of ``threshold + 1`` segments of the shorter one, at a place shifted by no
 more than the edits allow. Every line is indexed under (length, segment, hash of the segment) and probes the indexes of its
 own and of ``threshold`` smaller lengths with those substrings that a match could need. Lines under one key are compared
-through hubs, by banded bit-parallel edit distance over UTF-8 bytes. Equal lines are one node from the start.
+through hubs, by banded bit-parallel edit distance. Equal lines are one node from the start. Lengths, segments and edits are
+counted in code points, or in UTF-8 bytes if so asked.
 """
 
 from __future__ import annotations
@@ -22,15 +23,16 @@ THRESHOLD = 2
 LEAST_WORDS = 5
 LEAST_BYTES = 40
 #: The whole job, for queries and stages: every line that is not blank counts as the copy of an equal one, and near matches
-#: need five words or 20 characters, as scripts without spaces have one word a line.
-WHOLE = {"least_words": 1, "near_words": 5, "near_chars": 20}
+#: need five words or 20 characters, as scripts without spaces have one word a line. Edits are of characters.
+WHOLE = {"least_words": 1, "least_bytes": 0, "near_words": 5, "near_chars": 20, "chars": True}
 
 _BREAK = np.zeros(256, bool)
 _BREAK[0x0A] = True
 
 
 def _lines(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For runs of texts: first row, bytes' prefix sums, starts, ends, rows, numbers, word and character counts of lines that are not empty."""
+    """For runs of texts: first row, bytes' prefix sums, starts, ends, rows, numbers and word counts of lines that are not empty, and the number of
+    characters that start before each byte."""
     for row, data, offsets in rolling.pieces(texts):
         low = rolling.LOWER[data]
         starts, ends, rows = rolling.spans(low, offsets, _BREAK)
@@ -39,7 +41,7 @@ def _lines(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nd
         word_starts, _, _ = rolling.spans(low, offsets)
         words = np.searchsorted(word_starts, ends) - np.searchsorted(word_starts, starts)
         points = np.concatenate([[0], np.cumsum((low & 0xC0) != 0x80)])
-        yield row, rolling.prefix(low), starts, ends, rows, number, words, points[ends] - points[starts]
+        yield row, rolling.prefix(low), starts, ends, rows, number, words, points
 
 
 def segments(length: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,8 +51,10 @@ def segments(length: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray
     return np.cumsum(size, axis=1) - size, size
 
 
-def _keys(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, threshold: int, index: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(line, key) of every segment, or of every substring that the segment of a line no longer may match, its own included."""
+def _keys(sums: np.ndarray, places: np.ndarray, starts: np.ndarray, ends: np.ndarray, threshold: int, index: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(line, key) of every segment, or of every substring that the segment of a line no longer may match, its own included.
+
+    Starts and ends count units (characters or bytes); ``places`` has the byte at which each begins, and the end."""
     length = ends - starts
     for less in range(1 if index else threshold + 1):
         at, size = segments(length - less, threshold)
@@ -60,7 +64,7 @@ def _keys(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, threshold: int
             for shift in range(1) if index else range(max(-i, less - rest), min(i, less + rest) + 1):
                 p, n = at[:, i] + shift, size[:, i]
                 ok = np.flatnonzero((p >= 0) & (p + n <= length) & (n > 0))
-                found = rolling.hashes(sums, starts[ok] + p[ok], starts[ok] + p[ok] + n[ok])
+                found = rolling.hashes(sums, places[starts[ok] + p[ok]], places[starts[ok] + p[ok] + n[ok]])
                 yield ok, rolling.mix(found ^ salt[ok])
 
 
@@ -85,41 +89,52 @@ def line_table(docs: DataFrame, least_words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, text_key long, number int, line long")
 
 
-def segment_keys(docs: DataFrame, threshold: int, near_words: int, near_chars: int | None, least_bytes: int, index: bool) -> DataFrame:
+def segment_keys(docs: DataFrame, threshold: int, near_words: int, near_chars: int | None, least_bytes: int, chars: bool, index: bool) -> DataFrame:
     """(bucket, node) under which lines long enough for near matches are indexed, or all that they probe; equal lines of a run
     of texts come once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, sums, starts, ends, _, _, words, chars in _lines(batch.column("text")):
+            for _, sums, starts, ends, _, _, words, points in _lines(batch.column("text")):
                 enough = words >= near_words
                 if near_chars is not None:
-                    enough |= (words > 0) & (chars >= near_chars)
-                keep = enough & (ends - starts >= least_bytes)
+                    enough |= (words > 0) & (points[ends] - points[starts] >= near_chars)
+                # each segment has a unit at least
+                size = points[ends] - points[starts] if chars else ends - starts
+                keep = enough & (ends - starts >= least_bytes) & (size > threshold)
                 node, first = np.unique(rolling.hashes(sums, starts[keep], ends[keep]), return_index=True)
                 starts, ends = starts[keep][first], ends[keep][first]
-                for at, key in _keys(sums, starts, ends, threshold, index):
+                places = np.arange(len(points))
+                if chars:
+                    places, starts, ends = np.append(np.flatnonzero(np.diff(points)), len(points) - 1), points[starts], points[ends]
+                for at, key in _keys(sums, places, starts, ends, threshold, index):
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[at].view(np.int64))], names=["bucket", "node"])
 
     return docs.select("text").mapInArrow(run, "bucket long, node long")
 
 
-def within(a: list[bytes], b: list[bytes], threshold: int) -> np.ndarray:
-    """Which pairs have an edit distance of at most ``threshold`` (below 31).
+def _units(line: bytes, chars: bool) -> np.ndarray:
+    """The code points of a line, or its bytes."""
+    if chars and not line.isascii():
+        return np.frombuffer(line.decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.frombuffer(line, np.uint8)
+
+
+def within(a: list[bytes], b: list[bytes], threshold: int, chars: bool = False) -> np.ndarray:
+    """Which pairs have an edit distance of at most ``threshold`` (below 31), in bytes or in characters.
 
     All pairs advance together, a column at a time: the differences down the 2 * threshold + 1 cells around the diagonal are
     bits of one word a pair (Hyyrö's banded form of Myers' algorithm). Common beginnings and ends are cut off before.
     """
     cut = []
     for x, y in zip(a, b):
+        x, y = _units(x, chars), _units(y, chars)
         n = min(len(x), len(y))
-        u, v = np.frombuffer(x, np.uint8, n), np.frombuffer(y, np.uint8, n)
-        differ = np.flatnonzero(u != v)
+        differ = np.flatnonzero(x[:n] != y[:n])
         start = int(differ[0]) if len(differ) else n
         x, y = x[start:], y[start:]
         n = min(len(x), len(y))
-        u, v = np.frombuffer(x, np.uint8)[len(x) - n :], np.frombuffer(y, np.uint8)[len(y) - n :]
-        differ = np.flatnonzero(u != v)
+        differ = np.flatnonzero(x[len(x) - n :] != y[len(y) - n :])
         end = n - 1 - int(differ[-1]) if len(differ) else n
         x, y = x[: len(x) - end], y[: len(y) - end]
         cut.append((x, y) if len(x) >= len(y) else (y, x))
@@ -133,15 +148,15 @@ def within(a: list[bytes], b: list[bytes], threshold: int) -> np.ndarray:
     return out
 
 
-def _banded(pairs: list[tuple[bytes, bytes]], m: np.ndarray, n: np.ndarray, t: int) -> np.ndarray:
+def _banded(pairs: list[tuple[np.ndarray, np.ndarray]], m: np.ndarray, n: np.ndarray, t: int) -> np.ndarray:
     """``within`` for pairs whose first is no shorter (lengths m >= n > 0) and no more than t longer."""
     one, band = np.uint64(1), 2 * t + 1
     width = int(m.max()) + 2 * band
-    x = np.full((len(pairs), width), -1, np.int16)  # the longer text, shifted by the band; the shorter one
-    y = np.full((len(pairs), int(n.max())), -2, np.int16)
+    x = np.full((len(pairs), width), -1, np.int32)  # the longer text, shifted by the band; the shorter one
+    y = np.full((len(pairs), int(n.max())), -2, np.int32)
     for i, (p, q) in enumerate(pairs):
-        x[i, band : band + len(p)] = np.frombuffer(p, np.uint8)
-        y[i, : len(q)] = np.frombuffer(q, np.uint8)
+        x[i, band : band + len(p)] = p
+        y[i, : len(q)] = q
     bits = (one << np.arange(band, dtype=np.uint64))[None, :]
     full, bottom = np.uint64((1 << band) - 1), np.uint64(1 << (2 * t))
     # bit k of column j stands for row j - t + k; rows down from row 0 rise by one in column 0
@@ -163,26 +178,26 @@ def _banded(pairs: list[tuple[bytes, bytes]], m: np.ndarray, n: np.ndarray, t: i
     return distance <= t
 
 
-def similar_lines(left: list[bytes], right: list[bytes] | None, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+def similar_lines(left: list[bytes], right: list[bytes] | None, threshold: int, chars: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all pairs of two lists of lines, or within one, that ``within`` finds near.
 
-    An edit changes at most two counts of bytes by one each; pairs whose counts differ by more are not compared.
+    An edit changes at most two counts of units by one each; pairs whose counts differ by more are not compared.
     """
     lines = left + (right or [])
-    counts = np.array([np.bincount(np.frombuffer(x, np.uint8) & 0x3F, minlength=64) for x in lines], np.int32)
+    counts = np.array([np.bincount(_units(x, chars) & 0x3F, minlength=64) for x in lines], np.int32)
     a = counts[: len(left)]
     b = counts if right is None else counts[len(left) :]
     i, j = np.nonzero(np.stack([np.abs(row - b).sum(axis=1) <= 2 * threshold for row in a]))
     if right is None:
         i, j = i[i < j], j[i < j]
-    near = within([left[k] for k in i.tolist()], [(left if right is None else right)[k] for k in j.tolist()], threshold)
+    near = within([left[k] for k in i.tolist()], [(left if right is None else right)[k] for k in j.tolist()], threshold, chars)
     return i[near], j[near]
 
 
-def _near(pairs: DataFrame, threshold: int) -> DataFrame:
+def _near(pairs: DataFrame, threshold: int, chars: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = within(batch.column("bytes_a").to_pylist(), batch.column("bytes_b").to_pylist(), threshold)
+            keep = within(batch.column("bytes_a").to_pylist(), batch.column("bytes_b").to_pylist(), threshold, chars)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return pairs.select("a", "b", "bytes_a", "bytes_b").mapInArrow(run, "a long, b long")
@@ -193,7 +208,13 @@ def _folded(lines: Column) -> Column:
 
 
 def repeated_lines(
-    docs: DataFrame, threshold: int = THRESHOLD, least_words: int = LEAST_WORDS, least_bytes: int = LEAST_BYTES, near_words: int | None = None, near_chars: int | None = None
+    docs: DataFrame,
+    threshold: int = THRESHOLD,
+    least_words: int = LEAST_WORDS,
+    least_bytes: int = LEAST_BYTES,
+    near_words: int | None = None,
+    near_chars: int | None = None,
+    chars: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_key, n_lines, numbers): the lines to drop of each document that has some; and (line, root) of near classes.
 
@@ -203,7 +224,7 @@ def repeated_lines(
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_key", F.xxhash64("text"))
     lines = written(line_table(docs, least_words), "lines")
     # made twice rather than written: there are a dozen for each line
-    index, probe = (segment_keys(docs, threshold, near_words, near_chars, least_bytes, which) for which in (True, False))
+    index, probe = (segment_keys(docs, threshold, near_words, near_chars, least_bytes, chars, which) for which in (True, False))
     members = stars.shared(index, probe)
 
     # the lines that share a key: read from the place where each occurs first
@@ -221,9 +242,9 @@ def repeated_lines(
 
     def verify(pairs: DataFrame) -> DataFrame:
         left, right = (texts.select(F.col("node").alias(x), F.col("bytes").alias(f"bytes_{x}")) for x in "ab")
-        return _near(pairs.join(left, "a").join(right, "b"), threshold)
+        return _near(pairs.join(left, "a").join(right, "b"), threshold, chars)
 
-    roots, _ = stars.linked(members, verify, texts.withColumnRenamed("bytes", "payload"), lambda x, y: similar_lines(x, y, threshold))
+    roots, _ = stars.linked(members, verify, texts.withColumnRenamed("bytes", "payload"), lambda x, y: similar_lines(x, y, threshold, chars))
     roots = roots.withColumnRenamed("node", "line")
     classed = lines.join(roots, "line", "left").select("doc_id", "text_key", "number", F.coalesce("root", "line").alias("class"))
     first = classed.groupBy("class").agg(F.min(F.struct("doc_id", "text_key", "number")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -241,8 +262,8 @@ def line_report(docs: DataFrame, **options) -> DataFrame:
 
     Lines end at line feeds; a null text has none, an empty one has one empty line. A line of fewer than ``least_words`` words
     (runs between ASCII white space) is never dropped; one shorter than ``least_bytes``, or with fewer than ``near_words`` words
-    (by default ``least_words``) and, if given, fewer than ``near_chars`` characters, only as the copy of an equal line. ``WHOLE``
-    has the options under which every line that is not blank takes part. A-Z and a-z are the same. Rows equal in
+    (by default ``least_words``) and, if given, fewer than ``near_chars`` characters, only as the copy of an equal line. Edits are
+    of bytes, or with ``chars`` of characters. ``WHOLE`` has the options under which every line that is not blank takes part. A-Z and a-z are the same. Rows equal in
     id and text count as one document: all keep the first occurrence. Rows with a null id come first. ``docs`` needs
     doc_id and text; other columns are ignored. Every row gives a row; no rows give none.
     """

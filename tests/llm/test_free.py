@@ -280,6 +280,29 @@ def test_short_and_unspaced_lines_are_deduped(spark, tmp_path):
     assert left == {1: rows[0][1], 2: " \n2."}
 
 
+def test_near_lines_count_characters_and_have_no_least_size(spark, tmp_path):
+    rnd = random.Random(12)
+    letters = "abcé’'—\u4e2d\u6587\U0001f600"
+    base = ["".join(rnd.choice(letters) for _ in range(rnd.randint(3, 30))) for _ in range(200)]
+    more = []
+    for x in base:
+        for _ in range(rnd.randint(0, 4)):
+            at = rnd.randint(0, len(x))
+            x = x[:at] + rnd.choice(["", rnd.choice(letters)]) + x[at + rnd.randint(0, 1) :]
+        more.append(x)
+    a, b = [x.encode() for x in base], [x.encode() for x in more]
+    assert linededup.within(a, b, 2, True).tolist() == [edits(x, y) <= 2 for x, y in zip(base, more)]
+    i, j = linededup.similar_lines(a[:40], b[:40], 2, True)
+    assert set(zip(i.tolist(), j.tolist())) == {(x, y) for x in range(40) for y in range(40) if edits(base[x], more[y]) <= 2}
+    han = "".join(chr(0x4E00 + i * 7) for i in range(40))
+    long = "it was the dog's own house on that old hill"
+    pairs = [("thwhesnd esator whshing and hewh.", "thwhesnd, esator whshing and hewh."), ("a b c d e", "a b c d f"), (han, han[:9] + "\u597d" + han[9:])]
+    pairs += [(long, long.replace("'", "’")), ("le café était fermé hier soir", "le cafe etait fermé hier soir"), ("one two six ten old", "one two sax tan ald")]
+    frame(spark, [(n, "\n".join(p[n] for p in pairs)) for n in (0, 1)]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.dropped for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: "", 1: "0,1,2,3,4"}
+
+
 def test_differencing_is_even_and_rises_with_need():
     rnd = random.Random(9)
     sizes = [rnd.randint(1, 256) for _ in range(300)]
