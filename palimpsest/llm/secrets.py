@@ -1,6 +1,7 @@
 """Secret scan with a random forest that takes out false positives, in column expressions and Spark's own forest only.
 
-Candidates are long strings with a digit. The forest looks at a candidate's length and kinds of characters, at how usual its
+Candidates are long strings with a digit, keys of a known form, and what stands after a secret's name and ``=`` or ``:``, from
+LEAST_NAMED characters on. The forest looks at a candidate's length and kinds of characters, at how usual its
 character transitions are in the corpus, at how much of it common words cover, at its path and at the words beside it. It
 is trained on labelled findings, of which at most ``sample`` are used.
 """
@@ -12,12 +13,20 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.llm.shared import let, written
 
 LEAST = 12
+LEAST_NAMED = 4
 CANDIDATE = r"[A-Za-z0-9+/_@.\-]{12,}"
 KEYWORDS = ("password", "passwd", "pwd", "secret", "token", "key", "auth", "credential", "bearer", "private")
+KNOWN = "AKIA[0-9A-Z]{14,18}|gh[pousr]_[A-Za-z0-9]{30,}|xox[bap]-[A-Za-z0-9-]{10,}"
+#: A secret's name, '=' or ':', and what may stand between that and the value.
+NAMED = rf"(?:{'|'.join((*KEYWORDS, 'passphrase'))})[\w\-]*\W*[=:][^A-Za-z0-9+/_@.\-]*"
+NAMED_VALUE = rf"(?i)({NAMED})([A-Za-z0-9+/_@.\-]{{{LEAST_NAMED},}})"
+FIRST_VALUE = rf"^([^A-Za-z0-9+/_@.\-]*)([A-Za-z0-9+/_@.\-]{{{LEAST_NAMED},}})"
+STRUCT = T.StructType([T.StructField("value", T.StringType()), T.StructField("lead", T.StringType()), T.StructField("least", T.IntegerType())])
 SAMPLE = 20_000
 TREES, DEPTH, SEED = 32, 6, 7
 DICTIONARY = 4096
@@ -34,25 +43,44 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     def of_word(words: Column, i: Column) -> Column:
         word = F.get(words, i)
-        values = F.filter(F.regexp_extract_all(word, F.lit(CANDIDATE), F.lit(0)), lambda v: v.rlike("[0-9]"))
-        return F.transform(
-            values,
-            lambda v: F.struct(
+        before, before2, after = (F.coalesce(F.get(words, i + k), F.lit("")) for k in (-1, -2, 1))
+        values = F.filter(F.regexp_extract_all(word, F.lit(CANDIDATE), F.lit(0)), lambda v: v.rlike("[0-9]") | v.rlike(KNOWN))
+        long = F.transform(values, lambda v: F.struct(v.alias("value"), F.call_function("substring_index", word, v, F.lit(1)).alias("lead"), F.lit(LEAST).alias("least")))
+
+        def other(value: Column, lead: Column) -> Column:
+            return F.struct(value.alias("value"), lead.alias("lead"), F.lit(LEAST_NAMED).alias("least"))
+
+        named = F.zip_with(*(F.regexp_extract_all(word, F.lit(NAMED_VALUE), F.lit(k)) for k in (2, 1)), other)
+        lead = F.regexp_extract(word, FIRST_VALUE, 1)
+        follows = F.lower(F.concat_ws(" ", before2, before, lead)).rlike(f"{NAMED}$") & (F.regexp_extract(word, FIRST_VALUE, 2) != "")
+        first = F.when(follows, F.array(other(F.regexp_extract(word, FIRST_VALUE, 2), lead))).otherwise(F.array().cast(T.ArrayType(STRUCT)))
+        # a run that is a candidate for its digits already keeps that entry
+        short = F.filter(F.concat(named, first), lambda c: ~F.array_contains(values, c["value"]))
+        found = F.transform(
+            F.concat(long, short),
+            lambda c: F.struct(
                 i.alias("word_at"),
-                F.regexp_replace(v, r"[.\-/_]+$", "").alias("value"),
-                F.call_function("substring_index", word, v, F.lit(1)).alias("lead"),
-                F.coalesce(F.get(words, i - 1), F.lit("")).alias("before"),
-                F.coalesce(F.get(words, i - 2), F.lit("")).alias("before2"),
-                F.coalesce(F.get(words, i + 1), F.lit("")).alias("after"),
+                F.regexp_replace(c["value"], r"[.\-/_]+$", "").alias("value"),
+                c["lead"].alias("lead"),
+                before.alias("before"),
+                before2.alias("before2"),
+                after.alias("after"),
+                c["least"].alias("least"),
             ),
         )
+        return F.filter(found, lambda c: F.length(c["value"]) >= c["least"])
 
-    some = docs.where(F.col("text").rlike("[0-9]"))
+    def may(words: Column, i: Column) -> Column:
+        word = F.get(words, i)
+        long = (F.length(word) >= LEAST) & (word.rlike("[0-9]") | word.rlike(KNOWN))
+        return long | word.rlike("[=:]") | F.coalesce(F.get(words, i - 1), F.lit("")).rlike(r"[=:][^A-Za-z0-9+/_@.\-]*$")
+
+    some = docs.where(F.col("text").rlike("[0-9=:]") | F.col("text").rlike(KNOWN))
     at = let(
         F.split("text", r"\s+"),
-        lambda w: F.flatten(F.transform(F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (F.length(F.get(w, i)) >= LEAST) & F.get(w, i).rlike("[0-9]")), lambda i: of_word(w, i))),
+        lambda w: F.flatten(F.transform(F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: may(w, i)), lambda i: of_word(w, i))),
     )
-    return some.select("doc_id", "path", F.explode(at).alias("c")).select("doc_id", "path", "c.*").where(F.length("value") >= LEAST)
+    return some.select("doc_id", "path", F.explode(at).alias("c")).select("doc_id", "path", "c.*").drop("least")
 
 
 def dictionary(docs: DataFrame, words: int = DICTIONARY) -> list[tuple[str, int]]:
@@ -124,9 +152,9 @@ def seed_labels(found: DataFrame) -> DataFrame:
     addresses, for which no name is given; null for all else."""
     value, near = F.col("value"), F.lower(F.concat_ws(" ", "before2", "before", "lead"))
     named = near.rlike(r"(password|passwd|pwd|secret|token|api[_-]?key)\W*[=:]\W*$")
-    known = value.rlike("^(AKIA[0-9A-Z]{14,18}|gh[pousr]_[A-Za-z0-9]{30,}|xox[bap]-[A-Za-z0-9-]{10,})$")
+    known = value.rlike(f"^({KNOWN})$")
     plain = value.rlike(r"^[0-9.\-/]+$|@|^\d+(\.\d+){3}$|\.(com|org|net|html?|php|txt)\b|^[a-z]+[0-9]{1,4}$")
-    return found.withColumn("label", F.when(known | (named & ~plain), 1.0).when(plain, 0.0))
+    return found.withColumn("label", F.when(known | (named & ~plain), 1.0).when(plain & ~named, 0.0))
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, sample: int = SAMPLE, words: int = DICTIONARY) -> DataFrame:

@@ -140,6 +140,14 @@ def test_secret_candidates_carry_their_neighbours(spark):
     assert (r.lead, r.before, r.before2, r.after, r.word_at) == ('api_key="', "set", "", "then", 1)
 
 
+def test_secrets_without_digits_and_short_ones_are_candidates(spark):
+    key = "AKIA" + "QWERTYUIOPASDFGH"
+    texts = ["password=CorrectHorseBattery", 'he wrote password: "hunter2x" there', f"see {key} now", "token = abcDEFgh", "passwd ='opensesame'", "password=pass", "plain words: nothing here"]
+    rows = [(i, "p", t) for i, t in enumerate(texts)]
+    got = {(r.doc_id, r.value) for r in secrets.candidates(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {(0, "CorrectHorseBattery"), (1, "hunter2x"), (2, key), (3, "abcDEFgh"), (4, "opensesame"), (5, "pass")}
+
+
 def test_schema_is_plain(spark, passages):
     docs, items = passages
     out = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
