@@ -8,6 +8,8 @@ is trained on labelled findings, of which at most ``sample`` are used.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -29,7 +31,8 @@ FIRST_VALUE = rf"^([^A-Za-z0-9+/_@.\-]*)([A-Za-z0-9+/_@.\-]{{{LEAST_NAMED},}})"
 STRUCT = T.StructType([T.StructField("value", T.StringType()), T.StructField("lead", T.StringType()), T.StructField("least", T.IntegerType())])
 SAMPLE = 20_000
 TREES, DEPTH, SEED = 32, 6, 7
-DICTIONARY = 4096
+#: A word that occurs so often is common.
+COMMON = 20
 FEATURES = (
     "size digits uppers lowers others changes variety hex transitions covered path_rate path_digits keyword_near assigned quoted before_common after_common".split()
 )
@@ -83,30 +86,40 @@ def candidates(docs: DataFrame) -> DataFrame:
     return some.select("doc_id", "path", F.explode(at).alias("c")).select("doc_id", "path", "c.*").drop("least")
 
 
-def dictionary(docs: DataFrame, words: int = DICTIONARY) -> list[tuple[str, int]]:
-    """The most common words of letters of the whole corpus, lower-cased, with their counts: at most ``words`` rows."""
-    all_ = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where(F.length("word").between(2, 24))
-    return [(r["word"], r["n"]) for r in all_.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(words).collect()]
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): every run of letters of the whole corpus, lower-cased, from two characters on."""
+    all_ = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where(F.length("word") >= 2)
+    return all_.groupBy("word").agg(F.count("*").alias("n"))
+
+
+def transitions(counts: DataFrame) -> dict[str, float]:
+    """Log probability of each second character after the first, smoothed, over all words of the corpus.
 
+    Only pairs of a-z are returned, as candidates have no other letters; pairs with other letters count in the totals.
+    """
+    pairs = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2)))
+    found = counts.select(F.explode(pairs).alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("n"))
+    plain = F.when(F.col("pair").rlike("^[a-z]{2}$"), F.struct("pair", "n"))
+    first = found.groupBy(F.substring("pair", 1, 1).alias("first")).agg(F.sum("n").alias("total"), F.collect_list(plain).alias("pairs"))
+    first = first.agg(F.count("*").alias("letters"), F.collect_list(F.when(F.size("pairs") > 0, F.struct("total", "pairs"))).alias("rows")).first()
+    letters = max(1, first["letters"])
+    return {p["pair"]: math.log((p["n"] + 0.5) / (r["total"] + 0.5 * letters)) for r in first["rows"] for p in r["pairs"]}
 
-def transitions(words: list[tuple[str, int]]) -> dict[str, float]:
-    """Log probability of each second character after the first, smoothed, from the dictionary and its counts."""
-    import math
-    from collections import Counter
 
-    pair, first = Counter(), Counter()
-    for word, n in words:
-        for a, b in zip(word, word[1:]):
-            pair[a + b] += n
-            first[a] += n
-    letters = max(1, len(first))
-    return {p: math.log((n + 0.5) / (first[p[0]] + 0.5 * letters)) for p, n in pair.items()}
+def _in_dictionary(found: DataFrame, common: DataFrame) -> DataFrame:
+    """(row, covered, before_common, after_common): letters of the value in common words; whether its neighbours are common."""
+    letters = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}]", ""))
+    entry = lambda kind: lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("word"))
+    runs = F.split(F.lower("value"), "[^a-z]+")
+    asked = F.concat(F.transform(runs, entry(0)), F.array(entry(1)(letters(F.col("before"))), entry(2)(letters(F.col("after")))))
+    asked = found.select("row", F.explode(asked).alias("e")).select("row", "e.*").where(F.length("word") >= 2)
+    met = asked.join(common.select("word"), "word")
+    of = lambda kind: (F.col("kind") == kind).cast("double")
+    return met.groupBy("row").agg(F.sum(of(0) * F.length("word")).alias("covered"), F.max(of(1)).alias("before_common"), F.max(of(2)).alias("after_common"))
 
 
-def features(found: DataFrame, words: list[tuple[str, int]]) -> DataFrame:
-    """``found`` with a column for each of FEATURES."""
-    common = [w for w, _ in words] or [""]
-    table = transitions(words)
+def features(found: DataFrame, common: DataFrame, table: dict[str, float]) -> DataFrame:
+    """``found``, whose column row tells its rows apart, with a column for each of FEATURES."""
     pairs, logs = F.lit(list(table) or [""]), F.lit([float(x) for x in table.values()] or [0.0])
     value = F.col("value")
     size = F.greatest(F.length(value), F.lit(1)).cast("double")
@@ -115,15 +128,13 @@ def features(found: DataFrame, words: list[tuple[str, int]]) -> DataFrame:
         return (F.length(value) - F.length(F.regexp_replace(value, pattern, ""))) / size
 
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[0-9]+", "9"), "[A-Z]+", "A"), "[a-z]+", "a")
-    runs = F.split(F.lower(value), "[^a-z]+")
-    covered = F.aggregate(F.filter(runs, lambda r: r.isin(*common)), F.lit(0), lambda a, r: a + F.length(r)) / size
     steps = F.transform(F.sequence(F.lit(1), F.greatest(F.length(value) - 1, F.lit(1))), lambda i: F.substring(F.lower(value), i, F.lit(2)))
     usual = let(F.map_from_arrays(pairs, logs), lambda m: F.aggregate(steps, F.lit(0.0), lambda a, s: a + F.coalesce(F.element_at(m, s), F.lit(-12.0)))) / size
     near = F.lower(F.concat_ws(" ", "before2", "before", "lead"))
-    letters = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}]", ""))
     per_path = found.groupBy("path").agg(F.avg(F.col("value").rlike("^[0-9.]+$|@").cast("double")).alias("path_digits"), F.log1p(F.count("*")).alias("path_rate"))
     number = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
     out = found.withColumn("path", F.coalesce("path", F.lit(""))).join(per_path.withColumn("path", F.coalesce("path", F.lit(""))).dropDuplicates(["path"]), "path")
+    out = out.join(_in_dictionary(found, common), "row", "left")
     return out.withColumns(
         {
             "size": size,
@@ -135,14 +146,14 @@ def features(found: DataFrame, words: list[tuple[str, int]]) -> DataFrame:
             "variety": F.array_size(F.array_distinct(F.split(value, ""))) / size,
             "hex": number(value.rlike("^[0-9a-f]+$") & value.rlike("[a-f]")),
             "transitions": usual,
-            "covered": covered,
+            "covered": number(F.col("covered")) / size,
             "path_rate": number(F.col("path_rate")),
             "path_digits": number(F.col("path_digits")),
             "keyword_near": number(near.rlike("|".join(KEYWORDS))),
             "assigned": number(F.concat("before", "lead").rlike("[=:]")),
             "quoted": number(F.col("lead").rlike("[\"']$")),
-            "before_common": number(letters(F.col("before")).isin(*common)),
-            "after_common": number(letters(F.col("after")).isin(*common)),
+            "before_common": number(F.col("before_common")),
+            "after_common": number(F.col("after_common")),
         }
     )
 
@@ -157,7 +168,7 @@ def seed_labels(found: DataFrame) -> DataFrame:
     return found.withColumn("label", F.when(known | (named & ~plain), 1.0).when(plain & ~named, 0.0))
 
 
-def scan(docs: DataFrame, labelled: DataFrame | None = None, sample: int = SAMPLE, words: int = DICTIONARY) -> DataFrame:
+def scan(docs: DataFrame, labelled: DataFrame | None = None, sample: int = SAMPLE, least_count: int = COMMON) -> DataFrame:
     """One row per candidate: doc_id, path, word_at, value, score, is_secret (score of at least 0.5).
 
     ``docs`` needs doc_id, path and text. ``labelled`` (the columns of ``candidates`` and label) trains the forest; without it
@@ -166,14 +177,17 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, sample: int = SAMPL
     one, repeated rows give their candidates again, and no rows give none.
     """
     docs = docs.select("doc_id", "path", "text")
-    found = written(candidates(docs), "candidates")
-    common = dictionary(docs, words)
+    found = written(candidates(docs).withColumn("row", F.monotonically_increasing_id()), "candidates")
+    counts = written(word_counts(docs), "words")
+    common = counts.where(F.col("n") >= least_count)
+    table = transitions(counts)
     train = labelled
     if train is None:
         train = seed_labels(found).where(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1, F.lit(True)))
     train = train.where("label is not null").orderBy(F.xxhash64("doc_id", "word_at", "value"), "doc_id", "word_at", "value").limit(sample)
-    train = written(features(train, common).select(*FEATURES, F.col("label").cast("double").alias("label")).coalesce(1), "labelled")
-    scored = features(found, common)
+    train = written(train.withColumn("row", F.monotonically_increasing_id()), "sampled")
+    train = written(features(train, common, table).select(*FEATURES, F.col("label").cast("double").alias("label")).coalesce(1), "labelled")
+    scored = features(found, common, table)
     if train.select("label").distinct().count() == 2:
         assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
         forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED)

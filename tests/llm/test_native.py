@@ -148,6 +148,27 @@ def test_secrets_without_digits_and_short_ones_are_candidates(spark):
     assert got == {(0, "CorrectHorseBattery"), (1, "hunter2x"), (2, key), (3, "abcDEFgh"), (4, "opensesame"), (5, "pass")}
 
 
+def test_secret_statistics_cover_the_whole_corpus(spark):
+    import math
+    from collections import Counter
+
+    many = [f"{a}{b}{c}{d}" for a in "abcdefgh" for b in "abcdefghi" for c in "abcdefghi" for d in "abcdefghi"]  # more words than a fixed list of 4,096 holds
+    rows = [(1, "p", " ".join(many * 3)), (2, "p", "zqxjk Éa née"), (3, "p", "password=zqxjk-aaaa-7")]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    counts = secrets.word_counts(docs)
+    table = secrets.transitions(counts)
+    pair, first = Counter(), Counter()
+    for word in " ".join(r[2] for r in rows).lower().replace("=", " ").replace("-", " ").replace("7", " ").split():
+        for a, b in zip(word, word[1:]):
+            pair[a + b] += 1
+            first[a] += 1
+    want = {p: math.log((n + 0.5) / (first[p[0]] + 0.5 * len(first))) for p, n in pair.items() if p.isascii()}
+    assert set(table) == set(want) and "zq" in table and all(abs(table[p] - want[p]) < 1e-9 for p in want)
+    found = secrets.candidates(docs).withColumn("row", F.monotonically_increasing_id())
+    got = secrets.features(found, counts.where("n >= 2"), table).where("doc_id = 3").select("value", "covered").collect()
+    assert [(r["value"], r["covered"]) for r in got] == [("zqxjk-aaaa-7", 0.75)]
+
+
 def test_schema_is_plain(spark, passages):
     docs, items = passages
     out = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
