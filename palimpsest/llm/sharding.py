@@ -1,7 +1,8 @@
 """Sharding by best-fit decreasing: indivisible groups of equal texts enter the bin that they fill best.
 
-Groups of at least ``1 / per_bin`` of a bin are packed one by one; there are at most ``shards * per_bin`` of them. The
-others are gathered by hash into ``cells`` items, so that the packing itself never sees more than a bounded number.
+Groups of at least ``1 / per_bin`` of a bin are packed one by one; there are at most ``bins * per_bin`` of them. The others
+are gathered by hash into ``cells`` items, CELLS_PER_BIN for each bin at least. A cell above a given capacity is taken apart
+into its groups. So the packing, in the driver, sees a number of items that grows with the bins, not with the rows.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from palimpsest.llm.shared import written
 
 PER_BIN = 1024
 CELLS = 8192
+CELLS_PER_BIN = 16
 SLOT_CELLS = 1024
 
 
@@ -145,8 +147,13 @@ def shard(docs: DataFrame, shards: int | None = 8, capacity: int | None = None,
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     bins = shards if capacity is None else -(-total // capacity)
     least = max(1, total // max(1, bins * per_bin))
-    item = F.struct((F.col("size") >= least).alias("alone"), F.when(F.col("size") >= least, F.col("group")).otherwise(F.pmod(F.xxhash64("group"), F.lit(cells))).alias("key"))
-    # at most bins * per_bin + cells rows reach the driver
+    cells = max(cells, CELLS_PER_BIN * bins)
+    cell, alone = F.pmod(F.xxhash64("group"), F.lit(cells)), F.col("size") >= least
+    if capacity is not None:
+        full = groups.where(~alone).groupBy(cell.alias("cell")).agg(F.sum("size").alias("size")).where(F.col("size") > capacity).select("cell").collect()
+        alone = alone | cell.isin([r["cell"] for r in full])
+    item = F.struct(alone.alias("alone"), F.when(alone, F.col("group")).otherwise(cell).alias("key"))
+    # at most bins * per_bin + cells rows reach the driver, and the groups of cells above the capacity
     items = groups.groupBy(item.alias("item")).agg(F.sum("size").alias("size")).select("item.*", "size").orderBy("alone", "key").collect()
     sizes = [r["size"] for r in items]
     placed = best_fit(sizes, capacity) if capacity else tightest(sizes, shards)[1]
@@ -156,7 +163,7 @@ def shard(docs: DataFrame, shards: int | None = 8, capacity: int | None = None,
     rest = spark.createDataFrame([(k, b) for a, k, b in where if not a], "cell long, shared int")
     rows = (
         rows.join(F.broadcast(alone), "group", "left")
-        .withColumn("cell", F.pmod(F.xxhash64("group"), F.lit(cells)))
+        .withColumn("cell", cell)
         .join(F.broadcast(rest), "cell", "left")
         .select("doc_id", "size", "text_crc32", "row", F.coalesce("own", "shared").alias("shard"), F.pmod(F.xxhash64("row"), F.lit(slot_cells)).cast("int").alias("part"))
     )

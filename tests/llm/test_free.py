@@ -303,6 +303,13 @@ def test_near_lines_count_characters_and_have_no_least_size(spark, tmp_path):
     assert got == {0: "", 1: "0,1,2,3,4"}
 
 
+def test_no_shard_of_small_groups_is_above_the_capacity(spark):
+    docs = frame(spark, [(i, f"text {i} " + "x" * (i % 40)) for i in range(3000)])
+    for options in ({"per_bin": 4, "cells": 2}, {"per_bin": 1, "cells": 2}):
+        got = sharding.shard(docs, None, 500, **options).groupBy("shard").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+        assert sum(r["n"] for r in got) == 3000 and max(r["size"] for r in got) <= 500
+
+
 def test_differencing_is_even_and_rises_with_need():
     rnd = random.Random(9)
     sizes = [rnd.randint(1, 256) for _ in range(300)]
