@@ -1,4 +1,4 @@
-"""Quality classifier: a factorisation machine over hashed words, statistics of the text's structure and metadata.
+"""Quality classifier: a factorisation machine over hashed words and statistics of the text's structure.
 
 The score of a text is ``bias + sum(w x) + 1/2 sum_f ((sum(v_f x))**2 - sum(v_f**2 x**2))``: all pairs of features interact
 through ``rank`` factors, in time linear in the features. It is trained by stochastic gradients in one task, on a sample of
