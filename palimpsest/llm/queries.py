@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, fingerprints, hardnegatives, langid, linededup, neardedup, packing, perspectives, quality, secrets, sharding
+from palimpsest.llm import decontaminate, fingerprints, graphsearch, hardnegatives, langid, linededup, neardedup, packing, perspectives, quality, secrets, sharding
 from palimpsest.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,9 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
     return hardnegatives.hard_negatives(rows.select("vec_id", label.alias("label"), whole.alias("vector")), F.col("vec_id") % 100 == 0)
+
+
+@query("op13_neighbours")
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return graphsearch.neighbours(rows, F.col("vec_id") % 50 == 0)
