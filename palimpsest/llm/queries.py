@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, fingerprints, graphsearch, hardnegatives, langid, linededup, neardedup, packing, perspectives, quality, secrets, sharding
+from palimpsest.llm import collocations, decontaminate, fingerprints, graphsearch, hardnegatives, langid, linededup, neardedup, packing, perspectives, quality, secrets, sharding
 from palimpsest.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,28 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     return graphsearch.neighbours(rows, F.col("vec_id") % 50 == 0)
+
+
+@query(
+    "op12_collocations",
+    r"""
+WITH p AS (SELECT coalesce(CAST(lang AS VARCHAR), 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS s FROM w),
+f AS (SELECT lang, k, array_to_string(w[s:s + k - 1], ' ') AS phrase, count(*) AS n FROM s JOIN (SELECT unnest(range(1, 5)) AS k) ON s + k - 1 <= len(w) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, n, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND n >= 30),
+covers AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(n) AS most
+  FROM (SELECT lang, k, w, n, m, unnest(range(1, k - m + 2)) AS i FROM c JOIN (SELECT unnest([2, 3]) AS m) ON m < k) GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN covers USING (lang, phrase) WHERE most IS NULL OR 100 * CAST(most AS HUGEINT) < 80 * CAST(c.n AS HUGEINT)),
+cuts AS (SELECT lang, phrase, n AS a, i, array_to_string(w[1:i], ' ') AS head, array_to_string(w[i + 1:k], ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS i FROM kept)),
+scored AS (SELECT cuts.lang, cuts.phrase, a, i, x.n AS l, y.n AS r, CAST(2000000 * CAST(a AS HUGEINT) // (x.n + y.n) AS BIGINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = head JOIN f y ON y.lang = cuts.lang AND y.phrase = tail),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1)
+SELECT lang, row_number() OVER t AS rank, phrase, a, l, r, n.n, score FROM least JOIN n USING (lang)
+WINDOW t AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+QUALIFY row_number() OVER t <= 2000""",
+)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
