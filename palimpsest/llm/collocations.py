@@ -2,8 +2,8 @@
 
 Nodes are runs of one word less than the longest phrase, edges are the longest runs: each word of a piece opens one edge, cut
 short where the piece ends. Tasks count the edges of their texts before the shuffle. All edges that begin with the same two
-words meet in one partition, where the count of a node is the flow of its edges plus the pieces that end in it, and so on
-down to single words; only what is frequent enough leaves it. Pairs of very common words are dealt over many partitions by
+words meet in one part, where the count of a node is the flow of its edges plus the pieces that end in it, and so on
+down to single words; only what is frequent enough leaves it. Pairs of very common words are dealt over many parts by
 their third word. Frequent edges are then compacted along unary paths, and candidates are held against the paths.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import string
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -22,22 +23,25 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.llm import rolling
 from palimpsest.llm.shared import written
 from palimpsest.session import checkpointed
 
 LEAST = 30
 COVERED = 80  # per cent of a candidate's occurrences inside a longer one
 TOP = 2000
-#: Words between two flushes of a task's counts, and edges that a partition takes in.
-FLUSH_WORDS = 2_000_000
-PARTITION_EDGES = 1_500_000
+#: Words of a language between two flushes of a task's counts, edges that a part takes in, texts taken at once, languages held.
+FLUSH_WORDS = 3_000_000
+PART_EDGES = 2_000_000
+LOT_CHARS = 1 << 20
+LOTS = 64
 #: Share of the words from which a word counts as very common: at most so many words are.
 COMMON = 128
 SALTS = 64
 SAMPLE = 0.02
 
-EDGE = "lang string, head string, third string, fourth string, salt int, n long"
 COUNT = "lang string, size int, phrase string, n long, part boolean"
+COUNT_NAMES = [f.split()[0] for f in COUNT.split(", ")]
 
 #: No UTF-8 text has this byte: it marks the end of a piece.
 _END = 0xFF
@@ -57,7 +61,7 @@ def tokens(texts: list[str | None]) -> list[bytes]:
 
 
 class _Counts:
-    """Counted edges of one language, by numbers of words."""
+    """Words of one language, by numbers, and the edges they make."""
 
     def __init__(self):
         self.numbers = defaultdict(count().__next__)
@@ -65,67 +69,98 @@ class _Counts:
         self.found: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, texts: list[str | None]) -> None:
+    def add(self, texts: list[str]) -> None:
         words = tokens(texts)
-        found = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        found = np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words))
         self.found.append(found)
         self.size += len(found)
 
-    def edges(self, lang: str, common: frozenset[bytes]) -> Iterator[pa.RecordBatch]:
-        """Counted edges, those of the same two words together; a cut edge has empty words at its end."""
-        words = [None] * len(self.numbers)
-        for w, i in self.numbers.items():
-            words[i] = w
-        words[0] = b""
-        at = np.concatenate([*self.found, np.zeros(3, np.int64)])
+    def edges(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The words, the four words of each edge as numbers (0: the piece has ended), and how often it occurs."""
+        words = [b"", *list(self.numbers)[1:]]
+        at = np.concatenate([*self.found, np.zeros(3, np.int32)]).astype(np.int64)
         start = np.flatnonzero(at[:-3])
         run = [at[start]]
         for k in range(1, 4):
             run.append(np.where(run[-1] > 0, at[start + k], 0))
-        many = len(words)
-        # numbers of words may take 32 bits each: two words are numbered anew before the edge becomes one number
-        heads, head = np.unique(run[0] * many + run[1], return_inverse=True)
-        tails, tail = np.unique(run[2] * many + run[3], return_inverse=True)
+        # two words are numbered anew before the edge becomes one number: numbers of words may take 32 bits each
+        heads, head = np.unique(run[0] * len(words) + run[1], return_inverse=True)
+        tails, tail = np.unique(run[2] * len(words) + run[3], return_inverse=True)
         edge, n = np.unique(head * len(tails) + tail, return_counts=True)
-        if not len(edge):
-            return
-        head, tail = heads[edge // len(tails)], tails[edge % len(tails)]
-        table = pa.array(words, pa.binary()).cast(pa.string())
-        first, second, third, fourth = (table.take(pa.array(x)) for x in (head // many, head % many, tail // many, tail % many))
-        hot = np.array([w in common for w in words])
-        both = np.flatnonzero(hot[head // many] & hot[head % many])
-        salt = np.zeros(len(edge), np.int64)
-        salt[both] = [1 + zlib.crc32(words[w]) % SALTS for w in (tail[both] // many).tolist()]
-        pair = pc.if_else(pc.equal(second, ""), first, pc.binary_join_element_wise(first, second, " "))
-        rows = pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(edge), pa.string()), pair, third, fourth, pa.array(salt, pa.int32()), pa.array(n, pa.int64())], names=[f.split()[0] for f in EDGE.split(", ")]
-        )
-        for at in range(0, len(edge), 1 << 16):
-            yield rows.slice(at, 1 << 16)
-
-
-def edges(docs: DataFrame, common: frozenset[bytes]) -> DataFrame:
-    """Edges counted by task: lang, the first two words, third, fourth, salt, n. An edge may come in several rows."""
+        head, tail = (heads[edge // len(tails)], tails[edge % len(tails)]) if len(edge) else (edge, edge)
+        return words, np.stack([head // len(words), head % len(words), tail // len(words), tail % len(words)]), n
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def _block(words: list[bytes], edge: np.ndarray, n: np.ndarray) -> bytes:
+    """Edges with the words that they use, as compressed bytes."""
+    used, at = np.unique(edge, return_inverse=True)
+    columns = [*_narrow(at.reshape(edge.shape).astype(np.uint32)), _narrow(n)]
+    listed = b" ".join(words[w] or _MARK for w in used.tolist())
+    head = struct.pack("<QQQBB", len(listed), len(used), edge.shape[1], columns[0].itemsize, columns[4].itemsize)
+    whole = head + listed + b"".join(c.tobytes() for c in columns)
+    return struct.pack("<Q", len(whole)) + pa.compress(whole, codec="zstd", asbytes=True)
+
+
+def _unblock(block: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    whole = pa.decompress(block[8:], struct.unpack_from("<Q", block)[0], codec="zstd", asbytes=True)
+    listed, used, edges, size, wide = struct.unpack_from("<QQQBB", whole)
+    at = struct.calcsize("<QQQBB")
+    words = whole[at : at + listed].split(b" ") if used else []
+    at += listed
+    edge = np.frombuffer(whole, f"<u{size}", 4 * edges, at).reshape(4, edges).astype(np.int64)
+    return words, edge, np.frombuffer(whole, f"<u{wide}", edges, at + 4 * edges * size).astype(np.int64)
+
+
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str]]]:
+    """Texts of one language at a time, about a megabyte of them."""
+    held, size = defaultdict(list), defaultdict(int)
+    for batch in batches:
+        for lang, text in zip(batch.column("lang"), batch.column("text")):
+            lang, text = lang.as_py(), text.as_py() or ""
+            held[lang].append(text)
+            size[lang] += len(text)
+            if size[lang] >= LOT_CHARS:
+                size.pop(lang)
+                yield lang, held.pop(lang)
+            elif len(held) > LOTS:
+                size.popitem()
+                yield held.popitem()
+    yield from held.items()
+
+
+def edges(docs: DataFrame, common: frozenset[bytes], parts: int) -> DataFrame:
+    """(part, lang, block): edges counted by task, in a block for each part that has some. An edge may be in several blocks of its
+    part. The first two words of an edge decide on its part; if both are very common, the third one, too."""
+
+    def blocks(lang: str, counts: _Counts) -> Iterator[pa.RecordBatch]:
+        words, edge, n = counts.edges()
+        hashed = rolling.mix(np.array([zlib.crc32(w) + 1 for w in words], np.uint64))
+        hot = np.array([w in common for w in words], bool)
+        salt = np.where(hot[edge[0]] & hot[edge[1]], 1 + hashed[edge[2]] % np.uint64(SALTS), 0).astype(np.uint64)
+        start = np.uint64(zlib.crc32(lang.encode("utf-8", "surrogatepass")))
+        part = rolling.mix(rolling.mix(rolling.mix(hashed[edge[0]] + start) ^ hashed[edge[1]]) + salt) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        bounds = np.searchsorted(part[order], np.arange(parts + 1))
+        for k in np.flatnonzero(np.diff(bounds)).tolist():
+            at = np.sort(order[bounds[k] : bounds[k + 1]])
+            block = _block(words, edge[:, at], n[at])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([lang], pa.string()), pa.array([block], pa.binary())], names=["part", "lang", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, _Counts] = defaultdict(_Counts)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                of = defaultdict(list)
-                for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
-                    of[lang].append(text)
-                for lang, texts in of.items():
-                    held[lang].add(texts)
-                    if held[lang].size >= FLUSH_WORDS:
-                        yield from held.pop(lang).edges(lang, common)
-                while sum(c.size for c in held.values()) >= 2 * FLUSH_WORDS:
-                    lang = max(held, key=lambda x: held[x].size)
-                    yield from held.pop(lang).edges(lang, common)
-        for lang, counts in held.items():
-            yield from counts.edges(lang, common)
-
-    return docs.mapInArrow(run, EDGE)
+        for lang, texts in _lots(batches):
+            held[lang].add(texts)
+            if held[lang].size >= FLUSH_WORDS or sum(c.size for c in held.values()) >= 2 * FLUSH_WORDS:
+                most = max(held, key=lambda x: held[x].size)
+                yield from blocks(most, held.pop(most))
+        for lang in list(held):
+            yield from blocks(lang, held.pop(lang))
+
+    return docs.mapInArrow(run, "part int, lang string, block binary")
 
 
 def common_words(docs: DataFrame) -> frozenset[bytes]:
@@ -152,60 +187,50 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def flows(counted: DataFrame, least: int, parts: int) -> DataFrame:
-    """(lang, size, phrase, n, part): counts of phrases that occur often enough, from the edges of one partition at a time. Words,
-    and pairs that are dealt over several partitions, come as parts to be added up."""
+def flows(blocks: DataFrame, least: int, common: frozenset[bytes]) -> DataFrame:
+    """(lang, size, phrase, n, part): counts of phrases that occur often enough, from the edges of one part of a language at a time.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(batches, schema=None) if (batches := list(batches)) else None
-        if rows is None or not rows.num_rows:
-            return
-        codes, words = [], []
-        for c in ("lang", "head", "third", "fourth"):
-            x = rows[c].combine_chunks().dictionary_encode()
-            x = x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
-            codes.append(x.indices.to_numpy())
-            words.append(x.dictionary)
-        salt, n = rows["salt"].to_numpy(), rows["n"].to_numpy()
-        order = np.lexsort((codes[3], codes[2], codes[1], codes[0]))
-        lang, head, third, fourth = (c[order] for c in codes)
-        salt, n = salt[order], n[order]
-        empty = [int(x) if (x := w.index(pa.scalar("")).as_py()) >= 0 else -1 for w in words]
-        single = pc.equal(pc.find_substring(words[1], " "), -1).to_numpy(zero_copy_only=False)
-        before = pc.list_element(pc.split_pattern(words[1], " "), 0)
-
-        def out(at: np.ndarray, size: int, total: np.ndarray, phrase: pa.Array, part: np.ndarray) -> pa.RecordBatch:
-            columns = [words[0].take(pa.array(lang[at])), pa.array(np.full(len(at), size), pa.int32()), phrase, pa.array(total, pa.int64()), pa.array(part)]
-            return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in COUNT.split(", ")])
-
-        def level(keys: tuple, keep) -> tuple[np.ndarray, np.ndarray]:
-            at = _runs(*keys)
-            total = np.add.reduceat(n, at)
-            ok = keep(at, total)
-            return at[ok], total[ok]
-
-        text = lambda at: [words[1].take(pa.array(head[at])), words[2].take(pa.array(third[at])), words[3].take(pa.array(fourth[at]))]
-        at, total = level((lang, head, third, fourth), lambda at, t: (t >= least) & (fourth[at] != empty[3]))
-        yield out(at, 4, total, pc.binary_join_element_wise(*text(at), " "), np.zeros(len(at), bool))
-        at, total = level((lang, head, third), lambda at, t: (t >= least) & (third[at] != empty[2]))
-        yield out(at, 3, total, pc.binary_join_element_wise(*text(at)[:2], " "), np.zeros(len(at), bool))
-        at, total = level((lang, head), lambda at, t: ((t >= least) | (salt[at] > 0)) & ~single[head[at]])
-        yield out(at, 2, total, text(at)[0], salt[at] > 0)
-        at, total = level((lang, head), lambda at, t: t > 0)
-        sums = pa.table({"lang": words[0].take(pa.array(lang[at])), "w": before.take(pa.array(head[at])), "n": total}).group_by(["lang", "w"]).aggregate([("n", "sum")])
-        for b in sums.select(["lang", "w", "n_sum"]).to_batches():
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.ones(len(b)), pa.int32()), b.column(1), b.column(2), pa.array(np.ones(len(b), bool))], names=[f.split()[0] for f in COUNT.split(", ")])
-
-    return counted.repartition(parts, "lang", "head", "salt").mapInArrow(run, COUNT)
+    The count of a node is the flow of its edges, the cut ones of pieces that end in it included; that of its first two words
+    is the flow of such nodes. Single words, and pairs that are dealt over several parts, come as parts to be added up.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        words, edge, n = zip(*(_unblock(b) for b in table["block"].to_pylist()))
+        shift = np.cumsum([0, *map(len, words)])
+        coded = pa.array([w for some in words for w in some], pa.binary()).dictionary_encode()
+        number, known = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        edge = np.concatenate([number[e + s] for e, s in zip(edge, shift)], axis=1)
+        n = np.concatenate(n)
+        end = known.index(_MARK) if _MARK in known else -1
+        hot = np.array([w in common for w in known], bool)
+        order = np.lexsort(edge[::-1])
+        edge, n = edge[:, order], n[order]
+        texts = pa.array([b"" if w == _MARK else w for w in known], pa.binary()).cast(pa.string())
+        out = []
+        for size in range(4, 0, -1):
+            at = _runs(*edge[:size])
+            total = np.add.reduceat(n, at) if len(at) else np.empty(0, np.int64)
+            part = np.full(len(at), size == 1)
+            if size == 2:
+                part = hot[edge[0, at]] & hot[edge[1, at]]
+            keep = (edge[size - 1, at] != end) & ((total >= least) | part)
+            at, total, part = at[keep], total[keep], part[keep]
+            phrase = texts.take(pa.array(edge[0, at]))
+            for k in range(1, size):
+                phrase = pc.binary_join_element_wise(phrase, texts.take(pa.array(edge[k, at])), " ")
+            out.append(pa.table([pa.array([key[1].as_py()] * len(at), pa.string()), pa.array(np.full(len(at), size), pa.int32()), phrase, pa.array(total, pa.int64()), pa.array(part)], names=COUNT_NAMES))
+        return pa.concat_tables(out)
+
+    return blocks.groupBy("part", "lang").applyInArrow(run, COUNT)
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, size, phrase, n): every phrase of up to four words that occurs ``least`` times, and under size 0 the words of a language."""
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
-    counted = edges(docs, common_words(docs))
+    common = common_words(docs)
     weight = docs.select(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(weight / 6 / PARTITION_EDGES))
-    found = written(flows(counted, least, parts), "flows")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(weight / 6 / PART_EDGES))
+    found = written(flows(edges(docs, common, parts), least, common), "flows")
     summed = found.where("part").groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
     whole = found.where("not part").select("lang", "size", "phrase", "n").unionByName(summed.where(F.col("n") >= least))
     words = found.where("size = 1").groupBy("lang").agg(F.sum("n").alias("n")).select("lang", F.lit(0).alias("size"), F.lit("").alias("phrase"), "n")
