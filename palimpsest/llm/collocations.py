@@ -31,8 +31,8 @@ LEAST = 30
 COVERED = 80  # per cent of a candidate's occurrences inside a longer one
 TOP = 2000
 #: Words of a language between two flushes of a task's counts, edges that a part takes in, texts taken at once, languages held.
-FLUSH_WORDS = 3_000_000
-PART_EDGES = 2_000_000
+FLUSH_WORDS = 1_500_000
+PART_EDGES = 1_000_000
 LOT_CHARS = 1 << 20
 LOTS = 64
 #: Share of the words from which a word counts as very common: at most so many words are.
@@ -78,15 +78,21 @@ class _Counts:
     def edges(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """The words, the four words of each edge as numbers (0: the piece has ended), and how often it occurs."""
         words = [b"", *list(self.numbers)[1:]]
-        at = np.concatenate([*self.found, np.zeros(3, np.int32)]).astype(np.int64)
+        self.numbers = None
+        at = np.concatenate([*self.found, np.zeros(3, np.int32)])
+        self.found = []
         start = np.flatnonzero(at[:-3])
         run = [at[start]]
         for k in range(1, 4):
             run.append(np.where(run[-1] > 0, at[start + k], 0))
+        del start, at
         # two words are numbered anew before the edge becomes one number: numbers of words may take 32 bits each
-        heads, head = np.unique(run[0] * len(words) + run[1], return_inverse=True)
-        tails, tail = np.unique(run[2] * len(words) + run[3], return_inverse=True)
-        edge, n = np.unique(head * len(tails) + tail, return_counts=True)
+        tails, tail = np.unique(run.pop(2).astype(np.int64) * len(words) + run.pop(2), return_inverse=True)
+        heads, head = np.unique(run.pop(0).astype(np.int64) * len(words) + run.pop(0), return_inverse=True)
+        head *= len(tails)
+        head += tail
+        del tail
+        edge, n = np.unique(head, return_counts=True)
         head, tail = (heads[edge // len(tails)], tails[edge % len(tails)]) if len(edge) else (edge, edge)
         return words, np.stack([head // len(words), head % len(words), tail // len(words), tail % len(words)]), n
 
