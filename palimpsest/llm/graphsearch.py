@@ -116,9 +116,36 @@ def _back(x: np.ndarray, graph: np.ndarray, points: np.ndarray, degree: int, rel
             graph[these[more]] = robust_prune(x, these[more], both[more], degree, relaxed)
 
 
+def reached(graph: np.ndarray, entry: int) -> np.ndarray:
+    """Which points some path of edges leads to."""
+    seen = np.zeros(len(graph), bool)
+    seen[entry] = True
+    last = np.array([entry])
+    while len(last):
+        ends = graph[last]
+        last = np.unique(ends[(ends >= 0)])
+        last = last[~seen[last]]
+        seen[last] = True
+    return seen
+
+
+def _rejoined(x: np.ndarray, graph: np.ndarray, entry: int, beam: int) -> np.ndarray:
+    """The graph with one more edge to each point that pruning has cut off, from the nearest point that a search finds."""
+    while len(lost := np.flatnonzero(~reached(graph, entry))):
+        lost = lost[:BATCH]
+        ids, _ = beam_search(x, graph, entry, x[lost], beam)
+        order = np.argsort(ids[:, 0], kind="stable")
+        source, lost = ids[order, 0], lost[order]
+        slot = (graph[source] >= 0).sum(axis=1) + np.arange(len(source)) - np.searchsorted(source, source)
+        if (more := int(slot.max()) + 1 - graph.shape[1]) > 0:
+            graph = np.concatenate([graph, np.full((len(graph), more), -1, np.int32)], axis=1)
+        graph[source, slot] = lost
+    return graph
+
+
 def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, relaxed: float = RELAXED) -> tuple[np.ndarray, int]:
-    """Neighbours (points x degree, -1 filled) and entry point of unit vectors (float32). Points enter in a fixed random order, in
-    batches that grow with the graph."""
+    """Neighbours (a row for each point, -1 filled at its end) and entry point of unit vectors (float32). Points enter in a fixed
+    random order, in batches that grow with the graph; at the end every point can be reached."""
     n = len(x)
     graph = np.full((n, degree), -1, np.int32)
     entry = int(np.argmax(x @ x.mean(axis=0)))
@@ -131,7 +158,7 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, relaxed: float
         graph[points] = robust_prune(x, points, ids, degree, relaxed)
         _back(x, graph, points, degree, relaxed)
         at += len(points)
-    return graph, entry
+    return _rejoined(x, graph, entry, beam), entry
 
 
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -204,9 +231,9 @@ def neighbours(
             part = part.sort_by("place")
             whole, q_whole = _matrix(part["vector"], dim), _matrix(asked["vector"], dim)
             x, q, own = unit(whole).astype(np.float32), unit(q_whole).astype(np.float32), asked["query_id"].to_numpy()
-            graph = np.full((len(x), degree), -1, np.int32)
             near = part["near"].combine_chunks()
             sizes = near.value_lengths().to_numpy()
+            graph = np.full((len(x), max(1, int(sizes.max()))), -1, np.int32)
             row = np.repeat(np.arange(len(x)), sizes)
             graph[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = near.flatten().to_numpy()
             ids = part["ids"].combine_chunks()

@@ -121,5 +121,5 @@ def test_one_query_for_each_operator():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
     assert set(queries.ORACLES) <= set(__spark_entry__.oracle_sql())
