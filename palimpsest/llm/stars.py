@@ -57,15 +57,16 @@ def shared(index: DataFrame, probe: DataFrame) -> DataFrame:
 
 
 def _blocks(dense: DataFrame, size: int) -> DataFrame:
-    """(group, a, b, side, node, root): the nodes of every two blocks that must be compared.
+    """(group, a, b, side, node, root): the nodes of every two blocks of a bucket that must be compared.
 
-    Nodes that dense buckets connect are a group. A component with enough nodes in its group has blocks of its own, all
-    other nodes share mixed ones; a node's place in them is a hash, so no task sorts a group. Two blocks of one component
-    are not compared. Side 0 and 1 tell the blocks apart; a block compared with itself is side 0 alone.
+    Of buckets with the same nodes (two 64-bit sums of hashes and the number of nodes agree) one is the group. A component with
+    enough nodes in its group has blocks of its own, all other nodes share mixed ones; a node's place in them is a hash, so
+    no task sorts a group. Two blocks of one component are not compared. Side 0 and 1 tell the blocks apart; a block compared
+    with itself is side 0 alone.
     """
-    hubs = dense.groupBy("bucket").agg(F.min("node").alias("b"))
-    groups = components(dense.join(hubs, "bucket").select(F.col("node").alias("a"), "b")).withColumnRenamed("root", "group")
-    placed = dense.select("node", "root").distinct().join(groups, "node")
+    sets = dense.groupBy("bucket").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count("*").alias("n"))
+    groups = sets.groupBy("x", "y", "n").agg(F.min("bucket").alias("bucket")).select("bucket")
+    placed = dense.join(groups, "bucket").select(F.col("bucket").alias("group"), "node", "root")
     counts = placed.groupBy("group", "root").agg(F.count("*").alias("n"))
     class_ = F.when(F.col("n") >= size, F.col("root").cast("string")).otherwise("mixed")
     counts = checkpointed(counts.select("group", "root", class_.alias("class"), "n"))
