@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import math
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,15 +38,41 @@ def _divided(edges: DataFrame) -> bool:
     return not ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR (down = 1 AND up = 1)").isEmpty()
 
 
-def components(links: DataFrame) -> DataFrame:
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Within each task the edges become stars: every node of a part that they connect hangs on the smallest of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while top.setdefault(x, x) != x:
+                top[x] = x = top.setdefault(top[x], top[x])
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+                u, v = find(u), find(v)
+                top[max(u, v)] = min(u, v)
+        stars = [(x, find(x)) for x in list(top)]
+        stars = [(x, root) for x, root in stars if x != root]
+        for at in range(0, len(stars), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array([s[k] for s in stars[at : at + (1 << 16)]], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
+def components(links: DataFrame, task_edges: int = 200_000) -> DataFrame:
     """(node, root) of every node of ``links`` (a, b): the root is the smallest node that it reaches.
 
-    The rounds grow with the logarithm of the longest path. Each is cut off by a checkpoint. No links give no rows; links
-    of a node with itself and nulls are ignored.
+    Tasks of about ``task_edges`` edges contract what they hold before each round, the stars' rounds connect what lies in
+    several tasks. The rounds grow with the logarithm of the longest path. Each is cut off by a checkpoint. No links give no
+    rows; links of a node with itself and nulls are ignored.
     """
-    edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    while _divided(edges):
-        edges = checkpointed(small_star(large_star(edges)))
+    edges = checkpointed(links.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u <> v"))
+    tasks = max(1, math.ceil(edges.count() / task_edges))  # no round makes edges more
+    edges = checkpointed(_contracted(edges.coalesce(tasks)))
+    while tasks > 1 and _divided(edges):
+        edges = checkpointed(_contracted(small_star(large_star(edges)).coalesce(tasks)))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 

@@ -122,6 +122,9 @@ def test_components(spark):
         if a != b:
             want.join(a, b)
     assert got == {n: want.find(n) for n in want}
+    for few in (5, 40):  # rounds over several tasks
+        df = spark.createDataFrame(links, "a long, b long").repartition(7)
+        assert {r.node: r.root for r in stars.components(df, few).collect()} == got
     assert stars.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
