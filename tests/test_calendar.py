@@ -47,7 +47,8 @@ def test_recurrence(spark):
     assert nxt(spark, "FREQ=MONTHLY", "2024-01-31 15:00:00", "2024-02-15 00:00:00") == "2024-03-02 15:00:00"  # no 31 February: two days into March
     assert nxt(spark, "FREQ=MONTHLY", "2024-01-31 15:00:00", "2024-03-15 00:00:00") == "2024-04-02 14:00:00"
     assert nxt(spark, "FREQ=DAILY", "2030-01-01 00:00:00", "2024-01-01 00:00:00") == "2030-01-01 00:00:00"
-    assert nxt(spark, "FREQ=DAILY", "2020-01-01 05:00:00", "2024-01-01 00:00:00", "UTC") == "2021-05-27 05:00:00"  # 512 steps at most
+    assert nxt(spark, "FREQ=DAILY", "2020-01-01 05:00:00", "2024-01-01 00:00:00", "UTC") == "2024-01-01 05:00:00"  # the search goes on until it is there
+    assert nxt(spark, "FREQ=DAILY", "2020-01-01 05:00:00", "2024-01-01 00:00:00", "UTC", max_steps=512) == "2021-05-27 05:00:00"  # or ends where asked to
     assert nxt(spark, "COUNT=2", "2020-01-01 05:00:00", "2024-01-01 00:00:00") is None
     assert nxt(spark, "FREQ=YEARLY", "2020-01-01 05:00:00", "2024-01-01 00:00:00") == "2020-01-01 05:00:00"
 
