@@ -200,7 +200,33 @@ def _payloads(spark, sf, tag):
     return AC.fence_extract(A.reply_texts(spark, sf), keep=["owner"]).where((F.col("tag") == tag) & F.col("ok"))
 
 
-@query("actions_apply")
+# one name's actions in order, one step of the recursion for each; no action of the input names a start or an end
+@query("actions_apply", f"""WITH RECURSIVE {FENCES}, {TASKS},
+acts AS (SELECT owner, id, lower(trim(j->>'$.args.name')) AS lname, j->>'$.intent' AS intent, trim(j->>'$.args.name') AS name, j->>'$.args.date' AS date, j->>'$.args.importance' AS imp, j->>'$.args.updates[0]' AS upd,
+ row_number() OVER (PARTITION BY owner, lower(trim(j->>'$.args.name')) ORDER BY id) AS k FROM (SELECT *, CAST(payload AS JSON) AS j FROM fixed WHERE tag='action' AND payload IS NOT NULL)),
+st AS (SELECT owner, lower(name) AS lname, list({{'seq': seq, 'name': name, 'importance': importance, 'date': date, 'start': start, 'updates': updates}} ORDER BY seq) AS ts FROM tasks GROUP BY 1, 2),
+heads AS (SELECT owner, lname, ts FROM st UNION ALL SELECT DISTINCT owner, lname, CAST([] AS STRUCT(seq BIGINT, name VARCHAR, importance VARCHAR, date VARCHAR, start VARCHAR, updates VARCHAR[])[]) FROM acts ANTI JOIN st USING (owner, lname)),
+fold AS (
+ SELECT owner, lname, 0::BIGINT AS k, NULL::BIGINT AS id, NULL::VARCHAR AS intent, NULL::VARCHAR AS status, ts[0] AS hit, ts FROM heads
+ UNION ALL
+ SELECT owner, lname, k, id, intent,
+  CASE intent WHEN 'create_task' THEN CASE WHEN ix > 0 THEN 'updated' ELSE 'inserted' END WHEN 'update_task' THEN CASE WHEN len(ts) > 0 THEN 'updated' ELSE 'not_found' END
+   WHEN 'delete_task' THEN CASE WHEN len(gone) > 0 THEN 'deleted' ELSE 'not_found' END ELSE CASE WHEN len(ts) > 0 THEN 'finished' ELSE 'not_found' END END,
+  CASE intent WHEN 'create_task' THEN made WHEN 'update_task' THEN noted WHEN 'delete_task' THEN gone[1] ELSE ts[1] END,
+  CASE intent WHEN 'create_task' THEN CASE WHEN ix > 0 THEN ts[:ix-1] || [{{'seq': ts[ix].seq, 'name': made.name, 'importance': made.importance, 'date': made.date, 'start': ts[ix].start, 'updates': ts[ix].updates}}] || ts[ix+1:] ELSE ts || [made] END
+   WHEN 'update_task' THEN CASE WHEN len(ts) > 0 THEN [noted] || ts[2:] ELSE ts END
+   WHEN 'delete_task' THEN list_filter(ts, lambda t: coalesce(t.date, '') <> date) ELSE ts[2:] END
+ FROM (SELECT f.owner, f.lname, a.k, a.id, a.intent, a.date, f.ts, list_filter(f.ts, lambda t: coalesce(t.date, '') = a.date) AS gone,
+   coalesce(list_position(list_transform(f.ts, lambda t: coalesce(t.date, '') || '|' || coalesce(t.start, '')), a.date || '|'), 0) AS ix,
+   {{'seq': a.id, 'name': a.name, 'importance': a.imp, 'date': a.date, 'start': NULL::VARCHAR, 'updates': []::VARCHAR[]}} AS made,
+   CASE WHEN len(f.ts) > 0 THEN {{'seq': f.ts[1].seq, 'name': f.ts[1].name, 'importance': f.ts[1].importance, 'date': f.ts[1].date, 'start': f.ts[1].start,
+    'updates': CASE WHEN list_contains(f.ts[1].updates, a.upd) THEN f.ts[1].updates ELSE list_append(f.ts[1].updates, a.upd) END}} END AS noted
+  FROM fold f JOIN acts a ON a.owner=f.owner AND a.lname=f.lname AND a.k=f.k+1)),
+ends AS (SELECT owner, unnest(arg_max(ts, k)) AS t FROM fold GROUP BY owner, lname),
+shown AS (SELECT 'task' AS kind, NULL::BIGINT AS "at", NULL::VARCHAR AS intent, NULL::VARCHAR AS status, owner, t FROM ends
+ UNION ALL SELECT 'result', id, intent, status, owner, CASE WHEN status <> 'not_found' THEN hit END FROM fold WHERE k > 0
+ UNION ALL SELECT 'archived', id, intent, status, owner, hit FROM fold WHERE status = 'finished')
+SELECT kind, "at", intent, status, owner, t.seq AS seq, t.name AS name, t.importance AS importance, t.date AS date, t.start AS start, array_to_string(t.updates, ';') AS updates FROM shown""")
 def actions_apply(spark, sf):
     acts = _payloads(spark, sf, "action").select("owner", F.col("id").alias("at"), "payload")
     out = AC.actions_apply(A.tasks(spark, sf), acts)

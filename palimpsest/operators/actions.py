@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import json
+import functools
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
 from palimpsest.operators.messages import CALLS
+from palimpsest.operators.ordered import cell_scan, id_cell
+from palimpsest.session import checkpointed
 
 # --- fixed values -----------------------------------------------------------------------------------------
 FENCE = r"~~~(\w+)\s*(\{[\s\S]*?\})\s*~~~"
@@ -91,139 +92,186 @@ def interest_extract(rows: DataFrame, key: str = "id", text: str = "text", calls
 
 # --- effects on tasks --------------------------------------------------------------------------------------
 TASK_SCHEMA = "owner bigint, seq bigint, name string, importance string, tags array<string>, date string, start string, end string, updates array<string>"
-RESULT_SCHEMA = "kind string, at bigint, intent string, status string, " + TASK_SCHEMA
-
-
-def _lines(v) -> list[str]:
-    if v is None:
-        return []
-    items = [v] if isinstance(v, str) else list(v.values()) if isinstance(v, dict) else v if isinstance(v, list) else [v]
-    return list(dict.fromkeys(s for s in (str(x).strip() for x in items) if s))
-
-
-def _strings(v) -> list[str]:
-    """A list of strings; anything else is a list of itself."""
-    items = [] if v is None else v if isinstance(v, list) else list(v.values()) if isinstance(v, dict) else [v]
-    return ["" if x is None else str(x) for x in items]
-
-
-def _text(v) -> str | None:
-    return None if v is None else str(v)
-
-
-class _Shelf:
-    """The tasks under one name of one owner, in list order."""
-
-    def __init__(self):
-        self.tasks: list[dict] = []
-
-    def find(self, date=None, start=None, end=None, loose=False):
-        for t in self.tasks:
-            pairs = ((date, t["date"]), (start, t["start"]), (end, t["end"]))
-            if all(w is None or (h or "") == w or (loose and not h) for w, h in pairs):
-                yield t
-
-    def put(self, new: dict) -> str:
-        for t in self.tasks:
-            if all((t[k] or "") == (new[k] or "") for k in ("date", "start", "end")):
-                notes = list(dict.fromkeys([*t["updates"], *new["updates"]]))
-                t.update({**new, "updates": notes, "seq": t["seq"]})
-                return "updated"
-        self.tasks.append(new)
-        return "inserted"
-
-    def run(self, at: int, intent: str, args: dict) -> tuple[str, dict | None]:
-        name = str(args.get("name") or "").strip()
-        when = {k: _text(args.get(k)) for k in ("date", "start", "end")}
-        if intent == "fetch_task":
-            hit = next(self.find(when["date"] if isinstance(args.get("date"), str) else None), None)
-            return ("found" if hit else "not_found"), hit
-        if intent not in TASK_INTENTS:
-            return "not_implemented", None
-        if not name:
-            return "missing_name", None
-        if intent == "create_task":
-            time = args["time"] if isinstance(args.get("time"), dict) else args
-            task = {
-                "seq": at, "name": name, "importance": _text(args.get("importance")), "tags": _strings(args["tags"]) if args.get("tags") is not None else None,
-                "date": str(time.get("date") or ""), "start": _text(time.get("start")) or None, "end": _text(time.get("end")) or None, "updates": _lines(args.get("updates")),
-            }
-            return self.put(task), task
-        if intent == "update_task":
-            hit = next(self.find(when["date"], loose=True), None)
-            if hit is None:
-                return "not_found", None
-            new = dict(hit)
-            if "importance" in args:
-                new["importance"] = str(args["importance"] or "")
-            if "tags" in args:
-                new["tags"] = _strings(args["tags"])
-            for src in ([args["time"]] if isinstance(args.get("time"), dict) else []) + [args]:
-                for k in ("date", "start", "end"):
-                    if k in src:
-                        new[k] = str(src[k] or "") or (None if k != "date" else "")
-            if "updates" in args:
-                new["updates"] = list(dict.fromkeys([*hit["updates"], *_lines(args["updates"])]))
-            moved = any((new[k] or "") != (hit[k] or "") for k in ("date", "start", "end"))
-            if moved:
-                new["seq"] = at  # another key: the old row stays and the new one is stored beside it
-            self.put(new)
-            return "updated", new
-        gone = list(self.find(**when))
-        if not gone:
-            return "not_found", None
-        if intent == "finish_task":
-            gone = gone[:1]
-        self.tasks = [t for t in self.tasks if all(t is not g for g in gone)]
-        return ("finished" if intent == "finish_task" else "deleted"), gone[0]
-
-
-def _apply_stream(batches):
-    """Replay rows sorted by (owner, name, kind, at): stored tasks first, then actions. State is one shelf."""
-    cols = ["kind", "at", "intent", "status", "owner", "seq", "name", "importance", "tags", "date", "start", "end", "updates"]
-    key, shelf = None, _Shelf()
-
-    def rows_of(kind, at, intent, status, owner, t):
-        t = t or {}
-        return (kind, at, intent, status, owner, t.get("seq"), t.get("name"), t.get("importance"), t.get("tags"), t.get("date"), t.get("start"), t.get("end"), t.get("updates"))
-
-    for pdf in batches:
-        out = []
-        for r in pdf.itertuples(index=False):
-            if (r.owner, r.lname) != key:
-                if key is not None:
-                    out += [rows_of("task", None, None, None, key[0], t) for t in shelf.tasks]
-                key, shelf = (r.owner, r.lname), _Shelf()
-            if r.what == 0:
-                lst = lambda v: None if v is None else [str(x) for x in v]
-                shelf.tasks.append({"seq": int(r.seq), "name": r.name, "importance": r.importance, "tags": lst(r.tags), "date": r.date, "start": r.start, "end": r.end, "updates": lst(r.updates) or []})
-                continue
-            try:
-                args = json.loads(r.args) if r.args else {}
-            except ValueError:
-                args = {}
-            status, task = shelf.run(int(r.seq), r.intent, args if isinstance(args, dict) else {})
-            out.append(rows_of("result", int(r.seq), r.intent, status, r.owner, task if status not in ("not_found",) else None))
-            if status == "finished":
-                out.append(rows_of("archived", int(r.seq), r.intent, status, r.owner, task))
-        if out:
-            yield pd.DataFrame(out, columns=cols)
-    if key is not None and shelf.tasks:
-        yield pd.DataFrame([rows_of("task", None, None, None, key[0], t) for t in shelf.tasks], columns=cols)
-
-
-def actions_apply(tasks: DataFrame, actions: DataFrame) -> DataFrame:
-    """Apply action payloads (owner, at, payload JSON) in order of ``at``: rows of kind task, result or archived.
+TASK = "struct<seq:bigint,name:string,importance:string,tags:array<string>,date:string,start:string,end:string,updates:array<string>>"
+RESULT = f"struct<at:bigint,intent:string,status:string,task:{TASK}>"
+STATE = f"struct<tasks:array<{TASK}>,out:array<{RESULT}>>"
+ROW = f"struct<kind:string,at:bigint,intent:string,status:string,task:{TASK}>"
+TIMES = ("date", "start", "end")
+FIELDS = ("seq", "name", "importance", "tags", *TIMES, "updates")
+BLOCK_ACTIONS = 256
+
+
+def _kind(v: Column, path: str) -> Column:
+    """Type of a value; null if the key is missing, VOID if its value is null."""
+    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+
+
+def _strings(v: Column, path: str) -> Column:
+    """A value as strings: the items of a list, the values of an object, else itself; none if it is null."""
+    kind, blank = _kind(v, path), F.array().cast("array<string>")
+    items = (
+        F.when(kind.startswith("ARRAY"), F.try_variant_get(v, path, "array<string>"))
+        .when(kind.startswith("OBJECT"), F.map_values(F.try_variant_get(v, path, "map<string,string>")))
+        .when(kind == "VOID", blank)
+        .otherwise(F.array(F.try_variant_get(v, path, "string")))
+    )
+    return F.transform(F.when(kind.isNotNull(), F.coalesce(items, blank)), lambda s: F.coalesce(s, F.lit("")))
+
+
+def _lines(v: Column, path: str) -> Column:
+    """Distinct trimmed lines that are not empty."""
+    return F.array_distinct(F.filter(F.transform(F.coalesce(_strings(v, path), F.array().cast("array<string>")), X.trim_ws), lambda s: s != ""))
 
-    Every intent looks tasks up by name, so owners are cut further by name, and each name's rows are replayed
-    from a sorted stream: a task holds one name's current tasks in memory, never a whole group.
+
+def parsed_actions(actions: DataFrame) -> DataFrame:
+    """Payloads (owner, at, payload JSON) as columns, each argument read once.
+
+    ``find`` has the times asked for (null: any); ``made`` the task that a creation stores; ``change`` the fields that an
+    update sets, each beside whether it is given: flat times go before those of a nested ``time``.
     """
-    a = actions.select(
-        "owner", F.col("at").cast("long").alias("seq"), F.lower(F.coalesce(F.get_json_object("payload", "$.intent"), F.lit(""))).alias("intent"),
-        F.coalesce(F.get_json_object("payload", "$.args"), F.lit("{}")).alias("args"),
+    intent = F.lower(F.coalesce(F.get_json_object("payload", "$.intent"), F.lit("")))
+    args = F.coalesce(F.try_parse_json(F.coalesce(F.get_json_object("payload", "$.args"), F.lit("{}"))), F.parse_json(F.lit("{}")))
+    a = actions.select("owner", F.col("at").cast("long").alias("seq"), "payload", intent.alias("intent"), args.alias("v"))
+    v = F.col("v")
+    get = lambda path: F.try_variant_get(v, path, "string")
+    nested = F.coalesce(_kind(v, "$.time").startswith("OBJECT"), F.lit(False))
+    flat = {k: get(f"$.{k}") for k in TIMES}
+    deep = {k: get(f"$.time.{k}") for k in TIMES}
+    has = lambda path: _kind(v, path).isNotNull()
+    name = X.trim_ws(F.coalesce(get("$.name"), F.lit("")))
+    new = {k: F.when(nested, deep[k]).otherwise(flat[k]) for k in TIMES}
+    blank_to_null = lambda c: F.when(c != "", c)
+    made = F.struct(
+        F.col("seq"), name.alias("name"), get("$.importance").alias("importance"), F.when(get("$.tags").isNotNull() | (_kind(v, "$.tags") != "VOID"), _strings(v, "$.tags")).alias("tags"),
+        F.coalesce(new["date"], F.lit("")).alias("date"), blank_to_null(new["start"]).alias("start"), blank_to_null(new["end"]).alias("end"), _lines(v, "$.updates").alias("updates"),
     )
-    a = a.withColumn("lname", F.lower(X.trim_ws(F.coalesce(F.get_json_object("args", "$.name"), F.lit("")))))
-    t = tasks.select("owner", "seq", *["name", "importance", "tags", "date", "start", "end", "updates"]).withColumn("lname", F.lower(X.trim_ws(F.coalesce("name", F.lit("")))))
-    both = t.withColumn("what", F.lit(0)).unionByName(a.withColumn("what", F.lit(1)), allowMissingColumns=True)
-    ordered = both.repartition("owner", "lname").sortWithinPartitions("owner", "lname", "what", "seq")
-    return ordered.mapInPandas(_apply_stream, RESULT_SCHEMA)
+    given = {k: has(f"$.{k}") | (nested & has(f"$.time.{k}")) for k in TIMES}
+    value = {k: F.coalesce(F.when(has(f"$.{k}"), flat[k]).otherwise(deep[k]), F.lit("")) for k in TIMES}
+    change = F.struct(
+        has("$.importance").alias("has_importance"), F.coalesce(get("$.importance"), F.lit("")).alias("importance"), has("$.tags").alias("has_tags"), _strings(v, "$.tags").alias("tags"),
+        *[given[k].alias(f"has_{k}") for k in TIMES], *[(value[k] if k == "date" else blank_to_null(value[k])).alias(k) for k in TIMES], _lines(v, "$.updates").alias("updates"),
+    )
+    only_text = F.when(_kind(v, "$.date") == "STRING", flat["date"])
+    find = F.struct(F.when(intent_is("fetch_task"), only_text).otherwise(flat["date"]).alias("date"), flat["start"].alias("start"), flat["end"].alias("end"))
+    return a.select("owner", F.lower(name).alias("lname"), "seq", "payload", "intent", name.alias("name"), find.alias("find"), made.cast(TASK).alias("made"), change.alias("change"))
+
+
+def intent_is(*names: str) -> Column:
+    return F.col("intent").isin(*names)
+
+
+def _same(want: Column, have: Column) -> Column:
+    return want.isNull() | (F.coalesce(have, F.lit("")) == want)
+
+
+def _strict(x: Column, t: Column) -> Column:
+    return _same(x["find"]["date"], t["date"]) & _same(x["find"]["start"], t["start"]) & _same(x["find"]["end"], t["end"])
+
+
+def _put(tasks: Column, new: Column) -> Column:
+    """The first task of the same times takes the new one's fields, its own place and all notes; else the new one comes last."""
+    key = lambda t: F.concat_ws("\x1f", *[F.coalesce(t[k], F.lit("")) for k in TIMES])
+    notes = lambda t: F.array_distinct(F.concat(t["updates"], new["updates"]))
+    merged = lambda t: F.struct(t["seq"].alias("seq"), *[new[k].alias(k) for k in FIELDS[1:-1]], notes(t).alias("updates")).cast(TASK)
+    return X.bound(
+        F.array_position(F.transform(tasks, key), key(new)),
+        lambda at: F.when(at > 0, F.transform(tasks, lambda t, i: F.when(i == at - 1, merged(t)).otherwise(t))).otherwise(F.concat(tasks, F.array(new))),
+    )
+
+
+def _step(state: Column, x: Column) -> Column:
+    """The tasks of one name after an action, and its result added to ``out``."""
+    tasks = state["tasks"]
+
+    def done(status, task, left) -> Column:
+        result = F.struct(x["seq"].alias("at"), x["intent"].alias("intent"), status.alias("status"), task.alias("task")).cast(RESULT)
+        return F.struct(left.alias("tasks"), F.concat(state["out"], F.array(result)).alias("out")).cast(STATE)
+
+    none = F.lit(None).cast(TASK)
+    no = lambda word: done(F.lit(word), none, tasks)
+
+    def changed(hit: Column) -> Column:
+        c = x["change"]
+        set_ = lambda k: F.when(c[f"has_{k}"], c[k]).otherwise(hit[k])
+        moved = ~_same_times({k: set_(k) for k in TIMES}, hit)
+        seq = F.when(moved, x["seq"]).otherwise(hit["seq"])  # with other times the old row stays and the new one is stored beside it
+        notes = F.when(F.size(c["updates"]) > 0, F.array_distinct(F.concat(hit["updates"], c["updates"]))).otherwise(hit["updates"])
+        return F.struct(seq.alias("seq"), hit["name"].alias("name"), *[set_(k).alias(k) for k in FIELDS[2:-1]], notes.alias("updates")).cast(TASK)
+
+    fetch = X.bound(F.get(F.filter(tasks, lambda t: _same(x["find"]["date"], t["date"])), 0), lambda hit: done(F.when(hit.isNull(), "not_found").otherwise("found"), hit, tasks))
+    made = x["made"]
+    is_there = F.exists(tasks, lambda t: _same_times(t, made))
+    create = done(F.when(is_there, "updated").otherwise("inserted"), made, _put(tasks, made))
+    loose = lambda t: _same(x["find"]["date"], t["date"]) | (F.coalesce(t["date"], F.lit("")) == "")
+    update = X.bound(F.get(F.filter(tasks, loose), 0), lambda hit: F.when(hit.isNull(), no("not_found")).otherwise(X.bound(changed(hit), lambda new: done(F.lit("updated"), new, _put(tasks, new)))))
+    gone = F.filter(tasks, lambda t: _strict(x, t))
+    delete = X.bound(gone, lambda g: done(F.when(F.size(g) > 0, "deleted").otherwise("not_found"), F.get(g, 0), F.filter(tasks, lambda t: ~_strict(x, t))))
+    finish = X.bound(
+        F.array_position(F.transform(tasks, lambda t: _strict(x, t)), True),
+        lambda at: F.when(at == 0, no("not_found")).otherwise(done(F.lit("finished"), F.get(tasks, (at - 1).cast("int")), F.filter(tasks, lambda t, i: i != at - 1))),
+    )
+    of = x["intent"]
+    return (
+        F.when(of == "fetch_task", fetch).when(~of.isin(*TASK_INTENTS), no("not_implemented")).when(x["name"] == "", no("missing_name"))
+        .when(of == "create_task", create).when(of == "update_task", update).when(of == "delete_task", delete).otherwise(finish)
+    )
+
+
+def _same_times(a: Column, b: Column) -> Column:
+    return functools.reduce(lambda x, y: x & y, [F.coalesce(a[k], F.lit("")) == F.coalesce(b[k], F.lit("")) for k in TIMES])
+
+
+def _blocks(a: DataFrame, size: int) -> DataFrame:
+    """(owner, lname, part, turn, turns, first, acts): up to ``size`` actions of a name each, in order.
+
+    A deletion by name alone leaves nothing behind, so it ends a part, and parts are independent. The blocks of a part take
+    turns. Actions without a name change nothing: each of their blocks is a first one.
+    """
+    clears = (intent_is("delete_task") & (F.col("lname") != "") & F.col("find.date").isNull() & F.col("find.start").isNull() & F.col("find.end").isNull()).cast("long")
+    keys, order = ["owner", "lname"], ["seq", "payload"]
+    a = cell_scan(a.withColumn("clears", clears), keys, order, id_cell("seq"), rank="rn", sums={"cleared": F.col("clears")})
+    part = F.col("cleared") - F.col("clears")
+    packed = F.struct(*order, "intent", "name", "find", "made", "change")
+    b = a.groupBy(*keys, part.alias("part"), F.floor((F.col("rn") - 1) / size).alias("b")).agg(F.array_sort(F.collect_list(packed)).alias("acts"))
+    of = Window.partitionBy(*keys, "part")
+    turn = F.row_number().over(of.orderBy("b")) - 1
+    named = F.col("lname") != ""
+    b = b.withColumn("t", turn).withColumn("turns", F.when(named, F.count("*").over(of)).otherwise(1))
+    return b.select(*keys, "part", F.when(named, F.col("t")).otherwise(0).alias("turn"), "turns", (F.col("t") == 0).alias("first"), "acts")
+
+
+def actions_apply(tasks: DataFrame, actions: DataFrame, block: int = BLOCK_ACTIONS) -> DataFrame:
+    """Apply action payloads (owner, at, payload JSON) in order of ``at``: rows of kind task, result or archived.
+
+    Every intent looks tasks up by name, so the state is the tasks of one name of one owner. Their actions are folded over
+    that state a block at a time, in column expressions; the blocks of one name take turns, a round for each. Names with at most
+    ``block`` actions between two deletions by name alone, as nearly all are, need one round. Rows of one ``at`` are
+    ordered by payload.
+    """
+    keys = ["owner", "lname"]
+    stored = tasks.withColumn("lname", F.lower(X.trim_ws(F.coalesce("name", F.lit("")))))
+    one = F.struct(*[F.coalesce(c, F.array().cast("array<string>")).alias(c) if c == "updates" else F.col(c) for c in FIELDS]).cast(TASK)
+    stored = stored.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("tasks"))
+    blocks = checkpointed(_blocks(parsed_actions(actions), block))
+    rounds = (blocks.agg(F.max("turn").alias("n")).first()["n"] or 0) + 1
+    empty = F.array().cast(f"array<{TASK}>")
+    start = F.struct(F.coalesce("tasks", empty).alias("tasks"), F.array().cast(f"array<{RESULT}>").alias("out")).cast(STATE)
+    after = F.aggregate(F.coalesce("acts", F.array().cast(blocks.schema["acts"].dataType)), start, _step)
+    begin = blocks.where("turn = 0 AND part = 0").join(stored, keys, "full").unionByName(blocks.where("turn = 0 AND part > 0"), allowMissingColumns=True)
+    out = None
+    for n in range(rounds):
+        now = begin.select(*keys, "part", "turn", "turns", "first", after.alias("s"))
+        if rounds > 1:
+            now = checkpointed(now)
+        out = now if out is None else out.unionByName(now)
+        if n + 1 < rounds:
+            begin = blocks.where(F.col("turn") == n + 1).join(now.select(*keys, "part", F.col("s.tasks").alias("tasks")), [*keys, "part"])
+    last = F.coalesce(F.col("first") | (F.col("lname") != ""), F.lit(True)) & F.coalesce(F.col("turn") + 1 == F.col("turns"), F.lit(True))
+    row = lambda kind, r: F.struct(F.lit(kind).alias("kind"), r["at"], r["intent"], r["status"], r["task"]).cast(ROW)
+    shown = lambda r: F.struct(r["at"].alias("at"), r["intent"].alias("intent"), r["status"].alias("status"), F.when(r["status"] != "not_found", r["task"]).alias("task"))
+    void = F.struct(F.lit(None).cast("long").alias("at"), F.lit(None).cast("string").alias("intent"), F.lit(None).cast("string").alias("status"))
+    kept = F.transform("s.tasks", lambda t: F.struct(F.lit("task").alias("kind"), void["at"], void["intent"], void["status"], t).cast(ROW))
+    archived = F.transform(F.filter("s.out", lambda r: r["status"] == "finished"), lambda r: row("archived", r))
+    rows = F.concat(F.transform("s.out", lambda r: row("result", shown(r))), archived, F.when(last, kept).otherwise(F.array().cast(f"array<{ROW}>")))
+    out = out.select("owner", F.explode(rows).alias("r"))
+    return out.select("r.kind", "r.at", "r.intent", "r.status", "owner", *[F.col(f"r.task.{c}").alias(c) for c in FIELDS])

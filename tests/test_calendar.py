@@ -33,9 +33,9 @@ def test_events(spark):
     assert [(t.date, t.start, t.end) for t in tasks][:2] == [("2024-03-10", "01:30", "03:00"), ("2024-03-11", None, None)]
 
 
-def nxt(spark, rule, anchor, since, tz="America/New_York", mode="reference"):
+def nxt(spark, rule, anchor, since, tz="America/New_York", mode="reference", max_steps=None):
     df = spark.createDataFrame([(rule, anchor, since)], "r string, a string, s string")
-    got = df.select(C.rrule_next(F.col("r"), F.to_timestamp("a"), F.to_timestamp("s"), F.lit(tz), mode).cast("string")).first()[0]
+    got = df.select(C.rrule_next(F.col("r"), F.to_timestamp("a"), F.to_timestamp("s"), F.lit(tz), mode, max_steps).cast("string")).first()[0]
     return got
 
 
