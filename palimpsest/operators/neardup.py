@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter, defaultdict
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.hashing import hamming64
+from palimpsest.operators.components import components
 from palimpsest.session import checkpointed
 
 MAX_HAMMING = 3
+FOLD_PAIRS = 1_000_000  # pairs of a component that one task settles
 HOT_KEY = 2_000  # a band key shared by more hashes than this is refined
 
 
@@ -31,91 +36,69 @@ def _cut(lo: int, bits: int, parts: int) -> list[tuple[int, int]]:
     return out
 
 
-def _field(sim: Column, start: int, width: int) -> Column:
-    return F.shiftrightunsigned(sim, start).bitwiseAND(F.lit((1 << width) - 1))
-
-
-def band_keys(hashes: DataFrame, max_hamming: int = MAX_HAMMING, hot: int = HOT_KEY, levels: int = 4) -> DataFrame:
+def _first_keys(hashes: DataFrame, parts: int) -> DataFrame:
+    """The columns of ``hashes`` with part, value, band and mask: a row for each run of bits of ``sim``, and the bits it agrees on."""
+    runs = _cut(0, 64, parts)
+    value = F.array(*[F.shiftrightunsigned("sim", lo).bitwiseAND(F.lit((1 << n) - 1)) for lo, n in runs])
+    mask = F.array(*[F.lit(_signed(((1 << n) - 1) << lo)) for lo, n in runs])
+    rows = hashes.select(*hashes.columns, F.posexplode(value).alias("part", "value"))
+    return rows.withColumn("band", F.xxhash64("part", "value")).withColumn("mask", F.get(mask, F.col("part")))
+
+
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def _refine(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows of hot bands cut again: the bits that a band does not agree on yet are split into ``parts`` runs."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sim = batch.column("sim").to_numpy().view(np.uint64)
+            masks = batch.column("mask").to_numpy().view(np.uint64)
+            for mask in np.unique(masks).tolist():
+                at = np.flatnonzero(masks == np.uint64(mask))
+                free = [b for b in range(64) if not mask >> b & 1]
+                for part, (lo, n) in enumerate(_cut(0, len(free), parts)):
+                    value = np.zeros(len(at), np.uint64)
+                    for k, b in enumerate(free[lo : lo + n]):
+                        value |= (sim[at] >> np.uint64(b) & np.uint64(1)) << np.uint64(k)
+                    more = _signed(mask | sum(1 << b for b in free[lo : lo + n]))
+                    kept = [batch.column(c).take(pa.array(at)) for c in names if c != "mask"]
+                    new = [pa.array(np.full(len(at), more)), pa.array(np.full(len(at), part), pa.int32()), pa.array(value.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays([*kept, *new], names=[*[c for c in names if c != "mask"], "mask", "_part", "_value"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in names if c != "mask"] + ["mask bigint", "_part int", "_value bigint"])
+    out = rows.mapInArrow(run, schema)
+    return out.withColumn("band", F.xxhash64("band", "_part", "_value")).select(*names)
+
+
+def _refined(rows: DataFrame, max_hamming: int, hot: int) -> DataFrame:
+    """Rows with their final bands. A band that more than ``hot`` hashes share is cut again and again until it is not, or until
+    no bits are left to cut: hashes that agree on all but n bits are at most 2^n, so this ends."""
+    parts = max_hamming + 1
+    done = None
+    while True:
+        sizes = rows.groupBy("band").agg(F.count("*").alias("n"), F.min(F.bit_count("mask")).alias("bits"))
+        hotter = checkpointed(sizes.where((F.col("n") > hot) & (F.col("bits") < 64 - parts)).select("band"))
+        if hotter.isEmpty():
+            return rows if done is None else done.unionByName(rows)
+        cool = rows.join(hotter, "band", "left_anti")
+        done = cool if done is None else done.unionByName(cool)
+        rows = checkpointed(_refine(rows.join(hotter, "band", "left_semi"), parts))
+
+
+def band_keys(hashes: DataFrame, max_hamming: int = MAX_HAMMING, hot: int = HOT_KEY) -> DataFrame:
     """Rows (sim, band) such that two hashes within ``max_hamming`` bits share at least one band.
 
     With d+1 runs of bits, at most d differing bits leave one run equal. A run value shared by more than ``hot``
     hashes would pair too many rows, so those hashes are cut again: the bits outside the runs already agreed on
     are split into d+1 runs, one of which must agree too. Each level keeps the guarantee, so no pair is lost.
     """
-    parts = max_hamming + 1
-    cur = None
-    done = []
-    todo = hashes.select("sim", F.array().cast("array<int>").alias("used"), F.lit("").alias("band"))
-    for level in range(levels):
-        rows = todo.select("sim", "band", "used", F.posexplode(_level_fields(level, parts)).alias("part", "value")).select(
-            "sim",
-            F.concat_ws(":", "band", F.col("part").cast("string"), F.hex("value")).alias("band"),
-            F.concat("used", F.array("part")).alias("used"),
-        ) if level == 0 else _refine(todo, level, parts)
-        if level == levels - 1:
-            done.append(rows.select("sim", "band"))
-            break
-        sizes = rows.groupBy("band").count().where(F.col("count") > hot).select("band")
-        sizes = checkpointed(sizes)
-        if not sizes.head(1):
-            done.append(rows.select("sim", "band"))
-            break
-        done.append(rows.join(sizes, "band", "left_anti").select("sim", "band"))
-        todo = rows.join(sizes, "band", "left_semi")
-    cur = done[0]
-    for d in done[1:]:
-        cur = cur.unionByName(d)
-    return cur
-
-
-def _level_fields(level: int, parts: int) -> Column:
-    return F.array(*[_field(F.col("sim"), s, w) for s, w in _cut(0, 64, parts)])
-
-
-def _free_runs(path: tuple[int, ...], parts: int) -> list[list[tuple[int, int]]]:
-    """Bit runs of the next level for hashes that already agreed on the runs in ``path``."""
-    free = [(0, 64)]
-    for choice in path:
-        runs = _split_free(free, parts)
-        free = [r for i, run in enumerate(runs) if i != choice for r in run]
-    return _split_free(free, parts)
-
-
-def _split_free(free: list[tuple[int, int]], parts: int) -> list[list[tuple[int, int]]]:
-    bits = [b for s, w in free for b in range(s, s + w)]
-    out = []
-    for lo, n in _cut(0, len(bits), parts):
-        run: list[tuple[int, int]] = []
-        for b in bits[lo : lo + n]:
-            if run and run[-1][0] + run[-1][1] == b:
-                run[-1] = (run[-1][0], run[-1][1] + 1)
-            else:
-                run.append((b, 1))
-        out.append(run)
-    return out
-
-
-def _refine(todo: DataFrame, level: int, parts: int) -> DataFrame:
-    """Next-level keys; the runs depend on the path of runs already used."""
-    paths = [()]
-    for _ in range(level):
-        paths = [(*p, i) for p in paths for i in range(parts)]
-    value = None
-    for path in paths:
-        fields = []
-        for run in _free_runs(path, parts):
-            acc, shift = F.lit(0).cast("long"), 0
-            for s, w in run:
-                acc = acc.bitwiseOR(F.shiftleft(_field(F.col("sim"), s, w), shift))
-                shift += w
-            fields.append(acc)
-        same = F.col("used") == F.array(*[F.lit(i) for i in path])
-        value = F.when(same, F.array(*fields)) if value is None else value.when(same, F.array(*fields))
-    return todo.select("sim", "band", "used", F.posexplode(value).alias("part", "value")).select(
-        "sim",
-        F.concat_ws(":", "band", F.col("part").cast("string"), F.hex("value")).alias("band"),
-        F.concat("used", F.array("part")).alias("used"),
-    )
+    rows = _first_keys(hashes.select("sim"), max_hamming + 1).select("sim", "band", "mask")
+    return _refined(rows, max_hamming, hot).select("sim", "band")
 
 
 def near_pairs(firsts: DataFrame, max_hamming: int = MAX_HAMMING, hot: int = HOT_KEY) -> DataFrame:
@@ -126,30 +109,75 @@ def near_pairs(firsts: DataFrame, max_hamming: int = MAX_HAMMING, hot: int = HOT
     return a.join(b, "band").where((F.col("at_b") < F.col("at_a")) & (hamming64("sim", "earlier") <= max_hamming)).select("sim", "earlier").distinct()
 
 
-def greedy_keep(firsts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Keep a hash unless an earlier kept one is near it, decided in rounds.
-
-    A hash with no undecided or kept earlier neighbour is kept; one with a kept earlier neighbour is dropped.
-    Every round settles at least the earliest open hash, so the loop ends.
+def _settled(rows: list[tuple[int, int]]) -> list[int]:
+    """The hashes kept among those of whole components: one is kept unless an earlier kept one is near it."""
+    later, open_, gone = defaultdict(list), Counter(), set()
+    for sim, earlier in rows:
+        later[earlier].append(sim)
+        open_[sim] += 1
+    todo = [x for x in later if not open_[x]]
+    kept = []
+    while todo:
+        x = todo.pop()
+        if x not in gone:
+            kept.append(x)
+            gone.update(later[x])
+        for y in later[x]:
+            open_[y] -= 1
+            if not open_[y]:
+                todo.append(y)
+    return kept
+
+
+def _fold(labelled: DataFrame, flush: int = 100_000) -> DataFrame:
+    """Kept hashes (sim) of pairs (sim, earlier, root); the pairs of a root meet in one task, a run of roots at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            for sim, earlier, root in zip(*(batch.column(c).to_pylist() for c in ("sim", "earlier", "root"))):
+                if root != last and len(held) >= flush:
+                    yield pa.RecordBatch.from_arrays([pa.array(_settled(held), pa.int64())], names=["sim"])
+                    held = []
+                held.append((sim, earlier))
+                last = root
+        yield pa.RecordBatch.from_arrays([pa.array(_settled(held), pa.int64())], names=["sim"])
+
+    return labelled.select("sim", "earlier", "root").repartition("root").sortWithinPartitions("root").mapInArrow(run, "sim long")
+
+
+def _round(firsts: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of pairs in large components: the hashes without an earlier neighbour, which are kept, and the pairs still open."""
+    first = live.select(F.col("earlier").alias("sim")).distinct().join(live.select("sim").distinct(), "sim", "left_anti")
+    dropped = live.join(first.select(F.col("sim").alias("earlier")), "earlier", "left_semi").select("sim").distinct()
+    left = live.join(dropped, "sim", "left_anti").join(dropped.select(F.col("sim").alias("earlier")), "earlier", "left_anti").select("sim", "earlier")
+    # a later hash that only dropped ones were near has no pair left: it is kept, too
+    freed = live.select("sim").distinct().join(dropped, "sim", "left_anti").join(left.select("sim").distinct(), "sim", "left_anti")
+    freed = freed.join(left.select(F.col("earlier").alias("sim")).distinct(), "sim", "left_anti")
+    return checkpointed(first.unionByName(freed)), checkpointed(left)
+
+
+def greedy_keep(firsts: DataFrame, pairs: DataFrame, fold_pairs: int = FOLD_PAIRS) -> DataFrame:
+    """Keep a hash unless an earlier kept one is near it.
+
+    The pairs are split into connected components, whose decisions do not touch each other; each is settled in one pass
+    through its pairs in one task, however long its chains are. Of a component of more than ``fold_pairs`` pairs the hashes
+    that nothing comes before are settled first, with what they drop, until its rest falls apart or is small enough.
     """
-    pairs = checkpointed(pairs)
-    newly = firsts.select("sim").join(pairs.select("sim").distinct(), "sim", "left_anti")
-    kept, live = [newly], pairs
-    while live.head(1):
-        # neighbours just kept drop their later partners
-        dropped = live.join(newly.select(F.col("sim").alias("earlier")), "earlier", "left_semi").select("sim").distinct()
-        left = live.join(dropped, "sim", "left_anti")
-        # links to dropped hashes no longer hold anything back
-        held = left.join(dropped.select(F.col("sim").alias("earlier")), "earlier", "left_anti").select("sim", "earlier")
-        freed = left.select("sim").distinct().join(held.select("sim").distinct(), "sim", "left_anti")
-        # both outcomes of the round in one write: links still open, and hashes just kept
-        state = checkpointed(held.unionByName(freed.withColumn("earlier", F.lit(None).cast("long"))))
-        live, newly = state.where("earlier IS NOT NULL"), state.where("earlier IS NULL").select("sim")
-        kept.append(newly)
-    out = kept[0]
-    for k in kept[1:]:
-        out = out.unionByName(k)
-    return out
+    live = checkpointed(pairs)
+    ends = live.select("sim").union(live.select("earlier")).distinct()
+    out = firsts.select("sim").join(ends, "sim", "left_anti")
+    while True:
+        n = live.count()
+        if n == 0:
+            return out
+        labelled = live.join(components(live.select(F.col("sim").alias("a"), F.col("earlier").alias("b"))).withColumnRenamed("node", "sim"), "sim")
+        if n <= fold_pairs:
+            return out.unionByName(_fold(labelled))
+        big = checkpointed(labelled.groupBy("root").count().where(F.col("count") > fold_pairs).select("root"))
+        out = out.unionByName(checkpointed(_fold(labelled.join(big, "root", "left_anti"))))
+        kept, live = _round(firsts, labelled.join(big, "root", "left_semi").select("sim", "earlier"))
+        out = out.unionByName(kept)
 
 
 def dedupe_near(df: DataFrame, order: Sequence[str], sim: str = "sim", max_hamming: int = MAX_HAMMING, hot: int = HOT_KEY) -> DataFrame:
@@ -164,10 +192,46 @@ def dedupe_near(df: DataFrame, order: Sequence[str], sim: str = "sim", max_hammi
     return df.join(named, (F.col(sim) == F.col("_s")) & (F.struct(*order) == F.col("_at")), "left_semi")
 
 
-def drop_known(df: DataFrame, stored: DataFrame, sim: str = "sim", max_hamming: int = MAX_HAMMING) -> DataFrame:
-    """Drop rows whose hash is within ``max_hamming`` bits of a stored one."""
-    new = df.select(F.col(sim).alias("sim")).distinct().withColumn("at", F.lit(1))
-    old = stored.select(F.col("sim")).distinct().withColumn("at", F.lit(0))
-    both = new.unionByName(old).groupBy("sim").agg(F.min("at").alias("at"))
-    near = near_pairs(checkpointed(both), max_hamming).select("sim").unionByName(old.select("sim"))
-    return df.join(near.select(F.col("sim").alias(sim)).distinct(), sim, "left_anti")
+def near_known(new: DataFrame, known: DataFrame, max_hamming: int = MAX_HAMMING, hot: int = HOT_KEY) -> DataFrame:
+    """(sim): hashes of ``new`` (sim) near one of ``known`` (sim, part, value: its first keys, as many as share one with a new hash).
+
+    New hashes meet known ones only; known ones never meet each other.
+    """
+    mine = _first_keys(new.select("sim").distinct(), max_hamming + 1)
+    there = known.select("sim", "part", "value").distinct().withColumn("band", F.xxhash64("part", "value"))
+    there = there.join(mine.select("band").distinct(), "band", "left_semi").join(mine.select("band", "mask").distinct(), "band")
+    rows = mine.select("sim", "band", "mask", F.lit(False).alias("old")).unionByName(there.select("sim", "band", "mask", F.lit(True).alias("old")))
+    rows = _refined(checkpointed(rows), max_hamming, hot)
+    old = rows.where("old").select("band", F.col("sim").alias("known"))
+    met = rows.where("NOT old").select("band", "sim").join(old, "band")
+    return met.where(hamming64("sim", "known") <= max_hamming).select("sim").distinct()
+
+
+def drop_known(df: DataFrame, stored: DataFrame, sim: str = "sim", max_hamming: int = MAX_HAMMING, hot: int = HOT_KEY) -> DataFrame:
+    """Drop rows whose hash is within ``max_hamming`` bits of a stored one (sim)."""
+    known = _first_keys(stored.select("sim").distinct(), max_hamming + 1)
+    near = near_known(df.select(F.col(sim).alias("sim")), known, max_hamming, hot)
+    return df.join(near.withColumnRenamed("sim", sim), sim, "left_anti")
+
+
+# --- a stored index of first keys --------------------------------------------------------------------------
+PREFIXES = 64  # folders for each run of bits
+
+
+def _prefixed(keys: DataFrame) -> DataFrame:
+    """Keys with the folder they belong to: the run of bits and its value's remainder."""
+    return keys.select("sim", "part", "value", (F.col("part") * PREFIXES + F.pmod("value", F.lit(PREFIXES))).cast("int").alias("prefix"))
+
+
+def write_bands(hashes: DataFrame, path: str, max_hamming: int = MAX_HAMMING) -> None:
+    """Store the first keys of ``hashes`` (sim) in a folder for each prefix, ordered by value."""
+    keys = _prefixed(_first_keys(hashes.select("sim").distinct(), max_hamming + 1))
+    keys.repartition("prefix").sortWithinPartitions("prefix", "value").write.mode("overwrite").partitionBy("prefix").parquet(path)
+
+
+def touched_bands(index: DataFrame, hashes: DataFrame, max_hamming: int = MAX_HAMMING) -> DataFrame:
+    """The keys of a stored index that could share one with ``hashes`` (sim): other folders are not read. The folders' numbers,
+    at most ``PREFIXES`` for each run of bits, pass the driver."""
+    keys = _prefixed(_first_keys(hashes.select("sim").distinct(), max_hamming + 1))
+    wanted = sorted(r["prefix"] for r in keys.select("prefix").distinct().collect())
+    return index.where(F.col("prefix").isin(wanted)).select("sim", "part", "value")

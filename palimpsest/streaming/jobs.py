@@ -139,16 +139,22 @@ def latest_chunks(chunks: DataFrame) -> DataFrame:
 def near_dup_writer(store: str, sim: str = "sim", order: tuple[str, ...] = ("id",)):
     """foreachBatch writer: drop records near a stored one or an earlier one of the batch, store the rest.
 
-    Each batch has its own folder, so a retried batch replaces itself; it reads only the folders before it.
+    Each batch has its own folder, so a retried batch replaces itself; it reads only the folders before it. Beside the
+    records their hashes are stored by runs of bits: a batch reads those folders of the index that its own hashes touch,
+    and only its hashes are joined with them.
     """
+    bands = f"{store.rstrip('/')}-bands"
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         kept = batch
         if epoch > 0:
-            stored = spark.read.parquet(store).where(F.col("epoch") < epoch)  # folders of later or retried epochs are pruned
-            kept = N.drop_known(kept, stored.withColumnRenamed(sim, "sim"), sim)
+            hashes = batch.select(F.col(sim).alias("sim"))
+            index = spark.read.schema("sim long, part int, value long, epoch long, prefix int").parquet(bands).where(F.col("epoch") < epoch)
+            near = N.near_known(hashes, N.touched_bands(index, hashes))
+            kept = kept.join(near.withColumnRenamed("sim", sim), sim, "left_anti")
         N.dedupe_near(kept, list(order), sim).write.mode("overwrite").parquet(f"{store}/epoch={epoch}")
+        N.write_bands(spark.read.parquet(f"{store}/epoch={epoch}").select(F.col(sim).alias("sim")), f"{bands}/epoch={epoch}")
 
     return write
 

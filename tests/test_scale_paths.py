@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.operators import chunks as C
 from palimpsest.operators import graph as G
 from palimpsest.operators import neardup as N
+from palimpsest.operators.components import components
 from palimpsest.operators.ordered import cell_scan, id_cell, top_per_key
 from palimpsest.session import checkpointed
 
@@ -106,3 +107,75 @@ def test_substring_search_equals_scan(spark):
     terms = ["a", "bc", "abc", "cab ", "%", "zzz"]
     got = {(r.term, r.id) for r in G.containing(spark.createDataFrame([(t,) for t in terms], "term string"), df).collect()}
     assert got == {(t, a[1]) for t in terms for a in al if t.strip() in a[2]}
+
+
+def test_rounds_do_not_grow_with_a_chain(spark, monkeypatch):
+    rng = random.Random(2)
+    made, calls = N.checkpointed, []
+    monkeypatch.setattr(N, "checkpointed", lambda df: calls.append(1) or made(df))
+    used = []
+    for n in (50, 1000):
+        sims = [rng.getrandbits(64)]
+        while len(sims) < n:  # two more bits each time, and again others: a link to the one before, few to others
+            sims.append(sims[-1] ^ sum(1 << b for b in rng.sample(range(64), 2)))
+        sims = [s - 2**64 if s >= 2**63 else s for s in dict.fromkeys(sims)]
+        df = spark.createDataFrame(list(enumerate(sims)), "id long, sim long")
+        calls.clear()
+        assert sorted(r[0] for r in N.dedupe_near(df, ["id"]).select("sim").collect()) == sorted(greedy(sims))
+        used.append(len(calls))
+    assert used[0] == used[1]
+
+
+def test_large_components_are_settled_by_rounds(spark):
+    rng = random.Random(8)
+    links = {(b, a) for a, b in (sorted(rng.sample(range(100), 2)) for _ in range(120))} | {(i + 1, i) for i in range(1000, 1040)}
+    pairs = spark.createDataFrame(sorted(links), "sim long, earlier long").repartition(3)
+    firsts = spark.createDataFrame([(i,) for i in [*range(100), *range(1000, 1041), 5000]], "sim long")
+    kept = []
+    for x in [*range(100), *range(1000, 1041), 5000]:
+        if not any((x, k) in links for k in kept):
+            kept.append(x)
+    for limit in (1_000_000, 50):
+        assert sorted(r.sim for r in N.greedy_keep(firsts, pairs, limit).collect()) == kept
+
+
+def test_components_over_several_tasks(spark):
+    links = [(i, i + 1) for i in range(0, 80)] + [(200, 500), (500, 300), (7, 7), (None, 3)] + [(900, 900 + i) for i in range(1, 30)]
+    df = spark.createDataFrame(links, "a long, b long").repartition(6)
+    want = {i: 0 for i in range(81)} | {200: 200, 300: 200, 500: 200} | {900 + i: 900 for i in range(30)}
+    for few in (50, 100_000):
+        assert {r.node: r.root for r in components(df, few).collect()} == want
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_bands_are_cut_until_none_is_hot(spark):
+    base = 0x0123456789ABCDEF
+    sims = [base ^ i for i in range(4096)]  # all differ in the lowest twelve bits only
+    df = spark.createDataFrame([(s,) for s in sims], "sim long")
+    for hot in (1000,):
+        keys = N.band_keys(df, hot=hot)
+        assert max(r["count"] for r in keys.groupBy("band").count().collect()) <= hot
+    rng = random.Random(1)
+    few = rng.sample(sims, 250)
+    want = sum((a ^ b).bit_count() <= 3 for i, a in enumerate(few) for b in few[:i])
+    firsts = spark.createDataFrame([(s, i) for i, s in enumerate(few)], "sim long, at long")
+    assert N.near_pairs(firsts, hot=20).count() == want
+
+
+def test_known_hashes_never_meet_each_other(spark, tmp_path):
+    rng = random.Random(6)
+    old = [rng.getrandbits(63) for _ in range(500)]
+    new = [old[3] ^ 0b111, old[4] ^ 0b1111, old[5], *(rng.getrandbits(63) for _ in range(3))]
+    frame = lambda x: spark.createDataFrame([(s,) for s in x], "sim long")
+    want = sorted(s for s in new if any((s ^ o).bit_count() <= 3 for o in old))
+    path = str(tmp_path / "bands")
+    N.write_bands(frame(old), path)
+    index = spark.read.parquet(path)
+    touched = N.touched_bands(index, frame(new))
+    assert sorted(r.sim for r in N.near_known(frame(new), touched).collect()) == want
+    assert sorted(r.sim for r in N.near_known(frame(new), touched, hot=2).collect()) == want
+    # a batch reads the folders that its hashes touch, four each at most
+    files = lambda hashes: N.touched_bands(index, frame(hashes)).inputFiles()
+    plan = N.touched_bands(index, frame(new[:1]))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and len({f.split("prefix=")[1].split("/")[0] for f in files(new)}) <= 4 * N.PREFIXES
+    assert index.where("prefix IN (1, 70)").count() < index.count() / 20
