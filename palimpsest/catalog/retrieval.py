@@ -10,8 +10,8 @@ from palimpsest.catalog.text import _LOGTXT, _log_text
 from palimpsest.operators import retrieval as R
 from palimpsest.plans import adapters as A
 
-TOPK = f"""{VECTORS}, scored AS (SELECT q.id AS query_id, v.id, round(list_cosine_similarity(q.vector, v.vector),6) AS score, v.start_ts, v.hash, v.chunk_text, v.label FROM vectors q, vectors v),
-top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 12)"""
+TOPK = f"""{VECTORS}, scored AS (SELECT q.id AS query_id, v.id, list_cosine_similarity(q.vector::DOUBLE[], v.vector::DOUBLE[]) AS full_score, v.start_ts, v.hash, v.chunk_text, v.label FROM vectors q, vectors v),
+top AS (SELECT *, round(full_score,6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY full_score DESC, id) AS rank FROM scored QUALIFY rank <= 12)"""
 SELECTED = f"""RECURSIVE {TOPK}, mx AS (SELECT query_id, CASE WHEN max(score)=0 THEN 1e-9 ELSE max(score) END AS t FROM top GROUP BY 1),
 r AS (SELECT top.*, t, pow(0.5, greatest(date_diff('microsecond', start_ts, TIMESTAMP '2024-02-01 00:00:00')/3600000000.0, 0)/168.0) AS rec FROM top JOIN mx USING (query_id)),
 c0 AS (SELECT query_id, 0::BIGINT AS rank, t AS prev, 0 AS n, false AS stop, false AS take, 0.0::DOUBLE AS comp, NULL::BIGINT AS id, NULL::DOUBLE AS score FROM mx),
@@ -42,7 +42,7 @@ def vector_topk(spark, sf):
     return R.vector_topk(_queries(spark, sf), A.vectors(spark, sf))
 
 
-@query("vector_filter", f"WITH {VECTORS}, s AS (SELECT q.id AS query_id, v.id, round(list_cosine_similarity(q.vector, v.vector),6) AS score FROM vectors q, vectors v WHERE v.label > 3) SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 5")
+@query("vector_filter", f"WITH {VECTORS}, s AS (SELECT q.id AS query_id, v.id, list_cosine_similarity(q.vector::DOUBLE[], v.vector::DOUBLE[]) AS score FROM vectors q, vectors v WHERE v.label > 3) SELECT query_id, id, round(score,6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 5")
 def vector_filter(spark, sf):
     return R.vector_topk(_queries(spark, sf), R.vector_filter(A.vectors(spark, sf), "label > 3"), 5)
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,8 @@ from palimpsest.functions import text as X
 from palimpsest.operators.ordered import join_ordered, top_per_key
 from palimpsest.session import checkpointed
 
-TOP_K, QUERY_BLOCK = 12, 1024
+TOP_K, QUERY_BLOCK, VECTOR_BLOCK = 12, 1024, 4096
+PLANES = 4  # cells: one for each combination of sides
 
 
 def vector_filter(vectors: DataFrame, condition: Column | str) -> DataFrame:
@@ -21,54 +23,136 @@ def vector_filter(vectors: DataFrame, condition: Column | str) -> DataFrame:
     return vectors.where(condition)
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, block: int = QUERY_BLOCK) -> DataFrame:
-    """Exact top-k by cosine for every query vector: (query_id, id, score, rank).
-
-    Queries travel to the tasks in blocks of about ``block`` vectors, whatever their number; every block is one
-    pass over the vectors. A task keeps k candidates per query and batch, so the shuffle carries no more.
+def _celled(df: DataFrame, key: str, planes: int) -> DataFrame:
+    """(key, dim, cell, unit): vectors scaled to length one, and the side on which they lie of a few fixed planes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column("vector")
+            dims = vectors.value_lengths().to_numpy(zero_copy_only=False)
+            for dim in np.unique(dims).tolist():
+                at = pa.array(np.flatnonzero(dims == dim))
+                x = vectors.take(at).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dim)
+                x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+                normals = np.cos(np.outer(np.arange(1, dim + 1) ** 2, np.arange(1, planes + 1) * np.sqrt(2.0)))
+                cell = ((x @ normals > 0) << np.arange(planes)).sum(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(key).take(at), pa.array(np.full(len(at), dim), pa.int32()), pa.array(cell, pa.int32()), pa.array([v.tobytes() for v in x], pa.binary())], names=[key, "dim", "cell", "unit"]
+                )
+
+    rows = df.select(key, F.col("vector").cast("array<double>").alias("vector")).where(F.col("vector").isNotNull() & ~F.exists("vector", lambda v: v.isNull()))
+    return rows.mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, dim int, cell int, unit binary")
+
+
+def _packed(df: DataFrame, key: str, rows: int, planes: int) -> DataFrame:
+    """(block, dim, cell, nth, ids, units, centre, radius): blocks of up to about ``rows`` vectors of one cell, with the unit vector of their
+    mean and the largest angle to it."""
+
+    def run(key_: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        dim, cell, nth = (k.as_py() for k in key_)
+        units = b"".join(part["unit"].to_pylist())
+        x = np.frombuffer(units).reshape(part.num_rows, dim)
+        centre = x.mean(axis=0) if part.num_rows else np.zeros(dim)
+        length = np.sqrt((centre * centre).sum())
+        whole = length < 1e-12 or (np.abs(x).max(axis=1, initial=0) == 0).any()
+        centre = centre / max(length, 1e-300)
+        radius = math.pi if whole else float(np.arccos(np.clip(x @ centre, -1, 1)).max())
+        ids = part[key].combine_chunks()
+        ids = ids if not isinstance(ids, pa.ChunkedArray) else pa.concat_arrays(ids.chunks)
+        return pa.table(
+            [pa.array([f"{dim}:{cell}:{nth}"]), *[pa.array([v], pa.int32()) for v in (dim, cell, nth)], pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([units], pa.binary()), pa.array([centre.tobytes()], pa.binary()), pa.array([radius])],
+            names=["block", "dim", "cell", "nth", "ids", "units", "centre", "radius"],
+        )
+
+    celled = _celled(df, key, planes)
+    parts = celled.groupBy("dim", "cell").agg(F.ceil(F.count("*") / rows).alias("parts"))
+    placed = celled.join(parts, ["dim", "cell"]).withColumn("nth", F.pmod(F.xxhash64(key), F.col("parts")).cast("int"))
+    kind = dict(df.dtypes)[key]
+    return placed.select(key, "dim", "cell", "nth", "unit").groupBy("dim", "cell", "nth").applyInArrow(run, f"block string, dim int, cell int, nth int, ids array<{kind}>, units binary, centre binary, radius double")
+
+
+def _best(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, score) of everything at or above the k-th score of each query: ties are settled by id later."""
+    rough = q @ x.T
+    if rough.shape[1] > k:
+        floor = np.partition(rough, -k, axis=1)[:, -k] - 1e-9
+        i, j = np.nonzero(rough >= floor[:, None])
+    else:
+        i, j = np.indices(rough.shape).reshape(2, -1)
+    return i, j, (q[i] * x[j]).sum(axis=1)  # each pair summed on its own: equal vectors have equal scores
+
+
+def _unpack(units: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(units).reshape(-1, dim) if dim else np.empty((0, 0))
+
+
+def _needed(asked: DataFrame, blocks: DataFrame, k: int, planes: int) -> DataFrame:
+    """(block, asker, need, n): which queries of a block of queries must see which block of vectors.
+
+    The first block of a query's own cell gives a score that its k-th best is not below. The angle to any vector of a block
+    is at least that to its centre less its radius, so a block whose best possible score is below is not needed.
+    """
+    near = blocks.where("nth = 0").select("dim", "cell", F.col("units").alias("there"))
+    mine = asked.select(F.col("block").alias("asker"), "dim", "cell", "units").join(near, ["dim", "cell"], "left")
+
+    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for dim, units, there in zip(*(batch.column(c).to_pylist() for c in ("dim", "units", "there"))):
+                q = _unpack(units, dim)
+                scores = q @ _unpack(there, dim).T if there else np.empty((len(q), 0))
+                out.append((np.partition(scores, -k, axis=1)[:, -k] - 1e-9 if scores.shape[1] >= k else np.full(len(q), -2.0)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("asker"), batch.column("dim"), batch.column("units"), pa.array(out, pa.binary())], names=["asker", "dim", "units", "floor"])
+
+    floored = mine.mapInArrow(floors, "asker string, dim int, units binary, floor binary")
+    every = floored.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit((1 << planes) - 1))))
+    met = every.join(blocks.select("block", "dim", "cell", "centre", "radius"), ["dim", "cell"])
+
+    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, counts = [], []
+            for dim, units, floor, centre, radius in zip(*(batch.column(c).to_pylist() for c in ("dim", "units", "floor", "centre", "radius"))):
+                q = _unpack(units, dim)
+                angle = np.arccos(np.clip(q @ np.frombuffer(centre), -1, 1)) - radius
+                top = np.where((radius >= math.pi) | ~q.any(axis=1), 1.0, np.cos(np.maximum(angle, 0)))
+                out.append(np.flatnonzero(top + 1e-9 >= np.frombuffer(floor)).astype(np.int32))
+                counts.append(len(q))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("asker"), pa.array(out, pa.list_(pa.int32())), pa.array(counts, pa.int32())], names=["block", "asker", "need", "n"])
+
+    return met.mapInArrow(needs, "block string, asker string, need array<int>, n int")
+
+
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, block: int = QUERY_BLOCK, rows: int = VECTOR_BLOCK, planes: int = PLANES) -> DataFrame:
+    """Exact top-k by cosine for every query vector: (query_id, id, score, rank), ranked by the full score, ties by id; scores are
+    shown to six places.
+
+    Vectors and queries are packed into blocks of neighbouring vectors; a block of queries meets a block of vectors in one
+    task, and only if a bound on its scores does not rule it out (``skipped_share`` tells how much that saves). Null
+    vectors take no part, vectors of different lengths never meet, and a zero vector has score 0 with all.
     """
-    total = queries.count()
-    blocks = max(1, math.ceil(total / block))
-    parts = None
-    numbered = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("b"))
-    for b in range(blocks):
-        scored = _score_block(numbered.where(F.col("b") == b), vectors, k)
-        if scored is not None:
-            if blocks > 1:  # write this block's best, so that the driver holds one block at a time
-                scored = checkpointed(top_per_key(scored, ["query_id"], [F.desc("score"), "id"], k))
-            parts = scored if parts is None else parts.unionByName(scored)
-    if parts is None:
-        parts = queries.select("query_id", F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("score")).limit(0)
-    return top_per_key(parts, ["query_id"], [F.desc("score"), "id"], k, rank="rank")
-
-
-def _score_block(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame | None:
-    rows = queries.select("query_id", "vector").collect()  # one block, bounded above
-    if not rows:
-        return None
-    ids = np.array([r[0] for r in rows], dtype=object)
-    mat = np.array([r[1] for r in rows], dtype=np.float64)
-    mat /= np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-300)
-
-    def score(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            v = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            sims = np.round(mat @ v.T, 6)
-            keys = pdf["id"].to_numpy()
-            if sims.shape[1] > k:
-                # keep everything at or above the k-th score, so ties are settled by id later
-                floor = np.partition(sims, -k, axis=1)[:, -k]
-                q, c = np.nonzero(sims >= floor[:, None])
-            else:
-                q, c = np.indices(sims.shape).reshape(2, -1)
-            yield pd.DataFrame({"query_id": ids[q], "id": keys[c], "score": sims[q, c]})
-
-    qtype = dict(queries.dtypes)["query_id"]
-    itype = dict(vectors.dtypes)["id"]
-    return vectors.select("id", "vector").mapInPandas(score, f"query_id {qtype}, id {itype}, score double")
+    asked, blocks = (checkpointed(_packed(d, c, n, planes)) for d, c, n in ((queries, "query_id", block), (vectors, "id", rows)))
+    pairs = _needed(asked, blocks, k, planes).where(F.size("need") > 0).select("block", "asker", "need")
+    met = pairs.join(asked.select(F.col("block").alias("asker"), F.col("ids").alias("query_ids"), F.col("units").alias("query_units")), "asker")
+    met = met.join(blocks.select("block", "dim", "ids", "units"), "block")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                dim, need = batch.column("dim")[r].as_py(), batch.column("need")[r].values.to_numpy()
+                q, x = (_unpack(batch.column(c)[r].as_py(), dim) for c in ("query_units", "units"))
+                i, j, scores = _best(q[need], x, k)
+                found = [batch.column("query_ids")[r].values.take(pa.array(need[i])), batch.column("ids")[r].values.take(pa.array(j)), pa.array(scores)]
+                yield pa.RecordBatch.from_arrays(found, names=["query_id", "id", "score"])
+
+    scored = met.mapInArrow(score, f"query_id {dict(queries.dtypes)['query_id']}, id {dict(vectors.dtypes)['id']}, score double")
+    ranked = top_per_key(scored, ["query_id"], [F.desc("score"), "id"], k, rank="rank")
+    return ranked.withColumn("score", F.round("score", 6))
+
+
+def skipped_share(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, block: int = QUERY_BLOCK, rows: int = VECTOR_BLOCK, planes: int = PLANES) -> DataFrame:
+    """One row: pairs of a query and a block of vectors, and how many of them ``vector_topk`` leaves out."""
+    need = _needed(_packed(queries, "query_id", block, planes), checkpointed(_packed(vectors, "id", rows, planes)), k, planes)
+    return need.agg(F.sum("n").alias("pairs"), F.sum(F.col("n") - F.size("need")).alias("skipped"))
 
 
 def select_hits(

@@ -79,3 +79,46 @@ def test_unpack_and_dedupe(spark):
 
 def test_memory_cap(spark):
     assert spark.range(1).select(R.memory_cap(F.lit("x" * 7000))).first()[0] == "[Memory v2] " + "x" * 5988
+
+
+def nearest(queries, vectors, k):
+    """(query_id, id, rank) by the full cosine, pair by pair."""
+    out = []
+    unit = lambda v: np.array(v, float) / max(np.sqrt((np.array(v, float) ** 2).sum()), 1e-300)
+    ok = [(i, v) for i, v in vectors if v is not None and None not in v]
+    for q, v in queries:
+        if v is None or None in v:
+            continue
+        scores = sorted((-round(float((unit(v) * unit(w)).sum()), 12), i) for i, w in ok if len(w) == len(v))
+        out += [(q, i, n + 1) for n, (_, i) in enumerate(scores[:k])]
+    return sorted(out)
+
+
+def test_vector_topk_equals_all_pairs(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(12, 16)) * 3
+    rows = [(f"v{i:04d}", (centres[i % 12] + rng.normal(size=16) * 0.2).tolist()) for i in range(1500)]
+    rows += [(f"t{i:03d}", rows[5][1]) for i in range(40)]  # equal vectors: ties by id
+    rows += [("zero", [0.0] * 16), ("null", None), ("hole", [None] * 16), ("short", [1.0, 2.0])]
+    asked = [(i, rows[i * 7][1]) for i in range(100)] + [(1000, [0.0] * 16), (1001, None), (1002, [2.0, 1.0]), (1003, rows[5][1])]
+    v = spark.createDataFrame(rows, "id string, vector array<double>")
+    q = spark.createDataFrame(asked, "query_id long, vector array<double>")
+    want = nearest(asked, rows, 5)
+    for sizes in ({}, {"block": 7, "rows": 40}, {"planes": 1, "rows": 25}):
+        got = R.vector_topk(q, v, 5, **sizes).collect()
+        assert sorted((r.query_id, r.id, r["rank"]) for r in got) == want
+    assert all(r.score == round(r.score, 6) for r in got)
+    share = R.skipped_share(q.where("query_id < 1000"), v.where("id <> 'zero'"), 5, rows=40, planes=6).first()
+    assert share.pairs > 1000 and share.skipped > 0.5 * share.pairs  # near vectors share blocks, far blocks are left out
+
+
+def test_near_ties_are_ranked_by_the_full_score(spark):
+    v = spark.createDataFrame([(1, [1.0, 2e-4]), (2, [1.0, 1e-4])], "id long, vector array<double>")  # equal to six places
+    q = spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, vector array<double>")
+    assert [(r.id, r.score) for r in R.vector_topk(q, v, 2).orderBy("rank").collect()] == [(2, 1.0), (1, 1.0)]
+
+
+def test_vector_topk_of_nothing(spark):
+    v = spark.createDataFrame([], "id long, vector array<double>")
+    q = spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, vector array<double>")
+    assert R.vector_topk(q, v).collect() == [] and R.vector_topk(q.where("false"), q.withColumnRenamed("query_id", "id")).collect() == []
