@@ -72,36 +72,70 @@ def _grams(text: Column, n: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))
 
 
-def containing(terms: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Every (term, alias) where the alias contains the term literally.
+def _own_grams(key: Column) -> Column:
+    """The grams under which a term is looked up: of three characters, or the term itself if it is shorter."""
+    return F.when(F.length(key) >= 3, _grams(key, 3)).otherwise(F.array(key))
+
+
+def _all_grams(key: Column) -> Column:
+    return F.concat(*[_grams(key, n) for n in (1, 2, 3)])
+
+
+def containing(terms: DataFrame, aliases: DataFrame, limit: int | None = None) -> DataFrame:
+    """(term, alias) where the alias contains the term literally; with ``limit`` only each short term's heaviest ones.
 
     An alias containing a term contains all its 3-grams, so each term looks only at the aliases under its
-    rarest gram. Terms of one or two characters use grams of their own length.
+    rarest gram. Terms of up to three characters are grams themselves: the list of each is cut to ``limit`` by every
+    task before the shuffle. Only grams that some term asks for are indexed.
     """
+    cols = ["node_id", "id", "alias", "weight", "alias_key"] + [c for c in ("created_ts",) if c in aliases.columns]
     t = terms.select("term").distinct().withColumn("k", X.alias_key("term")).where("k <> ''")
-    t = t.withColumn("n", F.least(F.length("k"), F.lit(3)))
-    sizes = [r[0] for r in t.select("n").distinct().collect()]  # at most three values
-    out = None
-    for n in sorted(sizes):
-        index = aliases.select("node_id", "id", "alias", "weight", "alias_key", *[c for c in ("created_ts",) if c in aliases.columns],
-                               F.explode(_grams(F.col("alias_key"), n)).alias("gram"))
-        counts = index.groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
-        asked = t.where(F.col("n") == n).select("term", "k", F.explode(_grams(F.col("k"), n)).alias("gram"))
-        rare = asked.join(counts, "gram", "left").groupBy("term", "k").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "gram")).alias("g"))
-        rare = rare.where("g.c > 0").select("term", "k", F.col("g.gram").alias("gram"))
-        hits = rare.join(index, "gram").where(F.col("alias_key").contains(F.col("k"))).drop("gram", "k")
-        out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        cols = ["node_id", "id", "alias", "weight", "alias_key"] + [c for c in ("created_ts",) if c in aliases.columns]
-        out = aliases.select(F.lit("").alias("term"), *cols).where("false")
-    return out
+    asked = t.select("term", "k", F.explode(_own_grams(F.col("k"))).alias("gram"))
+    wanted = asked.select("gram").distinct()
+    index = aliases.select(*cols, F.explode(_all_grams(F.col("alias_key"))).alias("gram")).join(wanted, "gram", "left_semi")
+    short = index.where(F.length("gram") <= 3).join(t.where(F.length("k") <= 3).select(F.col("k").alias("gram")).distinct(), "gram", "left_semi")
+    if limit is not None:
+        short = top_per_key(short, ["gram"], _by_weight(), limit)
+    short = t.where(F.length("k") <= 3).select("term", F.col("k").alias("gram")).join(short, "gram").select("term", *cols)
+    counts = index.groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
+    rare = asked.where(F.length("k") > 3).join(counts, "gram", "left").groupBy("term", "k").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "gram")).alias("g"))
+    rare = rare.where("g.c > 0").select("term", "k", F.col("g.gram").alias("gram"))
+    return rare.join(index, "gram").where(F.col("alias_key").contains(F.col("k"))).select("term", *cols).unionByName(short)
+
+
+# --- a stored index of aliases -----------------------------------------------------------------------------
+ALIAS_COLUMNS = ["id", "node_id", "alias", "source", "weight", "alias_key"]
+POST_PREFIXES = 64
+
+
+def _posts(key: Column, grams: Column) -> Column:
+    """What an alias is found by, or a term looks for: the key, its words, its grams, as hashes."""
+    of = lambda kind, c: F.transform(c, lambda x: F.xxhash64(F.lit(kind), x))
+    return F.array_distinct(F.concat(of("key", F.array(key)), of("word", _tokens(key)), of("gram", grams)))
+
+
+def write_alias_index(aliases: DataFrame, path: str) -> None:
+    """Store aliases under everything a term may find them by, in folders by the hash of that."""
+    key = F.col("alias_key")
+    rows = aliases.select(*ALIAS_COLUMNS, F.explode(_posts(key, _all_grams(key))).alias("post"))
+    rows = rows.withColumn("prefix", F.pmod("post", F.lit(POST_PREFIXES)).cast("int"))
+    rows.repartition("prefix").sortWithinPartitions("prefix", "post").write.mode("overwrite").partitionBy("prefix").parquet(path)
+
+
+def touched_aliases(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """The aliases of a stored index that an exact match or a search of any of the terms could give. Folders that no term touches
+    are not read; their numbers, at most ``POST_PREFIXES``, pass the driver."""
+    keys = terms.select("term").distinct().select(X.alias_key("term").alias("k"))
+    asked = keys.select(F.explode(_posts(F.col("k"), _own_grams(F.col("k")))).alias("post")).distinct()
+    wanted = sorted(r[0] for r in asked.select(F.pmod("post", F.lit(POST_PREFIXES)).cast("int")).distinct().collect())
+    return index.where(F.col("prefix").isin(wanted)).join(asked, "post", "left_semi").select(*ALIAS_COLUMNS).distinct()
 
 
 def alias_search(terms: DataFrame, aliases: DataFrame, limit: int = 20) -> DataFrame:
     """Word matches, or where a term has none, substring matches; heaviest first, at most ``limit`` per term."""
     words = alias_token_hits(terms, aliases, limit)
     rest = terms.select("term").distinct().join(words.select("term").distinct(), "term", "left_anti")
-    subs = top_per_key(containing(rest, aliases), ["term"], _by_weight(), limit, rank="rank")
+    subs = top_per_key(containing(rest, aliases, limit), ["term"], _by_weight(), limit, rank="rank")
     return words.unionByName(subs.select(*words.columns))
 
 

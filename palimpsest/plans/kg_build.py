@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +22,16 @@ def detection_rows(detections: DataFrame, col: str = "det_json") -> tuple[DataFr
     return ents, rows.select("msg_id", F.col("det.slots")["deadline"].alias("deadline"))
 
 
-def kg_build(detections: DataFrame, aliases: DataFrame, source: str = "span") -> dict[str, DataFrame]:
+def kg_build(detections: DataFrame, aliases: DataFrame | Callable[[DataFrame], DataFrame], source: str = "span") -> dict[str, DataFrame]:
     """Everything one batch adds to the graph. Ids are hashes of content, so a repeated batch adds nothing new.
 
-    The mark covers every row of the batch, also those with an invalid detection.
+    ``aliases`` are those known before, or a function that gives those that matter for a table of terms (term). The mark
+    covers every row of the batch, also those with an invalid detection.
     """
     ents, slots = detection_rows(detections)
+    if callable(aliases):
+        named = ents.select(F.explode(F.array(X.trim_ws(F.coalesce("norm", "text", F.lit(""))), F.coalesce("norm", F.lit("")))).alias("term"))
+        aliases = checkpointed(aliases(named.where("term <> ''").distinct()))
     out = L.link_entities(ents, aliases, source)
     cols = ["id", "node_id", "alias", "source", "weight", "alias_key"]
     known = aliases.select(*cols).unionByName(out["aliases"].select(*cols))

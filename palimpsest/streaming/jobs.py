@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from palimpsest.functions import rules as R
 from palimpsest.functions import text as X
+from palimpsest.operators import graph as G
 from palimpsest.operators import neardup as N
 from palimpsest.operators.chunks import CHUNK_SIZE, GAP_MINUTES, OVERLAP, _chunk_ends, timed_sentences
 from palimpsest.plans.kg_build import kg_build
@@ -167,18 +168,23 @@ def stream_detect(log: DataFrame, catalog: list[dict] | None = None) -> DataFram
 def kg_writer(aliases_of: Callable[[SparkSession], DataFrame], store: str):
     """foreachBatch writer: build the graph rows of a batch into folders of its epoch.
 
-    New aliases of earlier epochs are resolved against, so later batches link to nodes made before.
+    New aliases of earlier epochs are resolved against, so later batches link to nodes made before. The aliases that the stream
+    begins with are indexed once, by its first batch, and each batch's new ones when it is done; a batch then reads the
+    parts of the index that its own terms touch.
     """
+    index = f"{store.rstrip('/')}-index"
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        known = aliases_of(spark).select("id", "node_id", "alias", "source", "weight", "alias_key")
-        if epoch > 0:
-            made = spark.read.parquet(f"{store}/aliases").where(F.col("epoch") < epoch)
-            known = known.unionByName(made.select(*known.columns))
-        out = kg_build(batch, known)
+        if epoch == 0:
+            G.write_alias_index(aliases_of(spark).select(*G.ALIAS_COLUMNS), f"{index}/epoch=-1")
+        kinds = "id string, node_id string, alias string, source string, weight double, alias_key string, post long, epoch long, prefix int"
+        before = spark.read.schema(kinds).parquet(index).where(F.col("epoch") < epoch)
+        out = kg_build(batch, lambda terms: G.touched_aliases(before, terms))
         for name in ("nodes", "aliases", "evidence", "edges"):
             out[name].write.mode("overwrite").parquet(f"{store}/{name}/epoch={epoch}")
+        made = spark.read.parquet(f"{store}/aliases/epoch={epoch}")
+        G.write_alias_index(made.select(*G.ALIAS_COLUMNS), f"{index}/epoch={epoch}")
 
     return write
 

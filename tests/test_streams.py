@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import hashing as H
 from palimpsest.operators import chunks as C
+from palimpsest.operators import graph as G
 from palimpsest.operators import neardup as N
 from palimpsest.plans import adapters as A
+from palimpsest.plans.kg_build import kg_build
 from palimpsest.streaming import jobs as J
 
 SF = "/root/testdata/sf0.001"
@@ -91,3 +93,40 @@ def test_restart_goes_on_from_the_mark(spark, tmp_path):
     rows.where("id % 2 = 1").coalesce(1).write.mode("append").parquet(src)
     run()
     assert spark.read.parquet(out).count() == J.stream_messages(rows).count()
+
+
+def test_kg_over_epochs_equals_whole_tables(spark, tmp_path):
+    orders = A.table(spark, SF, "orders").where("o_orderkey % 40 = 1")
+    dets = A.detections_of(orders, A.table(spark, SF, "customer")).cache()
+    aliases = A.aliases(spark, SF).select(*G.ALIAS_COLUMNS).cache()
+    store = str(tmp_path / "kg")
+    write = J.kg_writer(lambda s: aliases, store)
+    known, want = aliases, {"nodes": set(), "aliases": set(), "evidence": set(), "edges": set()}
+    for epoch in range(4):
+        batch = dets.where(F.pmod(F.xxhash64("msg_id"), F.lit(4)) == epoch)
+        write(batch, epoch)
+        out = kg_build(batch, known)
+        for name in want:
+            want[name] |= {tuple(sorted(r.asDict().items(), key=str)) for r in out[name].collect()}
+        made = out["aliases"].select(*G.ALIAS_COLUMNS)
+        known = known.unionByName(spark.createDataFrame(made.collect(), made.schema))
+    for name in want:
+        got = {tuple(sorted(r.asDict().items(), key=str)) for r in spark.read.parquet(f"{store}/{name}").drop("epoch").collect()}
+        assert got == want[name] and (got or name == "edges")
+
+
+def test_terms_read_the_parts_they_touch(spark, tmp_path):
+    aliases = A.aliases(spark, SF).select(*G.ALIAS_COLUMNS)
+    path = str(tmp_path / "index")
+    G.write_alias_index(aliases, path)
+    index = spark.read.parquet(path)
+    rows = aliases.collect()
+    for term in ("FRANCE ", "az", "Customer#000000012", "no such thing"):
+        near = G.touched_aliases(index, spark.createDataFrame([(term,)], "term string"))
+        key = term.strip().lower()
+        assert {r.id for r in rows if key in r.alias_key} <= {r.id for r in near.collect()}
+    one = G.touched_aliases(index, spark.createDataFrame([("az",)], "term string"))
+    assert "prefix" in one._jdf.queryExecution().executedPlan().toString()
+    terms = spark.createDataFrame([("az",), ("FRANCE ",), ("ory a",)], "term string")
+    whole = {(r.term, r.node_id, r.how) for r in G.alias_best(terms, aliases).collect()}
+    assert {(r.term, r.node_id, r.how) for r in G.alias_best(terms, G.touched_aliases(index, terms)).collect()} == whole
