@@ -128,10 +128,10 @@ def level(n, prev, visited, cap):
  QUALIFY row_number() OVER (PARTITION BY f.query_id ORDER BY max(weight) DESC, b) <= {cap})"""
 
 
-@query("khop_expand", f"""WITH {EDGES}, {ADJ}, {SEEDS}, {level(1, 'seeds', 'seeds', 30)}, v1 AS (SELECT query_id, node_id FROM seeds UNION ALL SELECT query_id, node_id FROM l1), {level(2, 'l1', 'v1', 30)}
+@query("khop_expand", f"""WITH {EDGES}, {ADJ}, {SEEDS}, {level(1, 'seeds', 'seeds', 500)}, v1 AS (SELECT query_id, node_id FROM seeds UNION ALL SELECT query_id, node_id FROM l1), {level(2, 'l1', 'v1', 500)}
 SELECT query_id, node_id, 0::BIGINT AS depth FROM seeds UNION ALL SELECT query_id, node_id, 1 FROM l1 UNION ALL SELECT query_id, node_id, 2 FROM l2""")
 def khop_expand(spark, sf):
-    return G.khop_expand(seeds(spark, sf), A.stored(A.edges(spark, sf)), 2, 30)
+    return G.khop_expand(seeds(spark, sf), A.stored(A.edges(spark, sf)), 2)
 
 
 BRIDGES = """adj0 AS (SELECT DISTINCT a, b FROM adj), r1 AS (SELECT DISTINCT query_id, node_id AS seed, b AS node_id FROM seeds JOIN adj0 ON a=node_id),

@@ -93,6 +93,7 @@ def containing(terms: DataFrame, aliases: DataFrame, limit: int | None = None) -
     asked = t.select("term", "k", F.explode(_own_grams(F.col("k"))).alias("gram"))
     wanted = asked.select("gram").distinct()
     index = aliases.select(*cols, F.explode(_all_grams(F.col("alias_key"))).alias("gram")).join(wanted, "gram", "left_semi")
+    index = checkpointed(index)  # read by every step below; the grams asked for are few
     short = index.where(F.length("gram") <= 3).join(t.where(F.length("k") <= 3).select(F.col("k").alias("gram")).distinct(), "gram", "left_semi")
     if limit is not None:
         short = top_per_key(short, ["gram"], _by_weight(), limit)

@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.hashing import det_id
 from palimpsest.operators.merge import upsert
+from palimpsest.operators.ordered import first_per_key
+
+
+def one_of_each(rows: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """The first row of each key by ``order``, or by all other columns: a repeated key gives the same row on every run."""
+    return first_per_key(rows, [key], order or [c for c, kind in rows.dtypes if c != key and "map<" not in kind] or [key])
 
 
 def merge_chunks(stored: DataFrame, batch: DataFrame, order: list[str]) -> DataFrame:
@@ -18,7 +24,7 @@ def chunk_sink(path_of_batch, path_of_store: str | None = None):
     """A foreachBatch writer: each micro-batch goes to its own folder, so a retried batch overwrites itself."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.dropDuplicates(["id"]).write.mode("overwrite").parquet(path_of_batch(epoch))
+        one_of_each(batch, "id").write.mode("overwrite").parquet(path_of_batch(epoch))
 
     return write
 
@@ -31,9 +37,9 @@ def merge_edges(stored: DataFrame, batch: DataFrame, order: list[str], default_w
     return upsert(stored, new.select(*stored.columns, *[c for c in order if c not in stored.columns]), ["src_id", "dst_id", "type"], order, keep=["id"])
 
 
-def append_rows(stored: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
-    """Append rows whose key is new; deterministic keys make a retry harmless."""
-    fresh = batch.join(stored.select(key), key, "left_anti").dropDuplicates([key])
+def append_rows(stored: DataFrame, batch: DataFrame, key: str = "id", order: list[str] | None = None) -> DataFrame:
+    """Append rows whose key is new, of a repeated key the first by ``order``; deterministic keys make a retry harmless."""
+    fresh = one_of_each(batch.join(stored.select(key), key, "left_anti"), key, order)
     return stored.unionByName(fresh.select(*stored.columns))
 
 

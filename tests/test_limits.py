@@ -89,3 +89,14 @@ def test_a_lone_tag_is_a_list_of_one(spark):
     acts = [(1, 1, '{"intent":"create_task","args":{"name":"a","tags":"home"}}'), (1, 2, '{"intent":"update_task","args":{"name":"a","tags":7}}'), (1, 3, '{"intent":"create_task","args":{"name":"b","tags":["x","y"]}}')]
     got = AC.actions_apply(tasks, spark.createDataFrame(acts, "owner long, at long, payload string")).collect()
     assert {(r.at, tuple(r.tags)) for r in got if r.kind == "result"} == {(1, ("home",)), (2, ("7",)), (3, ("x", "y"))}
+
+
+def test_a_repeated_key_keeps_the_first_row(spark):
+    from palimpsest.sources import sinks
+
+    stored = spark.createDataFrame([("a", 1, "old")], "id string, n long, t string")
+    batch = spark.createDataFrame([("a", 9, "x"), ("b", 2, "y"), ("b", 1, "z"), ("c", 5, None), ("c", 5, "w")], "id string, n long, t string").repartition(3)
+    out = sorted((r.id, r.n, r.t) for r in sinks.append_rows(stored, batch).collect() if r.id != "c")
+    assert out == [("a", 1, "old"), ("b", 1, "z")]
+    assert [(r.id, r.t) for r in sinks.append_rows(stored, batch, order=["t"]).where("id = 'b'").collect()] == [("b", "y")]
+    assert sinks.append_rows(stored, batch).count() == 3
