@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
-from palimpsest.operators.ordered import cell_scan, top_per_key
+from palimpsest.operators.ordered import cell_scan, id_cell, top_per_key
 
 # --- fixed values -----------------------------------------------------------------------------------------
 CAPS = {"past": 8, "present": 45, "future": 20}
@@ -115,14 +115,13 @@ def task_finish(tasks: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataF
     Requests with different filters see the table as it was before the batch; ordered mixes go through ``actions_apply``.
     """
     keys = ["owner", "lname", "date", "start", "end"]
-    req = requests.withColumn("lname", F.lower(X.trim_ws("name")))
-    most = req.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
-    req = top_per_key(req.select("req_id", *keys), keys, ["req_id"], most, rank="nth")
-    kinds = req.select(*keys).distinct().withColumnRenamed("lname", "name")
-    hits = kinds.alias("r").join(tasks.alias("t"), _matches(tasks, kinds)).select("r.*", F.col("t.seq").alias("seq")).withColumnRenamed("name", "lname")
-    hits = top_per_key(hits, keys, ["seq"], most, rank="nth")
-    taken = req.alias("a").join(hits.alias("b"), F.expr("a.owner = b.owner AND a.lname = b.lname AND a.nth = b.nth AND a.date <=> b.date AND a.start <=> b.start AND a.end <=> b.end"))
-    taken = taken.groupBy(F.col("b.owner").alias("owner"), F.col("b.seq").alias("seq")).agg(F.min("a.req_id").alias("req_id"))
+    req = requests.withColumn("lname", F.lower(X.trim_ws("name"))).withColumn("kind", F.to_json(F.struct(*keys)))
+    # the n-th request of a kind takes its n-th match: both are numbered in cells, so a hot name is spread over tasks
+    asked = cell_scan(req.select("req_id", "kind"), ["kind"], ["req_id"], id_cell("req_id"), rank="nth")
+    kinds = req.select(*keys, "kind").distinct().withColumnRenamed("lname", "name")
+    hits = kinds.alias("r").join(tasks.alias("t"), _matches(tasks, kinds)).select("r.kind", "t.owner", "t.seq")
+    hits = cell_scan(hits, ["kind"], ["seq"], id_cell("seq"), rank="nth")
+    taken = asked.join(hits, ["kind", "nth"]).groupBy("owner", "seq").agg(F.min("req_id").alias("req_id"))
     return tasks.join(taken, ["owner", "seq"], "left_anti"), tasks.join(taken, ["owner", "seq"])
 
 

@@ -126,3 +126,12 @@ def test_facts_apply_replays_in_order(spark):
 def test_extract_tid(spark):
     df = spark.createDataFrame([(["a", " TID=AF01 ", "TID=2"],), (["TID=xyz"],), ([],)], "u array<string>")
     assert [r[0] for r in df.select(T.extract_tid(F.col("u"))).collect()] == ["af01", None, None]
+
+
+def test_one_name_with_most_requests(spark):
+    t = spark.range(3000).selectExpr("1L AS owner", "id * 1000000 AS seq", "'A' AS name", "CAST(NULL AS STRING) AS importance", "CAST(NULL AS ARRAY<STRING>) AS tags", "CASE WHEN id % 2 = 0 THEN '2024-01-01' END AS date", "CAST(NULL AS STRING) AS start", "CAST(NULL AS STRING) AS `end`", "ARRAY('x') AS updates")
+    r = spark.range(1000).selectExpr("id AS req_id", "1L AS owner", "' a ' AS name", "CAST(NULL AS STRING) AS date", "CAST(NULL AS STRING) AS start", "CAST(NULL AS STRING) AS `end`")
+    r = r.unionByName(spark.createDataFrame([(5000, 1, "A", "2024-01-01"), (5001, 2, "A", None)], "req_id long, owner long, name string, date string").selectExpr("*", "CAST(NULL AS STRING) AS start", "CAST(NULL AS STRING) AS `end`"))
+    kept, archived = T.task_finish(t, r)
+    done = sorted((x.seq // 1000000, x.req_id) for x in archived.collect())
+    assert done == [(i, i) for i in range(1000)] and kept.count() == 2000  # the dated request takes the first match, which is taken anyway
