@@ -24,9 +24,9 @@ CORE = (
     "scan_messages sink_messages persist_plan client_delta last_k_turns group_stamps budget_pack split_sentences concat_roles simhash64 slide_chunks slide_chunks_blocks chunk_run "
     "dedupe_near vector_topk select_hits unpack_transcript alias_search khop_expand bridge_nodes render_pack intent_label entities_v0 det_coerce link_entities kg_build "
     "memory_pack_batch sync_nodes sync_edges import_nodes import_aliases import_edges_merge alias_backfill task_upsert task_finish task_digest facts_apply fence_extract interest_extract ics_events "
-    "events_to_tasks rrule_next remote_reconcile stream_chunks stream_kg"
+    "events_to_tasks rrule_next remote_reconcile stream_chunks stream_kg stream_near_dup actions_apply"
 ).split()
-WITHOUT = {"actions_apply"}
+WITHOUT: set[str] = set()
 NAMES = sorted(set(QUERIES) - WITHOUT) if os.environ.get("PALIMPSEST_ALL") else CORE
 
 
