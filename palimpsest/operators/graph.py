@@ -27,6 +27,8 @@ NODE_ATTRS = {
 }
 # -----------------------------------------------------------------------------------------------------------
 
+HUB_EDGES = 1000  # a node of more edges is a hub: its neighbours are not joined to each query
+CLASS_HUBS = 16  # nodes near more hubs than this form classes of their own
 
 
 def _by_weight():
@@ -221,21 +223,56 @@ def khop_expand(seeds: DataFrame, edges: DataFrame, hop: int = HOP, cap: int = D
     return visited
 
 
-def bridge_nodes(seeds: DataFrame, edges: DataFrame, k: int = BRIDGE_DEPTH, cap: int = BRIDGE_CAP) -> DataFrame:
-    """Nodes that two or more seeds of a query reach within k hops: (query_id, node_id, n_seeds)."""
-    base = seeds.select("query_id", "node_id").distinct()
+def _balls(hubs: DataFrame, both: DataFrame, k: int) -> DataFrame:
+    """All nodes within ``r`` steps of each asked (hub, r): (hub, node_id, dist). Walked once for all queries."""
+    radius = hubs.groupBy("hub").agg(F.max("r").alias("r"))
+    ball = frontier = radius.select("hub", "r", F.col("hub").alias("node_id"), F.lit(0).alias("dist"))
+    for d in range(1, k + 1):
+        step = frontier.where(F.col("r") >= d).select("hub", "r", F.col("node_id").alias("a")).join(both, "a").select("hub", "r", F.col("b").alias("node_id")).distinct()
+        frontier = step.join(ball, ["hub", "node_id"], "left_anti").select("hub", "r", "node_id", F.lit(d).alias("dist"))
+        if d < k:
+            frontier = checkpointed(frontier)
+        ball = ball.unionByName(frontier)
+    return ball.select("hub", "node_id", "dist")
+
+
+def bridge_nodes(seeds: DataFrame, edges: DataFrame, k: int = BRIDGE_DEPTH, cap: int = BRIDGE_CAP, hub: int = HUB_EDGES) -> DataFrame:
+    """Nodes that two or more seeds of a query reach within k hops: (query_id, node_id, n_seeds), the first ``cap`` of a query.
+
+    Seeds walk through nodes of at most ``hub`` edges. A walk that meets a larger node stops there, and the query notes
+    which seeds came with how many steps left. What lies within these steps of a hub is walked once for all queries, and
+    nodes that lie near the same hubs are equal to every query but for what their light walks add, so only the first
+    ``cap`` of each such class are joined to the queries. The result does not depend on ``hub``. Null ids reach nothing.
+    """
+    base = seeds.select("query_id", "node_id").where("node_id IS NOT NULL").distinct()
     several = base.groupBy("query_id").count().where("count >= 2").select("query_id")
-    reach = base.join(several, "query_id", "left_semi").select("query_id", F.col("node_id").alias("seed"), "node_id")
-    both = adjacency(edges).select("a", "b")
-    frontier = reach
-    for d in range(k):
-        step = frontier.select("query_id", "seed", F.col("node_id").alias("a")).join(both, "a").select("query_id", "seed", F.col("b").alias("node_id")).distinct()
-        if d < k - 1:
-            frontier = checkpointed(step.join(reach, ["query_id", "seed", "node_id"], "left_anti"))
-            reach = reach.unionByName(frontier)
-        else:
-            reach = reach.unionByName(step).distinct()
-    counts = reach.groupBy("query_id", "node_id").agg(F.count(F.lit(1)).alias("n_seeds")).where("n_seeds >= 2")
+    both = adjacency(edges).select("a", "b").where("a IS NOT NULL AND b IS NOT NULL")
+    hubs = checkpointed(both.groupBy("a").count().where(F.col("count") > hub).select("a"))
+    light = both.join(hubs, "a", "left_anti")
+    walked = frontier = base.join(several, "query_id", "left_semi").select("query_id", F.col("node_id").alias("seed"), "node_id", F.lit(0).alias("depth"))
+    for d in range(1, k + 1):
+        step = frontier.select("query_id", "seed", F.col("node_id").alias("a")).join(light, "a").select("query_id", "seed", F.col("b").alias("node_id")).distinct()
+        frontier = checkpointed(step.join(walked, ["query_id", "seed", "node_id"], "left_anti").withColumn("depth", F.lit(d)))
+        walked = walked.unionByName(frontier)
+    # steps left at each hub; one more step includes all that fewer reach
+    met = walked.where(F.col("depth") < k).join(hubs.withColumnRenamed("a", "node_id"), "node_id", "left_semi")
+    met = checkpointed(met.select("query_id", "seed", F.col("node_id").alias("hub"), (F.lit(k) - F.col("depth")).alias("r")))
+    asked = met.select("hub", "r").distinct()
+    near = checkpointed(_balls(asked, both, k).join(asked, "hub").where("dist <= r").select("node_id", "hub", "r"))
+    reach = walked.select("query_id", "node_id", "seed")
+    beside = reach.select("query_id", "node_id").distinct().join(near, "node_id").join(met, ["query_id", "hub", "r"]).select("query_id", "node_id", "seed")
+    exact = reach.unionByName(beside).distinct().groupBy("query_id", "node_id").agg(F.count(F.lit(1)).alias("n_seeds"))
+    few = near.groupBy("node_id").agg(F.count(F.lit(1)).alias("c")).withColumn("alone", F.col("c") > CLASS_HUBS).drop("c")
+    classed = near.join(few, "node_id")
+    same = classed.where("NOT alone").groupBy("node_id").agg(F.to_json(F.array_sort(F.collect_set(F.struct("hub", "r")))).alias("class"))
+    classes = same.unionByName(few.where("alone").select("node_id", F.concat(F.lit("="), F.col("node_id").cast("string")).alias("class")))
+    firsts = checkpointed(top_per_key(classes, ["class"], ["node_id"], cap))
+    holds = firsts.groupBy("class").agg(F.min("node_id").alias("node_id")).join(near, "node_id").select("class", F.col("node_id").alias("first"), "hub", "r")
+    shared = holds.join(met, ["hub", "r"]).select("query_id", "class", "first", "seed").distinct().groupBy("query_id", "class", "first").agg(F.count(F.lit(1)).alias("n_seeds"))
+    # a class whose first node has ``cap`` others before it adds nothing
+    shared = top_per_key(shared.where("n_seeds >= 2"), ["query_id"], [F.desc("n_seeds"), "first"], cap)
+    counts = exact.unionByName(shared.join(firsts, "class").select("query_id", "node_id", "n_seeds"))
+    counts = counts.groupBy("query_id", "node_id").agg(F.max("n_seeds").alias("n_seeds")).where("n_seeds >= 2")
     return top_per_key(counts, ["query_id"], [F.desc("n_seeds"), "node_id"], cap)
 
 

@@ -53,6 +53,55 @@ def test_adjacent_seeds_are_bridges(spark):
     assert sorted(r.node_id for r in G.bridge_nodes(s, e, 2).collect()) == ["a", "b", "c"]
 
 
+def bridges_by_hand(seeds, edges, k, cap):
+    near = {}
+    for a, b in edges:
+        if a is not None and b is not None:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    out = set()
+    for q in {q for q, _ in seeds}:
+        own = {s for p, s in seeds if p == q and s is not None}
+        counts = {}
+        for s in own:
+            ball = {s}
+            for _ in range(k):
+                ball |= {y for x in ball for y in near.get(x, ())}
+            for x in ball:
+                counts[x] = counts.get(x, 0) + 1
+        rows = sorted((-c, x) for x, c in counts.items() if c >= 2)[:cap]
+        out |= {(q, x, -c) for c, x in rows} if len(own) >= 2 else set()
+    return out
+
+
+def test_bridges_through_hubs_equal_the_full_walk(spark):
+    import random
+
+    rnd = random.Random(5)
+    names = [f"n{i:02d}" for i in range(60)]
+    pairs = [(rnd.choice(names), rnd.choice(names)) for _ in range(70)]
+    pairs += [("n00", x) for x in names[20:]] + [(x, "n01") for x in names[30:50]] + [("n00", "n01"), ("n05", "n05"), (None, "n02"), ("n03", None)]
+    pairs += pairs[:10]  # repeated edges
+    seeds = [(q, rnd.choice(names)) for q in range(8) for _ in range(4)] + [(8, "n00"), (8, "n01"), (8, "n07"), (9, "n00"), (9, "n00"), (10, None), (10, "n04"), (11, "away"), (11, "n06")]
+    e = spark.createDataFrame([(a, b, 0.5) for a, b in pairs], "src_id string, dst_id string, weight double")
+    s = spark.createDataFrame(seeds, "query_id long, node_id string")
+    for k, cap, hub in ((1, 100, 6), (2, 7, 6), (2, 100, 0), (2, 100, 1000), (3, 9, 8)):
+        got = G.bridge_nodes(s, e, k, cap, hub).collect()
+        assert len(got) == len(set(got)) and {tuple(r) for r in got} == bridges_by_hand(seeds, pairs, k, cap), (k, cap, hub)
+    assert G.bridge_nodes(s.limit(0), e).collect() == [] and G.bridge_nodes(s, e.limit(0)).collect() == []
+
+
+def test_hub_of_a_third_of_all_edges_is_not_joined_to_each_query(spark):
+    leaves, queries = 60_000, 400
+    star = spark.range(leaves).selectExpr("'hub' AS src_id", "concat('m', lpad(id, 6, '0')) AS dst_id")
+    chain = spark.range(2 * leaves).selectExpr("concat('c', id) AS src_id", "concat('c', id + 1) AS dst_id")
+    e = star.union(chain).withColumn("weight", F.lit(0.5))
+    s = spark.range(queries).selectExpr("id AS query_id", "explode(array(concat('m', lpad(id, 6, '0')), concat('m', lpad(id + 900, 6, '0')))) AS node_id")
+    # joined to each query the walk would be of 2 * 400 * 60,000 rows
+    rows = G.bridge_nodes(s, e).groupBy("query_id").agg(F.count("*").alias("n"), F.sum("n_seeds").alias("t"), F.max("node_id").alias("last")).collect()
+    assert len(rows) == queries and {(r.n, r.t, r.last) for r in rows} == {(100, 200, "m000098")}
+
+
 def test_subgraph_drops_dangling_edges_and_stub_scores(spark):
     e = spark.createDataFrame([("1", "a", "b", "t", 0.9), ("2", "a", "gone", "t", 1.0)], "id string, src_id string, dst_id string, type string, weight double")
     n = spark.createDataFrame([("a", "T", "A", 0.5), ("b", "T", "B", 0.5)], "id string, type string, title string, confidence double").withColumn("updated_ts", F.lit(None).cast("timestamp"))
