@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import hashing as H
 from palimpsest.functions import text as X
-from palimpsest.operators.ordered import cell_scan, hour_cell
+from palimpsest.operators.ordered import range_numbered
 from palimpsest.session import checkpointed
 
 CHUNK_SIZE, OVERLAP, GAP_MINUTES = 200, 50, 5
@@ -28,8 +30,7 @@ def timed_sentences(messages: DataFrame, roles: dict[str, str] | None = None, us
 
 def number_sentences(sents: DataFrame) -> DataFrame:
     """``n`` = position in the session, 0-based, by (ts, id, pos)."""
-    out = cell_scan(sents, ["session_id"], ["ts", "id", "pos"], hour_cell("ts"), rank="n")
-    return out.withColumn("n", F.col("n") - 1)
+    return range_numbered(sents, ["session_id"], ["ts", "id", "pos"], "n")
 
 
 def _chunk_ends(lens: np.ndarray, size: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,22 +129,26 @@ def slide_chunks(
     maps every possible entry sentence to the sentence where its chain of chunks leaves the block; composing
     the maps gives every block its entry, and all blocks are then chunked in parallel.
     """
-    numbered = checkpointed(number_sentences(sents))  # read by every step below
+    numbered = number_sentences(sents)
     blocks = _blocked(numbered, size, block)
     out_schema = "session_id string, chunk_ord long, start_ts timestamp, first long, last long, chars long, raw_text string"
-    lens = blocks.select("session_id", "block", "n", "len")
+    # a session of one block is entered at its first sentence; only the others need maps
+    several = numbered.where(F.col("n") == block).select("session_id", F.lit(True).alias("several"))
+    lens = blocks.select("session_id", "block", "n", "len").join(several, "session_id", "left_semi")
     # read twice: to see how many blocks there are, and to compose them
     maps = checkpointed(
         lens.groupBy("session_id", "block").applyInPandas(_block_maps(size, overlap, block), "session_id string, block long, entry long, exit long, chunks long")
     )
-    pieces = blocks.join(_block_entries(maps), ["session_id", "block"])
+    pieces = blocks.join(several, "session_id", "left").join(_block_entries(maps), ["session_id", "block"], "left").where("several IS NULL OR at IS NOT NULL")
+    pieces = pieces.fillna(0, ["at", "before"])
     stamped = pieces.select("session_id", "block", "at", "before", "n", "ts", "len", "text", X.stamp_long("ts").alias("stamp"))
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        ends, nexts = _chunk_ends(pdf["len"].to_numpy(), size, overlap)
-        ts, texts, stamps = pdf["ts"].to_numpy(), pdf["text"].to_numpy(), pdf["stamp"].to_numpy()
-        total = np.concatenate([[0], np.cumsum(pdf["len"].to_numpy())])
+    def cut(pdf: pd.DataFrame) -> list[tuple]:
+        """Chunks that begin in one block; its rows are in order."""
+        lens, ts = pdf["len"].to_numpy(), pdf["ts"].to_numpy()
+        ends, nexts = _chunk_ends(lens, size, overlap)
+        texts, stamps = pdf["text"].to_numpy(), pdf["stamp"].to_numpy()
+        total = np.concatenate([[0], np.cumsum(lens)])
         late = np.concatenate([[True], np.diff(ts) >= np.timedelta64(gap_minutes, "m")])
         base, sid, number = int(pdf["block"].iloc[0]) * block, pdf["session_id"].iloc[0], int(pdf["before"].iloc[0])
         rows, i, n = [], int(pdf["at"].iloc[0]), len(pdf)
@@ -155,9 +160,32 @@ def slide_chunks(
             if j >= n:
                 break
             i = int(nexts[i])
-        return pd.DataFrame(rows, columns=["session_id", "chunk_ord", "start_ts", "first", "last", "chars", "raw_text"])
-
-    return stamped.groupBy("session_id", "block").applyInPandas(cut, out_schema)
+        return rows
+
+    def cut_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Blocks lie one after the other; the last one of a batch waits for the next batch, so one block at most is held."""
+        columns = ["session_id", "chunk_ord", "start_ts", "first", "last", "chars", "raw_text"]
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            key = list(zip(pdf["session_id"], pdf["block"]))
+            starts = [i for i in range(1, len(key)) if key[i] != key[i - 1]]
+            if held and (held[0]["session_id"].iloc[0], held[0]["block"].iloc[0]) != key[0]:
+                starts.insert(0, 0)
+            rows: list[tuple] = []
+            for i, start in enumerate(starts):
+                head = pdf.iloc[starts[i - 1] if i else 0 : start]
+                whole = [*held, head] if len(head) else held
+                rows += cut(pd.concat(whole) if len(whole) > 1 else whole[0])
+                held = []
+            held.append(pdf.iloc[starts[-1] if starts else 0 :])
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
+        if held:
+            yield pd.DataFrame(cut(pd.concat(held)), columns=columns)
+
+    return stamped.repartition("session_id", "block").sortWithinPartitions("session_id", "block", "n").mapInPandas(cut_all, out_schema)
 
 
 def chunk_members(chunks: DataFrame, sents: DataFrame, gap_minutes: int = GAP_MINUTES) -> DataFrame:

@@ -14,6 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.session import checkpointed
+
 ID_CELL_ROWS = 1 << 20  # at most this many distinct ids share a cell
 
 
@@ -84,6 +86,23 @@ def cell_scan(
     return out.select(*dict.fromkeys(keep))
 
 
+def range_numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Add the 0-based position of each row in its key, whatever the values of the order are.
+
+    Rows are sorted into range partitions over (keys, order), written once, and counted in place; a key that spreads over
+    several partitions gets the counts of the earlier ones added, at most one number per key and partition. Neither sparse
+    ids nor one stamp for all rows makes a partition large, as cells by value would; only rows equal in keys and order stay together.
+    Rows with a null key are dropped.
+    """
+    by = [*keys, *order]
+    laid = df.dropna(subset=list(keys)).repartitionByRange(*by).sortWithinPartitions(*by)
+    laid = checkpointed(laid.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = laid.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    parts = parts.select(*keys, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return laid.join(parts, [*keys, "_part"]).withColumn(name, F.col("_at") + F.col("_shift")).select(*df.columns, name)
+
+
 def _is_double(df: DataFrame, expr: Column) -> bool:
     return df.select(expr.alias("x")).schema[0].dataType.simpleString() in ("double", "float")
 

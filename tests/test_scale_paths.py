@@ -44,6 +44,36 @@ def test_blocked_chunks_equal_whole(spark):
     assert covered == set(range(900))
 
 
+def test_numbers_do_not_depend_on_ids_or_stamps(spark):
+    rng = random.Random(9)
+    sparse = rng.sample(range(1 << 60), 3000)
+    rows = [(rng.choice(["hot", "hot", "a", None]), i, t, p) for i in sparse[:1500] for t in (0,) for p in (0, 1)]  # one stamp, ids far apart
+    rows += [("late", i, i % 5 * 10**6, 0) for i in sparse[1500:]]
+    df = spark.createDataFrame(rows, "session_id string, id long, t long, pos int").withColumn("ts", F.timestamp_seconds("t"))
+    got = {(r.session_id, r.id, r.pos): r.n for r in C.number_sentences(df).collect()}
+    want = {}
+    for s in ("hot", "a", "late"):
+        own = sorted((t, i, p) for k, i, t, p in rows if k == s)
+        want |= {(s, i, p): n for n, (t, i, p) in enumerate(own)}
+    assert got == want and C.number_sentences(df.limit(0)).collect() == []
+
+
+def test_sessions_of_one_and_of_many_blocks_together(spark):
+    rows = [(f"s{k}", i, i * 61, 0, "u", "w" * (1 + (i * 7 + k) % 23)) for k, n in enumerate((1, 31, 32, 33, 64, 65, 300)) for i in range(n)]
+    sents = spark.createDataFrame(rows, "session_id string, id long, t long, pos int, role string, text string")
+    sents = sents.withColumn("ts", F.timestamp_seconds("t")).drop("t").withColumn("len", F.length("text"))
+    cols = ["session_id", "chunk_ord", "first", "last", "chars", "raw_text"]
+    whole = C.slide_chunks(sents, 30, 8).select(cols).orderBy("session_id", "chunk_ord").collect()
+    assert C.slide_chunks(sents, 30, 8, block=32).select(cols).orderBy("session_id", "chunk_ord").collect() == whole
+    assert {r.session_id for r in whole} == {f"s{k}" for k in range(7)}
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # blocks reach over many batches
+    try:
+        assert C.slide_chunks(sents, 30, 8, block=32).select(cols).orderBy("session_id", "chunk_ord").collect() == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
 def test_block_entries_compose_in_stretches(spark):
     sents = spark.createDataFrame(sentence_rows(700, 3), "session_id string, id long, t long, pos int, role string, text string")
     sents = sents.withColumn("ts", F.timestamp_seconds("t")).withColumn("len", F.length("text"))
