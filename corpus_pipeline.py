@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import decontaminate, linededup, neardedup, packing, quality
-from palimpsest.llm.shared import table, written
+from palimpsest.llm.shared import table, unused, written
 from palimpsest.session import ship
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. It learns from labelled rows of the documents given."""
-    out = quality.scored(docs, table(spark, sf_dir, "labels"))
-    return out.where("predicted = 1").select(*docs.columns)
+    names = unused(docs, "score"), unused(docs, "predicted")
+    out = quality.scored(docs, table(spark, sf_dir, "labels"), names=names)
+    return out.where(F.col(names[1]) == 1).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import rolling, stars
-from palimpsest.llm.shared import ascii_lower, let, written
+from palimpsest.llm.shared import ascii_lower, let, unused, written
 
 THRESHOLD = 2
 LEAST_WORDS = 5
@@ -253,10 +253,6 @@ def repeated_lines(
     return drop, roots
 
 
-def _keyed(docs: DataFrame, drop: DataFrame) -> Column:
-    return docs["doc_id"].cast("long").eqNullSafe(drop["drop_id"]) & (F.xxhash64(docs["text"]) == drop["drop_key"])
-
-
 def line_report(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, n_lines, n_dropped, dropped (numbers from 0, comma-joined).
 
@@ -277,12 +273,14 @@ def line_report(docs: DataFrame, **options) -> DataFrame:
 
 
 def dedupe_lines(docs: DataFrame, **options) -> DataFrame:
-    """``docs``, all columns, without repeated lines; a document that loses every line with a word goes."""
+    """``docs``, all columns, without repeated lines; a document that loses every line with a word goes. Columns may have any names."""
     drop, _ = repeated_lines(docs, **options)
-    drop = drop.withColumnsRenamed({"doc_id": "drop_id", "text_key": "drop_key", "numbers": "drop_numbers"})
+    id_, key, gone = (unused(docs, n) for n in ("drop_id", "drop_key", "drop_numbers"))
+    drop = drop.withColumnsRenamed({"doc_id": id_, "text_key": key, "numbers": gone})
     lines = F.split("text", "\n")
-    rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop_numbers"))
+    rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     left = F.when(F.size(rest) > 0, let(lines, lambda all_: F.array_join(F.transform(rest, lambda i: F.get(all_, i)), "\n"))).otherwise("")
     names = docs.columns
-    out = docs.join(drop, _keyed(docs, drop), "left").withColumn("text", F.when(F.col("drop_numbers").isNull(), F.col("text")).otherwise(left))
-    return out.where(F.col("drop_numbers").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*[F.col(f"`{n}`") for n in names])
+    same = docs["doc_id"].cast("long").eqNullSafe(drop[id_]) & (F.xxhash64(docs["text"]) == drop[key])
+    out = docs.join(drop, same, "left").withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(left))
+    return out.where(F.col(gone).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*[F.col(f"`{n}`") for n in names])

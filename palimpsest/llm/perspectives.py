@@ -17,8 +17,14 @@ UNORDERED_PARTS = 1024
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
+def _plain(text: Column) -> Column:
+    """Text that opens and ends no turn: every ``<|`` gets a backslash inside, one that already holds some gets one more, so
+    taking one away gives the text again."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
+
+
 def _head(speaker: Column, me: Column, narrators: tuple[str, ...]) -> Column:
-    name = F.when(speaker.isin(*narrators), speaker).when(speaker == me, "assistant").otherwise(F.concat(F.lit("user name="), speaker))
+    name = F.when(speaker.isin(*narrators), speaker).when(speaker == me, "assistant").otherwise(F.concat(F.lit("user name="), _plain(F.translate(speaker, "\r\n", "  "))))
     return F.concat(F.lit(OPEN), name, F.lit("\n"))
 
 
@@ -31,7 +37,8 @@ def rotate(turns: DataFrame, narrators: tuple[str, ...] = NARRATORS, part_turns:
     them. Narrators are rendered as themselves and are no participants; a conversation of narrators alone has no rows.
     Turns of one number are ordered by speaker and text; equal rows count once. A null role is the speaker ``unknown``, a
     null text is empty, a turn without a number follows the numbered ones in parts of its own, and a row without
-    conv_id is a conversation of its own, named ``row-`` and a hash. No rows give no rows.
+    conv_id is a conversation of its own, named ``row-`` and a hash. No rows give no rows. Turn marks inside texts and names are escaped, line ends in names become blanks,
+    so nobody's words open a turn; ``n_chars`` and ``spans`` count the escaped text.
     """
     content = F.xxhash64("turn", "role", "text")
     turns = turns.select(
@@ -46,7 +53,7 @@ def rotate(turns: DataFrame, narrators: tuple[str, ...] = NARRATORS, part_turns:
     both = parts.join(people, "conv_id")
     me = F.col("me")
     pieces = F.transform(
-        "turns", lambda t: F.struct(_head(t["speaker"], me, narrators).alias("head"), F.concat(t["text"], F.lit(CLOSE)).alias("body"), ((t["speaker"] == me) & ~t["speaker"].isin(*narrators)).alias("own"))
+        "turns", lambda t: F.struct(_head(t["speaker"], me, narrators).alias("head"), F.concat(_plain(t["text"]), F.lit(CLOSE)).alias("body"), ((t["speaker"] == me) & ~t["speaker"].isin(*narrators)).alias("own"))
     )
     span = "array<struct<start:int,end:int>>"
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("spans"))

@@ -161,22 +161,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[flo
     return got["bias"], np.frombuffer(got["model"], np.float32).reshape(WIDTH, -1)
 
 
-def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """All columns of ``docs`` and score, predicted (1 if score >= 0.5).
+def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """All columns of ``docs`` and score, predicted (1 if score >= 0.5), under the given ``names``.
 
     Only the text enters the score: its words, its structure and its length. A null text is an empty one. Labels: null ones
     are ignored, of several for one id the largest counts; without any every score is 0.5. Every row is scored by itself,
-    so repeated rows and rows with a null id have scores too. Columns named score or predicted are replaced.
+    so repeated rows and rows with a null id have scores too. Columns of these names are replaced.
     """
     spark = docs.sparkSession
     bias, model = train(docs, labels, sample)
     shared = spark.sparkContext.broadcast(model)  # WIDTH * (RANK + 1) numbers, whatever the input
-    docs = docs.drop("score", "predicted")
+    docs = docs.drop(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score_ = score(batch.column(batch.schema.get_field_index("text")), bias, shared.value)
-            yield batch.append_column("score", pa.array(score_))
+            yield batch.append_column(names[0], pa.array(score_))
 
-    out = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    out = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType())]))
+    return out.withColumn(names[1], (F.col(names[0]) >= 0.5).cast("int"))

@@ -63,13 +63,13 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "op4_perspectives",
-    """
+    r"""
 WITH t AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS conv_id, turn, coalesce(role, 'unknown') AS who, coalesce(text, '') AS text, CAST(floor(turn / 64) AS BIGINT) AS part
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 p AS (SELECT DISTINCT conv_id, who AS speaker FROM t WHERE who <> 'system'),
 s AS (SELECT conv_id, speaker, part, turn, who, text,
-    '<|im_start|>' || CASE WHEN who = 'system' THEN who WHEN who = speaker THEN 'assistant' ELSE 'user name=' || who END || chr(10) AS head,
-    text || '<|im_end|>' || chr(10) AS body FROM t JOIN p USING (conv_id)),
+    '<|im_start|>' || CASE WHEN who = 'system' THEN who WHEN who = speaker THEN 'assistant' ELSE 'user name=' || regexp_replace(translate(who, chr(13) || chr(10), '  '), '<(\\*)\|', '<\1\\|', 'g') END || chr(10) AS head,
+    regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') || '<|im_end|>' || chr(10) AS body FROM t JOIN p USING (conv_id)),
 o AS (SELECT *, CAST(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn, who, text) AS BIGINT) AS till FROM s)
 SELECT conv_id, speaker, part, count(*) AS n_turns, max(till) AS n_chars,
   CAST(coalesce(sum(length(body)) FILTER (WHERE who = speaker), 0) AS BIGINT) AS n_masked,

@@ -30,6 +30,14 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it while a column has that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)

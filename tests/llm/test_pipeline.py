@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
@@ -57,6 +58,18 @@ def test_stage_order_and_columns(spark, folder):
         assert stage(spark, docs, folder).columns == docs.columns
 
 
+def test_stages_keep_columns_of_any_name(spark, folder):
+    names = ["score", "Predicted", "drop_id", "drop_key", "drop_numbers", "Drop_Numbers_", "gone_id", "hit_id", "hit_key", "text_key", "numbers", "numbers "]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{i}-"), F.col("doc_id").cast("string")))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        rows = out.select("doc_id", *[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)]).collect()
+        assert rows and all(r[f"c{i}"] == (None if r.doc_id is None else f"{i}-{r.doc_id}") for r in rows for i in range(len(names)))
+
+
 def test_pipeline_against_plain_python(spark, folder):
     from tokenizers import Tokenizer
 
