@@ -22,8 +22,9 @@ class _Streams:
         self.read = self
 
     def parquet(self, path):
-        folder, name = path.rsplit("/", 1)
-        return J.stream_table(self.spark, folder, self.spark.read.parquet(path).schema, files=name)
+        folder, name = path.rstrip("/").rsplit("/", 1)
+        # as a pattern the name may be that of a file or of a folder of files; a plain path must be a folder
+        return J.stream_table(self.spark, f"{folder}/{{{name}}}", self.spark.read.parquet(path).schema)
 
 
 def streamed_messages(spark, sf):

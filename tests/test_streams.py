@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+import palimpsest.catalog.all  # noqa: F401
+from palimpsest.catalog import QUERIES
 from palimpsest.functions import hashing as H
 from palimpsest.operators import chunks as C
 from palimpsest.operators import graph as G
@@ -130,3 +132,19 @@ def test_terms_read_the_parts_they_touch(spark, tmp_path):
     terms = spark.createDataFrame([("az",), ("FRANCE ",), ("ory a",)], "term string")
     whole = {(r.term, r.node_id, r.how) for r in G.alias_best(terms, aliases).collect()}
     assert {(r.term, r.node_id, r.how) for r in G.alias_best(terms, G.touched_aliases(index, terms)).collect()} == whole
+
+
+@pytest.mark.parametrize("name", ["stream_messages", "stream_dedupe", "stream_groups", "stream_turn_trigger", "stream_chunks", "stream_need_summary", "stream_near_dup"])
+def test_table_in_one_file_or_many(spark, tmp_path, name):
+    """A given table may be a file or a folder of files."""
+    talk = [(c, t, ["system", "user", "assistant", "assistant"][t % 4], f"Turn {t} of talk {c}. It has two sentences.") for c in range(6) for t in range(9)]
+    texts = [(i, f"document {i % 5} tells of " + " ".join(f"thing{(i % 5) * 31 + k}" for k in range(40)), "en", "s") for i in range(12)]
+    tables = {"conversations": spark.createDataFrame(talk, "conv_id long, turn int, role string, text string"), "documents": spark.createDataFrame(texts, "doc_id long, text string, lang string, source string")}
+    for t, rows in tables.items():
+        rows.repartition(3).write.parquet(str(tmp_path / "many" / f"{t}.parquet"))
+        rows.coalesce(1).write.parquet(str(tmp_path / t))
+        (tmp_path / "one").mkdir(exist_ok=True)
+        (file,) = (tmp_path / t).glob("part-*")
+        (tmp_path / "one" / f"{t}.parquet").write_bytes(file.read_bytes())
+    got = {kind: sorted(map(str, QUERIES[name](spark, str(tmp_path / kind)).collect())) for kind in ("one", "many")}
+    assert got["one"] and got["many"] == got["one"]
