@@ -155,3 +155,23 @@ def test_embedding_blobs(spark):
     rows = [("a", 2, "f32", np.array([1, 2], "<f4").tobytes()), ("b", 2, "f16", np.array([0.5, -1], "<f2").tobytes()), ("c", 3, "f32", b"xx"), ("d", 1, "f64", b"12345678")]
     df = spark.createDataFrame([(i, d, t, bytearray(b)) for i, d, t, b in rows], "node_id string, dim int, dtype string, vec_blob binary")
     assert {r.node_id: r.vector for r in E.scan_embeddings(df).collect()} == {"a": [1.0, 2.0], "b": [0.5, -1.0], "c": None, "d": None}
+
+
+def test_packs_of_equal_seeds_are_walked_once(spark, monkeypatch):
+    """Queries that name the same things share a walk; each gets the pack it has alone, also without seeds or without an id."""
+    from palimpsest.plans import memory_pack as M
+
+    al = aliases(spark, ("n1", "alpha", 1), ("n2", "beta", 1), ("n3", "gamma", 1))
+    nodes = spark.createDataFrame([(f"n{i}", "Project", f"title {i}", 0.5, None) for i in (1, 2, 3, 4)], "id string, type string, title string, confidence double, updated_ts timestamp")
+    edges = spark.createDataFrame([(f"e{a}{b}", f"n{a}", f"n{b}", "owns", 0.5) for a, b in ((1, 4), (2, 4), (2, 3))], "id string, src_id string, dst_id string, type string, weight double")
+    texts = [(1, "alpha with beta"), (2, "beta, then alpha"), (3, "gamma"), (4, "nothing known"), (5, "nor here"), (6, "alpha beta"), (None, "gamma")]
+    queries = spark.createDataFrame(texts, "query_id long, text string")
+    now = F.lit("2024-01-01").cast("timestamp")
+    seeds = M.memory_seeds(queries, al).cache()
+    want = G.render_pack(queries, *G.subgraph(seeds, nodes, edges, now), seeds)
+    walked = []
+    whole = G.subgraph
+    monkeypatch.setattr(G, "subgraph", lambda s, *a, **b: walked.append({r.query_id for r in s.collect()}) or whole(s, *a, **b))
+    got = M.memory_pack_batch(queries, nodes, edges, al, now)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 7
+    assert walked == [{1, 3, None}]
