@@ -122,3 +122,24 @@ def test_vector_topk_of_nothing(spark):
     v = spark.createDataFrame([], "id long, vector array<double>")
     q = spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, vector array<double>")
     assert R.vector_topk(q, v).collect() == [] and R.vector_topk(q.where("false"), q.withColumnRenamed("query_id", "id")).collect() == []
+
+
+def test_a_query_meets_few_tiles_of_a_cell():
+    """Scored slice by slice, the best of a tile are those of one product, ties included."""
+    rng = np.random.default_rng(3)
+    q, x = rng.normal(size=(6, 4)), rng.normal(size=(53, 4))
+    x[40] = x[7]
+    for k, rows in ((5, 10), (60, 10), (1, 53)):
+        whole, sliced = R._best(q, x, k), R._best_of(q, x, k, rows)
+        for i in range(len(q)):
+            at = np.sort((q[i] * x).sum(axis=1))[::-1][: min(k, len(x))]
+            assert sorted(sliced[2][sliced[0] == i])[::-1][: len(at)] == at.tolist()
+            assert set(sliced[1][sliced[0] == i]) == set(whole[1][whole[0] == i])
+
+
+def test_pairs_grow_with_tiles_not_blocks(spark):
+    rng = np.random.default_rng(4)
+    v = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(400)], "id long, vector array<double>")
+    q = v.withColumnRenamed("id", "query_id")
+    share = R.skipped_share(q, v, 3, rows=10, planes=1).first()
+    assert share.pairs <= 400 * 2 * 4  # 40 blocks of 10 lie in two cells
