@@ -28,6 +28,7 @@ NODE_ATTRS = {
 # -----------------------------------------------------------------------------------------------------------
 
 HUB_EDGES = 1000  # a node of more edges is a hub: its neighbours are not joined to each query
+FEW_GRAMS = 100_000  # so many grams of terms go to every task
 CLASS_HUBS = 16  # nodes near more hubs than this form classes of their own
 
 
@@ -84,26 +85,30 @@ def _all_grams(key: Column) -> Column:
 
 
 def containing(terms: DataFrame, aliases: DataFrame, limit: int | None = None) -> DataFrame:
-    """(term, alias) where the alias contains the term literally; with ``limit`` only each short term's heaviest ones.
+    """(term, alias) where the alias contains the term literally; with ``limit`` only the heaviest ones of each key.
 
-    An alias containing a term contains all its 3-grams, so each term looks only at the aliases under its
-    rarest gram. Terms of up to three characters are grams themselves: the list of each is cut to ``limit`` by every
-    task before the shuffle. Only grams that some term asks for are indexed.
+    An alias containing a term contains all its 3-grams, so each term looks only at the keys under its rarest gram; terms of
+    up to three characters are grams themselves. Aliases of one key are one entry of the index, which holds only grams that some
+    term asks for: where these are few, each task drops the others before anything is shuffled.
     """
     cols = ["node_id", "id", "alias", "weight", "alias_key"] + [c for c in ("created_ts",) if c in aliases.columns]
+    if limit is not None:
+        aliases = top_per_key(aliases, ["alias_key"], _by_weight(), limit)
     t = terms.select("term").distinct().withColumn("k", X.alias_key("term")).where("k <> ''")
-    asked = t.select("term", "k", F.explode(_own_grams(F.col("k"))).alias("gram"))
+    asked = checkpointed(t.select("term", "k", F.explode(_own_grams(F.col("k"))).alias("gram")))
     wanted = asked.select("gram").distinct()
-    index = aliases.select(*cols, F.explode(_all_grams(F.col("alias_key"))).alias("gram")).join(wanted, "gram", "left_semi")
-    index = checkpointed(index)  # read by every step below; the grams asked for are few
-    short = index.where(F.length("gram") <= 3).join(t.where(F.length("k") <= 3).select(F.col("k").alias("gram")).distinct(), "gram", "left_semi")
-    if limit is not None:
-        short = top_per_key(short, ["gram"], _by_weight(), limit)
-    short = t.where(F.length("k") <= 3).select("term", F.col("k").alias("gram")).join(short, "gram").select("term", *cols)
+    lengths = wanted.groupBy(F.length("gram").alias("n")).agg(F.count(F.lit(1)).alias("c")).collect()  # three rows at most
+    if sum(r.c for r in lengths) <= FEW_GRAMS:
+        wanted = F.broadcast(wanted)
+    key = F.col("alias_key")
+    grams = F.concat(F.array().cast("array<string>"), *[_grams(key, r.n) for r in lengths])
+    keys = aliases.where("alias_key IS NOT NULL").select("alias_key").distinct()
+    index = checkpointed(keys.select("alias_key", F.explode(grams).alias("gram")).join(wanted, "gram", "left_semi"))
     counts = index.groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
-    rare = asked.where(F.length("k") > 3).join(counts, "gram", "left").groupBy("term", "k").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "gram")).alias("g"))
+    rare = asked.join(counts, "gram", "left").groupBy("term", "k").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "gram")).alias("g"))
     rare = rare.where("g.c > 0").select("term", "k", F.col("g.gram").alias("gram"))
-    return rare.join(index, "gram").where(F.col("alias_key").contains(F.col("k"))).select("term", *cols).unionByName(short)
+    met = rare.join(index, "gram").where(F.col("alias_key").contains(F.col("k"))).select("term", "alias_key")
+    return met.join(aliases.select(*cols), "alias_key").select("term", *cols)
 
 
 # --- a stored index of aliases -----------------------------------------------------------------------------
@@ -136,15 +141,19 @@ def touched_aliases(index: DataFrame, terms: DataFrame) -> DataFrame:
 
 def alias_search(terms: DataFrame, aliases: DataFrame, limit: int = 20) -> DataFrame:
     """Word matches, or where a term has none, substring matches; heaviest first, at most ``limit`` per term."""
-    words = alias_token_hits(terms, aliases, limit)
-    rest = terms.select("term").distinct().join(words.select("term").distinct(), "term", "left_anti")
-    subs = top_per_key(containing(rest, aliases, limit), ["term"], _by_weight(), limit, rank="rank")
+    # aliases of one key have the same words and grams: no more than ``limit`` of them can be shown
+    aliases = checkpointed(top_per_key(aliases.where("alias_key IS NOT NULL"), ["alias_key"], _by_weight(), limit))
+    terms = checkpointed(terms.select("term").distinct())
+    words = checkpointed(alias_token_hits(terms, aliases, limit))
+    rest = terms.join(words.select("term").distinct(), "term", "left_anti")
+    subs = top_per_key(containing(rest, aliases), ["term"], _by_weight(), limit, rank="rank")
     return words.unionByName(subs.select(*words.columns))
 
 
 def alias_best(terms: DataFrame, aliases: DataFrame) -> DataFrame:
     """Exact hit, else the first search hit."""
-    exact = alias_exact(terms, aliases)
+    terms = checkpointed(terms.select("term").distinct())  # few beside the rows that name them
+    exact = checkpointed(alias_exact(terms, aliases))
     rest = terms.select("term").distinct().join(exact.select("term"), "term", "left_anti")
     found = alias_search(rest, aliases, 1).select("term", "node_id", "id", "alias", "weight")
     return exact.withColumn("how", F.lit("exact")).unionByName(found.withColumn("how", F.lit("search")))

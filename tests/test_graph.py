@@ -175,3 +175,15 @@ def test_packs_of_equal_seeds_are_walked_once(spark, monkeypatch):
     got = M.memory_pack_batch(queries, nodes, edges, al, now)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 7
     assert walked == [{1, 3, None}]
+
+
+def test_terms_are_found_in_repeated_keys(spark):
+    """Aliases of one key are searched once, and all of them are found."""
+    words = ["red lamp", "red lamp", "lamplight", "oil", "Éclair", None, "x"]
+    rows = [(f"a{i}", f"n{i}", w, "span", 0.5 + i % 3, w and w.lower().replace("é", "e")) for i, w in enumerate(words * 3)]
+    al = spark.createDataFrame(rows, "id string, node_id string, alias string, source string, weight double, alias_key string")
+    asked = ["lamp", "il", "ecl", "d l", "x", "none", " "]
+    want = sorted((t, r[0]) for t in asked for r in rows if r[5] and t.strip() and t.rstrip() in r[5])
+    assert sorted((r.term, r.id) for r in G.containing(terms(spark, *asked), al).collect()) == want
+    best = G.containing(terms(spark, *asked), al, 2).groupBy("term", "alias_key").count()
+    assert best.where("count > 2").count() == 0 and best.count() == len({(t, rows[int(i[1:])][5]) for t, i in want})
