@@ -187,3 +187,12 @@ def test_terms_are_found_in_repeated_keys(spark):
     assert sorted((r.term, r.id) for r in G.containing(terms(spark, *asked), al).collect()) == want
     best = G.containing(terms(spark, *asked), al, 2).groupBy("term", "alias_key").count()
     assert best.where("count > 2").count() == 0 and best.count() == len({(t, rows[int(i[1:])][5]) for t, i in want})
+
+
+def test_inner_edges_of_repeated_members(spark):
+    """Members and edges that come twice give an edge once; loops and edges both ways count."""
+    members = spark.createDataFrame([(q, n) for q, ns in {1: "abca", 2: "bcd", 3: "a"}.items() for n in ns], "query_id long, node_id string")
+    rows = [("e1", "a", "b", 0.1), ("e1", "a", "b", 0.1), ("e2", "b", "a", 0.2), ("e3", "a", "b", 0.3), ("e4", "c", "c", 0.4), ("e5", "c", "d", 0.5), ("e6", "a", "d", 0.6), ("e7", None, "a", 0.7)]
+    edges = spark.createDataFrame(rows, "id string, src_id string, dst_id string, weight double")
+    got = sorted((r.query_id, r.id) for r in G._edges_inside(members, edges).collect())
+    assert got == [(1, "e1"), (1, "e2"), (1, "e3"), (1, "e4"), (2, "e4"), (2, "e5")]
