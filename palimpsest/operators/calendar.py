@@ -312,5 +312,10 @@ def remote_find(requests: DataFrame, remote: DataFrame) -> DataFrame:
     m = remote.where(F.coalesce("status", F.lit(0)) == 0).select(F.lower(X.trim_ws(F.coalesce("title", F.lit("")))).alias("t"), F.coalesce("due_date", F.lit("")).alias("due"), "ord", "tid")
     # one row per title and due date is enough to find the first
     m = m.groupBy("t", "due").agg(F.min(F.struct("ord", "tid")).alias("m"))
-    hit = r.join(m, "t").where((F.col("d") == "") | (F.col("due") == "") | F.startswith("due", F.col("d")))
+    # every beginning of a due date, the empty one too, is an answer of its own: a request meets one row, not all dates of its title
+    cuts = F.transform(F.sequence(F.lit(0), F.length("due")), lambda n: F.substring("due", F.lit(1), n))
+    starts = m.select("t", F.explode(cuts).alias("d"), "m").groupBy("t", "d").agg(F.min("m").alias("dated"))
+    undated = m.where("due = ''").select("t", F.col("m").alias("undated"))
+    asked = r.select("t", "d").distinct().join(starts, ["t", "d"], "left").join(undated, "t", "left")
+    hit = r.join(asked.select("t", "d", F.least("dated", "undated").alias("m")).where("m IS NOT NULL"), ["t", "d"])
     return hit.groupBy("req_id").agg(F.min("m").alias("m")).select("req_id", F.col("m.tid").alias("tid"))
