@@ -137,10 +137,8 @@ def import_edges_merge(stored: DataFrame, imported: DataFrame) -> DataFrame:
 
 def import_orphans(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Imported edges with an end that is no node."""
-    ids = nodes.select("id")
-    src = edges.join(ids.withColumnRenamed("id", "src_id"), "src_id", "left_anti")
-    dst = edges.join(ids.withColumnRenamed("id", "dst_id"), "dst_id", "left_anti")
-    return src.select("id").unionByName(dst.select("id")).distinct()
+    ends = edges.select("id", F.explode(F.array("src_id", "dst_id")).alias("end"))  # the edges are read and parsed once
+    return ends.join(nodes.select(F.col("id").alias("end")), "end", "left_anti").select("id").distinct()
 
 
 def relation_profile(edges: DataFrame) -> DataFrame:

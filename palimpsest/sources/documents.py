@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.functions import text as X
 
 TASK = "struct<name:string,importance:string,tags:array<string>,time:struct<date:string,start:string,end:string>,updates:array<string>>"
 NODE = "struct<id:string,type:string,title:string,attrs_json:map<string,string>,confidence:double>"
@@ -65,7 +64,8 @@ def scan_graph_ndjson(lines: DataFrame, kind: str, col: str = "line") -> DataFra
     """Node or relation lines; blank, broken and key-less lines are skipped. The order of lines, ``line_no``, is kept if given."""
     schema = {"nodes": NODE_LINE, "relations": EDGE_LINE}[kind]
     kept = [c for c in lines.columns if c == "line_no"]
-    rows = lines.where(X.trim_ws(col) != "").select(F.from_json(col, schema).alias("r"), *kept).select("r.*", *kept)
+    # exploded, a line is parsed once: a filter on plain fields would move below and parse it again for each of them
+    rows = lines.select(F.explode(F.array(F.from_json(col, schema))).alias("r"), *kept).select("r.*", *kept)
     has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     return rows.where(has("nid")) if kind == "nodes" else rows.where(has("rid") & has("src") & has("dst"))
 

@@ -29,3 +29,16 @@ def test_requests_meet_one_row_of_their_title(spark):
             want[req] = min(want.get(req, key), key)
     assert sorted(map(str, got.collect())) == sorted(f"Row(req_id={k}, tid='{v[2]}')" for k, v in want.items())
     assert "StartsWith" not in plan(got)
+
+
+def test_orphans_parse_a_line_once(spark):
+    lines = ['{"rid":"1","type":"t","src":"a","dst":"b"}', '{"rid":"2","type":"","src":"a","dst":"z"}', '{"rid":"2","type":"","src":"a","dst":"z"}', '{"rid":"3","src":"y","dst":"b"}',
+             '{"rid":"4","src":"y","dst":"z"}', '{"rid":"5","src":"","dst":"z"}', '{"src":"a","dst":"z"}', "{broken", " \t ", "", None, "[]", "null"]
+    rel = D.scan_graph_ndjson(spark.createDataFrame([(x, i) for i, x in enumerate(lines)], "line string, line_no long"), "relations")
+    assert sorted(r.rid for r in rel.collect()) == ["1", "2", "2", "3", "4"]
+    nodes = L.import_nodes(D.scan_graph_ndjson(spark.createDataFrame([('{"nid":"a"}', 0), ('{"nid":"b"}', 1)], "line string, line_no long"), "nodes"))
+    edges = L.import_edges(rel)
+    out = L.import_orphans(edges, nodes)
+    want = {r.id for r in edges.where("rid IN ('2','3','4')").select("id").collect()}
+    assert sorted(r.id for r in out.collect()) == sorted(want)
+    assert plan(out).count("from_json") == 2  # once for the edges, once for the nodes
