@@ -116,27 +116,48 @@ ALIAS_COLUMNS = ["id", "node_id", "alias", "source", "weight", "alias_key"]
 POST_PREFIXES = 64
 
 
-def _posts(key: Column, grams: Column) -> Column:
-    """What an alias is found by, or a term looks for: the key, its words, its grams, as hashes."""
-    of = lambda kind, c: F.transform(c, lambda x: F.xxhash64(F.lit(kind), x))
-    return F.array_distinct(F.concat(of("key", F.array(key)), of("word", _tokens(key)), of("gram", grams)))
+def _post(kind: str, value: Column) -> Column:
+    return F.xxhash64(F.lit(kind), value)
+
+
+def _search_posts(key: Column, grams: Column) -> Column:
+    """What the search finds a key by, or looks for: its words, its grams, as hashes."""
+    return F.array_distinct(F.concat(F.transform(_tokens(key), lambda x: _post("word", x)), F.transform(grams, lambda x: _post("gram", x))))
+
+
+def _prefix() -> Column:
+    return F.pmod("post", F.lit(POST_PREFIXES)).cast("int").alias("prefix")
 
 
 def write_alias_index(aliases: DataFrame, path: str) -> None:
-    """Store aliases under everything a term may find them by, in folders by the hash of that."""
+    """Store aliases under their key (``whole`` rows), and each distinct key under its words and grams, in folders by the hash of that.
+
+    A key shared by many aliases has its words and grams stored once. Folders of common grams are written by several tasks.
+    """
     key = F.col("alias_key")
-    rows = aliases.select(*ALIAS_COLUMNS, F.explode(_posts(key, _all_grams(key))).alias("post"))
-    rows = rows.withColumn("prefix", F.pmod("post", F.lit(POST_PREFIXES)).cast("int"))
-    rows.repartition("prefix").sortWithinPartitions("prefix", "post").write.mode("overwrite").partitionBy("prefix").parquet(path)
-
-
-def touched_aliases(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """The aliases of a stored index that an exact match or a search of any of the terms could give. Folders that no term touches
-    are not read; their numbers, at most ``POST_PREFIXES``, pass the driver."""
-    keys = terms.select("term").distinct().select(X.alias_key("term").alias("k"))
-    asked = keys.select(F.explode(_posts(F.col("k"), _own_grams(F.col("k")))).alias("post")).distinct()
-    wanted = sorted(r[0] for r in asked.select(F.pmod("post", F.lit(POST_PREFIXES)).cast("int")).distinct().collect())
-    return index.where(F.col("prefix").isin(wanted)).join(asked, "post", "left_semi").select(*ALIAS_COLUMNS).distinct()
+    named = aliases.select(*ALIAS_COLUMNS).where(key.isNotNull())
+    whole = named.withColumn("post", _post("key", key)).withColumn("whole", F.lit(True))
+    posts = named.select("alias_key").distinct().select("alias_key", F.explode(_search_posts(key, _all_grams(key))).alias("post"), F.lit(False).alias("whole"))
+    rows = whole.unionByName(posts, allowMissingColumns=True).withColumn("prefix", _prefix())
+    rows.hint("rebalance", F.col("prefix")).sortWithinPartitions("prefix", "post").write.mode("overwrite").partitionBy("prefix").parquet(path)
+
+
+def _in_folders(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """The folders of an index that hold a post of ``asked`` (post); their numbers, at most ``POST_PREFIXES``, pass the driver."""
+    return index.where(F.col("prefix").isin(sorted(r[0] for r in asked.select(_prefix()).distinct().collect())))
+
+
+def touched_aliases(index: DataFrame, terms: DataFrame, best: bool = False) -> DataFrame:
+    """The aliases of a stored index that an exact match or a search of any of the terms could give; with ``best`` terms that
+    have an exact match are not searched for (as ``alias_best`` does). Folders that no term touches are not read."""
+    keys = checkpointed(terms.select("term").distinct().select(X.alias_key("term").alias("alias_key")).distinct().withColumn("post", _post("key", F.col("alias_key"))))
+    whole, rest = index.where("whole"), keys
+    if best:
+        rest = checkpointed(keys.join(_in_folders(whole, keys).select("alias_key"), "alias_key", "left_anti"))
+    asked = checkpointed(rest.select(F.explode(_search_posts(F.col("alias_key"), _own_grams(F.col("alias_key")))).alias("post")).distinct())
+    found = _in_folders(index.where("NOT whole"), asked).join(asked, "post", "left_semi").select("alias_key").distinct()
+    named = checkpointed(keys.unionByName(found.withColumn("post", _post("key", F.col("alias_key")))).distinct())
+    return _in_folders(whole, named).join(named.select("alias_key"), "alias_key", "left_semi").select(*ALIAS_COLUMNS).distinct()
 
 
 def alias_search(terms: DataFrame, aliases: DataFrame, limit: int = 20) -> DataFrame:

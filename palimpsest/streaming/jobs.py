@@ -178,9 +178,9 @@ def kg_writer(aliases_of: Callable[[SparkSession], DataFrame], store: str):
         spark = batch.sparkSession
         if epoch == 0:
             G.write_alias_index(aliases_of(spark).select(*G.ALIAS_COLUMNS), f"{index}/epoch=-1")
-        kinds = "id string, node_id string, alias string, source string, weight double, alias_key string, post long, epoch long, prefix int"
+        kinds = "id string, node_id string, alias string, source string, weight double, alias_key string, post long, whole boolean, epoch long, prefix int"
         before = spark.read.schema(kinds).parquet(index).where(F.col("epoch") < epoch)
-        out = kg_build(batch, lambda terms: G.touched_aliases(before, terms))
+        out = kg_build(batch, lambda terms: G.touched_aliases(before, terms, best=True))
         for name in ("nodes", "aliases", "evidence", "edges"):
             out[name].write.mode("overwrite").parquet(f"{store}/{name}/epoch={epoch}")
         made = spark.read.parquet(f"{store}/aliases/epoch={epoch}")

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from palimpsest.operators import calendar as C
+from palimpsest.operators import graph as G
 from palimpsest.operators import graph_load as L
 from palimpsest.sources import documents as D
 
@@ -42,3 +43,22 @@ def test_orphans_parse_a_line_once(spark):
     want = {r.id for r in edges.where("rid IN ('2','3','4')").select("id").collect()}
     assert sorted(r.id for r in out.collect()) == sorted(want)
     assert plan(out).count("from_json") == 2  # once for the edges, once for the nodes
+
+
+def test_a_key_is_indexed_once_however_many_aliases_share_it(spark, tmp_path):
+    rows = [(f"a{i}", f"n{i % 7}", f"Red Fox {i % 3}", "s", 1.0 + i % 2, f"red fox {i % 3}") for i in range(90)] + [("z", "nz", None, "s", 1.0, None)]
+    aliases = spark.createDataFrame(rows, "id string, node_id string, alias string, source string, weight double, alias_key string")
+    path = str(tmp_path / "index")
+    G.write_alias_index(aliases, path)
+    index = spark.read.parquet(path)
+    assert index.where("whole").count() == 90
+    assert index.where("NOT whole").groupBy("alias_key", "post").count().where("count > 1").isEmpty()
+    terms = spark.createDataFrame([("RED fox 1",), ("fox",), ("ed f",), ("owl",), (None,)], "term string")
+    for best in (False, True):
+        near = G.touched_aliases(index, terms, best)
+        assert sorted(r.id for r in near.collect()) == sorted(r[0] for r in rows[:90])
+        got, want = ({(r.term, r.node_id, r.how) for r in G.alias_best(terms, a).collect()} for a in (near, aliases))
+        assert got == want
+    one = spark.createDataFrame([("red fox 2",)], "term string")  # found by its key: not searched for
+    assert {r.alias_key for r in G.touched_aliases(index, one, True).collect()} == {"red fox 2"}
+    assert {r.alias_key for r in G.touched_aliases(index, one).collect()} == {"red fox 0", "red fox 1", "red fox 2"}
