@@ -36,14 +36,25 @@ def _hung(rows: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _within_tasks(edges: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [pair for b in batches for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-        hung = _hung(rows)
+def _within_tasks(edges: DataFrame, most: int) -> DataFrame:
+    """Edges solved ``most`` at a time, or a batch of them: no more are held, however many a task has."""
+
+    def solved(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hung = _hung([pair for b in held for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist())])
         for at in range(0, len(hung), 1 << 16):
             part = hung[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in part], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if held and n + batch.num_rows > most:
+                yield from solved(held)
+                held, n = [], 0
+            held.append(batch)
+            n += batch.num_rows
+        yield from solved(held)
+
     return edges.mapInArrow(run, "a long, b long")
 
 
@@ -66,9 +77,9 @@ def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     down = edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a <> b")
     cur = checkpointed(down)
     tasks = max(1, math.ceil(cur.count() / task_edges))
-    cur = checkpointed(_within_tasks(cur.coalesce(tasks)))
+    cur = checkpointed(_within_tasks(cur.coalesce(tasks), task_edges))
     while tasks > 1:
-        after = checkpointed(_within_tasks(_rehung(_rehung(cur, True), False).coalesce(tasks)))
+        after = checkpointed(_within_tasks(_rehung(_rehung(cur, True), False).coalesce(tasks), task_edges))
         same = after.join(cur, ["a", "b"], "left_anti").isEmpty() and cur.join(after, ["a", "b"], "left_anti").isEmpty()
         cur = after
         if same:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -17,6 +16,7 @@ from palimpsest.session import checkpointed
 MAX_HAMMING = 3
 FOLD_PAIRS = 1_000_000  # pairs of a component that one task settles
 HOT_KEY = 2_000  # a band key shared by more hashes than this is refined
+FIRST_TURN, TURN_GROWTH = 100_000, 8  # hashes settled first, and how much larger each later turn is
 
 
 def dedupe_exact(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -109,39 +109,41 @@ def near_pairs(firsts: DataFrame, max_hamming: int = MAX_HAMMING, hot: int = HOT
     return a.join(b, "band").where((F.col("at_b") < F.col("at_a")) & (hamming64("sim", "earlier") <= max_hamming)).select("sim", "earlier").distinct()
 
 
-def _settled(rows: list[tuple[int, int]]) -> list[int]:
+def _settled(sim: np.ndarray, earlier: np.ndarray) -> np.ndarray:
     """The hashes kept among those of whole components: one is kept unless an earlier kept one is near it."""
-    later, open_, gone = defaultdict(list), Counter(), set()
-    for sim, earlier in rows:
-        later[earlier].append(sim)
-        open_[sim] += 1
-    todo = [x for x in later if not open_[x]]
-    kept = []
-    while todo:
-        x = todo.pop()
-        if x not in gone:
-            kept.append(x)
-            gone.update(later[x])
-        for y in later[x]:
-            open_[y] -= 1
-            if not open_[y]:
-                todo.append(y)
-    return kept
+    nodes, at = np.unique(np.concatenate([earlier, sim]), return_inverse=True)
+    before, after = at[: len(earlier)], at[len(earlier) :]
+    later = after[np.argsort(before, kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(before, minlength=len(nodes)))])
+    left, gone = np.bincount(after, minlength=len(nodes)), np.zeros(len(nodes), bool)
+    ready = np.flatnonzero(left == 0)  # all that come before them are settled
+    while len(ready):
+        counts = starts[ready + 1] - starts[ready]
+        near = later[np.repeat(starts[ready] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+        gone[near[np.repeat(~gone[ready], counts)]] = True
+        np.subtract.at(left, near, 1)
+        near = np.unique(near)
+        ready = near[left[near] == 0]
+    return nodes[~gone]
 
 
 def _fold(labelled: DataFrame, flush: int = 100_000) -> DataFrame:
     """Kept hashes (sim) of pairs (sim, earlier, root); the pairs of a root meet in one task, a run of roots at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None
+        held, n = [np.empty((3, 0), np.int64)], 0
         for batch in batches:
-            for sim, earlier, root in zip(*(batch.column(c).to_pylist() for c in ("sim", "earlier", "root"))):
-                if root != last and len(held) >= flush:
-                    yield pa.RecordBatch.from_arrays([pa.array(_settled(held), pa.int64())], names=["sim"])
-                    held = []
-                held.append((sim, earlier))
-                last = root
-        yield pa.RecordBatch.from_arrays([pa.array(_settled(held), pa.int64())], names=["sim"])
+            held.append(np.stack([batch.column(c).to_numpy() for c in ("sim", "earlier", "root")]))
+            n += batch.num_rows
+            if n < flush:
+                continue
+            rows = np.concatenate(held, axis=1)
+            cut = int(np.searchsorted(rows[2], rows[2, -1]))  # roots are in order; the last one may go on
+            if cut:
+                yield pa.RecordBatch.from_arrays([pa.array(_settled(rows[0, :cut], rows[1, :cut]))], names=["sim"])
+            held, n = [rows[:, cut:]], len(rows[2]) - cut
+        rows = np.concatenate(held, axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(_settled(rows[0], rows[1]), pa.int64())], names=["sim"])
 
     return labelled.select("sim", "earlier", "root").repartition("root").sortWithinPartitions("root").mapInArrow(run, "sim long")
 
@@ -180,15 +182,40 @@ def greedy_keep(firsts: DataFrame, pairs: DataFrame, fold_pairs: int = FOLD_PAIR
         out = out.unionByName(kept)
 
 
-def dedupe_near(df: DataFrame, order: Sequence[str], sim: str = "sim", max_hamming: int = MAX_HAMMING, hot: int = HOT_KEY) -> DataFrame:
+def _turns(firsts: DataFrame, first: int, grow: int) -> list[DataFrame]:
+    """``firsts`` (sim, at) in turns that follow each other in the order, each ``grow`` times as large; rows of one place in the order share a
+    turn. As many counts as there are stretches of ``first`` rows pass the driver."""
+    n = firsts.count()
+    if n <= first * 2:
+        return [firsts]
+    laid = checkpointed(firsts.repartitionByRange(-(-n // first), "at").withColumn("_part", F.spark_partition_id()))
+    out, low, seen, most = [], 0, 0, first
+    counts = sorted(laid.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
+    for i, (part, size) in enumerate(counts):
+        seen += size
+        if seen >= most or i == len(counts) - 1:
+            out.append(laid.where(F.col("_part").between(low, part)).drop("_part"))
+            low, seen, most = part + 1, 0, most * grow
+    return out
+
+
+def dedupe_near(
+    df: DataFrame, order: Sequence[str], sim: str = "sim", max_hamming: int = MAX_HAMMING, hot: int = HOT_KEY, first: int = FIRST_TURN, grow: int = TURN_GROWTH
+) -> DataFrame:
     """Ordered greedy removal: drop a row if an earlier kept row is within ``max_hamming`` bits.
 
-    Rows with one hash share every neighbour, so only the first of them can survive; the search then runs
-    over distinct hashes.
+    Rows with one hash share every neighbour, so only the first of them can survive; the search then runs over distinct
+    hashes, in turns of the order: what is near a hash kept in an earlier turn goes before the pairs of its own turn are
+    made. So a dense group is paired with the few kept of it, not with itself.
     """
     firsts = checkpointed(df.groupBy(F.col(sim).alias("sim")).agg(F.min(F.struct(*order)).alias("at")))
-    keep = greedy_keep(firsts, near_pairs(firsts, max_hamming, hot)).join(firsts, "sim")
-    named = keep.select(F.col("sim").alias("_s"), F.col("at").alias("_at"))
+    keep = None
+    for turn in _turns(firsts, first, grow):
+        if keep is not None:
+            turn = checkpointed(drop_known(turn, keep, max_hamming=max_hamming, hot=hot))
+        kept = greedy_keep(turn, near_pairs(turn, max_hamming, hot)).select("sim")
+        keep = checkpointed(kept) if keep is None else keep.unionByName(checkpointed(kept))
+    named = keep.join(firsts, "sim").select(F.col("sim").alias("_s"), F.col("at").alias("_at"))
     return df.join(named, (F.col(sim) == F.col("_s")) & (F.struct(*order) == F.col("_at")), "left_semi")
 
 

@@ -5,8 +5,10 @@ import random
 from pyspark.sql import functions as F
 
 from palimpsest.operators import calendar as C
+from palimpsest.operators import components as K
 from palimpsest.operators import graph as G
 from palimpsest.operators import graph_load as L
+from palimpsest.operators import neardup as N
 from palimpsest.sources import documents as D
 
 
@@ -62,3 +64,34 @@ def test_a_key_is_indexed_once_however_many_aliases_share_it(spark, tmp_path):
     one = spark.createDataFrame([("red fox 2",)], "term string")  # found by its key: not searched for
     assert {r.alias_key for r in G.touched_aliases(index, one, True).collect()} == {"red fox 2"}
     assert {r.alias_key for r in G.touched_aliases(index, one).collect()} == {"red fox 0", "red fox 1", "red fox 2"}
+
+
+def test_turns_give_the_greedy_result_with_fewer_pairs(spark, monkeypatch):
+    """A dense group meets the few kept of it: its pairs do not grow with the square of its size."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(400):
+        base = (0x0123456789ABCDEF, 0x7EDCBA9876543210, rng.getrandbits(63))[i % 3]
+        rows.append((rng.choice([None, *range(200)]), base ^ sum(1 << b for b in rng.sample(range(62), rng.randrange(3)))))
+    df = spark.createDataFrame(rows, "id long, sim long")
+    made, sizes = N.near_pairs, []
+    monkeypatch.setattr(N, "near_pairs", lambda *a: sizes.append((p := made(*a)).count()) or p)
+    got = []
+    for first in (20, 10_000):
+        sizes.append(0)
+        got.append(sorted(map(str, N.dedupe_near(df, ["id"], first=first, grow=2).collect())))
+        sizes.append(sum(sizes))
+    assert got[0] == got[1] and len(got[0]) > 100
+    turns, whole = sizes[: sizes.index(0, 1)], sizes[sizes.index(0, 1) :]
+    assert sum(turns[:-1]) * 4 < sum(whole[1:-1])
+
+
+def test_a_task_holds_few_edges_at_a_time(spark, monkeypatch):
+    links = spark.createDataFrame([(i, i + 1) for i in range(3000)], "a long, b long").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        part = K._within_tasks(links, 250)
+        assert len({r.b for r in part.collect()}) == 15  # 200 edges at a time
+        assert {r.root for r in K.components(links, 250).collect()} == {0}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
