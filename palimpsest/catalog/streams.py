@@ -85,7 +85,8 @@ def stream_detect(spark, sf):
 @query("stream_kg", f"WITH {LINKED}, {KG_EDGES} SELECT 'nodes' AS what, count(DISTINCT node_id) AS n FROM lk WHERE how='created' UNION ALL SELECT 'edges', count(*) FROM (SELECT DISTINCT src_id, dst_id, type FROM ke)")
 def stream_kg(spark, sf):
     out = J.work_dir(spark, "kg")
-    orders = A.table(_Streams(spark), sf, "orders")
+    # a batch of one file is read in one task, and parsed where it lies: its rows are dealt out first
+    orders = A.table(_Streams(spark), sf, "orders").repartition(spark.sparkContext.defaultParallelism)
     dets = A.detections_of(orders, A.table(spark, sf, "customer"))
     J.run_batches(dets, J.kg_writer(lambda s: A.aliases(s, sf), out), out + "-marks")
     rows = [spark.read.parquet(f"{out}/{k}").select(F.lit(k).alias("what")) for k in ("nodes", "edges")]
