@@ -196,3 +196,40 @@ def test_inner_edges_of_repeated_members(spark):
     edges = spark.createDataFrame(rows, "id string, src_id string, dst_id string, weight double")
     got = sorted((r.query_id, r.id) for r in G._edges_inside(members, edges).collect())
     assert got == [(1, "e1"), (1, "e2"), (1, "e3"), (1, "e4"), (2, "e4"), (2, "e5")]
+
+
+def test_bridges_make_no_row_for_a_query_a_seed_and_a_node(spark):
+    """Queries that share seeds share their walks: what is left on disk does not grow with queries x seeds x nodes (4 million here)."""
+    queries, seeds = 100, 20
+    first = [(f"s{i}", f"m{i:02d}_{j:02d}") for i in range(seeds) for j in range(100)]
+    pairs = first + [(m, f"l{(n * 13 + x * 7) % 9000:04d}") for n, (_, m) in enumerate(first) for x in range(20)]
+    e = spark.createDataFrame([(a, b, 0.5) for a, b in pairs], "src_id string, dst_id string, weight double")
+    asked = [(q, f"s{i}") for q in range(queries) for i in range(seeds)]
+    s = spark.createDataFrame(asked, "query_id long, node_id string")
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    spark.sparkContext._jvm.System.gc()
+    size = lambda: sum(f.length() for f in disk.getAllFiles().mkString(",") and [spark.sparkContext._jvm.java.io.File(x) for x in disk.getAllFiles().mkString(",").split(",")])
+    before = size()
+    rows = {tuple(r) for r in G.bridge_nodes(s, e).collect()}
+    assert size() - before < 15e6
+    assert {r for r in rows if r[0] in (0, 99)} == bridges_by_hand([x for x in asked if x[0] in (0, 99)], pairs, 2, 100) and len(rows) == 100 * queries
+
+
+def test_settled_tables_leave_no_shuffle_files_and_are_forgotten(spark):
+    import os
+
+    from palimpsest.session import forget, settled
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = set(disk.getAllFiles().mkString(",").split(","))
+    df = settled(spark.range(50_000).select((F.col("id") % 7000).alias("k"), F.lit(None).cast("string").alias("none")).groupBy("k", "none").count())
+    for _ in range(50):
+        new = [f for f in set(disk.getAllFiles().mkString(",").split(",")) - before if "shuffle_" in f]
+        if not new:
+            break
+        __import__("time").sleep(0.2)
+    assert not new and df.count() == 7000
+    path = df._settled.removeprefix("file:")
+    assert os.path.isdir(path)
+    forget(df)
+    assert not os.path.exists(path)
