@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,7 @@ HUB_EDGES = 1000  # a node of more edges is a hub: its neighbours are not joined
 FEW_GRAMS = 100_000  # so many grams of terms go to every task
 CLASS_HUBS = 16  # nodes near more hubs than this form classes of their own
 SLICE_BITS = 20  # nodes are counted for so many numbers at a time
+TURN_PAIRS = 1 << 25  # an edge table of more pairs is joined in turns
 BLOCK_NODES = 1 << 24  # queries whose seeds reach so many nodes in all are counted together
 
 
@@ -492,6 +494,7 @@ def subgraph(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, now: Column,
     members = wanted.groupBy("query_id", "node_id").agg(F.min("depth").alias("depth"))
     members = settled(members.join(known.select(F.col("n").alias("node_id"), "_row", "updated_ts"), "node_id"))
     inner = _pairs_inside(members, pairs)
+    turns = pairs.count() // TURN_PAIRS + 1
     forget(pairs)
     ends = inner.select("query_id", F.col("src_id").alias("node_id"), "weight", "edges").unionByName(inner.select("query_id", F.col("dst_id").alias("node_id"), "weight", "edges"))
     stats = ends.groupBy("query_id", "node_id").agg(F.max("weight").alias("edge"), F.sum("edges").alias("deg"))
@@ -509,12 +512,22 @@ def subgraph(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, now: Column,
     ids = kept.select("query_id", "node_id")
     left = inner.join(ids.withColumnRenamed("node_id", "src_id"), ["query_id", "src_id"], "left_semi")
     left = left.join(ids.withColumnRenamed("node_id", "dst_id"), ["query_id", "dst_id"], "left_semi").select("query_id", F.col("src_id").alias("_src"), F.col("dst_id").alias("_dst"))
+    left = settled(left)
     ends = _unnumbered(left.select("_src", "_dst").distinct().withColumns({"src_id": F.col("_src"), "dst_id": F.col("_dst")}), numbers, "src_id", "dst_id")
-    rows = edges.join(ends, ["src_id", "dst_id"]).distinct()
+    rows = _rows_between(edges, ends, turns)
     columns = ["query_id", F.col("_id").alias("node_id"), "depth", *[c for c in nodes.columns if c != "id"], "score", "rank"]
     return kept.join(known, "_row").select(*columns), left.join(rows, ["_src", "_dst"]).select("query_id", *edges.columns)
 
 
+def _rows_between(edges: DataFrame, ends: DataFrame, turns: int) -> DataFrame:
+    """The different edges between pairs of ends. Whole rows are wide: with ``turns``, a part of the pairs is shuffled at a time."""
+    if turns == 1:
+        return edges.join(ends, ["src_id", "dst_id"]).distinct()
+    ends, turn = settled(ends), F.pmod(F.xxhash64("src_id", "dst_id"), F.lit(turns))
+    parts = [settled(edges.where(turn == t).join(ends.where(turn == t), ["src_id", "dst_id"]).distinct()) for t in range(turns)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _edges_inside(members: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with both ends among the members of a query."""
     pairs = edges.groupBy("src_id", "dst_id").agg(F.max("weight").alias("weight"), F.count(F.lit(1)).alias("edges"))

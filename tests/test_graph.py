@@ -233,3 +233,13 @@ def test_settled_tables_leave_no_shuffle_files_and_are_forgotten(spark):
     assert os.path.isdir(path)
     forget(df)
     assert not os.path.exists(path)
+
+
+def test_edges_are_joined_in_turns(spark, monkeypatch):
+    """A table of many pairs is joined in turns; edges given twice come once."""
+    e = spark.createDataFrame([(f"e{i % 9}", f"n{i % 3}", f"n{i % 3 + 1}", "t", 0.1 * (i % 9)) for i in range(18)], "id string, src_id string, dst_id string, type string, weight double")
+    n = spark.createDataFrame([(f"n{i}", "T", f"title {i}", 0.5, None) for i in range(4)], "id string, type string, title string, confidence double, updated_ts timestamp")
+    s = spark.createDataFrame([(1, "n1")], "query_id long, node_id string")
+    monkeypatch.setattr(G, "TURN_PAIRS", 1)
+    nodes, edges = G.subgraph(s, n, e, F.lit("2024-01-01").cast("timestamp"))
+    assert sorted(r.id for r in edges.collect()) == [f"e{i}" for i in range(9) if i % 3 < 2] and nodes.count() == 3
